@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -40,6 +41,12 @@ def is_measurable(type_name: Column, name: Column) -> Column:
     return type_name.isin(INT64, DOUBLE) & ~name.rlike("(?i)" + fixed.KEY_LIKE_NAME)
 
 
+def measurable_names(schema: T.StructType) -> list[str]:
+    """The numeric columns of a table that are no keys by their names."""
+    numbers = [c.name for c in schema if isinstance(c.dataType, T.NumericType)]
+    return [n for n in numbers if not re.search(fixed.KEY_LIKE_NAME, n, re.IGNORECASE)]
+
+
 def typed(
     value: Column,
     type_name: str,

@@ -111,23 +111,6 @@ def check_empty_tables(tables: DataFrame, columns: DataFrame) -> DataFrame:
     return tables.select("app", "table").distinct().join(have, ["app", "table"], "left_anti")
 
 
-def audit_tables(status: DataFrame) -> DataFrame:
-    """(app, table, kind, path, status, n_columns, n_typed, n_dropped) of every table for the model.
-
-    A table of several loads shows the first one's source and the sum of its loads' columns.
-    """
-    place = F.col("pos")
-    return (
-        status.where(~F.col("is_mapping") & ~F.col("is_hidden"))
-        .groupBy("app", F.lower("table").alias("_key"))
-        .agg(
-            F.min_by(F.struct("table", "kind", "path", "status"), place).alias("s"),
-            F.sum("n_columns").alias("n_columns"), F.sum("n_typed").alias("n_typed"), F.sum("n_dropped").alias("n_dropped"),
-        )
-        .select("app", "s.table", "s.kind", "s.path", "s.status", "n_columns", "n_typed", "n_dropped")
-    )
-
-
 ITEMS = (
     "tables", "connected", "schema_only", "columns", "typed_columns", "catalogue_fields", "sheets", "charts",
     "unresolved", "dropped", "no_type_evidence",
@@ -139,7 +122,7 @@ def audit_summary(
 ) -> DataFrame:
     """(app, item, n): what was counted for every app, zeros included.
 
-    ``tables`` is the result of ``audit_tables``; the others count one row each. Every input
+    ``tables`` is the result of ``scripts.audit_tables``; the others count one row each. Every input
     shrinks to one row per app before the inputs meet.
     """
     counted = [tables.groupBy("app").agg(

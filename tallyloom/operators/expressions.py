@@ -141,22 +141,3 @@ def measure_targets(expressions: DataFrame, fields: DataFrame) -> DataFrame:
     )
     owned = fields.select("app", "table", F.lower("field").alias("token")).distinct()
     return wanted.join(owned, ["app", "token"]).select("app", "expression", "table").distinct()
-
-
-def field_owner(fields: DataFrame) -> DataFrame:
-    """(app, field, table): the first table that has a field, in load order; case ignored.
-
-    ``fields`` has (app, table, field, load_pos, pos). A partial aggregate rather than a
-    window, so a field that most tables share is never gathered in one place.
-    """
-    return (
-        fields.groupBy("app", F.lower("field").alias("field"))
-        .agg(F.min_by("table", F.struct("load_pos", "pos")).alias("table"))
-    )
-
-
-def primary_table(fields: DataFrame) -> DataFrame:
-    """(app, table, n_fields): the table with the most fields, the earlier one of equals."""
-    sizes = fields.groupBy("app", "table").agg(F.count(F.lit(1)).alias("n_fields"), F.min("load_pos").alias("first"))
-    best = F.max_by(F.struct("table", "n_fields"), F.struct("n_fields", -F.col("first")))
-    return sizes.groupBy("app").agg(best.alias("best")).select("app", "best.table", "best.n_fields")

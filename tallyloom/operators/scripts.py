@@ -316,30 +316,64 @@ def table_fields(fields: DataFrame) -> DataFrame:
 
 
 def load_status(loads: DataFrame) -> DataFrame:
-    """(app, pos, table, kind, path, status, reason, n_columns, n_dropped, n_typed) of every load."""
+    """(app, pos, table, kind, path, status, reason, n_columns, n_typed, n_dropped) of every load.
+
+    A readable source gives the fields it holds, or all of them if every one is computed; an
+    unreadable one gives its whole schema. Computed fields count as dropped for files only.
+    """
     connected = F.col("kind").isin(*READABLE_KINDS)
-    reason = F.when(connected, "").otherwise(
-        F.coalesce(F.try_element_at(text_map(REASONS), F.col("kind")), F.lit(REASONS["unknown"]))
-    )
-    derived = F.size(F.filter("fields", lambda f: f["is_derived"]))
-    everything = F.size("fields")
-    dropped = F.when(connected & (derived < everything), derived).otherwise(0)
-    typed = F.size(
-        F.filter(
-            "fields",
-            lambda f: (resolve_type(f["tags"], F.lit(False)) != STRING)
-            & (~f["is_derived"] | (F.size("fields") == F.size(F.filter("fields", lambda g: g["is_derived"])))),
-        )
-    )
+    reason = F.coalesce(F.try_element_at(text_map(REASONS), F.col("kind")), F.lit(REASONS["unknown"]))
+    held = F.filter("fields", lambda f: ~f["is_derived"])
+    emitted = F.when(connected & (F.size(held) > 0), held).otherwise(F.col("fields"))
+    dropped = F.when(
+        F.col("kind").isin(*fixed.FILE_KINDS) & (F.size(held) > 0), F.size("fields") - F.size(held)
+    ).otherwise(0)
     return loads.select(
         "app", "pos", "table", "kind",
         F.when(F.col("path") != "", F.col("path")).otherwise(F.col("resident")).alias("path"),
         F.when(connected, CONNECTED).otherwise(SCHEMA_ONLY).alias("status"),
-        reason.alias("reason"),
-        (everything - dropped).alias("n_columns"),
+        F.when(connected, "").otherwise(reason).alias("reason"),
+        F.size(emitted).alias("n_columns"),
+        F.size(F.filter(emitted, lambda f: resolve_type(f["tags"], F.lit(False)) != STRING)).alias("n_typed"),
         dropped.alias("n_dropped"),
-        typed.alias("n_typed"),
-        "is_mapping", "is_hidden",
+    )
+
+
+def audit_tables(loads: DataFrame) -> DataFrame:
+    """(app, table, kind, path, status, n_columns, n_typed, n_dropped) of every table of the model.
+
+    Repeated loads count as one table: the union of their fields, and the first source that is
+    known. Two partial aggregates, first per field and then per table, and no join.
+    """
+    shown = loads.where(~F.col("is_mapping") & ~F.col("is_hidden"))
+    path = F.when(F.col("path") != "", F.col("path")).otherwise(F.col("resident"))
+    rank = F.struct((F.col("kind") == "unknown").alias("unknown"), F.col("pos").alias("load_pos"))
+    each = shown.select(
+        "app", "table", rank.alias("rank"), F.struct("kind", path.alias("path")).alias("source"),
+        F.col("pos").alias("load_pos"), F.posexplode("fields").alias("pos", "f"),
+    )
+    place = F.struct("load_pos", "pos")
+    per_field = each.groupBy("app", F.lower("table").alias("_table"), F.lower("f.field").alias("_field")).agg(
+        F.min_by("f", place).alias("f"), F.min(place).alias("place"), F.min_by("table", place).alias("table"),
+        F.min("rank").alias("rank"), F.min_by("source", "rank").alias("source"),
+    )
+    typed = resolve_type(F.col("f.tags"), F.lit(False)) != STRING
+    held = ~F.col("f.is_derived")
+    per_table = per_field.groupBy("app", "_table").agg(
+        F.min_by("table", "place").alias("table"), F.min_by("source", "rank").alias("source"),
+        F.count(F.lit(1)).alias("n"), F.count_if(held).alias("n_held"),
+        F.count_if(typed).alias("typed"), F.count_if(typed & held).alias("typed_held"),
+    )
+    connected = F.col("source.kind").isin(*READABLE_KINDS)
+    only_held = connected & (F.col("n_held") > 0)
+    return per_table.select(
+        "app", "table", "source.kind", "source.path",
+        F.when(connected, CONNECTED).otherwise(SCHEMA_ONLY).alias("status"),
+        F.when(only_held, F.col("n_held")).otherwise(F.col("n")).alias("n_columns"),
+        F.when(only_held, F.col("typed_held")).otherwise(F.col("typed")).alias("n_typed"),
+        F.when(F.col("source.kind").isin(*fixed.FILE_KINDS) & (F.col("n_held") > 0), F.col("n") - F.col("n_held"))
+        .otherwise(0)
+        .alias("n_dropped"),
     )
 
 
