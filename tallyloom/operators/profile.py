@@ -26,7 +26,7 @@ def _slot(column: T.StructField) -> str:
 def _as_slot(column: T.StructField) -> Column:
     value, kind = field(column.name), column.dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(value.cast("timestamp"))
+        return F.unix_micros(value.cast("timestamp_ltz"))
     if isinstance(kind, T.DateType):
         return F.unix_date(value).cast("bigint")
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):

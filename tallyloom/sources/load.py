@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions import fixed
-from tallyloom.functions.columns import field, strip_chars, strip_space
+from tallyloom.functions.columns import field, let, strip_chars, strip_space
 from tallyloom.functions.types import DATETIME, SPARK_TYPES, STRING, TypeBook, typed
 from tallyloom.plans.aggregate import aggregate
 from tallyloom.sources.spec import Field, LoadSpec, LoadStatus, Source
@@ -30,12 +30,16 @@ def reason_for(kind: str) -> str:
 
 
 def join_root(root: str, path: str) -> str:
-    """A path below the root folder: forward slashes, no leading slash, connection name dropped."""
+    """A path below the root folder: forward slashes, no leading slash, connection name dropped.
+
+    Without a root the path is taken as it is.
+    """
+    if not root:
+        return path
     relative = path.replace("\\", "/")
     if relative.lower().startswith("lib://"):
         relative = relative[len("lib://"):].partition("/")[2]
-    relative = relative.lstrip("/")
-    return f"{root.rstrip('/')}/{relative}" if root else relative
+    return f"{root.rstrip('/')}/{relative.lstrip('/')}"
 
 
 def load_table(
@@ -140,6 +144,11 @@ def inline_rows(text: Column, delimiter: str | Column = ",") -> Column:
     )
 
 
+def inline_body(text: Column, delimiter: str | Column = ",") -> Column:
+    """The lines below the header of a block of text."""
+    return let(inline_rows(text, delimiter), lambda rows: F.slice(rows, F.lit(2), F.size(rows)))
+
+
 def read_inline(spark: SparkSession, text: str, delimiter: str = ",") -> DataFrame:
     """A table written into the load: the first line names the columns.
 
@@ -147,8 +156,7 @@ def read_inline(spark: SparkSession, text: str, delimiter: str = ",") -> DataFra
     """
     header_line = next((line for line in text.splitlines() if line.strip()), "")
     names = [cell.strip().strip("'\"") for cell in header_line.split(delimiter)]
-    rows = F.slice(inline_rows(F.lit(text), delimiter), 2, 2**31 - 1)
-    cells = spark.range(0, 1, 1, 1).select(F.explode(rows).alias("cells"))
+    cells = spark.range(0, 1, 1, 1).select(F.explode(inline_body(F.lit(text), delimiter)).alias("cells"))
     return cells.select(*[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)])
 
 

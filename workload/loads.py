@@ -1 +1,336 @@
-"""x"""
+"""Loads from every kind of source, projections, unions, profiles, previews."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyloom.functions import measures as M
+from tallyloom.functions.types import TypeBook, typed
+from tallyloom.operators import checks, preview, profile
+from tallyloom.session import scratch_path
+from tallyloom.sources.load import concatenate, inline_body, load_all, load_table, select_or_null
+from tallyloom.sources.spec import Field, LoadSpec, Source
+from tallyloom.sources.workbook import read_workbooks
+from workload.derive import filled, read
+from workload.derive_files import as_text, party_workbooks, written
+from workload.registry import query
+
+ORDER_TYPES = TypeBook(
+    [
+        {"name": "OrderKey", "tags": ["$numeric", "$integer"]},
+        {"name": "Price", "tags": ["$numeric"], "is_numeric": True},
+        {"name": "OrderDate", "tags": ["$timestamp"]},
+        {"name": "Status", "tags": ["$text", "$ascii"]},
+    ]
+)
+ORDER_FIELDS = (
+    Field("OrderKey", "o_orderkey"),
+    Field("Price", "o_totalprice"),
+    Field("OrderDate", "o_orderdate"),
+    Field("Status", "o_orderstatus"),
+    Field("Missing"),
+)
+ORDER_SQL = """SELECT o_orderkey AS OrderKey, o_totalprice AS Price, o_orderdate AS OrderDate,
+    o_orderstatus AS Status, CAST(NULL AS VARCHAR) AS Missing FROM orders"""
+
+
+@query("scan_delimited", ORDER_SQL)
+def _delimited(spark, sf_dir):
+    orders = as_text(read(spark, sf_dir, "orders"))
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    path = written(orders, scratch_path(spark, "orders-csv"), "csv", sep=";", header=True, encoding="windows-1252")
+    options = {"txt": True, "codepage": "1252", "embedded_labels": True, "delimiter": ";"}
+    spec = LoadSpec("Orders", Source("delimited", path, options), ORDER_FIELDS)
+    return load_table(spark, spec, ORDER_TYPES)[0]
+
+
+@query("scan_delimited_by_position", "SELECT c_custkey AS k, c_name AS n, c_acctbal AS b FROM customer")
+def _by_position(spark, sf_dir):
+    customer = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    path = written(as_text(customer), scratch_path(spark, "customer-tab"), "csv", sep="\t", header=False)
+    types = TypeBook([{"name": "k", "tags": ["$integer", "$numeric"]}, {"name": "b", "is_numeric": True}])
+    source = Source("", f"{path}/*.csv", {"delimiter": "\\t"})
+    return load_table(spark, LoadSpec("Customer", source, (Field("k"), Field("n"), Field("b"))), types)[0]
+
+
+@query("scan_delimited_quoted", "SELECT doc_id, lang, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents")
+def _quoted(spark, sf_dir):
+    texts = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    path = written(as_text(texts), scratch_path(spark, "documents-csv"), "csv", header=True, escape='"', quoteAll=True)
+    options = {"embedded_labels": True, "codepage": "65001", "multiline": True}
+    types = TypeBook([{"name": "doc_id", "tags": ["$integer", "$numeric"]}])
+    fields = (Field("doc_id"), Field("lang"), Field("text"))
+    df = load_table(spark, LoadSpec("Texts", Source("delimited", path, options), fields), types)[0]
+    return df.withColumn("text", F.regexp_replace("text", "\r\n?", "\n"))
+
+
+@query("scan_workbooks", "SELECT c_custkey AS key, c_name AS name, c_acctbal AS balance, CAST(NULL AS VARCHAR) AS absent FROM customer")
+def _workbooks(spark, sf_dir):
+    files = party_workbooks(spark, sf_dir)
+    cells = read_workbooks(files, ["Customer Key", "name", "Balance", "Absent"], sheet="Data")
+    return cells.select(
+        typed(F.col("`Customer Key`"), "int64").alias("key"), "name",
+        typed(F.col("Balance"), "double").alias("balance"), F.col("Absent").alias("absent"),
+    )
+
+
+@query(
+    "scan_inline",
+    """SELECT o_orderkey, CAST(0 AS INTEGER) AS row, o_orderstatus AS code, o_orderpriority AS label, '' AS extra FROM orders
+       UNION ALL SELECT o_orderkey, 1, 'x', CAST(o_custkey AS VARCHAR), 'y' FROM orders""",
+)
+def _inline(spark, sf_dir):
+    block = filled("\ncode|label|extra\n\n {o_orderstatus} | '{o_orderpriority}'\n   \nx|\"{o_custkey}\"|y|cut\n")
+    lines = read(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(inline_body(block, "|")).alias("row", "cells"))
+    cell = lambda i: F.coalesce(F.get("cells", F.lit(i)), F.lit(""))
+    return lines.select("o_orderkey", "row", cell(0).alias("code"), cell(1).alias("label"), cell(2).alias("extra"))
+
+
+@query("scan_resident", "SELECT conv_id AS ConvID, role, CAST(NULL AS VARCHAR) AS score FROM conversations WHERE turn > 1")
+def _resident(spark, sf_dir):
+    read(spark, sf_dir, "conversations").createOrReplaceTempView("talks")
+    fields = (
+        Field("ConvID", "conv_id"), Field("role"), Field("score"),
+        Field("size", expression="Len(text)", is_derived=True),
+    )
+    return load_table(spark, LoadSpec("Talk", Source("resident", view="talks"), fields, where="turn > 1"))[0]
+
+
+@query("scan_parquet", "SELECT l_orderkey AS \"Order Key\", l_shipdate AS shipped, l_quantity FROM lineitem WHERE l_quantity > 45")
+def _parquet(spark, sf_dir):
+    fields = (Field("Order Key", "L_ORDERKEY"), Field("shipped", "l_shipdate"), Field("l_quantity"))
+    spec = LoadSpec("Lines", Source(path="lib://Data\\lineitem.parquet"), fields, where="l_quantity > 45")
+    return load_table(spark, spec, root=sf_dir)[0]
+
+
+@query("scan_json", ORDER_SQL)
+def _json(spark, sf_dir):
+    path = written(as_text(read(spark, sf_dir, "orders")), scratch_path(spark, "orders-json"), "json")
+    return load_table(spark, LoadSpec("Orders", Source("json", path), ORDER_FIELDS), ORDER_TYPES)[0]
+
+
+@query("scan_xml", ORDER_SQL)
+def _xml(spark, sf_dir):
+    orders = as_text(read(spark, sf_dir, "orders"))
+    path = written(orders, scratch_path(spark, "orders-xml"), "xml", rowTag="order", rootTag="orders")
+    source = Source("xml", path, {"row_tag": "order"})
+    return load_table(spark, LoadSpec("Orders", source, ORDER_FIELDS), ORDER_TYPES)[0]
+
+
+@query(
+    "scan_sql",
+    "SELECT n_name AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
+)
+def _sql(spark, sf_dir):
+    for name in ("customer", "nation"):
+        read(spark, sf_dir, name).createOrReplaceTempView(f"db_{name}")
+    text = """SELECT n_name AS nation, count(*) AS n FROM db_customer
+              JOIN db_nation ON c_nationkey = n_nationkey GROUP BY n_name"""
+    return load_table(spark, LoadSpec("Live", Source("sql", text=text)))[0]
+
+
+# --- projections ---------------------------------------------------------------
+
+
+@query("select_missing_null", "SELECT c_name, CAST(NULL AS VARCHAR) AS email, c_custkey AS C_CustKey FROM customer")
+def _missing(spark, sf_dir):
+    return select_or_null(read(spark, sf_dir, "customer"), ["c_name", "email", "C_CustKey"])
+
+
+@query(
+    "type_columns",
+    """SELECT l_orderkey, CAST(round_even(l_linenumber + 0.5, 0) AS BIGINT) AS halves,
+       CASE WHEN l_returnflag = 'A' THEN NULL ELSE l_quantity END AS number,
+       CASE WHEN l_linestatus = 'O' THEN l_shipdate END AS day,
+       l_partkey AS spaced, CASE WHEN l_linestatus = 'F' THEN true END AS flag,
+       round(l_extendedprice / 1000000000, 14) AS tiny FROM lineitem""",
+)
+def _types(spark, sf_dir):
+    texts = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("l_orderkey"),
+        filled("{l_linenumber}.5").alias("halves"),
+        F.when(F.col("l_returnflag") == "A", "n/a").otherwise(F.col("l_quantity").cast("string")).alias("number"),
+        F.when(F.col("l_linestatus") == "O", F.col("l_shipdate").cast("string")).otherwise("").alias("day"),
+        filled(" {l_partkey} ").alias("spaced"),
+        F.when(F.col("l_linestatus") == "F", "yes").otherwise("maybe").alias("flag"),
+        (F.col("l_extendedprice") / 1e9).cast("string").alias("tiny"),
+    )
+    kinds = {"l_orderkey": "int64", "halves": "int64", "number": "double", "day": "dateTime", "spaced": "int64",
+             "flag": "boolean", "tiny": "double"}
+    out = texts.select(*[typed(F.col(c), kind).alias(c) for c, kind in kinds.items()])
+    return out.withColumn("tiny", F.round("tiny", 14))
+
+
+@query("physical_columns", "SELECT event_id, user_id AS who FROM events")
+def _physical(spark, sf_dir):
+    fields = (
+        Field("event_id"), Field("who", "user_id"),
+        Field("hour", expression="Hour(ts)", is_derived=True), Field("double", expression="value*2", is_derived=True),
+    )
+    spec = LoadSpec("Events", Source("parquet", "events.parquet"), fields)
+    return load_table(spark, spec, root=sf_dir)[0]
+
+
+@query("project_alias", "SELECT p_name AS \"Part Name\", p_size AS Size, p_brand FROM part")
+def _alias(spark, sf_dir):
+    fields = (Field("Part Name", "p_name"), Field("Size", "P_SIZE"), Field("p_brand"))
+    return load_table(spark, LoadSpec("Part", Source("parquet", "part.parquet"), fields), root=sf_dir)[0]
+
+
+@query("load_distinct", "SELECT DISTINCT user_id, event_type FROM events")
+def _distinct(spark, sf_dir):
+    fields = (Field("user_id"), Field("event_type"))
+    spec = LoadSpec("Users", Source("parquet", "events.parquet"), fields, distinct=True)
+    return load_table(spark, spec, root=sf_dir)[0]
+
+
+@query("load_where", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1997-01-01 00:00:00'")
+def _where(spark, sf_dir):
+    fields = (Field("o_orderkey"), Field("o_totalprice"))
+    where = "o_orderstatus = 'F' and o_orderdate >= timestamp_ntz'1997-01-01'"
+    spec = LoadSpec("Orders", Source("parquet", "orders.parquet"), fields, where=where)
+    return load_table(spark, spec, root=sf_dir)[0]
+
+
+@query("load_group_by", "SELECT o_custkey AS customer, round(sum(o_totalprice), 2) AS spent, count(o_orderkey) AS n FROM orders GROUP BY 1")
+def _group_by(spark, sf_dir):
+    fields = (
+        Field("customer", "o_custkey"), Field("spent", measure=M.total("o_totalprice")),
+        Field("n", measure=M.count("o_orderkey")),
+    )
+    spec = LoadSpec("Spending", Source("parquet", "orders.parquet"), fields, group_by=("o_custkey",), order_by=("spent",))
+    return load_table(spark, spec, root=sf_dir)[0].withColumn("spent", F.round("spent", 2))
+
+
+def _parties(spark, sf_dir):
+    suppliers = LoadSpec(
+        "Party", Source("parquet", "supplier.parquet"),
+        (Field("Key", "s_suppkey"), Field("Name", "s_name"), Field("Balance", "s_acctbal")),
+    )
+    customers = LoadSpec(
+        "PARTY", Source("parquet", "customer.parquet"),
+        (Field("key", "c_custkey"), Field("name", "c_name"), Field("Segment", "c_mktsegment")),
+    )
+    return suppliers, customers
+
+
+@query(
+    "auto_concatenate",
+    """SELECT s_suppkey AS "Key", s_name AS "Name", s_acctbal AS "Balance", NULL AS "Segment" FROM supplier
+       UNION ALL SELECT c_custkey, c_name, NULL, c_mktsegment FROM customer""",
+)
+def _auto_concatenate(spark, sf_dir):
+    loads = [(spec.name, load_table(spark, spec, root=sf_dir)[0]) for spec in _parties(spark, sf_dir)]
+    return concatenate(loads)["Party"]
+
+
+@query(
+    "explicit_concatenate",
+    """SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation
+       UNION ALL SELECT r_regionkey, r_name, NULL FROM region""",
+)
+def _explicit(spark, sf_dir):
+    specs = [
+        LoadSpec("Places", Source("parquet", "nation.parquet"),
+                 (Field("id", "n_nationkey"), Field("name", "n_name"), Field("region", "n_regionkey"))),
+        LoadSpec("Helper", Source("parquet", "customer.parquet"), (Field("c_name"),), is_mapping=True),
+        LoadSpec("More", Source("parquet", "region.parquet"),
+                 (Field("ID", "r_regionkey"), Field("name", "r_name")), concatenate_to="places"),
+    ]
+    tables, _ = load_all(spark, specs, root=sf_dir)
+    return tables["Places"]
+
+
+# --- profiles, previews, content checks ------------------------------------------------
+
+
+def _profile_sql(table: str, columns: list[tuple[str, str, str, str]]) -> str:
+    """SQL profile of ``columns``: name, SQL of the byte size, tags, numeric flag."""
+    return " UNION ALL ".join(
+        f"SELECT '{table}' AS \"table\", '{c}' AS field, count(DISTINCT {c}) AS cardinality, count({c}) AS total_count,"
+        f" {numeric} AS is_numeric, {tags} AS tags, CAST({size} AS BIGINT) AS byte_size FROM {table}"
+        for c, size, tags, numeric in columns
+    )
+
+
+def _width(column: str, width: int) -> str:
+    return f"count({column}) * {width}"
+
+
+def _bytes(column: str) -> str:
+    return f"coalesce(sum(octet_length(encode({column}))), 0)"
+
+
+def _whole(column: str) -> str:
+    return f"CASE WHEN bool_and({column} = floor({column})) THEN '$numeric,$integer' ELSE '$numeric' END"
+
+
+def _text_tags(column: str) -> str:
+    return f"CASE WHEN bool_and(octet_length(encode({column})) = length({column})) THEN '$text,$ascii' ELSE '$text' END"
+
+
+@query(
+    "profile_fields",
+    _profile_sql(
+        "lineitem",
+        [(c, _width(c, 8), "'$numeric,$integer'", "true") for c in ("l_orderkey", "l_partkey", "l_suppkey")]
+        + [("l_linenumber", _width("l_linenumber", 4), "'$numeric,$integer'", "true")]
+        + [(c, _width(c, 8), _whole(c), "true") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+        + [(c, _bytes(c), _text_tags(c), "false") for c in ("l_returnflag", "l_linestatus")]
+        + [("l_shipdate", _width("l_shipdate", 8), "'$timestamp'", "false")],
+    )
+    + " UNION ALL "
+    + _profile_sql(
+        "documents",
+        [("doc_id", _width("doc_id", 8), "'$numeric,$integer'", "true")]
+        + [(c, _bytes(c), _text_tags(c), "false") for c in ("text", "lang", "source")]
+        + [("n_chars", _width("n_chars", 8), "'$numeric,$integer'", "true")],
+    ),
+)
+def _profile_fields(spark, sf_dir):
+    both = [profile.profile_fields(read(spark, sf_dir, t), t) for t in ("lineitem", "documents")]
+    return both[0].unionByName(both[1]).withColumn("tags", F.array_join("tags", ","))
+
+
+@query(
+    "profile_tables",
+    """SELECT 'orders' AS "table", count(*) AS "rows", 3 AS fields, 2 AS key_fields,
+         CAST(count(o_orderkey) * 8 + count(o_custkey) * 8 + sum(octet_length(encode(o_orderpriority))) AS BIGINT) AS byte_size FROM orders
+       UNION ALL SELECT 'lineitem', count(*), 2, 1, CAST(count(l_orderkey) * 8 + count(l_tax) * 8 AS BIGINT) FROM lineitem
+       UNION ALL SELECT 'customer', count(*), 3, 1,
+         CAST(count(c_custkey) * 8 + sum(octet_length(encode(c_name))) + count(c_nationkey) * 4 AS BIGINT) FROM customer""",
+)
+def _profile_tables(spark, sf_dir):
+    pick = {
+        "orders": {"o_orderkey": "orderkey", "o_custkey": "CustKey", "o_orderpriority": "priority"},
+        "lineitem": {"l_orderkey": "OrderKey", "l_tax": "tax"},
+        "customer": {"c_custkey": "custkey", "c_name": "name", "c_nationkey": "nationkey"},
+    }
+    tables = {
+        t: read(spark, sf_dir, t).select(*[F.col(c).alias(a) for c, a in names.items()]) for t, names in pick.items()
+    }
+    return profile.profile_tables(tables)
+
+
+@query("preview_100", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 100")
+def _preview(spark, sf_dir):
+    df = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return preview.preview(df, "o_totalprice", "o_orderkey")
+
+
+def _fabricated_sql() -> str:
+    from tallyloom.functions.fixed import FABRICATED_TOKENS
+
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", '{w}' AS token, count(*) FILTER (WHERE contains({c}, '{w}')) AS n FROM {t}"
+        for t, c in (("documents", "text"), ("documents", "lang"), ("documents", "source"), ("pages", "url"), ("pages", "html"))
+        for w in FABRICATED_TOKENS
+    )
+
+
+@query("check_fabricated", _fabricated_sql())
+def _fabricated(spark, sf_dir):
+    found = [checks.fabricated(read(spark, sf_dir, t)) for t in ("documents", "pages")]
+    return found[0].unionByName(found[1])
+
+
