@@ -62,12 +62,24 @@ TRACE LOAD done;
 DROP TABLE [{p_name}]"""
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores before costly work on every row; a large one is split already."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def part_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(app, script): one load script for every part."""
-    part = read(spark, sf_dir, "part")
+    part = spread(read(spark, sf_dir, "part"))
     ext = F.when(F.col("p_type") == "ECONOMY", "csv").when(F.col("p_type") == "SMALL", "qvd")
     ext = ext.when(F.col("p_type") == "STANDARD", "parquet").otherwise("dat")
     fmt = F.when(F.col("p_type") == "ECONOMY", "txt, ").when(F.col("p_type") == "SMALL", "qvd, ")
     fmt = fmt.when(F.col("p_type") == "STANDARD", "parquet, ").otherwise("fix, ")
     named = part.withColumns({"ext": ext, "fmt": fmt})
     return named.select(F.concat(F.lit("app"), F.col("p_partkey").cast("string")).alias("app"), filled(SCRIPT).alias("script"))
+
+
+def part_expressions(spark: SparkSession, sf_dir: str, templates: list[str]) -> DataFrame:
+    """(app, pos, expression): chart expressions that name the values of every part."""
+    each = F.posexplode(F.array(*[filled(t) for t in templates])).alias("pos", "expression")
+    return read(spark, sf_dir, "part").select(filled("app{p_partkey}").alias("app"), each)
