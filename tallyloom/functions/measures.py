@@ -55,6 +55,8 @@ class Measure:
         kind = schema[self.filter_field].dataType
         values = [F.lit(v).try_cast(kind) for v in self.filter_values]
         column = by_name(self.filter_field)
+        if not values:
+            return F.lit(False)
         return column == values[0] if len(values) == 1 else column.isin(*values)
 
     def value(self, schema: T.StructType) -> Column:
@@ -152,11 +154,9 @@ def ratio(top: Measure, bottom: Measure) -> Measure:
 
 
 def filtered(measure: Measure, field: str, *values) -> Measure:
-    """The measure over the rows whose ``field`` is one of ``values``."""
+    """The measure over the rows whose ``field`` is one of ``values``; no values, no rows."""
     if measure.function not in fixed.FILTERED_FUNCTIONS:
         raise ValueError(f"a filtered measure takes {fixed.FILTERED_FUNCTIONS}, not {measure.function}")
-    if not values:
-        raise ValueError("a filtered measure needs at least one value")
     shown = values[0] if len(values) == 1 else "Filtered"
     return replace(measure, name=f"{measure.name} ({shown})", filter_field=field, filter_values=values)
 

@@ -83,3 +83,56 @@ def part_expressions(spark: SparkSession, sf_dir: str, templates: list[str]) ->
     """(app, pos, expression): chart expressions that name the values of every part."""
     each = F.posexplode(F.array(*[filled(t) for t in templates])).alias("pos", "expression")
     return read(spark, sf_dir, "part").select(filled("app{p_partkey}").alias("app"), each)
+
+
+_KPI = """{"qProperty":{"qInfo":{"qId":"k{o_orderkey}","qType":"{shape}"},"title":"Total {o_orderpriority}","visualization":"big",
+ "qHyperCubeDef":{"qDimensions":[],"qMeasures":[{"qDef":{"qDef":"Sum([{o_orderpriority}])","qLabel":"T"}}]}}}"""
+_INNER = """{"qProperty":{"qInfo":{"qId":"b1","qType":"barchart"},"title":"By {o_orderstatus}",
+ "qHyperCubeDef":{"qDimensions":[
+   {"qDef":{"qFieldDefs":["{o_orderstatus}","x"],"qFieldLabels":["State"],"qSortCriterias":[{"qSortByNumeric":1},{"qSortByAscii":-1}]}},
+   {"qDef":{"qFieldDefs":[]}}],
+  "qMeasures":[{"qDef":{"qDef":"Count({<Status={'{o_orderstatus}'}>} OrderID)"}},{"qDef":{"qLabel":"none"}}]}},
+ "qChildren":[{"qProperty":{"qInfo":{"qId":"too deep","qType":"kpi"}}}]}"""
+_BOX = (
+    """{"qProperty":{"qInfo":{"qId":"box","qType":"container"},"title":"Box"},"qChildren":["""
+    + _INNER
+    + """,{"qProperty":{}},{"qProperty":{"visualization":"note"}}]}"""
+)
+_SHEET = (
+    """{"qMetaData":{"qType":"sheet"},"qRoot":{"qProperty":{"qInfo":{"qId":"s{o_orderkey}"},"rank":1.5,
+ "qMetaDef":{"title":"Orders {o_orderstatus}","description":"about {o_custkey}"}},"qChildren":["""
+    + _KPI
+    + """,{"qProperty":{}},"""
+    + _BOX
+    + """]}}"""
+)
+_BARE_SHEET = """{"qMetaData":{"qType":"sheet"},"qRoot":{"qProperty":{"qInfo":{"qId":"e{o_orderkey}"}}}}"""
+_MODEL = """{"qreload_meta":{},"qfields":[
+ {"qname":"OrderID","qsrc_tables":["{o_orderpriority}","Notes"],"qcardinal":{o_orderkey},"qtotal_count":{o_custkey},"qis_numeric":true,"qtags":["$key","$integer"],"qbyte_size":12},
+ {"qname":"{o_orderstatus}","qtags":["$text"]},
+ {"qname":"hidden","qis_hidden":true},{"qname":"$Field","qis_system":true}],
+ "qtables":[{"qname":"{o_orderpriority}","qno_of_rows":{o_orderkey},"qno_of_fields":3,"qno_of_key_fields":1,"qbyte_size":77},
+ {"qname":"$Table","qis_system":true},{"qname":"Notes"}]}"""
+_PROPERTIES = """{"qTitle":"App {o_orderkey}","qLastReloadTime":"{o_orderdate}","qSavedInProductVersion":"1.{o_custkey}","owner":"u{o_custkey}"}"""
+_VARIABLES = """{"qId":"list{o_custkey}","qEntryList":[
+ {"qProperties":{"qName":"vStatus","qDefinition":"={o_orderstatus}"},"qIsScriptCreated":true},{"qProperties":{"qName":"v{o_orderkey}"}}]}"""
+_SCRIPT_OBJECT = (
+    r"""{"qScript":"[{o_orderpriority}]:\r\nLOAD [Order ID] AS OrderID Tagged ('$integer'), Amount, Amount * 2 AS Dbl"""
+    r""" FROM [lib://D/{o_orderstatus}.{suffix}] ({suffix});\r\nNotes: LOAD a, b INLINE [a,b\r\n1,{o_custkey}];"}"""
+)
+OBJECTS = [
+    (10, _PROPERTIES), (20, _MODEL), (25, "not json {o_orderkey}"), (30, _SCRIPT_OBJECT), (40, _SHEET),
+    (50, _VARIABLES), (60, _BARE_SHEET), (70, '{"qMetaData":{"qType":"story"},"n":{o_orderkey}}'),
+]
+
+
+def order_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(app, offset, text): the catalogue objects of an app for every order."""
+    orders = spread(read(spark, sf_dir, "orders")).withColumns(
+        {
+            "shape": F.when(F.col("o_orderpriority") == "1-URGENT", "kpi").otherwise("linechart"),
+            "suffix": F.when(F.col("o_orderstatus") == "F", "qvd").otherwise("txt"),
+        }
+    )
+    rows = F.array(*[F.struct(F.lit(o).alias("offset"), filled(t).alias("text")) for o, t in OBJECTS])
+    return orders.select(filled("o{o_orderkey}").alias("app"), F.inline(rows))
