@@ -15,7 +15,7 @@ def field(name: str) -> Column:
 
 def strip_space(text: Column) -> Column:
     """Both ends freed of any white space, not blanks alone."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def strip_chars(text: Column, chars: str) -> Column:

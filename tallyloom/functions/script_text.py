@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyloom.functions.columns import let, strip_space
+from tallyloom.functions.columns import any_of, let, strip_space
 
 SINGLE = r"'[^']*+(?:'|\z)"
 DOUBLE = r'"[^"]*+(?:"|\z)'
@@ -26,10 +26,17 @@ _COMMENTS = (
 _STATEMENT = rf"""(?:[^;'"\[]++|{SINGLE}|{DOUBLE}|{OPEN_BRACKET})++"""
 _ASSIGNMENT = r"(?im)^\s*(SET|LET)\s+([A-Za-z_][A-Za-z0-9_]*)\s*=\s*([^;]*);"
 _REFERENCE = r"\$\([^()]*\)"
-_WORDS = rf"""(?i){SINGLE}|{DOUBLE}|{OPEN_BRACKET}|[(),]|SQL\s+SELECT\b|[A-Za-z_0-9]++|[^'"\[(),A-Za-z_0-9]++"""
-_SOURCE_WORD = r"(?i)^(FROM|RESIDENT|INLINE|SQL\s+SELECT|SELECT)$"
-_FILTER_START = r"\b(?:WHERE|GROUP\s+BY|ORDER\s+BY|WHILE)\b"
-_BEFORE_FILTER = rf"(?is)^((?:{SINGLE}|{DOUBLE}|{BRACKET}|(?!{_FILTER_START}).)*+)(.*)$"
+_SOURCE = r"(?:FROM|RESIDENT|INLINE|SQL\s+SELECT|SELECT)\b"
+# quoted or bracketed text, one of the marks, a source word, or all text up to the next of these
+_WORDS = (
+    rf"""(?i){SINGLE}|{DOUBLE}|{OPEN_BRACKET}|[(),]|{_SOURCE}"""
+    rf"""|(?:[^'"\[(),A-Za-z_0-9]++|(?!{_SOURCE})[A-Za-z_0-9]++)++"""
+)
+_SOURCE_WORD = rf"(?i)^{_SOURCE}$"
+_FILTER = r"(?:WHERE|GROUP\s+BY|ORDER\s+BY|WHILE)\b"
+_BEFORE_FILTER = (
+    rf"""(?is)^(?:{SINGLE}|{DOUBLE}|{BRACKET}|(?!{_FILTER})[A-Za-z_0-9]++|[^A-Za-z_0-9])*+"""
+)
 EXPANSION_PASSES = 6
 
 
@@ -50,13 +57,13 @@ def statements(clean: Column) -> Column:
 
 def unquote(text: Column) -> Column:
     """A name without its brackets or quotes."""
-    return let(
-        strip_space(text),
-        lambda t: F.when(
-            t.rlike(r"(?s)^(\[.*\]|'.*'|\".*\")$"),
-            strip_space(F.substring(t, F.lit(2), F.length(t) - 2)),
-        ).otherwise(t),
-    )
+    def inner(t: Column) -> Column:
+        wrapped = any_of([t.startswith(a) & t.endswith(b) for a, b in ("[]", "''", '""')])
+        return F.when(
+            wrapped & (F.length(t) > 1), strip_space(F.substring(t, F.lit(2), F.length(t) - 2))
+        ).otherwise(t)
+
+    return let(strip_space(text), inner)
 
 
 def variables(clean: Column) -> Column:
@@ -152,11 +159,14 @@ def split_load(body: Column) -> Column:
     )
 
 
-def split_filter(text: Column) -> tuple[Column, Column]:
-    """The text before, and from, the first WHERE, GROUP BY, ORDER BY or WHILE."""
-    return (
-        strip_space(F.regexp_extract(text, _BEFORE_FILTER, 1)),
-        strip_space(F.regexp_extract(text, _BEFORE_FILTER, 2)),
+def split_filter(text: Column) -> Column:
+    """The text ``before`` the first WHERE, GROUP BY, ORDER BY or WHILE, and the ``filter`` from there on."""
+    return let(
+        F.regexp_extract(text, _BEFORE_FILTER, 0),
+        lambda before: F.struct(
+            strip_space(before).alias("before"),
+            strip_space(F.substring(text, F.length(before) + 1, F.length(text))).alias("filter"),
+        ),
     )
 
 

@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions import fixed
-from tallyloom.functions.columns import text_array
+from tallyloom.functions.columns import strip_space, text_array
 
 STRING, INT64, DOUBLE, DATETIME, BOOLEAN = "string", "int64", "double", "dateTime", "boolean"
 
+# A cast that fails is many times slower than one that works, so text that plainly is no number
+# never gets to the cast. The patterns let through all that a cast can read.
+_WHOLE_NUMBER = r"^[\x00-\x20]*[+-]?[0-9]{1,19}[\x00-\x20]*$"
+_MAY_BE_NUMBER = r"(?i)^[\x00-\x20]*[+-]?(?:[0-9]|\.[0-9]|inf|nan)"
+_TRUTHS = ("t", "true", "y", "yes", "1", "f", "false", "n", "no", "0")
+
 SPARK_TYPES: dict[str, T.DataType] = {
     STRING: T.StringType(),
     INT64: T.LongType(),
@@ -58,22 +64,29 @@ def typed(
     Text with a fraction becomes an integer by rounding half to even. ``serial_dates`` reads
     a plain number as the day count that workbooks store.
     """
+    text = value.cast("string")
     if type_name == STRING:
-        return value.cast("string")
+        return text
+    number = F.when(text.rlike(_MAY_BE_NUMBER), text.try_cast("double"))
+    if type_name == DOUBLE:
+        return number
     if type_name == INT64:
-        whole = value.cast("string").try_cast("bigint")
-        return F.coalesce(whole, F.bround(value.try_cast("double"), 0).try_cast("bigint"))
+        return F.when(text.rlike(_WHOLE_NUMBER), text.try_cast("bigint")).otherwise(
+            F.bround(number, 0).try_cast("bigint")
+        )
+    if type_name == BOOLEAN:
+        return F.when(F.lower(strip_space(text)).isin(*_TRUTHS), text.try_cast("boolean"))
     if type_name == DATETIME:
-        readings = [value.try_cast("timestamp_ntz")]
-        readings += [F.try_to_timestamp(value, F.lit(f)).cast("timestamp_ntz") for f in datetime_formats]
+        readings = [text.try_cast("timestamp_ntz")]
+        readings += [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in datetime_formats]
         if serial_dates:
-            days = value.try_cast("double")
+            days = number
             micros = F.round((days - F.lit(25569.0)) * F.lit(86_400_000_000.0)).try_cast("bigint")
             epoch = F.lit("1970-01-01").cast("timestamp_ntz")
             wall = epoch + F.make_dt_interval(secs=(micros / F.lit(1_000_000)).cast("decimal(18,6)"))
             readings = [F.when(days.isNotNull(), wall).otherwise(readings[0])] + readings[1:]
         return F.coalesce(*readings)
-    return value.try_cast(SPARK_TYPES[type_name])
+    raise ValueError(f"unknown type {type_name!r}")
 
 
 class TypeBook:

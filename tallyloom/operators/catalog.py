@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SCRIPT, SHEET, MODEL, PROPERTIES, VARIABLES = "script", "sheet", "data_model", "app_properties", "variables"
 
@@ -41,7 +40,7 @@ _VARIABLES = (
 )
 
 # One row per app, as read from catalogue files.
-CATALOGUE = T.StructType.fromDDL(
+CATALOGUE = (
     "app struct<name: string, path: string, size_bytes: bigint, extracted_at: string>,"
     " header map<string, string>,"
     " app_properties struct<title: string, last_reload: string, saved_in_version: string,"
@@ -81,17 +80,30 @@ def classify(objects: DataFrame) -> DataFrame:
     return readable.select("app", "offset", F.coalesce(object_kind(F.col("text")), F.lit("other")).alias("kind"), "text")
 
 
+_KEYS = {
+    SCRIPT: "qScript", SHEET: "qMetaData", MODEL: "qreload_meta", PROPERTIES: "qLastReloadTime", VARIABLES: "qEntryList",
+}
+
+
+def _only(objects: DataFrame, kind: str) -> DataFrame:
+    """The objects of one kind.
+
+    Objects stored with their kind (``sources.catalogue.write_objects``) are picked by it, and
+    a folder per kind means that no other is read. Otherwise a cheap search for a key spares
+    most other objects the parsing.
+    """
+    if "kind" in objects.columns:
+        return objects.where(F.col("kind") == kind)
+    return objects.where(F.col("text").contains(f'"{_KEYS[kind]}"')).where(object_kind(F.col("text")) == kind)
+
+
 def _of_kind(objects: DataFrame, kind: str, schema: str) -> DataFrame:
-    """The objects of one kind, read. A cheap search for a key spares most other objects the parsing."""
-    key = {SHEET: "qMetaData", MODEL: "qreload_meta", PROPERTIES: "qLastReloadTime", VARIABLES: "qEntryList"}[kind]
-    found = objects.where(F.col("text").contains(f'"{key}"')).where(object_kind(F.col("text")) == kind)
-    return found.select("app", "offset", F.from_json("text", schema).alias("o"))
+    return _only(objects, kind).select("app", "offset", F.from_json("text", schema).alias("o"))
 
 
 def catalog_scripts(objects: DataFrame) -> DataFrame:
     """(app, script) with Unix line ends; the last script of an app counts."""
-    scripts = objects.where(F.col("text").contains('"qScript"')).where(object_kind(F.col("text")) == SCRIPT)
-    read = scripts.select("app", "offset", F.get_json_object("text", "$.qScript").alias("script"))
+    read = _only(objects, SCRIPT).select("app", "offset", F.get_json_object("text", "$.qScript").alias("script"))
     last = read.groupBy("app").agg(F.max_by("script", "offset").alias("script"))
     return last.select("app", F.replace("script", F.lit("\r\n"), F.lit("\n")).alias("script"))
 

@@ -30,8 +30,9 @@ def fabricated(df: DataFrame, words: tuple[str, ...] = fixed.FABRICATED_TOKENS)
 
 def has_fabricated(df: DataFrame, words: tuple[str, ...] = fixed.FABRICATED_TOKENS) -> Column:
     """The condition that a row holds a demo token in any text column."""
-    texts = [c.name for c in df.schema if isinstance(c.dataType, T.StringType)]
-    return any_of([F.coalesce(field(c).contains(w), F.lit(False)) for c in texts for w in words])
+    texts = [field(c.name) for c in df.schema if isinstance(c.dataType, T.StringType)]
+    # each column is named once, so that a computed one is not computed once per token
+    return F.exists(F.array(*texts), lambda text: F.coalesce(any_of([text.contains(w) for w in words]), F.lit(False)))
 
 
 def schema_diff(declared: DataFrame, emitted: DataFrame) -> DataFrame:
@@ -122,23 +123,21 @@ def audit_summary(
 ) -> DataFrame:
     """(app, item, n): what was counted for every app, zeros included.
 
-    ``tables`` is the result of ``scripts.audit_tables``; the others count one row each. Every input
-    shrinks to one row per app before the inputs meet.
+    ``tables`` is the result of ``scripts.audit_tables``; the others count one row each. All
+    inputs are counted in one aggregate, so there is one shuffle, of partial counts.
     """
-    counted = [tables.groupBy("app").agg(
-        F.count(F.lit(1)).alias("tables"),
-        F.count_if(F.col("status") == "connected").alias("connected"),
-        F.count_if(F.col("status") == "schema-only").alias("schema_only"),
-        F.sum("n_columns").alias("columns"),
-        F.sum("n_typed").alias("typed_columns"),
-        F.sum("n_dropped").alias("dropped"),
-    )]
+    counted = tables.select(
+        "app",
+        F.lit(1).alias("tables"),
+        (F.col("status") == "connected").cast("int").alias("connected"),
+        (F.col("status") == "schema-only").cast("int").alias("schema_only"),
+        F.col("n_columns").alias("columns"),
+        F.col("n_typed").alias("typed_columns"),
+        F.col("n_dropped").alias("dropped"),
+    )
     for name, df in (("catalogue_fields", fields), ("sheets", sheets), ("charts", charts), ("unresolved", unresolved)):
-        counted.append(df.groupBy("app").agg(F.count(F.lit(1)).alias(name)))
-    together = counted[0]
-    for part in counted[1:]:
-        together = together.unionByName(part, allowMissingColumns=True)
-    sums = together.groupBy("app").agg(
+        counted = counted.unionByName(df.select("app", F.lit(1).alias(name)), allowMissingColumns=True)
+    sums = counted.groupBy("app").agg(
         *[F.coalesce(F.sum(item), F.lit(0)).alias(item) for item in ITEMS if item != "no_type_evidence"]
     )
     # the note that an app has fields but no evidence of their types

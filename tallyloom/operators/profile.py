@@ -145,16 +145,12 @@ def measurable_without_keys(profile: DataFrame, measurable: Column) -> DataFrame
 def app_volumetrics(sheets: DataFrame, charts: DataFrame) -> DataFrame:
     """(app, pages, visuals, kpis): at least one page, otherwise what is there.
 
-    Sheets and charts shrink to counts per app before they meet.
+    Both are counted in one aggregate, so there is one shuffle, of partial counts.
     """
-    pages = sheets.groupBy("app").agg(F.count_distinct("sheet").alias("n"), F.lit(0).alias("v"), F.lit(0).alias("k"))
-    visuals = charts.groupBy("app").agg(
-        F.lit(0).alias("n"), F.count(F.lit(1)).alias("v"),
-        F.count_if(F.lower("type").isin(*fixed.KPI_TYPES)).alias("k"),
+    is_kpi = F.lower("type").isin(*fixed.KPI_TYPES)
+    counted = sheets.select("app", F.lit(1).alias("page"), F.lit(0).alias("visual"), F.lit(0).alias("kpi")).unionByName(
+        charts.select("app", F.lit(0).alias("page"), F.lit(1).alias("visual"), is_kpi.cast("int").alias("kpi"))
     )
-    both = pages.unionByName(visuals).groupBy("app").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("k").alias("k"))
-    return both.select(
-        "app", F.greatest(F.col("n"), F.lit(1)).alias("pages"), F.col("v").alias("visuals"), F.col("k").alias("kpis")
+    return counted.groupBy("app").agg(
+        F.greatest(F.sum("page"), F.lit(1)).alias("pages"), F.sum("visual").alias("visuals"), F.sum("kpi").alias("kpis")
     )
-
-

@@ -54,21 +54,81 @@ def script_variables(scripts: DataFrame) -> DataFrame:
     )
 
 
+def _loads_of(script: Column) -> Column:
+    """The loads of a script, in order, as an array."""
+
+    def read(clean: Column) -> Column:
+        return let(
+            S.variables(clean),
+            lambda known: F.transform(S.statements(clean), lambda text, pos: _load(text, pos, known)),
+        )
+
+    return F.filter(let(S.strip_comments(S.unix_lines(script)), read), lambda x: x.isNotNull())
+
+
 def parse_loads(scripts: DataFrame) -> DataFrame:
     """One row per load statement: its table, flags, fields and source.
 
     The loads of a script are built as one array inside its row and then exploded, so each
     statement is read once whatever is asked of the result.
     """
+    return scripts.select("app", F.inline(_loads_of(F.col("script"))))
 
-    def loads_of(clean: Column) -> Column:
-        return let(
-            S.variables(clean),
-            lambda known: F.transform(S.statements(clean), lambda text, pos: _load(text, pos, known)),
+
+def parse_tables(scripts: DataFrame) -> DataFrame:
+    """One row per table meant for the model, repeated loads merged: its source and its fields.
+
+    Mapping and helper tables are left out. A field counts once, as it stands in the first load
+    that has it; the first source that is known counts. All loads of an app stand in the row of
+    its script, so merging them needs no shuffle.
+    """
+    return scripts.select("app", F.inline(let(_loads_of(F.col("script")), _merged)))
+
+
+def _merged(loads: Column) -> Column:
+    shown = F.filter(loads, lambda x: ~x["is_mapping"] & ~x["is_hidden"] & (F.size(x["fields"]) > 0))
+
+    def tables(kept: Column) -> Column:
+        names = F.array_distinct(F.transform(kept, lambda x: F.lower(x["table"])))
+        return F.transform(
+            names, lambda name: let(F.filter(kept, lambda x: F.lower(x["table"]) == name), _one_table)
         )
 
-    loads = let(S.strip_comments(S.unix_lines(F.col("script"))), loads_of)
-    return scripts.select("app", F.inline(F.filter(loads, lambda x: x.isNotNull())))
+    return let(shown, tables)
+
+
+def _one_table(own: Column) -> Column:
+    def described(source: Column) -> Column:
+        return F.struct(
+            own[0]["pos"].alias("pos"),
+            own[0]["table"].alias("table"),
+            F.size(own).alias("n_loads"),
+            source["kind"].alias("kind"),
+            F.when(source["path"] != "", source["path"]).otherwise(source["resident"]).alias("path"),
+            let(F.flatten(F.transform(own, _placed_fields)), _first_of_each).alias("fields"),
+        )
+
+    known = F.get(F.filter(own, lambda x: x["kind"] != "unknown"), F.lit(0))
+    return let(F.coalesce(known, own[0]), described)
+
+
+def _placed_fields(load: Column) -> Column:
+    return F.transform(
+        load["fields"],
+        lambda f, i: F.struct(
+            load["pos"].alias("load_pos"), i.alias("pos"),
+            *[f[n].alias(n) for n in ("field", "expression", "is_derived", "tags")],
+        ),
+    )
+
+
+def _first_of_each(fields: Column) -> Column:
+    def pick(names: Column) -> Column:
+        return F.when(F.size(names) == F.size(fields), fields).otherwise(
+            F.transform(names, lambda n: F.filter(fields, lambda f: F.lower(f["field"]) == n)[0])
+        )
+
+    return let(F.array_distinct(F.transform(fields, lambda f: F.lower(f["field"]))), pick)
 
 
 def _load(text: Column, pos: Column, known: Column) -> Column:
@@ -90,12 +150,20 @@ def _load(text: Column, pos: Column, known: Column) -> Column:
 
 
 def _body(rest: Column) -> Column:
-    body = strip_space(F.regexp_extract(rest, _LOAD, 2))
-    return F.struct(
-        F.upper(F.regexp_extract(rest, _LOAD, 1)).alias("prefix"),
-        S.unquote(F.regexp_extract(rest, _TARGET, 1)).alias("target"),
-        body.rlike(r"(?i)^DISTINCT\b").alias("is_distinct"),
-        S.split_load(F.regexp_replace(body, r"(?i)^DISTINCT\b", "")).alias("parts"),
+    distinct = r"(?i)^DISTINCT\b"
+    return let(
+        F.struct(
+            F.upper(F.regexp_extract(rest, _LOAD, 1)).alias("prefix"),
+            strip_space(F.regexp_extract(rest, _LOAD, 2)).alias("body"),
+        ),
+        lambda b: F.struct(
+            b["prefix"].alias("prefix"),
+            F.when(b["prefix"].contains("CONCATENATE"), S.unquote(F.regexp_extract(rest, _TARGET, 1)))
+            .otherwise("")
+            .alias("target"),
+            b["body"].rlike(distinct).alias("is_distinct"),
+            S.split_load(F.regexp_replace(b["body"], distinct, "")).alias("parts"),
+        ),
     )
 
 
@@ -115,8 +183,11 @@ def _source(tail: Column, known: Column) -> Column:
         .when(tail.rlike(r"(?i)^FROM\s"), "file")
         .otherwise("unknown")
     )
-    before, conditions = S.split_filter(F.regexp_replace(tail, r"(?i)^(FROM|RESIDENT)\s+", ""))
-    clauses = F.struct(shape.alias("shape"), before.alias("named"), conditions.alias("filter"))
+    named = F.when(shape.isin("file", "resident"), F.regexp_replace(tail, r"(?i)^(FROM|RESIDENT)\s+", "")).otherwise("")
+    clauses = let(
+        S.split_filter(named),
+        lambda c: F.struct(shape.alias("shape"), c["before"].alias("named"), c["filter"].alias("filter")),
+    )
 
     def formatted(c: Column) -> Column:
         given = F.regexp_extract(c["named"], _FORMAT, 1)
@@ -135,7 +206,7 @@ def _source(tail: Column, known: Column) -> Column:
         is_file = c["shape"] == "file"
         return F.struct(
             c["shape"].alias("shape"),
-            F.when(is_file | (c["shape"] == "resident"), c["filter"]).otherwise("").alias("filter"),
+            c["filter"].alias("filter"),
             F.when(c["shape"] == "resident", S.unquote(f["named"])).otherwise("").alias("resident"),
             F.when(c["shape"] == "inline", F.regexp_extract(tail, _INLINE, 1)).otherwise("").alias("inline_text"),
             F.when(is_file, strip_space(let(S.unquote(f["named"]), lambda p: S.expand(p, known))))
@@ -228,26 +299,31 @@ def _field_of(text: Column, kind: Column) -> Column:
 
     A bare or bracketed name is a column; the labels of an inline block are columns too.
     """
-    plain = F.when(text.rlike(_TAGGED), strip_space(F.regexp_replace(text, _TAGGED, ""))).otherwise(text)
+    # a cheap search first: most fields have neither tags nor an alias
+    tagged = F.lower(text).contains("tagged") & text.rlike(_TAGGED)
+    plain = F.when(tagged, strip_space(F.regexp_replace(text, _TAGGED, ""))).otherwise(text)
 
     def aliased(p: Column) -> Column:
-        has_alias = p.rlike(_ALIAS)
+        has_alias = F.lower(p).contains("as") & p.rlike(_ALIAS)
         return F.struct(
             F.when(has_alias, strip_space(F.regexp_extract(p, _ALIAS, 1))).otherwise(p).alias("expression"),
             F.when(has_alias, S.unquote(F.regexp_extract(p, _ALIAS, 2))).alias("alias"),
         )
 
     def described(a: Column) -> Column:
-        expression = a["expression"]
-        bare = S.unquote(expression)
-        column = expression.rlike(r'(?s)^(\[[^\]]*\]|"[^"]*")$') | expression.rlike(_BARE) | (expression == "*")
+        return let(S.unquote(a["expression"]), lambda bare: with_bare(a["expression"], a["alias"], bare))
+
+    def with_bare(expression: Column, alias: Column, bare: Column) -> Column:
+        is_bare = bare.rlike(_BARE)
+        quoted = expression.rlike(r'(?s)^(\[[^\]]*\]|"[^"]*")$')
+        column = quoted | ((expression == bare) & is_bare) | (expression == "*") | (kind == "inline")
+        none = F.array().cast("array<string>")
+        tags = F.transform(S.split_commas(F.regexp_extract(text, _TAGGED, 1)), S.unquote)
         return F.struct(
-            F.coalesce(a["alias"], bare).alias("field"),
+            F.coalesce(alias, bare).alias("field"),
             expression.alias("expression"),
-            F.when(a["alias"].isNotNull(), ~bare.rlike(_BARE))
-            .otherwise(~column & (kind != "inline"))
-            .alias("is_derived"),
-            F.transform(S.split_commas(F.regexp_extract(text, _TAGGED, 1)), S.unquote).alias("tags"),
+            F.when(alias.isNotNull(), ~is_bare).otherwise(~column).alias("is_derived"),
+            F.when(tagged, tags).otherwise(none).alias("tags"),
         )
 
     return let(let(plain, aliased), described)
@@ -287,94 +363,55 @@ def script_fields(loads: DataFrame) -> DataFrame:
     ).select("app", "load_pos", "table", "kind", "is_mapping", "is_hidden", "pos", "f.*")
 
 
-def visible_tables(loads: DataFrame) -> DataFrame:
-    """(app, table): the tables meant for the model, mapping and helper tables left out."""
-    shown = loads.where(~F.col("is_mapping") & ~F.col("is_hidden") & (F.size("fields") > 0))
-    return shown.groupBy("app", F.lower("table").alias("_key")).agg(
-        F.min_by("table", "pos").alias("table"), F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n_loads")
-    ).drop("_key")
-
-
-def table_fields(fields: DataFrame) -> DataFrame:
-    """(app, table, pos, field, …) with repeated loads of a table merged: a field counts once,
-    as it stands in the first load that has it."""
-    place = F.struct("load_pos", "pos")
-    merged = (
-        fields.where(~F.col("is_mapping") & ~F.col("is_hidden"))
-        .groupBy("app", F.lower("table").alias("_table"), F.lower("field").alias("_field"))
-        .agg(
-            F.min(place).alias("first"),
-            F.min_by(F.struct("table", "field", "expression", "is_derived", "tags", "kind"), place).alias("f"),
-        )
+def visible_tables(tables: DataFrame) -> DataFrame:
+    """(app, table, first_pos, n_loads) of the tables meant for the model."""
+    return tables.select("app", "table", F.col("pos").alias("first_pos"), "n_loads")
+
+
+def table_fields(tables: DataFrame) -> DataFrame:
+    """(app, table, kind, load_pos, pos, field, expression, is_derived, tags), repeated loads merged."""
+    return tables.select("app", "table", "kind", F.explode("fields").alias("f")).select("app", "table", "kind", "f.*")
+
+
+def load_status(loads: DataFrame) -> DataFrame:
+    """(app, pos, table, kind, path, status, reason, n_columns, n_typed, n_dropped) of every load."""
+    return loads.select(
+        "app", "pos", "table", "kind",
+        F.when(F.col("path") != "", F.col("path")).otherwise(F.col("resident")).alias("path"),
+        _status().alias("status"),
+        F.when(F.col("kind").isin(*READABLE_KINDS), "").otherwise(_reason()).alias("reason"),
+        *_column_counts(),
     )
-    return merged.select(
-        "app", F.col("f.table").alias("table"), F.col("first.load_pos").alias("load_pos"),
-        F.col("first.pos").alias("pos"), F.col("f.field").alias("field"),
-        F.col("f.expression").alias("expression"), F.col("f.is_derived").alias("is_derived"),
-        F.col("f.tags").alias("tags"), F.col("f.kind").alias("kind"),
+
+
+def _reason() -> Column:
+    return F.coalesce(F.try_element_at(text_map(REASONS), F.col("kind")), F.lit(REASONS["unknown"]))
+
+
+def audit_tables(tables: DataFrame) -> DataFrame:
+    """(app, table, kind, path, status, n_columns, n_typed, n_dropped) of every table of the model."""
+    return tables.select(
+        "app", "table", "kind", "path", _status().alias("status"), *_column_counts(),
     )
 
 
-def load_status(loads: DataFrame) -> DataFrame:
-    """(app, pos, table, kind, path, status, reason, n_columns, n_typed, n_dropped) of every load.
+def _status() -> Column:
+    return F.when(F.col("kind").isin(*READABLE_KINDS), CONNECTED).otherwise(SCHEMA_ONLY)
+
+
+def _column_counts() -> list[Column]:
+    """Columns that are emitted, typed and dropped.
 
     A readable source gives the fields it holds, or all of them if every one is computed; an
     unreadable one gives its whole schema. Computed fields count as dropped for files only.
     """
-    connected = F.col("kind").isin(*READABLE_KINDS)
-    reason = F.coalesce(F.try_element_at(text_map(REASONS), F.col("kind")), F.lit(REASONS["unknown"]))
     held = F.filter("fields", lambda f: ~f["is_derived"])
-    emitted = F.when(connected & (F.size(held) > 0), held).otherwise(F.col("fields"))
+    emitted = F.when(F.col("kind").isin(*READABLE_KINDS) & (F.size(held) > 0), held).otherwise(F.col("fields"))
     dropped = F.when(
         F.col("kind").isin(*fixed.FILE_KINDS) & (F.size(held) > 0), F.size("fields") - F.size(held)
     ).otherwise(0)
-    return loads.select(
-        "app", "pos", "table", "kind",
-        F.when(F.col("path") != "", F.col("path")).otherwise(F.col("resident")).alias("path"),
-        F.when(connected, CONNECTED).otherwise(SCHEMA_ONLY).alias("status"),
-        F.when(connected, "").otherwise(reason).alias("reason"),
-        F.size(emitted).alias("n_columns"),
-        F.size(F.filter(emitted, lambda f: resolve_type(f["tags"], F.lit(False)) != STRING)).alias("n_typed"),
-        dropped.alias("n_dropped"),
-    )
-
-
-def audit_tables(loads: DataFrame) -> DataFrame:
-    """(app, table, kind, path, status, n_columns, n_typed, n_dropped) of every table of the model.
-
-    Repeated loads count as one table: the union of their fields, and the first source that is
-    known. Two partial aggregates, first per field and then per table, and no join.
-    """
-    shown = loads.where(~F.col("is_mapping") & ~F.col("is_hidden"))
-    path = F.when(F.col("path") != "", F.col("path")).otherwise(F.col("resident"))
-    rank = F.struct((F.col("kind") == "unknown").alias("unknown"), F.col("pos").alias("load_pos"))
-    each = shown.select(
-        "app", "table", rank.alias("rank"), F.struct("kind", path.alias("path")).alias("source"),
-        F.col("pos").alias("load_pos"), F.posexplode("fields").alias("pos", "f"),
-    )
-    place = F.struct("load_pos", "pos")
-    per_field = each.groupBy("app", F.lower("table").alias("_table"), F.lower("f.field").alias("_field")).agg(
-        F.min_by("f", place).alias("f"), F.min(place).alias("place"), F.min_by("table", place).alias("table"),
-        F.min("rank").alias("rank"), F.min_by("source", "rank").alias("source"),
-    )
-    typed = resolve_type(F.col("f.tags"), F.lit(False)) != STRING
-    held = ~F.col("f.is_derived")
-    per_table = per_field.groupBy("app", "_table").agg(
-        F.min_by("table", "place").alias("table"), F.min_by("source", "rank").alias("source"),
-        F.count(F.lit(1)).alias("n"), F.count_if(held).alias("n_held"),
-        F.count_if(typed).alias("typed"), F.count_if(typed & held).alias("typed_held"),
-    )
-    connected = F.col("source.kind").isin(*READABLE_KINDS)
-    only_held = connected & (F.col("n_held") > 0)
-    return per_table.select(
-        "app", "table", "source.kind", "source.path",
-        F.when(connected, CONNECTED).otherwise(SCHEMA_ONLY).alias("status"),
-        F.when(only_held, F.col("n_held")).otherwise(F.col("n")).alias("n_columns"),
-        F.when(only_held, F.col("typed_held")).otherwise(F.col("typed")).alias("n_typed"),
-        F.when(F.col("source.kind").isin(*fixed.FILE_KINDS) & (F.col("n_held") > 0), F.col("n") - F.col("n_held"))
-        .otherwise(0)
-        .alias("n_dropped"),
-    )
+    typed = F.filter(emitted, lambda f: resolve_type(f["tags"], F.lit(False)) != STRING)
+    return [F.size(emitted).alias("n_columns"), F.size(typed).alias("n_typed"), dropped.alias("n_dropped")]
 
 
 def dropped_fields(loads: DataFrame) -> DataFrame:
@@ -389,13 +426,19 @@ def dropped_fields(loads: DataFrame) -> DataFrame:
 def schema_only_columns(loads: DataFrame) -> DataFrame:
     """(app, table, pos, field, type, reason): the schema of every load that cannot be read."""
     unread = loads.where(~F.col("kind").isin(*READABLE_KINDS))
-    reason = F.coalesce(F.try_element_at(text_map(REASONS), F.col("kind")), F.lit(REASONS["unknown"]))
-    return unread.select("app", "table", reason.alias("reason"), F.posexplode("fields").alias("pos", "f")).select(
+    return unread.select("app", "table", _reason().alias("reason"), F.posexplode("fields").alias("pos", "f")).select(
         "app", "table", "pos", F.col("f.field").alias("field"),
         resolve_type(F.col("f.tags"), F.lit(False)).alias("type"), "reason",
     )
 
 
+def default_roots(loads: DataFrame, base: str) -> DataFrame:
+    """(app, root): the folder below ``base`` named like the connection of an app's first file."""
+    files = loads.where(F.col("kind").isin(*fixed.FILE_KINDS) & (F.col("connection") != ""))
+    first = files.groupBy("app").agg(F.min_by("connection", "pos").alias("connection"))
+    return first.select("app", F.concat(F.lit(base.rstrip("/") + "/"), "connection").alias("root"))
+
+
 def script_field_names(scripts: DataFrame, known: Column | None = None) -> DataFrame:
     """(app, pos, field): names read plainly from load bodies, for apps without field metadata.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.operators.catalog import CATALOGUE
+from tallyloom.operators.catalog import CATALOGUE, classify
 
 
 def read_catalogue(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
@@ -16,6 +16,16 @@ def read_catalogue(spark: SparkSession, path: str, multiline: bool = True) -> Da
     return spark.read.schema(CATALOGUE).option("multiLine", multiline).json(path)
 
 
+def write_objects(objects: DataFrame, path: str) -> DataFrame:
+    """Objects (app, offset, text) told apart once and stored in a folder per kind, read back.
+
+    Every flat table is then read from the folder of its own kind alone, and a lost executor
+    costs a part of a stored table rather than the inflating of the app files.
+    """
+    classify(objects).write.partitionBy("kind").parquet(path)
+    return objects.sparkSession.read.parquet(path)
+
+
 def write_catalogue(tables: dict[str, DataFrame], path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
     """One folder per catalogue table. Partition by a column of few values only, never by app."""
     for name, df in tables.items():

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators import catalog as cat, checks, expressions as ex, profile, scripts as sc
 from tallyloom.plans.visuals import visual_type
 from tallyloom.session import scratch_path
-from tallyloom.sources.catalogue import read_catalogue, read_table, write_catalogue
+from tallyloom.sources.catalogue import read_catalogue, read_table, write_catalogue, write_objects
 from workload.derive import order_objects, read
 from workload.registry import query, sql_rows
 
@@ -129,6 +129,11 @@ SCRIPT_LINES = [
 ]
 
 
+def _stored(spark, sf_dir):
+    """The objects of all orders, told apart and stored once for the queries that need several kinds."""
+    return write_objects(order_objects(spark, sf_dir), scratch_path(spark, "objects"))
+
+
 @query(
     "catalog_summary",
     sql_rows(
@@ -148,7 +153,7 @@ SCRIPT_LINES = [
     ),
 )
 def _summary(spark, sf_dir):
-    objects = order_objects(spark, sf_dir)
+    objects = _stored(spark, sf_dir)
     return cat.summary(objects, sc.script_head(cat.catalog_scripts(objects)))
 
 
@@ -168,7 +173,7 @@ def _visual_types(spark, sf_dir):
     f"SELECT app, 2 AS pages, 4 AS visuals, kpi AS kpis FROM {APPS}",
 )
 def _volumetrics(spark, sf_dir):
-    objects = order_objects(spark, sf_dir)
+    objects = _stored(spark, sf_dir)
     return profile.app_volumetrics(cat.catalog_sheets(objects), cat.catalog_charts(objects))
 
 
@@ -186,8 +191,8 @@ def _volumetrics(spark, sf_dir):
     ),
 )
 def _audit(spark, sf_dir):
-    objects = order_objects(spark, sf_dir)
-    tables = sc.audit_tables(sc.parse_loads(cat.catalog_scripts(objects)))
+    objects = _stored(spark, sf_dir)
+    tables = sc.audit_tables(sc.parse_tables(cat.catalog_scripts(objects)))
     unresolved = ex.classify(cat.catalog_measures(objects)).where("class = 'unresolved'")
     return checks.audit_summary(
         tables, cat.catalog_fields(objects), cat.catalog_sheets(objects), cat.catalog_charts(objects), unresolved

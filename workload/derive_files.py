@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from workload.derive import read
+from workload.derive import read, spread
 
 _CONTENT_TYPES = (
     '<?xml version="1.0" encoding="UTF-8"?>'
@@ -94,7 +94,7 @@ def document_app_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                 }
             )
 
-    columns = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    columns = spread(read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     return columns.mapInPandas(files, "doc_id bigint, content binary")
 
 

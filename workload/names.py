@@ -8,7 +8,7 @@ from tallyloom.functions import fixed, names
 from tallyloom.functions.types import resolve_type
 from tallyloom.operators import checks, fields as field_ops, preview, profile
 from tallyloom.operators.tokens import file_candidates
-from workload.derive import filled, read
+from workload.derive import filled, read, spread
 from workload.registry import query, sql_rows, sql_text
 
 PART_APP = "(SELECT *, 'app' || p_partkey AS app FROM part)"
@@ -280,7 +280,7 @@ _PREVIEW_SQL = f"""
 
 
 def _synthetic(spark, sf_dir):
-    supplier = read(spark, sf_dir, "supplier")
+    supplier = spread(read(spark, sf_dir, "supplier"))
     columns = supplier.select("s_suppkey", F.explode(F.array(*[filled(t) for t in _PREVIEWED])).alias("column"))
     return preview.synthetic_preview(columns)
 

@@ -81,6 +81,10 @@ def _loads(spark, sf_dir):
     return sc.parse_loads(part_scripts(spark, sf_dir))
 
 
+def _tables(spark, sf_dir):
+    return sc.parse_tables(part_scripts(spark, sf_dir))
+
+
 # pos, table, kind, mapping, hidden, distinct, filter, number of fields
 LOADS = [
     (5, "{p_name}", "{kind}", False, False, True, "WHERE Amount > {p_size}", 5),
@@ -166,7 +170,7 @@ def _fields(spark, sf_dir):
 
 @query("script_table_fields", sql_rows(PARTS, FIELD_NAMES, MERGED))
 def _table_fields(spark, sf_dir):
-    out = sc.table_fields(sc.script_fields(_loads(spark, sf_dir))).drop("kind")
+    out = sc.table_fields(_tables(spark, sf_dir)).drop("kind")
     return out.withColumn("tags", F.array_join("tags", ","))
 
 
@@ -178,7 +182,12 @@ def _table_fields(spark, sf_dir):
     ),
 )
 def _visible(spark, sf_dir):
-    return sc.visible_tables(_loads(spark, sf_dir))
+    return sc.visible_tables(_tables(spark, sf_dir))
+
+
+@query("default_roots", sql_rows(PARTS, ["root"], [("/data/{p_brand}",), ("/data/Shared",)], {0: "kind <> 'fixed'", 1: "kind = 'fixed'"}))
+def _roots(spark, sf_dir):
+    return sc.default_roots(_loads(spark, sf_dir), "/data/")
 
 
 _STATUS = [
@@ -221,7 +230,7 @@ _TABLES = [
     sql_rows(PARTS, ['"table"', "kind", "path", "status", "n_columns", "n_typed", "n_dropped"], _TABLES, _BY_KIND),
 )
 def _audit_tables(spark, sf_dir):
-    return sc.audit_tables(_loads(spark, sf_dir))
+    return sc.audit_tables(_tables(spark, sf_dir))
 
 
 _DROPPED = [
@@ -281,7 +290,7 @@ def _field_names(spark, sf_dir):
     ),
 )
 def _schema_diff(spark, sf_dir):
-    declared = sc.table_fields(sc.script_fields(_loads(spark, sf_dir)))
+    declared = sc.table_fields(_tables(spark, sf_dir))
     extra = F.array(
         F.struct(filled("{p_name}").alias("table"), filled("Extra {p_size}").alias("column"), F.lit("connected").alias("status")),
         F.struct(F.lit("Live").alias("table"), F.lit("late").alias("column"), F.lit("schema-only").alias("status")),
