@@ -82,7 +82,7 @@ def part_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_expressions(spark: SparkSession, sf_dir: str, templates: list[str]) -> DataFrame:
     """(app, pos, expression): chart expressions that name the values of every part."""
     each = F.posexplode(F.array(*[filled(t) for t in templates])).alias("pos", "expression")
-    return read(spark, sf_dir, "part").select(filled("app{p_partkey}").alias("app"), each)
+    return spread(read(spark, sf_dir, "part")).select(filled("app{p_partkey}").alias("app"), each)
 
 
 _KPI = """{"qProperty":{"qInfo":{"qId":"k{o_orderkey}","qType":"{shape}"},"title":"Total {o_orderpriority}","visualization":"big",

@@ -15,7 +15,7 @@ PART_APP = "(SELECT *, 'app' || p_partkey AS app FROM part)"
 
 
 def _part(spark, sf_dir):
-    return read(spark, sf_dir, "part").withColumn("app", filled("app{p_partkey}"))
+    return spread(read(spark, sf_dir, "part")).withColumn("app", filled("app{p_partkey}"))
 
 
 def _sql_match(column: str, pattern: str) -> str:
