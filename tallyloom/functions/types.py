@@ -17,7 +17,8 @@ STRING, INT64, DOUBLE, DATETIME, BOOLEAN = "string", "int64", "double", "dateTim
 # A cast that fails is many times slower than one that works, so text that plainly is no number
 # never gets to the cast. The patterns let through all that a cast can read.
 _WHOLE_NUMBER = r"^[\x00-\x20]*[+-]?[0-9]{1,19}[\x00-\x20]*$"
-_MAY_BE_NUMBER = r"(?i)^[\x00-\x20]*[+-]?(?:[0-9]|\.[0-9]|inf|nan)"
+_NUMBER_START = r"^[\x00-\x20+\-.0-9inIN]"
+_NUMBER_LIKE = r"(?i)^[\x00-\x20]*[+-]?(?:[0-9]|\.[0-9]|inf|nan)"
 _TRUTHS = ("t", "true", "y", "yes", "1", "f", "false", "n", "no", "0")
 
 SPARK_TYPES: dict[str, T.DataType] = {
@@ -53,6 +54,12 @@ def measurable_names(schema: T.StructType) -> list[str]:
     return [n for n in numbers if not re.search(fixed.KEY_LIKE_NAME, n, re.IGNORECASE)]
 
 
+def number_or_null(text: Column) -> Column:
+    """The text as a number; the first letter alone rules out most texts, however long."""
+    may_be = F.substring(text, 1, 1).rlike(_NUMBER_START) & text.rlike(_NUMBER_LIKE)
+    return F.when(may_be, text.try_cast("double"))
+
+
 def typed(
     value: Column,
     type_name: str,
@@ -67,7 +74,7 @@ def typed(
     text = value.cast("string")
     if type_name == STRING:
         return text
-    number = F.when(text.rlike(_MAY_BE_NUMBER), text.try_cast("double"))
+    number = number_or_null(text)
     if type_name == DOUBLE:
         return number
     if type_name == INT64:

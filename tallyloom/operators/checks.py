@@ -39,18 +39,19 @@ def schema_diff(declared: DataFrame, emitted: DataFrame) -> DataFrame:
     """(app, table, column, problem): columns that only one side has.
 
     Both sides have (app, table, column); ``emitted`` also has ``status``, and of a schema-only
-    table only the missing columns count. One shuffle for both directions.
+    table only the missing columns count. One shuffle, of flags, serves both directions.
     """
-    sides = declared.select("app", "table", "column", F.lit(True).alias("in_declared"), F.lit(None).cast("string").alias("status"))
-    others = emitted.select("app", "table", "column", F.lit(False).alias("in_declared"), "status")
+    no = F.lit(False)
+    counts = (F.col("status") != "schema-only").alias("counts")
+    sides = declared.select("app", "table", "column", F.lit(True).alias("declared"), no.alias("emitted"), no.alias("counts"))
+    others = emitted.select("app", "table", "column", no.alias("declared"), F.lit(True).alias("emitted"), counts)
     met = sides.unionByName(others).groupBy("app", "table", "column").agg(
-        F.bool_or("in_declared").alias("is_declared"), F.bool_and("in_declared").alias("only_declared"),
-        F.max("status").alias("status"),
+        *[F.bool_or(flag).alias(flag) for flag in ("declared", "emitted", "counts")]
     )
-    extra = ~F.col("is_declared") & (F.col("status") != "schema-only")
-    return met.where(F.col("only_declared") | extra).select(
+    missing = F.col("declared") & ~F.col("emitted")
+    return met.where(missing | (~F.col("declared") & F.col("counts"))).select(
         "app", "table", "column",
-        F.when(F.col("only_declared"), "declared but not emitted").otherwise("emitted but not declared").alias("problem"),
+        F.when(missing, "declared but not emitted").otherwise("emitted but not declared").alias("problem"),
     )
 
 
@@ -70,19 +71,23 @@ def check_measure_refs(measures: DataFrame, columns: DataFrame, tables: DataFram
     ``columns`` has (app, table, column), ``tables`` (app, table). An unknown table is reported
     before an unknown column.
     """
-    return _dangling(measure_references(measures), columns, tables).select(
+    refs = measure_references(measures)
+    have = columns.select("app", F.col("table").alias("ref_table"), F.col("column").alias("ref_column"))
+    missing = refs.join(have, ["app", "ref_table", "ref_column"], "left_anti")
+    named = tables.select("app", F.col("table").alias("ref_table"))
+    return _with_problem(missing, named, ["app", "ref_table"], F.lit("unknown column")).select(
         "app", "table", "measure", "ref_table", "ref_column", "problem"
     )
 
 
-def _dangling(refs: DataFrame, columns: DataFrame, tables: DataFrame) -> DataFrame:
-    """References without a target, with the reason; each side of a join is distinct first."""
-    have = columns.select("app", F.col("table").alias("ref_table"), F.col("column").alias("ref_column")).distinct()
-    missing = refs.join(have, ["app", "ref_table", "ref_column"], "left_anti")
-    named = tables.select("app", F.col("table").alias("ref_table")).distinct().withColumn("known", F.lit(True))
-    return missing.join(named, ["app", "ref_table"], "left").withColumn(
-        "problem", F.when(F.col("known"), "unknown column").otherwise("unknown table")
-    )
+def _with_problem(missing: DataFrame, tables: DataFrame, keys: list[str], otherwise: Column) -> DataFrame:
+    """Dangling references with their reason.
+
+    Semi and anti joins need no distinct right side, so the optimiser finds plain shuffles on
+    both sides and can split a reference that most rows share.
+    """
+    unknown = missing.join(tables, keys, "left_anti").withColumn("problem", F.lit("unknown table"))
+    return unknown.unionByName(missing.join(tables, keys, "left_semi").withColumn("problem", otherwise))
 
 
 def check_visual_refs(visuals: DataFrame, columns: DataFrame, measures: DataFrame, tables: DataFrame) -> DataFrame:
@@ -91,18 +96,15 @@ def check_visual_refs(visuals: DataFrame, columns: DataFrame, measures: DataFram
     ``visuals`` has (app, visual, kind, entity, property); ``Column`` and ``Measure`` are
     looked up in pools of their own.
     """
-    pool = (
-        columns.select("app", F.lit("Column").alias("kind"), F.col("table").alias("entity"), F.col("column").alias("property"))
-        .unionByName(
-            measures.select("app", F.lit("Measure").alias("kind"), F.col("table").alias("entity"), F.col("measure").alias("property"))
-        )
-        .distinct()
+    entity = F.col("table").alias("entity")
+    pool = columns.select("app", F.lit("Column").alias("kind"), entity, F.col("column").alias("property")).unionByName(
+        measures.select("app", F.lit("Measure").alias("kind"), entity, F.col("measure").alias("property"))
     )
     missing = visuals.join(pool, ["app", "kind", "entity", "property"], "left_anti")
-    named = tables.select("app", F.col("table").alias("entity")).distinct().withColumn("known", F.lit(True))
-    return missing.join(named, ["app", "entity"], "left").select(
-        "app", "visual", "kind", "entity", "property",
-        F.when(F.col("known"), F.concat(F.lit("no such "), F.lower("kind"))).otherwise("unknown table").alias("problem"),
+    named = tables.select("app", entity)
+    absent = F.concat(F.lit("no such "), F.lower("kind"))
+    return _with_problem(missing, named, ["app", "entity"], absent).select(
+        "app", "visual", "kind", "entity", "property", "problem"
     )
 
 

@@ -9,11 +9,13 @@ from pyspark.sql import types as T
 from tallyloom.functions import fixed
 from tallyloom.functions.columns import field
 from tallyloom.functions.names import looks_personal
+from tallyloom.functions.types import number_or_null
 
 _WIDTHS = {
     T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8, T.FloatType: 4, T.DoubleType: 8,
     T.BooleanType: 1, T.DateType: 4, T.TimestampType: 8, T.TimestampNTZType: 8,
 }
+DIGEST_BYTES = 64
 _SLOTS = {"l": "bigint", "d": "double", "s": "string"}
 
 
@@ -50,28 +52,34 @@ def profile_fields(df: DataFrame, table: str) -> DataFrame:
     Columns become rows (field, value), each value in a slot of its own type, and equal values
     shrink to one row before they are counted. That costs one scan and one shuffle for any
     number of columns, and a value that fills most of a column is combined before the shuffle.
+    A long text stands for itself by its SHA-256 digest, so whole texts are read but never shuffled.
     """
-    entries = [
-        F.struct(
-            F.lit(i).alias("i"),
-            *[(_as_slot(c) if _slot(c) == s else F.lit(None)).cast(t).alias(s) for s, t in _SLOTS.items()],
-        )
-        for i, c in enumerate(df.schema)
-    ]
+    entries = []
+    for i, c in enumerate(df.schema):
+        slot = _slot(c)
+        slots = [(_as_slot(c) if slot == s else F.lit(None)).cast(t).alias(s) for s, t in _SLOTS.items()]
+        entries.append(F.struct(F.lit(i).alias("i"), *slots))
     cells = df.select(F.inline(F.array(*entries)))
-    held = F.coalesce(F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull(), F.lit(False))
-    values = cells.groupBy("i", *_SLOTS).agg(F.count(F.lit(1)).alias("n"))
-    number = F.col("s").try_cast("double")
-    integral = F.when(F.col("d").isNotNull(), F.col("d") == F.floor("d")).otherwise(
-        F.when(F.col("s").isNotNull(), F.coalesce(number == F.floor(number), F.lit(False))).otherwise(F.lit(True))
+    text = F.col("s")
+    size = F.octet_length(text)
+    number = number_or_null(text)
+    whole = F.coalesce(F.coalesce(F.col("d"), number) == F.floor(F.coalesce(F.col("d"), number)), F.col("l").isNotNull())
+    values = cells.select(
+        "i", "l", "d",
+        F.when(size > DIGEST_BYTES, F.sha2(text, 256)).otherwise(text).alias("s"),
+        F.coalesce(size > DIGEST_BYTES, F.lit(False)).alias("long"),
+        F.coalesce(size, F.lit(0)).cast("bigint").alias("bytes"),
+        (text.isNull() | number.isNotNull()).alias("reads_as_number"),
+        whole.alias("integral"),
+        F.coalesce(size == F.length(text), F.lit(True)).alias("ascii"),
+    ).where(F.coalesce(F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull(), F.lit(False)))
+    flags = ("reads_as_number", "integral", "ascii")
+    distinct = values.groupBy("i", "l", "d", "s", "long").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), *[F.bool_and(f).alias(f) for f in flags]
     )
-    sums = values.where(held).groupBy("i").agg(
-        F.count(F.lit(1)).alias("cardinality"),
-        F.sum("n").alias("total_count"),
-        F.coalesce(F.sum(F.col("n") * F.octet_length("s")), F.lit(0)).alias("text_bytes"),
-        F.bool_and(F.col("s").isNull() | number.isNotNull()).alias("reads_as_number"),
-        F.bool_and(integral).alias("integral"),
-        F.bool_and(F.col("s").isNull() | (F.octet_length("s") == F.length("s"))).alias("ascii"),
+    sums = distinct.groupBy("i").agg(
+        F.count(F.lit(1)).alias("cardinality"), F.sum("n").alias("total_count"), F.sum("bytes").alias("text_bytes"),
+        *[F.bool_and(f).alias(f) for f in flags],
     )
     named = _columns_table(df)
     numeric_text = (F.col("slot") == "s") & F.coalesce("reads_as_number", F.lit(False))

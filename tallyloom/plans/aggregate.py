@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tallyloom.functions.columns import field
 from tallyloom.functions.measures import MEDIAN, Measure
 
-# Above this estimate of the scanned bytes, the values of one group may outgrow a task.
-BUILTIN_MEDIAN_BYTES = 2 << 30
+# Up to this estimate of the scanned bytes, one task could hold all values even if all rows
+# fell into one group.
+BUILTIN_MEDIAN_BYTES = 32 << 20
+SUB_BUCKETS = 4096
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -82,8 +84,9 @@ def exact_median(df: DataFrame, dims: list[str], value: str, name: str = "median
     """The exact median per group when one group may hold most of a very large table.
 
     Rows first shrink to counts per value. Coarse, order-keeping buckets of those counts show
-    in which bucket the middle lies, and only the values of that bucket are put in order, so
-    no task ever sees a whole group.
+    in which bucket the middle lies; that bucket alone is cut again, evenly between its own
+    ends; and only the values of the part that holds the middle are put in order. No task ever
+    sees a whole group, even if most of its values lie close together.
     """
     keys = [field(d) for d in dims]
     x = field(value).cast("double")
@@ -93,37 +96,48 @@ def exact_median(df: DataFrame, dims: list[str], value: str, name: str = "median
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_bucket", _bucket(F.col("_x")))
     )
-    buckets = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_n"))
-    by_bucket = _partition(keys).orderBy("_bucket")
-    middle = (
-        buckets.select(
-            *keys,
-            "_bucket",
-            (F.sum("_n").over(by_bucket) - F.col("_n")).alias("_before"),
-            F.sum("_n").over(by_bucket).alias("_upto"),
-            F.sum("_n").over(_partition(keys)).alias("_all"),
-        )
-        .withColumn("_low", F.expr("(_all + 1) div 2"))
-        .withColumn("_high", F.expr("_all div 2 + 1"))
-        .where((F.col("_before") < F.col("_high")) & (F.col("_upto") >= F.col("_low")))
-        .drop("_upto", "_all")
+    buckets = counts.groupBy(*keys, "_bucket").agg(
+        F.sum("_n").alias("_n"), F.min("_x").alias("_first"), F.max("_x").alias("_last")
     )
-    near = [F.col(f"c.{_quoted(d)}") for d in dims]
-    matched = same_keys("c", "m", [*dims, "_bucket"])
-    within = _partition([*keys, F.col("_bucket")]).orderBy("_x")
-    ranked = (
-        counts.alias("c")
-        .join(middle.alias("m"), matched, "inner")
-        .select(*near, "c._bucket", "_x", "_n", "_before", "_low", "_high")
-        .withColumn("_upto", F.col("_before") + F.sum("_n").over(within))
-        .withColumn("_from", F.col("_upto") - F.col("_n"))
+    everything = F.sum("_n").over(_partition(keys))
+    totals = buckets.withColumns({"_before": F.lit(0), "_all": everything}).withColumns(
+        {"_low": F.expr("(_all + 1) div 2"), "_high": F.expr("_all div 2 + 1")}
     )
-    low = F.max(F.when((F.col("_from") < F.col("_low")) & (F.col("_upto") >= F.col("_low")), F.col("_x")))
-    high = F.max(F.when((F.col("_from") < F.col("_high")) & (F.col("_upto") >= F.col("_high")), F.col("_x")))
+    middle = _holding_middle(totals, keys, "_bucket").drop("_n", "_all")
+    near = _matching(counts, middle, [*dims, "_bucket"]).withColumn("_part", _part())
+    place = [*keys, F.col("_bucket")]
+    parts = near.groupBy(*place, "_part", "_before", "_low", "_high").agg(F.sum("_n").alias("_n"))
+    inner = _holding_middle(parts, place, "_part").drop("_n", "_low", "_high")
+    last = _matching(near.drop("_before"), inner, [*dims, "_bucket", "_part"])
+    ranked = _holding_middle(last, [*place, F.col("_part")], "_x")
+    upto = F.col("_before") + F.col("_n")
+    low = F.max(F.when((F.col("_before") < F.col("_low")) & (upto >= F.col("_low")), F.col("_x")))
+    high = F.max(F.when((F.col("_before") < F.col("_high")) & (upto >= F.col("_high")), F.col("_x")))
     answer = ((low + high) / 2).alias(name)
     return ranked.groupBy(*keys).agg(answer) if dims else ranked.agg(answer)
 
 
+def _holding_middle(rows: DataFrame, keys: list[Column], order: str) -> DataFrame:
+    """The rows whose counts reach a middle position; ``_before`` becomes the count of all rows before."""
+    upto = F.sum("_n").over(_partition(keys).orderBy(order))
+    placed = rows.withColumn("_before", F.col("_before") + upto - F.col("_n"))
+    return placed.where(
+        (F.col("_before") < F.col("_high")) & (F.col("_before") + F.col("_n") >= F.col("_low"))
+    )
+
+
+def _matching(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` that ``few`` names, with what ``few`` knows of them."""
+    added = [F.col(f"few.{c}") for c in few.columns if c not in keys]
+    return rows.alias("rows").join(few.alias("few"), same_keys("rows", "few", keys)).select("rows.*", *added)
+
+
+def _part() -> Column:
+    """One of the even parts between the ends of a value's bucket, in the order of the values."""
+    share = (F.col("_x") - F.col("_first")) / (F.col("_last") - F.col("_first"))
+    return F.when(F.col("_first") == F.col("_last"), F.lit(0)).otherwise(F.floor(share * SUB_BUCKETS).cast("int"))
+
+
 def _partition(keys):
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
 

@@ -290,16 +290,14 @@ def _field_names(spark, sf_dir):
     ),
 )
 def _schema_diff(spark, sf_dir):
-    declared = sc.table_fields(_tables(spark, sf_dir))
-    extra = F.array(
-        F.struct(filled("{p_name}").alias("table"), filled("Extra {p_size}").alias("column"), F.lit("connected").alias("status")),
-        F.struct(F.lit("Live").alias("table"), F.lit("late").alias("column"), F.lit("schema-only").alias("status")),
-    )
-    part = read(spark, sf_dir, "part").select(filled("app{p_partkey}").alias("app"), F.inline(extra))
-    emitted = declared.where(~F.col("is_derived")).select(
-        "app", "table", F.col("field").alias("column"), F.lit("connected").alias("status")
+    declared = sc.table_fields(_tables(spark, sf_dir)).withColumnRenamed("field", "column")
+    held = [(t, f, "connected") for _, t, _, f, _, derived, _ in MERGED if not derived]
+    held += [("{p_name}", "Extra {p_size}", "connected"), ("Live", "late", "schema-only")]
+    rows = F.array(
+        *[F.struct(filled(t).alias("table"), filled(c).alias("column"), F.lit(status).alias("status")) for t, c, status in held]
     )
-    return checks.schema_diff(declared.withColumnRenamed("field", "column"), emitted.unionByName(part))
+    emitted = read(spark, sf_dir, "part").select(filled("app{p_partkey}").alias("app"), F.inline(rows))
+    return checks.schema_diff(declared, emitted)
 
 
 # --- expressions ------------------------------------------------------------------
