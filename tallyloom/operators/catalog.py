@@ -97,8 +97,14 @@ def _only(objects: DataFrame, kind: str) -> DataFrame:
     return objects.where(F.col("text").contains(f'"{_KEYS[kind]}"')).where(object_kind(F.col("text")) == kind)
 
 
+def _once(text: str, schema: str) -> Column:
+    """The object in a text column, parsed once: what a generator yields is not computed again
+    for every field that is read from it."""
+    return F.explode(F.array(F.from_json(text, schema)))
+
+
 def _of_kind(objects: DataFrame, kind: str, schema: str) -> DataFrame:
-    return _only(objects, kind).select("app", "offset", F.from_json("text", schema).alias("o"))
+    return _only(objects, kind).select("app", "offset", _once("text", schema).alias("o"))
 
 
 def catalog_scripts(objects: DataFrame) -> DataFrame:
@@ -141,7 +147,7 @@ def _chart_nodes(objects: DataFrame) -> DataFrame:
     return nodes.select(
         "app", "sheet", "pos", F.col("node.nested").alias("nested"),
         F.when(F.col("node.nested") > 0, F.coalesce("outer", F.lit(""))).otherwise("").alias("parent"),
-        F.from_json("node.text", _CHART).alias("c"),
+        _once("node.text", _CHART).alias("c"),
     )
 
 

@@ -27,8 +27,12 @@ def _slot(column: T.StructField) -> str:
 
 def _as_slot(column: T.StructField) -> Column:
     value, kind = field(column.name), column.dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(value.cast("timestamp_ltz"))
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value)
+    if isinstance(kind, T.TimestampNTZType):
+        # by the clock's parts: a detour over a time zone would merge hours where clocks change
+        minutes = F.unix_date(value.cast("date")).cast("bigint") * 1440 + F.hour(value) * 60 + F.minute(value)
+        return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), value) * 1_000_000).cast("bigint")
     if isinstance(kind, T.DateType):
         return F.unix_date(value).cast("bigint")
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):

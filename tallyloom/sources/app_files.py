@@ -74,16 +74,25 @@ def _magic_offsets(data: bytes) -> list[int]:
 
 
 def _inflate_at(data: bytes, offset: int, limit: int | None) -> bytes | None:
-    end = len(data) if limit is None else offset + limit
-    rest = memoryview(data)[offset:end]
+    end = len(data) if limit is None else min(len(data), offset + limit)
     for bits in fixed.INFLATE_WINDOW_BITS:
         try:
-            return zlib.decompressobj(bits).decompress(rest)
+            return b"".join(_pieces(memoryview(data), offset, end, zlib.decompressobj(bits)))
         except zlib.error:
             continue
     return None
 
 
+def _pieces(data: memoryview, start: int, end: int, stream) -> Iterator[bytes]:
+    """The plain bytes of one stream. Fed piece by piece, because the decoder copies all input
+    that follows a stream, which for a large file would be most of it, again and again."""
+    step = 1 << 12
+    while start < end and not stream.eof:
+        yield stream.decompress(data[start : min(start + step, end)])
+        start += step
+        step = min(step * 2, 1 << 20)
+
+
 def _text(plain: bytes) -> str | None:
     try:
         return plain.decode("utf-8").rstrip("\x00")
