@@ -85,6 +85,7 @@ NOT_A_FIELD_NAME = ("resident", "drop", "load", "where", "left join", "distinct"
 ZLIB_MAGICS = (b"\x78\x9c", b"\x78\x01", b"\x78\xda")
 INFLATE_WINDOW_BITS = (15, -15, 31)
 FRAMING_BYTES = b"\x01\x00\x00\x00"
+APP_FILE_SUFFIX = "qvf"
 HEADER_KEY = "QVFFileVersion"
 BASE64_KEY = "SecurityMetaAsBase64"
 

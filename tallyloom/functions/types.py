@@ -108,6 +108,11 @@ class TypeBook:
                 self._evidence[name] = (tags, bool(entry.get("is_numeric")))
         self.add_tags(script_tags or {})
 
+    def copy(self) -> TypeBook:
+        same = TypeBook()
+        same._evidence = dict(self._evidence)
+        return same
+
     def add_tags(self, tags_by_field: dict[str, Iterable[str]]) -> None:
         """Tags written in a script join those of the data model."""
         for name, tags in tags_by_field.items():

@@ -20,7 +20,7 @@ FLUSH_CHARS = 32_000_000
 BLOBS = "offset bigint, n_bytes bigint, text string"
 
 
-def read_app_files(spark: SparkSession, path: str, suffix: str = "qvf") -> DataFrame:
+def read_app_files(spark: SparkSession, path: str, suffix: str = fixed.APP_FILE_SUFFIX) -> DataFrame:
     """App files below a folder: path and content, one row per file."""
     return (
         spark.read.format("binaryFile")

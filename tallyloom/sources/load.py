@@ -46,7 +46,7 @@ def load_table(
     spark: SparkSession, spec: LoadSpec, types: TypeBook | None = None, root: str = ""
 ) -> tuple[DataFrame, LoadStatus]:
     """Read one load. An unreadable source gives its schema, no rows and the reason."""
-    types = _with_tags(types or TypeBook(), spec)
+    types = _with_tags(types, [spec])
     kind = spec.source.resolved_kind()
     raw = _read(spark, spec, kind, root, types)
     if raw is None:
@@ -63,9 +63,12 @@ def load_table(
     )
 
 
-def _with_tags(types: TypeBook, spec: LoadSpec) -> TypeBook:
-    types.add_tags({f.name: f.tags for f in spec.fields if f.tags})
-    return types
+def _with_tags(types: TypeBook | None, specs: list[LoadSpec]) -> TypeBook:
+    """The evidence with the tags of the loads added; the book that was given stays as it is."""
+    known = types.copy() if types else TypeBook()
+    for spec in specs:
+        known.add_tags({f.name: f.tags for f in spec.fields if f.tags})
+    return known
 
 
 def _read(spark: SparkSession, spec: LoadSpec, kind: str, root: str, types: TypeBook) -> DataFrame | None:
@@ -238,7 +241,9 @@ def load_all(
     """Every load of an app, in order; tables are views for later resident loads.
 
     Mapping tables and ``__`` helper tables can be read by later loads but are not returned.
+    Tags count for every field of that name, whichever load has them.
     """
+    types = _with_tags(types, specs)
     tables: dict[str, tuple[str, DataFrame]] = {}
     hidden, statuses = set(), []
     for spec in specs:

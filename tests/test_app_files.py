@@ -5,6 +5,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
+from tallyloom.functions import fixed
 from tallyloom.operators import catalog as cat
 from tallyloom.sources.app_files import base64_objects, headers, inflate, read_app_files
 from tallyloom.sources.catalogue import read_catalogue, write_objects
@@ -51,25 +52,32 @@ def test_large_streams_are_read_whole_unless_told_otherwise(spark):
 
 def test_header_inside_framing(spark):
     frame = b"\x01\x00\x00\x00"
-    good = b"\xff\xfe{\"other\":1}{\"QVFFile" + frame + b"Version\":\"2\",\"name\":\"\xc3\xa9\"}rest"
-    rows = headers(files(spark, good, b"none", b'{"QVFFileVersion": oops}'), "app").collect()
+    key = fixed.HEADER_KEY.encode()
+    good = b'\xff\xfe{"other":1}{"' + key[:5] + frame + key[5:] + b'":"2","name":"\xc3\xa9"}rest'
+    rows = headers(files(spark, good, b"none", b'{"' + key + b'": oops}'), "app").collect()
     assert [(r["app"], r["version"], json.loads(r["header"])["name"]) for r in rows] == [("a0", "2", "é")]
 
 
 def test_base64_objects_skip_what_cannot_be_read(spark):
     def coded(text):
-        return b'"SecurityMetaAsBase64":"' + base64.b64encode(text) + b'",'
+        return stored(base64.b64encode(text))
 
-    content = coded(b'{"user":"first one"}\x00') + coded(b"certainly no json at all") + coded(b'{"a":1}') + b'"SecurityMetaAsBase64":"' + b"A" * 21 + b'"' + coded('{"user":"zweiter ü"}'.encode())
+    def stored(letters):
+        return b'"' + fixed.BASE64_KEY.encode() + b'":"' + letters + b'",'
+
+    content = b"".join(
+        [coded(b'{"user":"first one"}\x00'), coded(b"certainly no json at all"), coded(b'{"a":1}'), stored(b"A" * 21),
+         coded('{"user":"zweiter ü"}'.encode())]
+    )
     rows = base64_objects(files(spark, b"\x01\x00\x00\x00" + content), "app").orderBy("pos").collect()
     assert [json.loads(r["object"])["user"] for r in rows] == ["first one", "zweiter ü"]
 
 
 def test_files_are_found_by_suffix(spark, tmp_path):
     (tmp_path / "sub").mkdir()
-    (tmp_path / "sub" / "one.qvf").write_bytes(b"x")
+    (tmp_path / "sub" / f"one.{fixed.APP_FILE_SUFFIX}").write_bytes(b"x")
     (tmp_path / "two.txt").write_bytes(b"y")
-    assert [r["path"].rsplit("/", 1)[-1] for r in read_app_files(spark, str(tmp_path)).collect()] == ["one.qvf"]
+    assert [r["path"].rsplit("/", 1)[-1] for r in read_app_files(spark, str(tmp_path)).collect()] == [f"one.{fixed.APP_FILE_SUFFIX}"]
 
 
 def objects(spark, *texts):
@@ -107,6 +115,6 @@ def test_sheet_without_charts(spark):
 
 def test_catalogue_file_over_many_lines(spark, tmp_path):
     record = {"app": {"name": "x"}, "data_model": {"tables": [{"name": "T", "rows": 3}]}, "variables": [], "unknown": 1}
-    (tmp_path / "extraction_result.json").write_text(json.dumps(record, indent=2))
+    (tmp_path / "catalogue.json").write_text(json.dumps(record, indent=2))
     row = read_catalogue(spark, str(tmp_path)).select("app.name", F.col("data_model.tables")[0]["rows"].alias("n")).first()
     assert tuple(row) == ("x", 3)

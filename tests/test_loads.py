@@ -123,6 +123,17 @@ def test_later_loads_read_earlier_tables(spark):
     assert len(statuses) == 4
 
 
+def test_tags_of_one_load_type_the_fields_of_another(spark):
+    specs = [
+        LoadSpec("A", Source("inline", text="k\n1"), (Field("k"),)),
+        LoadSpec("B", Source("inline", text="K\n2"), (Field("K", tags=("$integer",)),)),
+    ]
+    types = TypeBook()
+    tables, _ = load_all(spark, specs, types)
+    assert [t.dtypes[0][1] for t in tables.values()] == ["bigint", "bigint"]
+    assert types.type_of("k") == "string"
+
+
 def test_paths_below_the_root():
     assert join_root("/data/", "lib://Files\\2024\\a.csv") == "/data/2024/a.csv"
     assert join_root("/data", "/x/a.csv") == "/data/x/a.csv"

@@ -88,6 +88,11 @@ def test_hidden_blanks_and_case(sales):
     assert {k.lower(): v for k, v in folded.items()} == {"x": 4, "y": 1}
 
 
+def test_sorted_category(sales):
+    out = visuals.category(sales, "g", M.total("n"), order_by=[F.col("`N Sum`").desc()])
+    assert [r[0] for r in out.collect()] == ["b", None, "a"]
+
+
 def test_resolve_field():
     columns = ["Region", "SALES"]
     assert visuals.resolve_field(columns, "[sales]") == "SALES"

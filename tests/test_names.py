@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.functions import names
+from tallyloom.functions import fixed, names
 from tallyloom.functions.types import TypeBook, resolve_type, typed
 from tallyloom.operators.preview import synthetic_value
 
@@ -51,7 +51,7 @@ def test_measure_names_avoid_columns(spark):
 
 @pytest.mark.parametrize(
     "name, safe",
-    [(" Sales 2024 ", "Sales_2024"), ("1st", "T_1st"), ("__a__", "a"), ("é", "QlikTable"), ("", "QlikTable"), (None, "QlikTable")],
+    [(" Sales 2024 ", "Sales_2024"), ("1st", "T_1st"), ("__a__", "a"), ("é", fixed.DEFAULT_TABLE_NAME), ("", fixed.DEFAULT_TABLE_NAME), (None, fixed.DEFAULT_TABLE_NAME)],
 )
 def test_safe_table_name(spark, name, safe):
     assert one(spark, names.safe_table_name(F.lit(name).cast("string"))) == safe

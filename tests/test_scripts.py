@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.operators import scripts as sc
 
@@ -138,6 +139,12 @@ def test_plain_field_names(spark):
     assert [r["field"] for r in got] == ["a", "d"]
 
 
+def test_plain_field_names_give_way_to_metadata(spark):
+    known = [("a0", "LOAD x\nFROM t;", ["abc", "def", "ghi", "jkl"]), ("a1", "LOAD y\nFROM t;", ["abc", "de"])]
+    df = spark.createDataFrame(known, "app string, script string, known array<string>")
+    assert [(r["app"], r["field"]) for r in sc.script_field_names(df, F.col("known")).collect()] == [("a1", "y")]
+
+
 def test_no_shuffle_from_script_to_tables(spark):
     plan = sc.audit_tables(sc.parse_tables(corpus(spark, "T: LOAD a FROM b.csv")))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan

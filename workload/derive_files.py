@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions import fixed
 from workload.derive import read, spread
 
 _CONTENT_TYPES = (
@@ -100,11 +101,11 @@ def document_app_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def app_file(doc_id: int, lang: str, source: str, text: str) -> bytes:
     frame = b"\x01\x00\x00\x00"
-    header = f'{{"QVFFileVersion":"1.{doc_id}",'.encode() + frame + f'"buildno":"{lang}"}}'.encode()
+    header = f'{{"{fixed.HEADER_KEY}":"1.{doc_id}",'.encode() + frame + f'"buildno":"{lang}"}}'.encode()
     script = zlib.compress(json.dumps({"qScript": text}).encode() + b"\x00", (1, 6, 9)[len(text) % 3])
     sheet = zlib.compress(json.dumps({"qMetaData": {"qType": "sheet"}, "qRoot": {}}).encode())
     hidden = base64.b64encode(json.dumps({"source": source, "text": text}).encode()).decode()
-    coded = f'{{"SecurityMetaAsBase64":"{hidden}"}}'.encode()
+    coded = f'{{"{fixed.BASE64_KEY}":"{hidden}"}}'.encode()
     binary = zlib.compress(b"\xff\xfe\xfd" * 20)
     return b"\x00\x02".join([header, script, binary, coded, sheet, b"\x78\x9c broken"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions import measures as M
-from tallyloom.functions.types import TypeBook, typed
+from tallyloom.functions.types import TypeBook, is_measurable, resolve_type, typed
 from tallyloom.operators import checks, preview, profile
 from tallyloom.session import scratch_path
 from tallyloom.sources.load import concatenate, inline_body, load_all, load_table, select_or_null
@@ -292,6 +292,18 @@ def _profile_fields(spark, sf_dir):
     return both[0].unionByName(both[1]).withColumn("tags", F.array_join("tags", ","))
 
 
+@query(
+    "measurable_not_unique",
+    """SELECT 'o_custkey' AS field WHERE (SELECT count(DISTINCT o_custkey) < count(*) FROM orders)
+       UNION ALL SELECT 'o_totalprice' WHERE (SELECT count(DISTINCT o_totalprice) < count(*) FROM orders)
+       UNION ALL SELECT 'o_orderkey' WHERE (SELECT count(DISTINCT o_orderkey) < count(*) FROM orders)""",
+)
+def _not_unique(spark, sf_dir):
+    fields = profile.profile_fields(read(spark, sf_dir, "orders"), "orders")
+    kind = resolve_type(F.col("tags"), F.col("is_numeric"))
+    return profile.measurable_without_keys(fields, is_measurable(kind, F.col("field"))).select("field")
+
+
 @query(
     "profile_tables",
     """SELECT 'orders' AS "table", count(*) AS "rows", 3 AS fields, 2 AS key_fields,

@@ -24,9 +24,12 @@ def _sql_match(column: str, pattern: str) -> str:
 
 @query(
     "safe_names",
-    r"""SELECT page_id AS id, name, CASE WHEN clean = '' THEN 'QlikTable' WHEN regexp_matches(clean, '^[0-9]') THEN 'T_' || clean ELSE clean END AS safe
+    r"""SELECT page_id AS id, name,
+          CASE WHEN clean = '' THEN '{default}' WHEN regexp_matches(clean, '^[0-9]') THEN 'T_' || clean ELSE clean END AS safe
         FROM (SELECT page_id, name, trim(regexp_replace(regexp_replace(name, '^\s+|\s+$', '', 'g'), '[^A-Za-z0-9_]', '_', 'g'), '_') AS clean
-              FROM (SELECT page_id, unnest([url, ' ' || page_id || '/' || url, '__' || url || '?!', '#' || repeat('?', CAST(page_id % 3 AS INTEGER))]) AS name FROM pages))""",
+              FROM (SELECT page_id, unnest([url, ' ' || page_id || '/' || url, '__' || url || '?!', '#' || repeat('?', CAST(page_id % 3 AS INTEGER))]) AS name FROM pages))""".replace(
+        "{default}", fixed.DEFAULT_TABLE_NAME
+    ),
 )
 def _safe(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
