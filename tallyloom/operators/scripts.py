@@ -269,7 +269,7 @@ def _row(text: Column, pos: Column, head: Column, body: Column, source: Column,
     listed = body["parts"]["fields"]
     # the columns of an inline block are known, so a star can be spelled out
     header = F.get(
-        inline_rows(source["inline_text"], option_value(source["options"], "delimiter", ",")), F.lit(0)
+        inline_rows(source["inline_text"], _inline_delimiter(source["options"])), F.lit(0)
     )
     star = F.array_contains(listed, "*") & (source["kind"] == "inline")
     spelled = F.when(
@@ -335,6 +335,11 @@ def option_value(options: Column, key: str, default: str) -> Column:
     return F.coalesce(F.try_element_at(given, F.lit(-1))["value"], F.lit(default))
 
 
+def _inline_delimiter(options: Column) -> Column:
+    given = option_value(options, "delimiter", ",")
+    return F.when(F.lower(given).isin("\\t", "tab"), "\t").otherwise(given)
+
+
 def options_text(options: Column) -> Column:
     return F.array_join(F.transform(options, lambda o: F.concat(o["key"], F.lit("="), o["value"])), "; ")
 

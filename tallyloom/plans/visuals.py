@@ -43,9 +43,9 @@ def slicer(df: DataFrame, column: str) -> DataFrame:
     return df.select(field(column)).distinct()
 
 
-def card(df: DataFrame, measure: Measure) -> DataFrame:
-    """One measure over all rows."""
-    return aggregate(df, [], [measure])
+def card(df: DataFrame, measure: Measure | None = None) -> DataFrame:
+    """One measure over all rows; the row count when none is named."""
+    return aggregate(df, [], [measure or M.row_count()])
 
 
 def category(

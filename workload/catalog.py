@@ -82,7 +82,7 @@ def _measures(spark, sf_dir):
 @query(
     "catalog_fields",
     f"""SELECT app, 0 AS pos, 'OrderID' AS field, o_orderpriority || ',Notes' AS source_tables, o_orderkey AS cardinality,
-        o_custkey AS total_count, true AS is_numeric, '$key,$integer' AS tags, 12 AS byte_size FROM {APPS}
+        o_custkey AS total_count, true AS is_numeric, '$key,$integer' AS tags, 12::BIGINT AS byte_size FROM {APPS}
         UNION ALL SELECT app, 1, o_orderstatus, '', 0, 0, false, '$text', 0 FROM {APPS}""",
 )
 def _fields(spark, sf_dir):
@@ -92,7 +92,7 @@ def _fields(spark, sf_dir):
 
 @query(
     "catalog_tables",
-    f"""SELECT app, 0 AS pos, o_orderpriority AS "table", o_orderkey AS "rows", 3 AS fields, 1 AS key_fields, 77 AS byte_size FROM {APPS}
+    f"""SELECT app, 0 AS pos, o_orderpriority AS "table", o_orderkey AS "rows", 3::BIGINT AS fields, 1::BIGINT AS key_fields, 77::BIGINT AS byte_size FROM {APPS}
         UNION ALL SELECT app, 2, 'Notes', 0, 0, 0, 0 FROM {APPS}""",
 )
 def _tables(spark, sf_dir):
@@ -170,7 +170,7 @@ def _visual_types(spark, sf_dir):
 
 @query(
     "app_volumetrics",
-    f"SELECT app, 2 AS pages, 4 AS visuals, kpi AS kpis FROM {APPS}",
+    f"SELECT app, 2::BIGINT AS pages, 4::BIGINT AS visuals, kpi::BIGINT AS kpis FROM {APPS}",
 )
 def _volumetrics(spark, sf_dir):
     objects = _stored(spark, sf_dir)
@@ -179,7 +179,8 @@ def _volumetrics(spark, sf_dir):
 
 @query(
     "audit_summary",
-    sql_rows(
+    "SELECT app, item, CAST(n AS BIGINT) AS n FROM ("
+    + sql_rows(
         APPS, ["item", "n"],
         [
             ("tables", 2), ("sheets", 2), ("charts", 4), ("catalogue_fields", 2), ("unresolved", 0), ("dropped", 1),
@@ -188,7 +189,8 @@ def _volumetrics(spark, sf_dir):
             ("connected", 2), ("schema_only", 0), ("columns", 4),
         ],
         {**dict.fromkeys((8, 9, 10), "suffix = 'qvd'"), **dict.fromkeys((11, 12, 13), "suffix = 'txt'")},
-    ),
+    )
+    + ")",
 )
 def _audit(spark, sf_dir):
     objects = _stored(spark, sf_dir)

@@ -12,6 +12,10 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.plans.aggregate import estimated_bytes
+
+SMALL = 64 << 20
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -64,8 +68,7 @@ DROP TABLE [{p_name}]"""
 
 def spread(df: DataFrame) -> DataFrame:
     """A small table over all cores before costly work on every row; a large one is split already."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if estimated_bytes(df) < SMALL else df
 
 
 def part_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,20 +86,20 @@ def _inline(spark, sf_dir):
     return lines.select("o_orderkey", "row", cell(0).alias("code"), cell(1).alias("label"), cell(2).alias("extra"))
 
 
-@query("scan_resident", "SELECT conv_id AS ConvID, role, CAST(NULL AS VARCHAR) AS score FROM conversations WHERE turn > 1")
+@query("scan_resident", "SELECT conv_id AS ConvID, role, CAST(NULL AS VARCHAR) AS score FROM conversations")
 def _resident(spark, sf_dir):
     read(spark, sf_dir, "conversations").createOrReplaceTempView("talks")
     fields = (
         Field("ConvID", "conv_id"), Field("role"), Field("score"),
         Field("size", expression="Len(text)", is_derived=True),
     )
-    return load_table(spark, LoadSpec("Talk", Source("resident", view="talks"), fields, where="turn > 1"))[0]
+    return load_table(spark, LoadSpec("Talk", Source("resident", view="talks"), fields))[0]
 
 
-@query("scan_parquet", "SELECT l_orderkey AS \"Order Key\", l_shipdate AS shipped, l_quantity FROM lineitem WHERE l_quantity > 45")
+@query("scan_parquet", "SELECT l_orderkey AS \"Order Key\", l_shipdate AS shipped, l_quantity FROM lineitem")
 def _parquet(spark, sf_dir):
     fields = (Field("Order Key", "L_ORDERKEY"), Field("shipped", "l_shipdate"), Field("l_quantity"))
-    spec = LoadSpec("Lines", Source(path="lib://Data\\lineitem.parquet"), fields, where="l_quantity > 45")
+    spec = LoadSpec("Lines", Source(path="lib://Data\\lineitem.parquet"), fields)
     return load_table(spark, spec, root=sf_dir)[0]
 
 

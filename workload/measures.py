@@ -96,8 +96,8 @@ query(
 )(_by("l_returnflag", "lineitem", M.filtered(M.total("l_extendedprice"), "l_linestatus", "F"), 2))
 query(
     "m_filtered_in",
-    "SELECT event_type, count(CASE WHEN user_id IN (1, 2, 3, 5, 8) THEN event_id END) AS value FROM events GROUP BY 1",
-)(_by("event_type", "events", M.filtered(M.count("event_id"), "user_id", "1", "2", "3", "5", "8")))
+    "SELECT user_id, count(CASE WHEN event_type IN ('click', 'view') THEN event_id END) AS value FROM events GROUP BY 1",
+)(_by("user_id", "events", M.filtered(M.count("event_id"), "event_type", "click", "view")))
 
 
 @query(

@@ -97,7 +97,7 @@ _NAME_FORMS = [
 
 def _name_sql(select: str) -> str:
     rows = ", ".join(sql_text(t) for t in _NAME_FORMS)
-    return f"SELECT app, pos, name, {select} FROM (SELECT app, unnest([{rows}]) AS name, unnest(range({len(_NAME_FORMS)})) AS pos FROM {PART_APP})"
+    return f"SELECT app, pos, name, {select} FROM (SELECT app, unnest([{rows}]) AS name, unnest(range({len(_NAME_FORMS)}))::INTEGER AS pos FROM {PART_APP})"
 
 
 def _named(spark, sf_dir):
@@ -269,7 +269,7 @@ def _cycle(words: tuple[str, ...]) -> str:
 
 
 _PREVIEW_SQL = f"""
-    SELECT s_suppkey, "column", i AS "row",
+    SELECT s_suppkey, "column", CAST(i AS INTEGER) AS "row",
       CASE WHEN {_sql_match('"column"', fixed.NUMERIC_NAME)} THEN
              CASE WHEN {_sql_match('"column"', 'rating|score')} THEN CAST(CAST((30 + i % 20) / 10.0 AS DECIMAL(3, 1)) AS VARCHAR)
                   ELSE CAST((i * 125 + 450) % 8500 + 150 AS VARCHAR) END
