@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import any_of, let, strip_space
 
+# --- fixed values: patterns of the script language
 SINGLE = r"'[^']*+(?:'|\z)"
 DOUBLE = r'"[^"]*+(?:"|\z)'
 BRACKET = r"\[[^\]]*+\]"
@@ -37,6 +38,7 @@ _FILTER = r"(?:WHERE|GROUP\s+BY|ORDER\s+BY|WHILE)\b"
 _BEFORE_FILTER = (
     rf"""(?is)^(?:{SINGLE}|{DOUBLE}|{BRACKET}|(?!{_FILTER})[A-Za-z_0-9]++|[^A-Za-z_0-9])*+"""
 )
+# --- end of the patterns
 EXPANSION_PASSES = 6
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 SCRIPT, SHEET, MODEL, PROPERTIES, VARIABLES = "script", "sheet", "data_model", "app_properties", "variables"
 
+# --- fixed values: keys of the stored objects
 _SHEET = (
     "qRoot struct<qProperty: struct<qInfo: struct<qId: string>, rank: double,"
     " qMetaDef: struct<title: string, description: string>>,"
@@ -39,7 +40,7 @@ _VARIABLES = (
     " qIsScriptCreated: boolean>>"
 )
 
-# One row per app, as read from catalogue files.
+# --- fixed values: one row per app, as read from catalogue files.
 CATALOGUE = (
     "app struct<name: string, path: string, size_bytes: bigint, extracted_at: string>,"
     " header map<string, string>,"

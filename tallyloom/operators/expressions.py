@@ -9,6 +9,7 @@ from tallyloom.functions import fixed
 from tallyloom.functions.columns import field, let, strip_chars, strip_space, text_map
 from tallyloom.functions.names import measure_label
 
+# --- fixed values: patterns of chart expressions
 _NAME = r"(?:\[([^\]]+)\]|([A-Za-z_][A-Za-z0-9_]*))"
 _COUNT = rf"(?i)^Count\s*\(\s*(DISTINCT\s+)?{_NAME}\s*\)$"
 _SIMPLE = rf"(?i)^({'|'.join(fixed.MEASURE_SUFFIXES)})\s*\(\s*{_NAME}\s*\)$"
@@ -18,6 +19,7 @@ _FILTERED = (
     rf"(?i)^({'|'.join(fixed.FILTERED_FUNCTIONS)})\s*\(\s*\{{\s*<\s*{_NAME}\s*=\s*\{{([^}}]*)\}}\s*>\s*\}}\s*{_NAME}\s*\)$"
 )
 _TOKEN = r"\[[^\]]+\]|[A-Za-z_][A-Za-z0-9_]*"
+# --- end of the patterns
 _COUNT_SUFFIX = "Count"
 
 

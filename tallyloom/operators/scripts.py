@@ -15,6 +15,7 @@ from tallyloom.functions.columns import first_by_case, let, strip_chars, strip_s
 from tallyloom.functions.types import STRING, resolve_type
 from tallyloom.sources.load import CONNECTED, REASONS, SCHEMA_ONLY, inline_rows
 
+# --- fixed values: patterns of the script language
 _LABEL = r'^(?!(?i:LOAD)\s)(\[[^\]]+\]|"[^"]+"|[A-Za-z_][A-Za-z0-9_ .]*)\s*:(?!//)\s*'
 _LOAD = r"(?is)^((?:(?:MAPPING|ADD|REPLACE|BUFFER|CONCATENATE(?:\s*\([^)]*\))?)\s+)*)LOAD\b(.*)$"
 _INLINE = r"(?is)^INLINE\s*\[(.*)\]\s*(?:\(([^)]*)\))?$"
@@ -27,6 +28,7 @@ _ALIAS = r"""(?is)^(.+)\bAS\b\s*(\[[^\]]*\]|"[^"]*"|'[^']*'|[^()\[\]'",]+)$"""
 _BARE = r"^[A-Za-z_][A-Za-z0-9_ .]*$"
 _NO_LOAD = r"(?i)^(?:" + "|".join(w.replace(" ", r"\s+") for w in fixed.NON_LOAD_KEYWORDS) + r")\b"
 _PLAIN_BODY = r"(?i)LOAD\s+([\s\S]+?)\s+(?:FROM|RESIDENT|;|\z)"
+# --- end of the patterns
 SUMMARY_LINES = 30
 # a query in a script runs against a connection that the app does not hold
 READABLE_KINDS = ("delimited", "excel", "resident", "inline", "parquet", "json", "xml")

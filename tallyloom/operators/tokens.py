@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import fixed
 from tallyloom.functions.columns import field, first_by_case, let, lower_all, text_array
 
+# fixed value: a token
 _RUN = r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9_]{3,29}(?![A-Za-z0-9_])"
 
 

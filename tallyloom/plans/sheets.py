@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import measures as M
@@ -30,25 +30,22 @@ def sheet(df: DataFrame, visuals: list[Visual]) -> DataFrame:
     """Rows (visual, category as text, value as double) of every visual.
 
     The data is scanned once for all measures of fixed state, whatever the number of
-    dimensions, by grouping sets. Distinct counts and medians keep state that grows, so each
-    gets its own grouped query, as does a filter on a visual's own dimension.
+    dimensions, by grouping sets. Distinct counts and medians keep state that grows, so they
+    get a grouped query per dimension, as does each filter on a visual's own dimension.
     """
     visuals = [_complete(v) for v in visuals]
     shared = [v for v in visuals if v.measure.is_single_pass and not _overrides(v)]
     parts = [_shared(df, shared)] if shared else []
+    by_dim: dict[str | None, list[Visual]] = {}
     for v in visuals:
-        if v not in shared:
-            dims = [v.dim] if v.dim else []
-            answer = filter_override if _overrides(v) else lambda d, keys, m: aggregate(d, keys, [m])
-            rows = answer(df, dims, v.measure)
-            label = field(v.dim).cast("string") if v.dim else F.lit(None).cast("string")
-            parts.append(
-                rows.select(
-                    F.lit(v.name).alias("visual"),
-                    label.alias("category"),
-                    field(v.measure.name).cast("double").alias("value"),
-                )
-            )
+        if _overrides(v):
+            parts.append(_long(filter_override(df, [v.dim], v.measure), [v], [v.measure.name]))
+        elif v not in shared:
+            by_dim.setdefault(v.dim, []).append(v)
+    for dim, together in by_dim.items():
+        slots = [f"_m{i}" for i in range(len(together))]
+        measures = [v.measure.named(slot) for v, slot in zip(together, slots)]
+        parts.append(_long(aggregate(df, [dim] if dim else [], measures), together, slots))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -64,6 +61,21 @@ def _complete(v: Visual) -> Visual:
     return v if v.measure else Visual(v.name, v.dim, M.row_count())
 
 
+def _long(rows: DataFrame, visuals: list[Visual], columns: list[str]) -> DataFrame:
+    """One output row per visual for every row of a grouped result that holds them side by side."""
+    cells = [
+        F.struct(
+            F.lit(v.name).alias("visual"), _label(v).alias("category"), field(c).cast("double").alias("value")
+        )
+        for v, c in zip(visuals, columns)
+    ]
+    return rows.select(F.inline(F.array(*cells)))
+
+
+def _label(v: Visual) -> Column:
+    return field(v.dim).cast("string") if v.dim else F.lit(None).cast("string")
+
+
 def _shared(df: DataFrame, visuals: list[Visual]) -> DataFrame:
     dims = list(dict.fromkeys(v.dim for v in visuals if v.dim))
     slots: dict[Measure, str] = {}
@@ -87,7 +99,7 @@ def _shared(df: DataFrame, visuals: list[Visual]) -> DataFrame:
             F.struct(
                 F.lit(by_set[v.dim]).alias("set"),
                 F.lit(v.name).alias("visual"),
-                (field(v.dim).cast("string") if v.dim else F.lit(None).cast("string")).alias("category"),
+                _label(v).alias("category"),
                 F.col(slots[v.measure]).alias("value"),
             )
             for v in visuals
