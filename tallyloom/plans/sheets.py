@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions import fixed
 from tallyloom.functions import measures as M
 from tallyloom.functions.columns import field
 from tallyloom.functions.measures import Measure
 from tallyloom.plans.aggregate import aggregate
-from tallyloom.plans.visuals import filter_override
+from tallyloom.plans.visuals import filter_override, resolve_field
 
 OUTPUT = ("visual", "category", "value")
 ZERO_WHEN_EMPTY = (M.ROWS, M.COUNT, M.RATIO)
@@ -129,6 +130,26 @@ def _shared(df: DataFrame, visuals: list[Visual]) -> DataFrame:
     )
 
 
+def of_charts(charts, dimensions, measures, columns: list[str]) -> list[Visual]:
+    """The visuals of one sheet from its catalogue rows, in order.
+
+    ``charts`` has (chart, type), ``dimensions`` (chart, pos, field), ``measures`` the classified
+    expressions with (chart, pos). A chart shows its first dimension and first measure; what it
+    lacks is the first column and the row count.
+    """
+    visuals = []
+    for number, chart in enumerate(charts, 1):
+        dims = sorted((d["pos"], d["field"]) for d in dimensions if d["chart"] == chart["chart"])
+        own = sorted((m for m in measures if m["chart"] == chart["chart"]), key=lambda m: m["pos"])
+        kind = fixed.VISUAL_TYPES.get(chart["type"].lower(), fixed.DEFAULT_VISUAL_TYPE)
+        measure = M.from_class(own[0]) if own else None
+        named = dims[0][1] if dims else ""
+        has_dim = kind != "card" and (named or kind != "tableEx" or not measure)
+        dim = resolve_field(columns, named) if has_dim else None
+        visuals.append(Visual(chart["chart"] or f"Visual {number}", dim, None if kind == "slicer" else measure))
+    return visuals
+
+
 def kpi_page(columns: list[str], measures: list[Measure]) -> list[Visual]:
     """The first page of the built-in template: three cards and two charts."""
     c1, c2, _ = _three(columns)

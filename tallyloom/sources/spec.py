@@ -66,6 +66,31 @@ class LoadSpec:
         return [f for f in self.fields if f not in kept]
 
 
+def spec_of(load) -> LoadSpec:
+    """The spec of one parsed load, a row of ``operators.scripts.parse_loads``.
+
+    The filter text is written in the script's own language, so it is left for the reader to
+    restate as ``where``.
+    """
+    fields = tuple(
+        Field(f["field"], _bare(f["expression"]), f["expression"], f["is_derived"], tuple(f["tags"]))
+        for f in load["fields"]
+        if f["field"] != "*"
+    )
+    options = {o["key"]: True if o["value"] == "true" else o["value"] for o in load["options"]}
+    source = Source(load["kind"], load["path"], options, load["resident"], load["inline_text"])
+    return LoadSpec(
+        load["table"], source, fields, distinct=load["is_distinct"], is_mapping=load["is_mapping"],
+        is_hidden=load["is_hidden"], concatenate_to=load["target"],
+    )
+
+
+def _bare(expression: str) -> str:
+    text = expression.strip()
+    wrapped = len(text) > 1 and (text[0], text[-1]) in (("[", "]"), ("'", "'"), ('"', '"'))
+    return text[1:-1].strip() if wrapped else text
+
+
 @dataclass(frozen=True)
 class LoadStatus:
     """How a load went: ``connected``, or ``schema-only`` with the reason."""
