@@ -32,7 +32,10 @@ def classify(expressions: DataFrame, columns: str | None = None) -> DataFrame:
     """
     known = field(columns) if columns else F.array().cast("array<string>")
     # built as an array and exploded, so that a filter on the class does not repeat the matching
-    read = let(strip_space(F.coalesce("expression", F.lit(""))), lambda text: let(_parts(text), lambda p: _named(text, p, known)))
+    read = let(
+        strip_space(F.coalesce("expression", F.lit(""))),
+        lambda text: let(_parts(text), lambda parts: _named(text, parts, known)),
+    )
     return expressions.select("*", F.inline(F.array(read)))
 
 

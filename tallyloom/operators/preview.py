@@ -24,7 +24,8 @@ def synthetic_preview(columns: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame
     fabricated content finds them.
     """
     numbered = columns.select("*", F.explode(F.sequence(F.lit(1), F.lit(rows))).alias("row"))
-    return numbered.select("*", synthetic_value(F.col("column"), F.col("row")).alias("value"), F.lit(True).alias("synthetic"))
+    made_up = synthetic_value(F.col("column"), F.col("row"))
+    return numbered.select("*", made_up.alias("value"), F.lit(True).alias("synthetic"))
 
 
 def synthetic_value(name: Column, i: Column) -> Column:

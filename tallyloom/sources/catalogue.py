@@ -26,7 +26,9 @@ def write_objects(objects: DataFrame, path: str) -> DataFrame:
     return objects.sparkSession.read.parquet(path)
 
 
-def write_catalogue(tables: dict[str, DataFrame], path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
+def write_catalogue(
+    tables: dict[str, DataFrame], path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = ()
+) -> None:
     """One folder per catalogue table. Partition by a column of few values only, never by app."""
     for name, df in tables.items():
         df.write.mode("errorifexists").format(fmt).partitionBy(*partition_by).save(f"{path}/{name}")
