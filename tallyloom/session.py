@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -35,12 +34,18 @@ def build_session(app_name: str = "tallyloom", master: str | None = None, **sett
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder path below the shared folder named in ``spark.checkpoint.dir``.
 
-    Executors must see what the driver writes, so a machine-local folder is used only when
-    driver and executors share one machine.
+    Where that setting is missing the warehouse folder takes its place: both are folders that
+    the driver and every executor can reach.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        shared = tempfile.mkdtemp(prefix="tallyloom-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once below the shared folder and read back.
+
+    Later steps neither compute it again nor depend on the executors that made it.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
