@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyloom.llm import minhash
+from tallyloom.llm import bpe, cover_tree, minhash, mixing, nearest, token_files, toxicity
 from workload.registry import query
 
 
@@ -15,3 +17,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op1_minhash_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op2_mix_sources", mixing.SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents")).drop("copies")
+
+
+@query("op3_nearest", nearest.SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_top_products", cover_tree.SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_products(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_byte_bpe")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    fold = toxicity.held_out(F.col("doc_id"))
+    return toxicity.score(docs, model).select("doc_id", fold.alias("held_out"), "score", "predicted", "spans")
+
+
+@query("op6_token_files")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
