@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, cover_tree, minhash, mixing, nearest, token_files, toxicity
+from tallyloom.llm import bpe, cover_tree, html_text, minhash, mixing, nearest, quality, secret_scan, token_files, toxicity
 from workload.registry import query
 
 
@@ -50,3 +50,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_token_files")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op7_html_text")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op8_secret_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality_resampling")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality.resample(table(spark, sf_dir, "documents"), good)

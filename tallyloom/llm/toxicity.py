@@ -246,6 +246,36 @@ def fit(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Model:
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], shares, sample.epochs)
 
 
+class Judge:
+    """Scores of texts under a model; keeps the emission scores of words that it has met."""
+
+    def __init__(self, model: Model):
+        self.model, self.known = model, {}
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of the texts, marginals of all their tokens in order, and token counts."""
+        m, known, values, lengths = self.model, self.known, [], []
+        for text in texts:
+            words = TOKEN.findall(text)
+            for word in set(words).difference(known):
+                known[word] = m.bias + sum(m.weights.get(f, 0.0) for f in features(word))
+            values += map(known.__getitem__, words)
+            lengths.append(len(words))
+        if len(known) > REMEMBERED:
+            known.clear()
+        counts = np.array(lengths, np.int64)
+        marginals = Chain(counts).run(np.array(values), m.steps) if values else np.empty(0)
+        return 1 / (1 + np.exp(-np.clip(_summaries(marginals, counts) @ m.curve, -30, 30))), marginals, counts
+
+
+def _spans(text: str, marginals: np.ndarray) -> list[dict]:
+    if not len(marginals) or marginals.max() <= 0.5:
+        return []
+    return [
+        {"start": w.start(), "end": w.end(), "marginal": float(p)} for w, p in zip(TOKEN.finditer(text), marginals) if p > 0.5
+    ]
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, score, predicted, spans (start, end, marginal).
 
@@ -253,38 +283,20 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     texts, and texts without letters, get the score of no evidence. Other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        known: dict[str, float] = {}
+        judge = Judge(shared.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in runs([len(t) for t in texts], TOGETHER):
-                part, values, lengths = texts[lo:hi], [], []
-                for text in part:
-                    words = TOKEN.findall(text)
-                    for word in set(words).difference(known):
-                        known[word] = m.bias + sum(m.weights.get(f, 0.0) for f in features(word))
-                    values += map(known.__getitem__, words)
-                    lengths.append(len(words))
-                if len(known) > REMEMBERED:
-                    known.clear()
-                lengths = np.array(lengths)
-                marginals = Chain(lengths).run(np.array(values), m.steps) if len(values) else np.empty(0)
-                scores = 1 / (1 + np.exp(-np.clip(_summaries(marginals, lengths) @ m.curve, -30, 30)))
-                spans, begin = [], 0
-                for text, n in zip(part, lengths.tolist()):
-                    own, begin = marginals[begin : begin + n], begin + n
-                    if n and own.max() > 0.5:
-                        spans.append([(w.start(), w.end(), float(p)) for w, p in zip(TOKEN.finditer(text), own) if p > 0.5])
-                    else:
-                        spans.append([])
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
-                rows = [[{"start": a, "end": b, "marginal": p} for a, b, p in s] for s in spans]
+                scores, marginals, counts = judge(texts[lo:hi])
+                ends = np.cumsum(counts)
+                spans = [_spans(t, marginals[e - n : e]) for t, e, n in zip(texts[lo:hi], ends, counts)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)),
-                        pa.array(rows, kind),
+                        pa.array(spans, span),
                     ],
                     ["doc_id", "score", "predicted", "spans"],
                 )
@@ -293,3 +305,18 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(
         run, f"doc_id {kind}, score double, predicted int, spans array<struct<start: long, end: long, marginal: double>>"
     )
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(shared.value)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            for lo, hi in runs([len(t) for t in texts], TOGETHER):
+                yield batch.slice(lo, hi - lo).filter(pa.array(judge(texts[lo:hi])[0] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
