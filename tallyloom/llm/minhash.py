@@ -20,6 +20,10 @@ from tallyloom.session import stored
 
 #: Rows of one text's pairs that are verified together; larger groups are split.
 TOGETHER = 64
+#: Members of a part of a bucket; a block compares two parts.
+PART = 200
+#: Hashes of ids at most that are broadcast to thin out texts before a join.
+SIEVE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -78,6 +82,19 @@ def sketches(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
     )
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents that ``ids`` (id, possibly with others) names.
+
+    Documents are first thinned by a set of at most ``SIEVE`` hashes, which is small enough to broadcast at any scale;
+    ids grow with the corpus, so the join itself is by shuffle.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    slot = F.pmod(F.xxhash64("id"), F.lit(SIEVE))
+    sieve = ids.select(slot.alias("slot")).distinct()
+    thinned = texts.withColumn("slot", slot).join(F.broadcast(sieve), "slot", "left_semi").drop("slot")
+    return thinned.hint("merge").join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (a, part, b), the text of a first with b null: size of the intersection and of both sets."""
     current, own = None, []
@@ -107,7 +124,6 @@ def overlaps(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     The text of ``a`` goes once with each ``TOGETHER`` partners, so a hot ``a`` is spread over many tasks.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     counted = pairs.groupBy("a").agg(F.count("*").alias("n"))
     dealt = stored(
         pairs.join(counted, "a").select(
@@ -115,10 +131,9 @@ def overlaps(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         ),
         "minhash-pairs",
     )
-    owners = dealt.select("a", "part").distinct()
-    rows = (
-        owners.join(texts, F.col("a") == F.col("id")).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
-    ).unionByName(dealt.join(texts, F.col("b") == F.col("id")).select("a", "part", "b", "text"))
+    wanted = dealt.select("a", "part").distinct().select(F.col("a").alias("id"), "a", "part", F.lit(None).cast("long").alias("b"))
+    wanted = wanted.unionByName(dealt.select(F.col("b").alias("id"), "a", "part", "b"))
+    rows = _texts_of(docs, wanted).hint("merge").join(wanted, "id").select("a", "part", "b", "text")
     return (
         rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
         .mapInArrow(_overlaps, "a long, b long, shared long, size_a long, size_b long")
@@ -130,10 +145,22 @@ def _linked(percent: int) -> Column:
 
 
 def _keys(reps: DataFrame) -> DataFrame:
-    """(key, id) for every pairing of a left with a right sketch."""
-    return reps.select("id", F.posexplode("left").alias("i", "x"), "right").select(
-        "id", "i", "x", F.posexplode("right").alias("j", "y")
-    ).select(F.xxhash64("i", "j", "x", "y").alias("key"), "id")
+    """(key, id, weight) for every pairing of a left with a right sketch."""
+    return reps.select("id", "weight", F.posexplode("left").alias("i", "x"), "right").select(
+        "id", "weight", "i", "x", F.posexplode("right").alias("j", "y")
+    ).select(F.xxhash64("i", "j", "x", "y").alias("key"), "id", "weight")
+
+
+def _weighted(reps: DataFrame) -> DataFrame:
+    """Adds ``weight``: how many classes share a class's left sketches, then a hash.
+
+    The original of a group of copies shares most, and as the pivot of a bucket it links most of it.
+    """
+    sides = reps.select("id", F.posexplode("left").alias("i", "x"))
+    common = sides.groupBy("i", "x").agg(F.count("*").alias("n")).where("n > 1")
+    shared = sides.join(common, ["i", "x"]).groupBy("id").agg(F.sum("n").alias("n"))
+    weight = F.shiftleft(F.coalesce("n", F.lit(0)).cast("long"), 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    return reps.join(shared, "id", "left").withColumn("weight", weight).drop("n")
 
 
 def near_duplicates(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
@@ -145,7 +172,7 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
     1. Equal sets collapse to one class, named by its least id, before any pair is made.
     2. Classes get their table keys; in each bucket every member is compared with one pivot.
     3. What the pivots' stars leave in different components, and the triangle inequality of the Jaccard
-       distance does not rule out, is compared too, so no bucket member goes untested.
+       distance does not rule out, is compared in blocks, so no bucket member goes untested.
 
     Rows without text or words have 0 shingles and link with nothing, nor do rows without an id (component
     null, kept). Repeated rows share their class; all rows of the least id are kept. Other columns are
@@ -154,67 +181,152 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
     sets = stored(sketches(docs, banding), "minhash-sets")
     able = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["n_shingles", "sum_a", "sum_b"]
-    reps = stored(
-        able.groupBy(*same).agg(
-            F.min("doc_id").alias("id"), F.any_value("left").alias("left"), F.any_value("right").alias("right")
-        ),
-        "minhash-classes",
+    classes = able.groupBy(*same).agg(
+        F.min("doc_id").alias("id"), F.any_value("left").alias("left"), F.any_value("right").alias("right")
     )
+    reps = stored(_weighted(stored(classes, "minhash-classes")), "minhash-weighted")
     keys = _keys(reps)
-    # the pivot is the member that hashes least, another one in each bucket
-    pivots = (
-        keys.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("key", "id")).alias("pivot"))
-        .where("n > 1").select("key", "pivot")
+    pivots = keys.groupBy("key").agg(F.count("*").alias("n"), F.max_by("id", "weight").alias("pivot")).where("n > 1")
+    stars = stored(
+        keys.join(pivots.select("key", "pivot"), "key").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(),
+        "minhash-stars",
     )
-    starred = stored(keys.join(pivots, "key").where("id <> pivot"), "minhash-buckets")
-    pairs = starred.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    checked = stored(overlaps(docs, pairs), "minhash-checked")
+    checked = stored(overlaps(docs, stars), "minhash-checked")
     links = checked.where(_linked(banding.percent)).select("a", "b")
     found = components(links, "minhash-links")
-
-    rest = _untested(starred, checked, found, banding.percent)
-    more = overlaps(docs, rest).where(_linked(banding.percent)).select("a", "b")
-    more = stored(more, "minhash-more")
+    more = stored(_rest(docs, reps, checked, found, banding.percent), "minhash-more")
     if not more.isEmpty():
         found = components(links.unionByName(more), "minhash-links")
-    classes = reps.join(found, reps["id"] == found["node"], "left").select(
+    named = reps.join(found, reps["id"] == found["node"], "left").select(
         *same, F.coalesce("component", "id").alias("component_id")
     )
     return (
-        sets.select("doc_id", *same).join(classes, same, "left")
+        sets.select("doc_id", *same).join(named, same, "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
-def _untested(starred: DataFrame, checked: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of bucket members, neither of them the pivot, that may still link two components.
+def drop_near_duplicates(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
+    """The rows of ``docs`` but those that link to a row of a lesser id; all columns stay.
 
-    With d the Jaccard distance, d(x, y) >= |d(x, pivot) - d(y, pivot)|: members go to the two bands
-    of width 1 - percent/100 that their distance allows, and only bands with two components matter.
+    Of rows that are equal in id and text one stays. Rows without an id or without words all stay.
+    """
+    found = stored(near_duplicates(docs, banding).select("doc_id", "kept"), "minhash-kept")
+    dropped = found.where(~F.col("kept")).select("doc_id").distinct()
+    # ids grow with the corpus: joined by shuffle at any size
+    kept = docs.hint("merge").join(dropped, "doc_id", "left_anti")
+    again = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    again = stored(again.select("doc_id"), "minhash-repeated")
+    if not again.isEmpty():
+        repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(repeated)
+    return kept.select(docs.columns)
+
+
+def _rest(docs: DataFrame, reps: DataFrame, checked: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one pivot's buckets that the stars left in different components.
+
+    With d the Jaccard distance, d(x, y) >= |d(x, pivot) - d(y, pivot)|: members go to the two bands of width 1 -
+    percent/100 that their distance allows. A band with two components is cut into parts, and every
+    two parts meet in one block.
     """
     width = 1 - percent / 100
-    far = checked.groupBy("a", "b").agg(
-        F.min(1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("far")
+    far = 1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
+    near = checked.groupBy("a", "b").agg(F.min(far).alias("far"))
+    placed = near.withColumnRenamed("b", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
+        F.col("a").alias("pivot"), "id", F.coalesce("component", "id").alias("component"), F.floor(F.col("far") / width).alias("low")
+    ).withColumn("band", F.explode(F.array("low", F.col("low") + 1))).drop("low")
+    mixed = (
+        placed.groupBy("pivot", "band")
+        .agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"))
+        .where("least <> most").select("pivot", "band", F.ceil(F.col("n") / PART).cast("long").alias("parts"))
     )
-    placed = (
-        starred.select("key", "id", F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        .join(far, ["a", "b"]).join(found.withColumnRenamed("node", "id"), "id", "left")
-        .select("key", "id", "far", F.coalesce("component", "id").alias("component"))
+    part = F.pmod(F.xxhash64("id", "pivot"), F.col("parts"))
+    members = placed.join(mixed, ["pivot", "band"]).withColumn("part", part).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     )
-    banded = placed.withColumn("low", F.floor(F.col("far") / width)).select(
-        "*", F.explode(F.array(F.col("low"), F.col("low") + 1)).alias("band")
+    blocks = stored(
+        members.select("pivot", "band", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "id", "component"),
+        "minhash-blocks",
     )
-    split = (
-        banded.groupBy("key", "band").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-        .where("least <> most").select("key", "band")
+    held = reps.select("id", "left", "right")
+    rows = _texts_of(docs, blocks).hint("merge").join(blocks, "id").join(held, "id").select(
+        "pivot", "band", "p", "q", "part", "id", "component", "left", "right", "text"
     )
-    open_rows = stored(banded.join(split, ["key", "band"]).select("key", "band", "id", "far", "component"), "minhash-open")
-    other = open_rows.select("key", "band", *(F.col(c).alias(f"{c}_2") for c in ("id", "far", "component")))
     return (
-        open_rows.join(other, ["key", "band"])
-        .where((F.col("id") < F.col("id_2")) & (F.col("component") != F.col("component_2")))
-        .where(F.abs(F.col("far") - F.col("far_2")) <= width + 1e-9)
-        .select(F.col("id").alias("a"), F.col("id_2").alias("b")).distinct()
-        .join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        rows.repartition("pivot", "band", "p", "q").sortWithinPartitions("pivot", "band", "p", "q")
+        .mapInArrow(_block_links(percent), "a long, b long").distinct()
     )
+
+
+def _block_links(percent: int):
+    """Links of each block: a spanning forest of them over the components it holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, rows = None, []
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                piece = batch.slice(lo, 256)
+                sets = shingle_sets(piece.column(9))
+                for key, rest, s in zip(zip(*(piece.column(i).to_pylist() for i in range(4))), zip(*(piece.column(i).to_pylist() for i in range(4, 9))), sets):
+                    if key != block:
+                        yield _links(rows, block, percent)
+                        block, rows = key, []
+                    rows.append((*rest, s))
+        yield _links(rows, block, percent)
+
+    return run
+
+
+def _links(rows: list, block: tuple | None, percent: int) -> pa.RecordBatch:
+    out: list[tuple[int, int]] = []
+    if rows:
+        p, q = block[2:]
+        sides = [[r for r in rows if r[0] == part] for part in dict.fromkeys((p, q))]
+        first, second = sides[0], sides[-1]
+        if first and second:
+            out = _forest(first, second, percent)
+    return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
+def _forest(first: list, second: list, percent: int) -> list[tuple[int, int]]:
+    shared = _intersections([r[5] for r in first], [r[5] for r in second])
+    sizes = [np.array([len(r[5]) for r in side]) for side in (first, second)]
+    union = sizes[0][:, None] + sizes[1][None, :] - shared
+    apart = np.array([r[2] for r in first])[:, None] != np.array([r[2] for r in second])[None, :]
+    for side in (3, 4):  # only pairs that a table key joins are candidates
+        x, y = (np.array([r[side] for r in rows]) for rows in (first, second))
+        apart &= (x[:, None, :] == y[None, :, :]).any(axis=2)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(apart & (100 * shared >= percent * union))):
+        a, b = find(first[i][2]), find(second[j][2])
+        if a != b:
+            root[a] = b
+            out.append((first[i][1], second[j][1]))
+    return out
+
+
+def _intersections(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of their 0/1 rows over shared members."""
+    common = np.intersect1d(np.unique(np.concatenate(first)), np.unique(np.concatenate(second)), assume_unique=True)
+    total = np.zeros((len(first), len(second)), np.int64)
+    for lo in range(0, len(common), 8192):
+        part = common[lo : lo + 8192]
+        grids = []
+        for side in (first, second):
+            grid = np.zeros((len(side), len(part)), np.float32)
+            for i, s in enumerate(side):
+                own = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], side="right")]
+                at = np.searchsorted(part, own)
+                grid[i, at[part[at] == own]] = 1
+            grids.append(grid)
+        total += (grids[0] @ grids[1].T).astype(np.int64)
+    return total
