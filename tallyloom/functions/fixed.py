@@ -47,7 +47,7 @@ FORMAT_KINDS = {
     "qvd": "qvd",
     "txt": "delimited",
     "csv": "delimited",
-    "biff": "excel",
+    "biff": "xls",
     "ooxml": "excel",
     "xml": "xml",
     "json": "json",
@@ -61,14 +61,14 @@ EXTENSION_KINDS = {
     "csv": "delimited",
     "txt": "delimited",
     "tab": "delimited",
-    "xls": "excel",
+    "xls": "xls",
     "xlsx": "excel",
     "xlsm": "excel",
     "xml": "xml",
     "json": "json",
     "parquet": "parquet",
 }
-FILE_KINDS = ("qvd", "delimited", "excel", "xml", "json", "parquet")
+FILE_KINDS = ("qvd", "delimited", "excel", "xls", "xml", "json", "parquet")
 
 # --- fixed values: statements that never load a table ------------------------------
 NON_LOAD_KEYWORDS = (

@@ -14,6 +14,13 @@ from tallyloom.functions.columns import field as by_name
 ROWS, COUNT, DISTINCT, MEDIAN, BLANK, RATIO = "rows", "count", "count_distinct", "median", "blank", "ratio"
 
 
+def actual_name(columns: list[str], wanted: str) -> str | None:
+    """The column of that name: exact first, then without regard to case."""
+    if wanted in columns:
+        return wanted
+    return next((c for c in columns if c.lower() == wanted.lower()), None)
+
+
 def _label(name: str) -> str:
     return name if any(ch.isupper() for ch in name) else name.title()
 
@@ -47,6 +54,18 @@ class Measure:
             return self.top.is_single_pass and self.bottom.is_single_pass
         return self.function not in (DISTINCT, MEDIAN)
 
+    def bound(self, columns: list[str]) -> "Measure":
+        """The measure with its fields named as in ``columns``; blank if one of them is not there."""
+        if self.function == RATIO:
+            top, bottom = self.top.bound(columns), self.bottom.bound(columns)
+            if BLANK in (top.function, bottom.function):
+                return Measure(BLANK, name=self.name, text=f"{top.text} / {bottom.text}")
+            return replace(self, top=top, bottom=bottom)
+        found = {n: actual_name(columns, f) for n in ("field", "filter_field") if (f := getattr(self, n)) is not None}
+        if None in found.values():
+            return Measure(BLANK, name=self.name, text=self.text or f"{self.function}({self.field})")
+        return replace(self, **found)
+
     def unfiltered(self) -> "Measure":
         return replace(self, filter_field=None, filter_values=())
 

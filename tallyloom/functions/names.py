@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed
-from tallyloom.functions.columns import any_of, lower_all, strip_space
+from tallyloom.functions.columns import any_of, let, lower_all, strip_space
 
 
 def safe_table_name(name: Column, default: str = fixed.DEFAULT_TABLE_NAME) -> Column:
@@ -35,24 +35,34 @@ def guard_reserved(name: Column) -> Column:
 
 
 def _unique(names: Column, taken: Column) -> Column:
-    """Names in order, each made unique by the first free ``_2``, ``_3``, … suffix."""
-
-    def step(state: Column, name: Column) -> Column:
-        room = F.size(state["seen"]) + 2
-        numbered = F.transform(
-            F.sequence(F.lit(2), room), lambda n: F.concat(name, F.lit("_"), n.cast("string"))
-        )
-        free = F.filter(numbered, lambda c: ~F.array_contains(state["seen"], F.lower(c)))
-        chosen = F.when(F.array_contains(state["seen"], F.lower(name)), free[0]).otherwise(name)
-        return F.struct(
-            F.concat(state["seen"], F.array(F.lower(chosen))).alias("seen"),
-            F.concat(state["names"], F.array(chosen)).alias("names"),
-        )
-
-    no_names = F.array().cast("array<string>")
-    start = F.struct(lower_all(taken).alias("seen"), no_names.alias("names"))
-    folded = F.aggregate(names, start, step, lambda state: state["names"])
+    """Names in order, each made unique by the first free ``_2``, ``_3``, … suffix.
+
+    Earlier equal names have used up the suffixes below their count, so a name starts to look
+    there and needs one more try for each given name that already ends in a number.
+    """
+
+    def fold(all_names: Column) -> Column:
+        def step(state: Column, name: Column) -> Column:
+            lowered, at = F.lower(name), F.size(state["names"])
+            earlier = at - F.size(F.array_remove(F.slice(all_names["lowered"], 1, at), lowered))
+            start = F.greatest(earlier + 1, F.lit(2))
+            like = F.size(F.filter(all_names["numbered"], lambda n: n.startswith(F.concat(lowered, F.lit("_")))))
+            tries = F.transform(
+                F.sequence(start, start + like + 1), lambda n: F.concat(name, F.lit("_"), n.cast("string"))
+            )
+            free = F.filter(tries, lambda c: ~F.array_contains(state["seen"], F.lower(c)))
+            chosen = F.when(F.array_contains(state["seen"], lowered), free[0]).otherwise(name)
+            return F.struct(
+                F.concat(state["seen"], F.array(F.lower(chosen))).alias("seen"),
+                F.concat(state["names"], F.array(chosen)).alias("names"),
+            )
+
+        start = F.struct(lower_all(taken).alias("seen"), F.array().cast("array<string>").alias("names"))
+        return F.aggregate(names, start, step, lambda state: state["names"])
+
     lowered = lower_all(names)
+    numbered = F.filter(F.array_distinct(F.concat(lowered, lower_all(taken))), lambda n: n.rlike("_[0-9]+$"))
+    folded = let(F.struct(lowered.alias("lowered"), numbered.alias("numbered")), fold)
     clean = (F.size(F.array_distinct(lowered)) == F.size(names)) & ~F.arrays_overlap(
         lowered, lower_all(taken)
     )

@@ -15,10 +15,11 @@ from tallyloom.functions.columns import strip_space, text_array
 STRING, INT64, DOUBLE, DATETIME, BOOLEAN = "string", "int64", "double", "dateTime", "boolean"
 
 # A cast that fails is many times slower than one that works, so text that plainly is no number
-# never gets to the cast. The patterns let through all that a cast can read.
-_WHOLE_NUMBER = r"^[\x00-\x20]*[+-]?[0-9]{1,19}[\x00-\x20]*$"
+# never gets to the cast. Nor does text that a cast reads although it is none, such as ``10d``.
 _NUMBER_START = r"^[\x00-\x20+\-.0-9inIN]"
-_NUMBER_LIKE = r"(?i)^[\x00-\x20]*[+-]?(?:[0-9]|\.[0-9]|inf|nan)"
+_NUMBER = (
+    r"(?i)^[\x00-\x20]*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)[\x00-\x20]*$"
+)
 _TRUTHS = ("t", "true", "y", "yes", "1", "f", "false", "n", "no", "0")
 
 SPARK_TYPES: dict[str, T.DataType] = {
@@ -56,8 +57,11 @@ def measurable_names(schema: T.StructType) -> list[str]:
 
 def number_or_null(text: Column) -> Column:
     """The text as a number; the first letter alone rules out most texts, however long."""
-    may_be = F.substring(text, 1, 1).rlike(_NUMBER_START) & text.rlike(_NUMBER_LIKE)
-    return F.when(may_be, text.try_cast("double"))
+    return F.when(_is_number(text), text.try_cast("double"))
+
+
+def _is_number(text: Column) -> Column:
+    return F.substring(text, 1, 1).rlike(_NUMBER_START) & text.rlike(_NUMBER)
 
 
 def typed(
@@ -78,9 +82,8 @@ def typed(
     if type_name == DOUBLE:
         return number
     if type_name == INT64:
-        return F.when(text.rlike(_WHOLE_NUMBER), text.try_cast("bigint")).otherwise(
-            F.bround(number, 0).try_cast("bigint")
-        )
+        exact = F.when(_is_number(text), text.try_cast("decimal(38,18)"))
+        return F.bround(exact, 0).try_cast("bigint")
     if type_name == BOOLEAN:
         return F.when(F.lower(strip_space(text)).isin(*_TRUTHS), text.try_cast("boolean"))
     if type_name == DATETIME:

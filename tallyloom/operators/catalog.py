@@ -59,6 +59,15 @@ CATALOGUE = (
 )
 
 
+#: The JSON readers give null for texts over 20 MB unless told otherwise; an object may be of any size.
+ANY_SIZE = {"maxStringLen": "2147483647"}
+
+
+def json_value(text: Column, key: str, schema: str = "string") -> Column:
+    """One member of an object of any size."""
+    return F.from_json(text, f"{key} {schema}", ANY_SIZE)[key]
+
+
 def object_kind(text: Column) -> Column:
     """What an object is, told by its keys; the first match counts, null if none or unreadable."""
     keys = F.json_object_keys(text)
@@ -68,17 +77,35 @@ def object_kind(text: Column) -> Column:
 
     return (
         F.when(has("qScript"), SCRIPT)
-        .when(has("qMetaData") & (F.get_json_object(text, "$.qMetaData.qType") == "sheet"), SHEET)
+        .when(has("qMetaData") & (json_value(text, "qMetaData", "struct<qType: string>")["qType"] == "sheet"), SHEET)
         .when(has("qreload_meta"), MODEL)
         .when(has("qTitle") & has("qLastReloadTime"), PROPERTIES)
         .when(has("qEntryList") & has("qId"), VARIABLES)
     )
 
 
+def _told(objects: DataFrame) -> DataFrame:
+    """``kind`` of every text: ``other`` fits no kind, null is no JSON."""
+    is_object = F.json_object_keys("text").isNotNull()
+    kind = F.when(is_object, F.coalesce(object_kind(F.col("text")), F.lit("other"))).when(
+        F.try_parse_json("text").isNotNull(), "other"
+    )
+    return objects.select("app", "offset", kind.alias("kind"), "text")
+
+
 def classify(objects: DataFrame) -> DataFrame:
-    """(app, offset, kind, text) of every readable object; ``other`` fits no kind."""
-    readable = objects.where(F.try_parse_json("text").isNotNull())
-    return readable.select("app", "offset", F.coalesce(object_kind(F.col("text")), F.lit("other")).alias("kind"), "text")
+    """(app, offset, kind, text) of every readable object, whatever its size; ``other`` fits no kind."""
+    return _told(objects).where("kind IS NOT NULL")
+
+
+def unreadable(objects: DataFrame) -> DataFrame:
+    """(app, offset, size, reason) of what ``classify`` leaves out, so that nothing goes missing unseen."""
+    reason = F.when(F.col("text").isNull(), "no text").when(
+        F.trim("text").startswith("{"), "broken or cut JSON object"
+    ).otherwise("no JSON")
+    return _told(objects).where("kind IS NULL").select(
+        "app", "offset", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("size"), reason.alias("reason")
+    )
 
 
 _KEYS = {
@@ -101,7 +128,7 @@ def _only(objects: DataFrame, kind: str) -> DataFrame:
 def _once(text: str, schema: str) -> Column:
     """The object in a text column, parsed once: what a generator yields is not computed again
     for every field that is read from it."""
-    return F.explode(F.array(F.from_json(text, schema)))
+    return F.explode(F.array(F.from_json(text, schema, ANY_SIZE)))
 
 
 def _of_kind(objects: DataFrame, kind: str, schema: str) -> DataFrame:
@@ -110,7 +137,7 @@ def _of_kind(objects: DataFrame, kind: str, schema: str) -> DataFrame:
 
 def catalog_scripts(objects: DataFrame) -> DataFrame:
     """(app, script) with Unix line ends; the last script of an app counts."""
-    read = _only(objects, SCRIPT).select("app", "offset", F.get_json_object("text", "$.qScript").alias("script"))
+    read = _only(objects, SCRIPT).select("app", "offset", json_value(F.col("text"), "qScript").alias("script"))
     last = read.groupBy("app").agg(F.max_by("script", "offset").alias("script"))
     return last.select("app", F.replace("script", F.lit("\r\n"), F.lit("\n")).alias("script"))
 
@@ -141,7 +168,7 @@ def _chart_nodes(objects: DataFrame) -> DataFrame:
     own = F.array(F.struct(F.lit(0).alias("nested"), F.col("child.qProperty").alias("text")))
     nodes = (
         sheets.where(_is_filled(F.col("child.qProperty")))
-        .select("app", "sheet", "pos", F.get_json_object("child.qProperty", "$.qInfo.qId").alias("outer"),
+        .select("app", "sheet", "pos", json_value(F.col("child.qProperty"), "qInfo", "struct<qId: string>")["qId"].alias("outer"),
                 F.explode(F.concat(own, inner)).alias("node"))
         .where(_is_filled(F.col("node.text")))
     )
@@ -256,18 +283,21 @@ def catalog_apps(objects: DataFrame) -> DataFrame:
 
 
 def summary(objects: DataFrame, script_lines: DataFrame) -> DataFrame:
-    """(app, section, place, line): tables, fields, charts and the head of the script, as text lines."""
+    """(app, section, sheet, pos, nested, line): tables, fields, charts and the head of the script, as text lines.
+
+    Lines of a section stand in the order of ``sheet``, ``pos`` and ``nested``, which are numbers.
+    """
+    none, zero = F.lit("").alias("sheet"), F.lit(0).alias("nested")
     tables = catalog_tables(objects).select(
-        "app", F.lit("table").alias("section"), F.lpad("pos", 6, "0").alias("place"),
+        "app", F.lit("table").alias("section"), none, "pos", zero,
         F.format_string("%s (%d rows x %d fields)", "table", "rows", "fields").alias("line"),
     )
     fields = catalog_fields(objects).select(
-        "app", F.lit("field").alias("section"), F.lpad("pos", 6, "0").alias("place"),
+        "app", F.lit("field").alias("section"), none, "pos", zero,
         F.format_string("%s cardinality=%d rows=%d", "field", "cardinality", "total_count").alias("line"),
     )
     charts = _chart_nodes(objects).select(
-        "app", F.lit("chart").alias("section"),
-        F.concat_ws("/", "sheet", F.lpad("pos", 4, "0"), F.lpad("nested", 4, "0")).alias("place"),
+        "app", F.lit("chart").alias("section"), "sheet", "pos", "nested",
         F.format_string(
             '[%s] "%s" dims: %s measures: %s',
             F.coalesce("c.qInfo.qType", F.lit("")), F.coalesce("c.title", F.lit("")),
@@ -275,9 +305,7 @@ def summary(objects: DataFrame, script_lines: DataFrame) -> DataFrame:
             _listed(F.transform("c.qHyperCubeDef.qMeasures", lambda m: m["qDef"]["qDef"])),
         ).alias("line"),
     )
-    lines = script_lines.select(
-        "app", F.lit("script").alias("section"), F.lpad("pos", 6, "0").alias("place"), "line"
-    )
+    lines = script_lines.select("app", F.lit("script").alias("section"), none, "pos", zero, "line")
     return tables.unionByName(fields).unionByName(charts).unionByName(lines)
 
 

@@ -380,24 +380,49 @@ def table_fields(tables: DataFrame) -> DataFrame:
     return tables.select("app", "table", "kind", F.explode("fields").alias("f")).select("app", "table", "kind", "f.*")
 
 
-def load_status(loads: DataFrame) -> DataFrame:
-    """(app, pos, table, kind, path, status, reason, n_columns, n_typed, n_dropped) of every load."""
-    return loads.select(
+def _evidenced(loads: DataFrame, metadata: DataFrame | None) -> DataFrame:
+    """Loads whose fields carry the tags and the numeric flag of the data model beside their own tags.
+
+    ``metadata`` has (app, field, tags, is_numeric); the fields of one app come to its rows as one map.
+    """
+    none = F.array().cast("array<string>")
+    if metadata is None:
+        return loads.withColumn("fields", F.transform("fields", lambda f: f.withField("is_numeric", F.lit(False))))
+    known = (
+        metadata.groupBy("app", F.lower("field").alias("key"))
+        .agg(F.flatten(F.collect_set(F.coalesce("tags", none))).alias("tags"), F.coalesce(F.max("is_numeric"), F.lit(False)).alias("is_numeric"))
+        .groupBy("app").agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("tags", "is_numeric")))).alias("_known"))
+    )
+
+    def with_model(f: Column) -> Column:
+        model = F.try_element_at(F.col("_known"), F.lower(f["field"]))
+        tags = F.concat(F.coalesce(f["tags"], none), F.coalesce(model["tags"], none))
+        return f.withField("tags", tags).withField("is_numeric", F.coalesce(model["is_numeric"], F.lit(False)))
+
+    return loads.join(known, "app", "left").withColumn("fields", F.transform("fields", with_model)).drop("_known")
+
+
+def load_status(loads: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """(app, pos, table, kind, path, status, reason, n_columns, n_typed, n_dropped, unapplied_filter) of every load."""
+    return _evidenced(loads, metadata).select(
         "app", "pos", "table", "kind",
         F.when(F.col("path") != "", F.col("path")).otherwise(F.col("resident")).alias("path"),
         _status().alias("status"),
         F.when(F.col("kind").isin(*READABLE_KINDS), "").otherwise(_reason()).alias("reason"),
-        *_column_counts(),
-    )
+        *_column_counts(), "filter",
+    ).withColumnRenamed("filter", "unapplied_filter")
 
 
 def _reason() -> Column:
     return F.coalesce(F.try_element_at(text_map(REASONS), F.col("kind")), F.lit(REASONS["unknown"]))
 
 
-def audit_tables(tables: DataFrame) -> DataFrame:
-    """(app, table, kind, path, status, n_columns, n_typed, n_dropped) of every table of the model."""
-    return tables.select(
+def audit_tables(tables: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """(app, table, kind, path, status, n_columns, n_typed, n_dropped) of every table of the model.
+
+    Types count by the tags of script and data model together.
+    """
+    return _evidenced(tables, metadata).select(
         "app", "table", "kind", "path", _status().alias("status"), *_column_counts(),
     )
 
@@ -417,7 +442,7 @@ def _column_counts() -> list[Column]:
     dropped = F.when(
         F.col("kind").isin(*fixed.FILE_KINDS) & (F.size(held) > 0), F.size("fields") - F.size(held)
     ).otherwise(0)
-    typed = F.filter(emitted, lambda f: resolve_type(f["tags"], F.lit(False)) != STRING)
+    typed = F.filter(emitted, lambda f: resolve_type(f["tags"], f["is_numeric"]) != STRING)
     return [F.size(emitted).alias("n_columns"), F.size(typed).alias("n_typed"), dropped.alias("n_dropped")]
 
 
@@ -430,12 +455,12 @@ def dropped_fields(loads: DataFrame) -> DataFrame:
     ).select("app", "table", "field", "expression")
 
 
-def schema_only_columns(loads: DataFrame) -> DataFrame:
+def schema_only_columns(loads: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     """(app, table, pos, field, type, reason): the schema of every load that cannot be read."""
-    unread = loads.where(~F.col("kind").isin(*READABLE_KINDS))
+    unread = _evidenced(loads, metadata).where(~F.col("kind").isin(*READABLE_KINDS))
     return unread.select("app", "table", _reason().alias("reason"), F.posexplode("fields").alias("pos", "f")).select(
         "app", "table", "pos", F.col("f.field").alias("field"),
-        resolve_type(F.col("f.tags"), F.lit(False)).alias("type"), "reason",
+        resolve_type(F.col("f.tags"), F.col("f.is_numeric")).alias("type"), "reason",
     )
 
 

@@ -8,17 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import field
-from tallyloom.functions.measures import MEDIAN, Measure
+from tallyloom.functions.measures import MEDIAN, Measure, actual_name
 
-# Up to this estimate of the scanned bytes, one task could hold all values even if all rows
-# fell into one group.
-BUILTIN_MEDIAN_BYTES = 32 << 20
-SUB_BUCKETS = 4096
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The size that the optimiser expects of ``df``; an upper estimate for file scans."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+# A bucket of values is cut so often, each time into so many even parts between its own ends.
+# Fewer doubles lie in a bucket than all cuts make parts, however close together they are.
+CUTS, PARTS = 3, 1 << 16
 
 
 def same_keys(left: str, right: str, keys: list[str]) -> Column:
@@ -38,17 +32,20 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
     return joined.select("l.*", *added)
 
 
-def aggregate(df: DataFrame, dims: list[str], measures: list[Measure], median: str = "auto") -> DataFrame:
+def aggregate(df: DataFrame, dims: list[str], measures: list[Measure], median: str = "distributed") -> DataFrame:
     """``dims`` and one column per measure; one row in all when there are no dims.
 
-    ``median`` is ``builtin``, ``distributed`` or ``auto``, which takes the built-in aggregate
-    only while the scanned columns are small. Both are exact.
+    Names count without regard to case; a measure of a column that is not there is blank.
+    ``median`` is ``distributed``, which no group is too large for, or ``builtin``, which holds a
+    group in one task. Both are exact.
     """
+    measures = [m.bound(df.columns) for m in measures]
+    dims = [actual_name(df.columns, d) or d for d in dims]
     used = [c for c in df.columns if c in _fields(dims, measures)]
     df = df.select(*[field(c) for c in used])
     schema = df.schema
     apart = [m for m in measures if m.function == MEDIAN]
-    if median == "builtin" or (median == "auto" and apart and estimated_bytes(df) <= BUILTIN_MEDIAN_BYTES):
+    if median == "builtin":
         apart = []
     together = [m for m in measures if m not in apart]
     columns = [m.column(schema) for m in together] or [F.count(F.lit(1)).alias("_rows")]
@@ -84,9 +81,9 @@ def exact_median(df: DataFrame, dims: list[str], value: str, name: str = "median
     """The exact median per group when one group may hold most of a very large table.
 
     Rows first shrink to counts per value. Coarse, order-keeping buckets of those counts show
-    in which bucket the middle lies; that bucket alone is cut again, evenly between its own
-    ends; and only the values of the part that holds the middle are put in order. No task ever
-    sees a whole group, even if most of its values lie close together.
+    in which bucket the middle lies. That bucket alone is cut evenly between its own ends, and so
+    is the part that then holds the middle, until a part holds no more values than a cut makes
+    parts. No window is larger than the number of buckets or parts, however close values lie.
     """
     keys = [field(d) for d in dims]
     x = field(value).cast("double")
@@ -104,12 +101,19 @@ def exact_median(df: DataFrame, dims: list[str], value: str, name: str = "median
         {"_low": F.expr("(_all + 1) div 2"), "_high": F.expr("_all div 2 + 1")}
     )
     middle = _holding_middle(totals, keys, "_bucket").drop("_n", "_all")
-    near = _matching(counts, middle, [*dims, "_bucket"]).withColumn("_part", _part())
-    place = [*keys, F.col("_bucket")]
-    parts = near.groupBy(*place, "_part", "_before", "_low", "_high").agg(F.sum("_n").alias("_n"))
-    inner = _holding_middle(parts, place, "_part").drop("_n", "_low", "_high")
-    last = _matching(near.drop("_before"), inner, [*dims, "_bucket", "_part"])
-    ranked = _holding_middle(last, [*place, F.col("_part")], "_x")
+    places = [*dims, "_bucket"]
+    near = _matching(counts, middle, places)
+    for cut in range(CUTS):
+        part = f"_part{cut}"
+        near = near.withColumn(part, _part()).drop("_first", "_last")
+        place = [field(p) for p in places]
+        parts = near.groupBy(*place, part, "_before", "_low", "_high").agg(
+            F.sum("_n").alias("_n"), F.min("_x").alias("_first"), F.max("_x").alias("_last")
+        )
+        inner = _holding_middle(parts, place, part).drop("_n", "_low", "_high")
+        places.append(part)
+        near = _matching(near.drop("_before"), inner, places)
+    ranked = _holding_middle(near, [field(p) for p in places], "_x")
     upto = F.col("_before") + F.col("_n")
     low = F.max(F.when((F.col("_before") < F.col("_low")) & (upto >= F.col("_low")), F.col("_x")))
     high = F.max(F.when((F.col("_before") < F.col("_high")) & (upto >= F.col("_high")), F.col("_x")))
@@ -135,7 +139,7 @@ def _matching(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
 def _part() -> Column:
     """One of the even parts between the ends of a value's bucket, in the order of the values."""
     share = (F.col("_x") - F.col("_first")) / (F.col("_last") - F.col("_first"))
-    return F.when(F.col("_first") == F.col("_last"), F.lit(0)).otherwise(F.floor(share * SUB_BUCKETS).cast("int"))
+    return F.when(F.col("_first") == F.col("_last"), F.lit(0)).otherwise(F.floor(share * PARTS).cast("int"))
 
 
 def _partition(keys):

@@ -6,15 +6,18 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.functions import fixed
 from tallyloom.functions import measures as M
 from tallyloom.functions.columns import field
 from tallyloom.functions.measures import Measure
 from tallyloom.plans.aggregate import aggregate
-from tallyloom.plans.visuals import filter_override, resolve_field
+from tallyloom.plans.visuals import filter_override, resolve_field, unrelated
 
-OUTPUT = ("visual", "category", "value")
+OUTPUT = ("visual", "category", "value", "text")
+#: Dimensions that one grouping-set query takes; their grouping id then never runs out of bits.
+DIMS_TOGETHER = 24
 ZERO_WHEN_EMPTY = (M.ROWS, M.COUNT, M.RATIO)
 
 
@@ -28,15 +31,20 @@ class Visual:
 
 
 def sheet(df: DataFrame, visuals: list[Visual]) -> DataFrame:
-    """Rows (visual, category as text, value as double) of every visual.
+    """Rows (visual, category as text, value as double, text) of every visual.
+
+    A measure that is no number, such as the first date, stands in ``text`` and has no ``value``. Names
+    count without regard to case; a visual of a column that is not there is one blank row.
 
     The data is scanned once for all measures of fixed state, whatever the number of
     dimensions, by grouping sets. Distinct counts and medians keep state that grows, so they
     get a grouped query per dimension, as does each filter on a visual's own dimension.
     """
-    visuals = [_complete(v) for v in visuals]
+    visuals = [_bound(_complete(v), df.columns) for v in visuals]
     shared = [v for v in visuals if v.measure.is_single_pass and not _overrides(v)]
-    parts = [_shared(df, shared)] if shared else []
+    dims = list(dict.fromkeys(v.dim for v in shared))
+    groups = [dims[i : i + DIMS_TOGETHER] for i in range(0, len(dims), DIMS_TOGETHER)]
+    parts = [_shared(df, [v for v in shared if v.dim in group]) for group in groups]
     by_dim: dict[str | None, list[Visual]] = {}
     for v in visuals:
         if _overrides(v):
@@ -58,6 +66,47 @@ def _overrides(v: Visual) -> bool:
     return v.dim is not None and v.measure.filter_field == v.dim
 
 
+def _bound(v: Visual, columns: list[str]) -> Visual:
+    dim = M.actual_name(columns, v.dim) if v.dim else None
+    if v.dim and not dim:
+        return Visual(v.name, None, Measure(M.BLANK, name=v.measure.name, text=f"no column {v.dim}"))
+    return Visual(v.name, dim, v.measure.bound(columns))
+
+
+def sheet_of_tables(tables: dict[str, DataFrame], visuals: list[Visual]) -> DataFrame:
+    """The rows of ``sheet`` for visuals whose fields may stand in different tables.
+
+    A dimension and a measure belong to the first table that has them, the measure to the dimension's table
+    if that has it too. A measure of another table, unrelated to the dimension, shows its total beside every value.
+    """
+    own: dict[str, list[Visual]] = {}
+    parts = []
+    for v in map(_complete, visuals):
+        owners = [n for n, df in tables.items() if not v.dim or M.actual_name(df.columns, v.dim)]
+        home = owners[0] if owners else next(iter(tables))
+        able = [n for n, df in tables.items() if v.measure.bound(df.columns).function == v.measure.function]
+        if home in able or not able:
+            own.setdefault(home, []).append(v)
+        elif not v.dim:
+            own.setdefault(able[0], []).append(v)
+        else:
+            dim = M.actual_name(tables[home].columns, v.dim)
+            rows = unrelated(tables[home], dim, tables[able[0]], v.measure.bound(tables[able[0]].columns).named("_m"))
+            parts.append(_long(rows, [Visual(v.name, dim, v.measure)], ["_m"]))
+    parts = [sheet(tables[name], group) for name, group in own.items()] + parts
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def _shown(value: Column, kind: T.DataType) -> tuple[Column, Column]:
+    """A measure as number and as text, one of them null."""
+    if isinstance(kind, (T.NumericType, T.NullType)):
+        return value.cast("double"), F.lit(None).cast("string")
+    return F.lit(None).cast("double"), value.cast("string")
+
+
 def _complete(v: Visual) -> Visual:
     return v if v.measure else Visual(v.name, v.dim, M.row_count())
 
@@ -66,7 +115,8 @@ def _long(rows: DataFrame, visuals: list[Visual], columns: list[str]) -> DataFra
     """One output row per visual for every row of a grouped result that holds them side by side."""
     cells = [
         F.struct(
-            F.lit(v.name).alias("visual"), _label(v).alias("category"), field(c).cast("double").alias("value")
+            F.lit(v.name).alias("visual"), _label(v).alias("category"),
+            *(x.alias(n) for x, n in zip(_shown(field(c), rows.schema[c].dataType), OUTPUT[2:])),
         )
         for v, c in zip(visuals, columns)
     ]
@@ -82,7 +132,11 @@ def _shared(df: DataFrame, visuals: list[Visual]) -> DataFrame:
     slots: dict[Measure, str] = {}
     for v in visuals:
         slots.setdefault(v.measure, f"_m{len(slots)}")
-    columns = [m.value(df.schema).cast("double").alias(slot) for m, slot in slots.items()]
+    values = df.agg(*[m.value(df.schema).alias(slot) for m, slot in slots.items()]).schema
+    columns = []
+    for m, slot in slots.items():
+        number, text = _shown(m.value(df.schema), values[slot].dataType)
+        columns += [number.alias(slot), text.alias(f"{slot}_text")]
     cards = [v for v in visuals if not v.dim]
     if not dims:
         grouped = df.agg(*columns).withColumn("_set", F.lit(0))
@@ -90,7 +144,7 @@ def _shared(df: DataFrame, visuals: list[Visual]) -> DataFrame:
     else:
         names = [field(d) for d in dims]
         sets = [[field(d)] for d in dims] + ([[]] if cards else [])
-        grouped = df.groupingSets(sets, *names).agg(F.grouping_id(*names).cast("int").alias("_set"), *columns)
+        grouped = df.groupingSets(sets, *names).agg(F.grouping_id(*names).alias("_set"), *columns)
         # the id has one bit per dimension, set where the dimension is rolled up
         every = (1 << len(dims)) - 1
         by_set = {d: every - (1 << (len(dims) - 1 - i)) for i, d in enumerate(dims)}
@@ -98,10 +152,11 @@ def _shared(df: DataFrame, visuals: list[Visual]) -> DataFrame:
     cells = F.array(
         *[
             F.struct(
-                F.lit(by_set[v.dim]).alias("set"),
+                F.lit(by_set[v.dim]).cast("bigint").alias("set"),
                 F.lit(v.name).alias("visual"),
                 _label(v).alias("category"),
                 F.col(slots[v.measure]).alias("value"),
+                F.col(f"{slots[v.measure]}_text").alias("text"),
             )
             for v in visuals
         ]
@@ -117,6 +172,7 @@ def _shared(df: DataFrame, visuals: list[Visual]) -> DataFrame:
                 F.lit(v.name).alias("visual"),
                 F.lit(None).cast("string").alias("category"),
                 F.lit(0.0 if v.measure.function in ZERO_WHEN_EMPTY else None).cast("double").alias("value"),
+                F.lit(None).cast("string").alias("text"),
             )
             for v in cards
         ]
@@ -126,7 +182,8 @@ def _shared(df: DataFrame, visuals: list[Visual]) -> DataFrame:
         rows.withColumn("_found", F.lit(1))
         .unionByName(wanted)
         .groupBy("visual", "category")
-        .agg(F.max_by("value", "_found").alias("value"))
+        .agg(F.max_by(F.struct("value", "text"), "_found").alias("best"))
+        .select("visual", "category", "best.value", "best.text")
     )
 
 

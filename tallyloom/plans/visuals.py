@@ -62,7 +62,8 @@ def category(
     A measure filtered on the dimension itself ignores the value it stands beside: every
     value shows the filtered total.
     """
-    measure = measure or M.row_count()
+    measure = (measure or M.row_count()).bound(df.columns)
+    dim = M.actual_name(df.columns, dim) or dim
     df = folded(df, dim) if ignore_case else df
     if measure.filter_field == dim:
         result = filter_override(df, [dim], measure)

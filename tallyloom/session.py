@@ -10,8 +10,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # broadcast by the size that a shuffle measured, never by an estimate
-    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    # above the engine's own limit for estimates, broadcast by the size that a shuffle measured
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.timestampType": "TIMESTAMP_NTZ",

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed
 from tallyloom.functions.columns import field
+from tallyloom.operators.catalog import json_value
 
 FLUSH_CHARS = 32_000_000
 BLOBS = "offset bigint, n_bytes bigint, text string"
@@ -116,8 +117,8 @@ def headers(files: DataFrame, app: str, content: str = "content") -> DataFrame:
     found = _as_utf8(F.regexp_extract(_unframed(field(content)), pattern, 0))
     return (
         files.select(field(app).alias("app"), found.alias("header"))
-        .where(F.try_parse_json("header").isNotNull())
-        .withColumn("version", F.get_json_object("header", f"$.{fixed.HEADER_KEY}"))
+        .where(F.json_object_keys("header").isNotNull())
+        .withColumn("version", json_value(F.col("header"), fixed.HEADER_KEY))
     )
 
 
@@ -131,5 +132,5 @@ def base64_objects(files: DataFrame, app: str, content: str = "content") -> Data
     return (
         files.select(field(app).alias("app"), F.posexplode(coded).alias("pos", "coded"))
         .select("app", "pos", plain.alias("object"))
-        .where(F.try_parse_json("object").isNotNull())
+        .where(F.json_object_keys("object").isNotNull() | F.try_parse_json("object").isNotNull())
     )

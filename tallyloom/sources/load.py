@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 from tallyloom.functions import fixed
 from tallyloom.functions.columns import field, let, strip_chars, strip_space
 from tallyloom.functions.types import DATETIME, SPARK_TYPES, STRING, TypeBook, typed
+from tallyloom.functions.measures import actual_name
 from tallyloom.plans.aggregate import aggregate
 from tallyloom.sources.spec import Field, LoadSpec, LoadStatus, Source
-from tallyloom.sources.workbook import read_workbooks
+from tallyloom.sources.workbook import column_names, read_workbooks
 
 CONNECTED, SCHEMA_ONLY = "connected", "schema-only"
 REASONS = {
@@ -21,6 +22,8 @@ REASONS = {
     "fixed": "A fixed-width file needs column positions, which the load does not give.",
     "html": "An HTML page needs a table position, which the load does not give.",
     "sql": "The query runs against a connection that the app does not hold.",
+    "xls": "The workbook format before 2007 is closed and has no public reader.",
+    "xml": "An XML file needs the tag of its rows, which the load does not give.",
     "unknown": "The load does not name a source that can be told.",
 }
 
@@ -59,7 +62,7 @@ def load_table(
     typed_columns = sum(not isinstance(f.dataType, T.StringType) for f in df.schema)
     return df, LoadStatus(
         spec.name, kind, spec.source.path or spec.source.view, status, reason, tuple(df.columns),
-        typed_columns, tuple((f.name, f.expression) for f in dropped),
+        typed_columns, tuple((f.name, f.expression) for f in dropped), spec.unapplied_filter,
     )
 
 
@@ -76,10 +79,14 @@ def _read(spark: SparkSession, spec: LoadSpec, kind: str, root: str, types: Type
     path = join_root(root, source.path)
     if kind == "delimited":
         return read_delimited(spark, path, source.options, [f.column for f in spec.physical()])
+    everything = spec.star or not spec.fields
     if kind == "excel":
         files = spark.read.format("binaryFile").load(path)
-        wanted = [f.column for f in spec.physical()]
         options = source.options
+        wanted = [f.column for f in spec.physical()]
+        if everything:
+            own = column_names(files, _sheet_name(options), bool(options.get("embedded_labels")))
+            wanted = own + [w for w in wanted if actual_name(own, w) is None]
         return read_workbooks(files, wanted, _sheet_name(options), bool(options.get("embedded_labels")))
     if kind == "inline":
         return read_inline(spark, source.text, _delimiter(source.options))
@@ -90,15 +97,24 @@ def _read(spark: SparkSession, spec: LoadSpec, kind: str, root: str, types: Type
     if kind in ("json", "xml"):
         names = dict.fromkeys(f.column for f in spec.physical())
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        reader = spark.read.schema(schema)
+        # all columns are known only once all rows have been looked at; they come as text
+        reader = spark.read if everything else spark.read.schema(schema)
         if kind == "json":
-            return reader.option("multiLine", bool(source.options.get("multiline"))).json(path)
-        return reader.format("xml").option("rowTag", source.options["row_tag"]).load(path)
+            reader = reader.option("multiLine", bool(source.options.get("multiline")))
+            return reader.option("primitivesAsString", True).json(path)
+        tag = _row_tag(source.options)
+        return reader.format("xml").option("rowTag", tag).option("inferSchema", False).load(path) if tag else None
     if kind == "sql" and source.text:
         return spark.sql(source.text)
     return None
 
 
+def _row_tag(options: dict) -> str:
+    """The tag of an XML row: given, or the last step of the table's path in a script."""
+    tag = options.get("row_tag") or options.get("table") or ""
+    return "" if tag is True else str(tag).strip("[]/ ").rsplit("/", 1)[-1]
+
+
 def _sheet_name(options: dict) -> str:
     sheet = options.get("table", "")
     return "" if sheet is True else str(sheet).strip().rstrip("$")
@@ -163,13 +179,6 @@ def read_inline(spark: SparkSession, text: str, delimiter: str = ",") -> DataFra
     return cells.select(*[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)])
 
 
-def actual_name(columns: list[str], wanted: str) -> str | None:
-    """The column of that name: exact first, then without regard to case."""
-    if wanted in columns:
-        return wanted
-    return next((c for c in columns if c.lower() == wanted.lower()), None)
-
-
 def select_or_null(df: DataFrame, names: list[str]) -> DataFrame:
     """The named columns in that order; one that is missing is null."""
     out = []
@@ -194,6 +203,9 @@ def shape(df: DataFrame, spec: LoadSpec, types: TypeBook, serial_dates: bool = F
     # an aggregate already carries its field's name
     fields = [replace(f, source="") if f.measure else f for f in spec.physical()]
     fields = fields or [Field(c) for c in rows.columns]
+    if spec.star:
+        given = {f.name.lower() for f in spec.physical()}
+        fields = [Field(c) for c in rows.columns if c.lower() not in given] + spec.physical()
     out = []
     for f in fields:
         found = actual_name(rows.columns, f.column)

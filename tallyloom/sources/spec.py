@@ -43,7 +43,10 @@ class Field:
 
 @dataclass(frozen=True)
 class LoadSpec:
-    """One load. No fields means every column of the source."""
+    """One load. No fields means every column of the source, ``star`` every column and then the fields.
+
+    ``unapplied_filter`` is a filter in the script's own language, which nothing here carries out.
+    """
 
     name: str
     source: Source
@@ -55,10 +58,13 @@ class LoadSpec:
     is_mapping: bool = False
     is_hidden: bool = False
     concatenate_to: str = ""
+    star: bool = False
+    unapplied_filter: str = ""
 
     def physical(self) -> list[Field]:
-        """The fields that the source holds; all of them if every one is derived."""
-        return [f for f in self.fields if not f.is_derived] or list(self.fields)
+        """The fields that the source holds; all of them if every one is derived and none else asked for."""
+        held = [f for f in self.fields if not f.is_derived]
+        return held if held or self.star else list(self.fields)
 
     def dropped(self) -> list[Field]:
         """Derived fields that the load leaves out."""
@@ -69,8 +75,8 @@ class LoadSpec:
 def spec_of(load) -> LoadSpec:
     """The spec of one parsed load, a row of ``operators.scripts.parse_loads``.
 
-    The filter text is written in the script's own language, so it is left for the reader to
-    restate as ``where``.
+    The filter text is written in the script's own language; it is carried along for the reader to
+    restate as ``where``, and the status of the load shows it.
     """
     fields = tuple(
         Field(f["field"], _bare(f["expression"]), f["expression"], f["is_derived"], tuple(f["tags"]))
@@ -82,6 +88,7 @@ def spec_of(load) -> LoadSpec:
     return LoadSpec(
         load["table"], source, fields, distinct=load["is_distinct"], is_mapping=load["is_mapping"],
         is_hidden=load["is_hidden"], concatenate_to=load["target"],
+        star=any(f["field"] == "*" for f in load["fields"]), unapplied_filter=load["filter"],
     )
 
 
@@ -103,3 +110,4 @@ class LoadStatus:
     columns: tuple[str, ...]
     typed_columns: int
     dropped: tuple[tuple[str, str], ...]
+    unapplied_filter: str = ""

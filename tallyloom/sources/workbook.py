@@ -13,6 +13,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import field
 
@@ -28,13 +29,46 @@ def read_workbooks(files: DataFrame, columns: list[str], sheet: str = "", header
     the columns, else the wanted columns are the first ones in order. A column that a workbook
     lacks is null. Cells come as text.
     """
-    cells = ", ".join(f"c{i} string" for i in range(len(columns)))
+    cells = "".join(f", c{i} string" for i in range(len(columns)))
     rows = files.select("path", "content").mapInPandas(
-        lambda batches: _rows(batches, columns, sheet, header), f"path string, row bigint, {cells}"
+        lambda batches: _rows(batches, columns, sheet, header), f"path string, row bigint{cells}"
     )
     return rows.select(*[field(f"c{i}").alias(name) for i, name in enumerate(columns)])
 
 
+def column_names(files: DataFrame, sheet: str = "", header: bool = True) -> list[str]:
+    """Every column of one sheet of the workbooks, in the order in which they first stand.
+
+    Without ``header`` columns are named by place, ``@1`` and on.
+    """
+    cells = workbook_cells(files, sheet)
+    if not header:
+        widest = cells.agg(F.max(F.size("cells"))).first()[0] or 0
+        return [f"@{i + 1}" for i in range(widest)]
+    named = cells.where("row = 0").select(F.posexplode("cells").alias("pos", "name")).where("name <> ''")
+    return [r["name"] for r in named.groupBy("name").agg(F.min("pos").alias("pos")).orderBy("pos", "name").collect()]
+
+
+def faulty_workbooks(files: DataFrame) -> DataFrame:
+    """(path, reason) of the workbooks that cannot be read; they give no rows."""
+
+    def faults(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            reasons = [(p, _fault(c)) for p, c in zip(batch["path"], batch["content"])]
+            yield pd.DataFrame([r for r in reasons if r[1]], columns=["path", "reason"])
+
+    return files.select("path", "content").mapInPandas(faults, "path string, reason string")
+
+
+def _fault(content: bytes) -> str:
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as book:
+            _sheet_part(book, "")
+            return "" if book.testzip() is None else "damaged part"
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as error:
+        return f"no workbook: {type(error).__name__}"
+
+
 def workbook_cells(files: DataFrame, sheet: str = "") -> DataFrame:
     """Rows (path, row, cells) of one sheet of every workbook, cells as an array of text."""
     return files.select("path", "content").mapInPandas(
@@ -67,7 +101,7 @@ def _rows(batches, columns: list[str], sheet: str, header: bool) -> Iterator[pd.
 
 def _each(batches):
     for batch in batches:
-        yield from zip(batch["path"], batch["content"])
+        yield from ((p, c) for p, c in zip(batch["path"], batch["content"]) if not _fault(c))
 
 
 def _places(labels: list, columns: list[str]) -> list[int]:

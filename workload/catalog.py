@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators import catalog as cat, checks, expressions as ex, profile, scripts as sc
 from tallyloom.plans.visuals import visual_type
 from tallyloom.session import scratch_path
-from tallyloom.sources.catalogue import read_catalogue, read_table, write_catalogue, write_objects
+from tallyloom.sources.catalogue import read_catalogue, read_table, write_catalogue
 from workload.derive import order_objects, read
 from workload.registry import query, sql_rows
 
@@ -27,6 +27,25 @@ def _kinds(spark, sf_dir):
     return cat.classify(order_objects(spark, sf_dir)).drop("text")
 
 
+@query(
+    "corpus_unreadable",
+    f"""SELECT app, CAST(k * 100 + 5 AS BIGINT) AS "offset", CAST(CASE k WHEN 1 THEN 0 WHEN 2 THEN length('{{"qScript":"' || o_orderpriority) ELSE length(o_orderpriority) END AS BIGINT) AS size,
+        CASE k WHEN 1 THEN 'no text' WHEN 2 THEN 'broken or cut JSON object' ELSE 'no JSON' END AS reason
+        FROM {APPS} AS apps, (VALUES (1), (2), (3)) AS ks(k)
+        UNION ALL SELECT app, 25, length('not json ' || o_orderkey), 'no JSON' FROM {APPS} AS apps""",
+)
+def _unreadable(spark, sf_dir):
+    """The objects of every order with three more that cannot be read."""
+    orders = read(spark, sf_dir, "orders")
+    cut = F.concat(F.lit('{"qScript":"'), "o_orderpriority")
+    broken = orders.select(
+        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("app"),
+        F.posexplode(F.array(F.lit(None).cast("string"), cut, F.col("o_orderpriority"))).alias("k", "text"),
+    ).select("app", ((F.col("k") + 1) * 100 + 5).cast("bigint").alias("offset"), "text")
+    objects = order_objects(spark, sf_dir).select("app", F.col("offset").cast("bigint"), "text")
+    return cat.unreadable(objects.unionByName(broken))
+
+
 @query(
     "catalog_sheets",
     sql_rows(
@@ -129,31 +148,26 @@ SCRIPT_LINES = [
 ]
 
 
-def _stored(spark, sf_dir):
-    """The objects of all orders, told apart and stored once for the queries that need several kinds."""
-    return write_objects(order_objects(spark, sf_dir), scratch_path(spark, "objects"))
-
-
 @query(
     "catalog_summary",
     sql_rows(
-        APPS, ["section", "place", "line"],
+        APPS, ["section", "sheet", "pos", "nested", "line"],
         [
-            ("table", "000000", "{o_orderpriority} ({o_orderkey} rows x 3 fields)"),
-            ("table", "000002", "Notes (0 rows x 0 fields)"),
-            ("field", "000000", "OrderID cardinality={o_orderkey} rows={o_custkey}"),
-            ("field", "000001", "{o_orderstatus} cardinality=0 rows=0"),
-            ("chart", "s{o_orderkey}/0000/0000", '[{shape}] "Total {o_orderpriority}" dims:  measures: Sum([{o_orderpriority}])'),
-            ("chart", "s{o_orderkey}/0002/0000", '[container] "Box" dims:  measures: '),
-            ("chart", "s{o_orderkey}/0002/0001",
+            ("table", "", 0, 0, "{o_orderpriority} ({o_orderkey} rows x 3 fields)"),
+            ("table", "", 2, 0, "Notes (0 rows x 0 fields)"),
+            ("field", "", 0, 0, "OrderID cardinality={o_orderkey} rows={o_custkey}"),
+            ("field", "", 1, 0, "{o_orderstatus} cardinality=0 rows=0"),
+            ("chart", "s{o_orderkey}", 0, 0, '[{shape}] "Total {o_orderpriority}" dims:  measures: Sum([{o_orderpriority}])'),
+            ("chart", "s{o_orderkey}", 2, 0, '[container] "Box" dims:  measures: '),
+            ("chart", "s{o_orderkey}", 2, 1,
              "[barchart] \"By {o_orderstatus}\" dims: {o_orderstatus} measures: Count({<Status={'{o_orderstatus}'}>} OrderID)"),
-            ("chart", "s{o_orderkey}/0002/0003", '[] "" dims:  measures: '),
-            *[("script", f"{i:06}", line) for i, line in enumerate(SCRIPT_LINES)],
+            ("chart", "s{o_orderkey}", 2, 3, '[] "" dims:  measures: '),
+            *[("script", "", i, 0, line) for i, line in enumerate(SCRIPT_LINES)],
         ],
     ),
 )
 def _summary(spark, sf_dir):
-    objects = _stored(spark, sf_dir)
+    objects = cat.classify(order_objects(spark, sf_dir))
     return cat.summary(objects, sc.script_head(cat.catalog_scripts(objects)))
 
 
@@ -173,7 +187,7 @@ def _visual_types(spark, sf_dir):
     f"SELECT app, 2::BIGINT AS pages, 4::BIGINT AS visuals, kpi::BIGINT AS kpis FROM {APPS}",
 )
 def _volumetrics(spark, sf_dir):
-    objects = _stored(spark, sf_dir)
+    objects = cat.classify(order_objects(spark, sf_dir))
     return profile.app_volumetrics(cat.catalog_sheets(objects), cat.catalog_charts(objects))
 
 
@@ -193,8 +207,8 @@ def _volumetrics(spark, sf_dir):
     + ")",
 )
 def _audit(spark, sf_dir):
-    objects = _stored(spark, sf_dir)
-    tables = sc.audit_tables(sc.parse_tables(cat.catalog_scripts(objects)))
+    objects = cat.classify(order_objects(spark, sf_dir))
+    tables = sc.audit_tables(sc.parse_tables(cat.catalog_scripts(objects)), cat.catalog_fields(objects))
     unresolved = ex.classify(cat.catalog_measures(objects)).where("class = 'unresolved'")
     return checks.audit_summary(
         tables, cat.catalog_fields(objects), cat.catalog_sheets(objects), cat.catalog_charts(objects), unresolved

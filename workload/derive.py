@@ -12,10 +12,6 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.plans.aggregate import estimated_bytes
-
-SMALL = 64 << 20
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -67,8 +63,8 @@ DROP TABLE [{p_name}]"""
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table over all cores before costly work on every row; a large one is split already."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if estimated_bytes(df) < SMALL else df
+    """Rows dealt evenly before costly work on every one."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def part_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:

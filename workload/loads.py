@@ -346,3 +346,43 @@ def _fabricated(spark, sf_dir):
     return found[0].unionByName(found[1])
 
 
+
+
+def _star_spec(spark, sf_dir, kind: str, *fields: Field) -> LoadSpec:
+    """A load of everything, and of more fields, from nations written in one format."""
+    nation = as_text(read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    options = {"delimited": {"embedded_labels": True}, "xml": {"table": "[nations/nation]"}}.get(kind, {})
+    if kind == "resident":
+        nation.createOrReplaceTempView("star_nations")
+        return LoadSpec("Nations", Source("resident", view="star_nations"), fields, star=True)
+    settings = {"delimited": {"header": True}, "xml": {"rowTag": "nation", "rootTag": "nations"}}.get(kind, {})
+    path = written(nation, scratch_path(spark, f"star-{kind}"), "csv" if kind == "delimited" else kind, **settings)
+    return LoadSpec("Nations", Source(kind, path, options), fields, star=True)
+
+
+_KINDS = ("delimited", "json", "xml", "resident")
+
+
+def _star_rows(spark, sf_dir, *fields: Field):
+    book = TypeBook([{"name": "n_nationkey", "tags": ["$numeric", "$integer"]}])
+    out = None
+    for kind in _KINDS:
+        rows = load_table(spark, _star_spec(spark, sf_dir, kind, *fields), book)[0].withColumn("kind", F.lit(kind))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_KIND_ROWS = "(VALUES ('delimited'), ('json'), ('xml'), ('resident')) AS kinds(kind)"
+
+
+@query("load_star", f"SELECT n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey, kind FROM nation, {_KIND_ROWS}")
+def _star(spark, sf_dir):
+    return _star_rows(spark, sf_dir, Field("Up", "", "Upper(n_name)", is_derived=True))
+
+
+@query(
+    "load_star_alias",
+    f"SELECT n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey, n_name AS Nation, kind FROM nation, {_KIND_ROWS}",
+)
+def _star_alias(spark, sf_dir):
+    return _star_rows(spark, sf_dir, Field("Nation", "n_name"))

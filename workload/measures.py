@@ -244,8 +244,8 @@ def _sheet_sql(visuals_: list[tuple[str, str | None, str]]) -> str:
         label = f"CAST({dim} AS VARCHAR)" if dim else "CAST(NULL AS VARCHAR)"
         group = f" GROUP BY {dim}" if dim else ""
         parts.append(
-            f"SELECT '{name}' AS visual, {label} AS category, round(CAST({_SUMS.get(measure, measure)} AS DOUBLE), 4) AS value"
-            f" FROM lineitem{group}"
+            f"SELECT '{name}' AS visual, {label} AS category, round(CAST({_SUMS.get(measure, measure)} AS DOUBLE), 4) AS value,"
+            f" CAST(NULL AS VARCHAR) AS text FROM lineitem{group}"
         )
     return " UNION ALL ".join(parts)
 
@@ -290,7 +290,11 @@ query(
             ("filtered", "l_returnflag", "sum(CASE WHEN l_linestatus = 'O' THEN l_quantity END)"),
         ]
     )
-    + """ UNION ALL SELECT 'own filter', d.l_linestatus, t.value FROM (SELECT DISTINCT l_linestatus FROM lineitem) d,
+    + """ UNION ALL SELECT 'first ship', l_returnflag, NULL, CAST(min(l_shipdate) AS VARCHAR) FROM lineitem GROUP BY l_returnflag
+        UNION ALL SELECT 'last status', NULL, NULL, max(l_linestatus) FROM lineitem
+        UNION ALL SELECT 'no column', NULL, NULL, NULL
+        UNION ALL SELECT 'any case', l_returnflag, round(CAST(sum(l_quantity) AS DOUBLE), 4), NULL FROM lineitem GROUP BY l_returnflag
+        UNION ALL SELECT 'own filter', d.l_linestatus, t.value, NULL FROM (SELECT DISTINCT l_linestatus FROM lineitem) d,
         (SELECT round(sum(l_quantity), 4) AS value FROM lineitem WHERE l_linestatus = 'F') t""",
 )
 def _sheet(spark, sf_dir):
@@ -307,7 +311,37 @@ def _sheet(spark, sf_dir):
             sheets.Visual("parts", "l_returnflag", M.count_distinct("l_partkey")),
             sheets.Visual("middle", "l_linestatus", M.median("l_extendedprice")),
             sheets.Visual("filtered", "l_returnflag", M.filtered(quantity, "l_linestatus", "O")),
+            sheets.Visual("first ship", "l_returnflag", M.minimum("l_shipdate")),
+            sheets.Visual("last status", None, M.maximum("l_linestatus")),
+            sheets.Visual("no column", None, M.total("nowhere")),
+            sheets.Visual("any case", "L_ReturnFlag", M.total("L_QUANTITY")),
             sheets.Visual("own filter", "l_linestatus", M.filtered(quantity, "l_linestatus", "F")),
         ],
     )
     return out.withColumn("value", F.round("value", 4))
+
+
+@query(
+    "dashboard_two_tables",
+    """SELECT 'priced' AS visual, o_orderpriority AS category, round(CAST(sum(o_totalprice) AS DOUBLE), 4) AS value, CAST(NULL AS VARCHAR) AS text
+          FROM orders GROUP BY o_orderpriority
+        UNION ALL SELECT 'quantity', o_orderpriority, (SELECT round(CAST(sum(l_quantity) AS DOUBLE), 4) FROM lineitem), NULL
+          FROM (SELECT DISTINCT o_orderpriority FROM orders)
+        UNION ALL SELECT 'flags', l_returnflag, count(*), NULL FROM lineitem GROUP BY l_returnflag
+        UNION ALL SELECT 'lines', NULL, round(CAST(sum(l_tax) AS DOUBLE), 4), NULL FROM lineitem
+        UNION ALL SELECT 'nobody', NULL, NULL, NULL""",
+)
+def _two_tables(spark, sf_dir):
+    """Dimensions and measures in the first table that has them; an unrelated measure shows its total."""
+    tables = {name: read(spark, sf_dir, name) for name in ("orders", "lineitem")}
+    out = sheets.sheet_of_tables(
+        tables,
+        [
+            sheets.Visual("priced", "o_orderpriority", M.total("o_totalprice")),
+            sheets.Visual("quantity", "o_orderpriority", M.total("l_quantity")),
+            sheets.Visual("flags", "l_returnflag"),
+            sheets.Visual("lines", None, M.total("l_tax")),
+            sheets.Visual("nobody", None, M.total("not_there")),
+        ],
+    )
+    return out.withColumn("value", F.round("value", 4))

@@ -191,24 +191,24 @@ def _roots(spark, sf_dir):
 
 
 _STATUS = [
-    (5, "{p_name}", "{kind}", "lib://{p_brand}/" + _PATH, "connected", "", 2, 2, 3),
-    (5, "{p_name}", "qvd", "lib://{p_brand}/" + _PATH, "schema-only", REASONS["qvd"], 5, 2, 3),
-    (5, "{p_name}", "fixed", "lib://{p_brand}/" + _PATH, "schema-only", REASONS["fixed"], 5, 2, 0),
-    (6, "Stores", "resident", "{p_name}", "connected", "", 2, 0, 0),
-    (7, "MapCity", "inline", "", "connected", "", 2, 0, 0),
-    (8, "__Helper", "inline", "", "connected", "", 2, 0, 0),
-    (9, "regions_{p_size}", "excel", "lib://Shared/geo/regions_{p_size}.xlsx", "connected", "", 2, 0, 0),
-    (10, "{p_name}", "delimited", "extra_{p_partkey}.csv", "connected", "", 2, 0, 0),
-    (12, "Live", "sql", "", "schema-only", REASONS["sql"], 2, 0, 0),
-    (13, "regions_{p_size}", "delimited", "lib://Other/regions_{p_size}.csv", "connected", "", 2, 0, 0),
-    (14, "Forecast", "unknown", "", "schema-only", REASONS["unknown"], 2, 0, 0),
+    (5, "{p_name}", "{kind}", "lib://{p_brand}/" + _PATH, "connected", "", 2, 2, 3, "WHERE Amount > {p_size}"),
+    (5, "{p_name}", "qvd", "lib://{p_brand}/" + _PATH, "schema-only", REASONS["qvd"], 5, 2, 3, "WHERE Amount > {p_size}"),
+    (5, "{p_name}", "fixed", "lib://{p_brand}/" + _PATH, "schema-only", REASONS["fixed"], 5, 2, 0, "WHERE Amount > {p_size}"),
+    (6, "Stores", "resident", "{p_name}", "connected", "", 2, 0, 0, "WHERE City <> 'x;y'"),
+    (7, "MapCity", "inline", "", "connected", "", 2, 0, 0, ""),
+    (8, "__Helper", "inline", "", "connected", "", 2, 0, 0, ""),
+    (9, "regions_{p_size}", "excel", "lib://Shared/geo/regions_{p_size}.xlsx", "connected", "", 2, 0, 0, ""),
+    (10, "{p_name}", "delimited", "extra_{p_partkey}.csv", "connected", "", 2, 0, 0, ""),
+    (12, "Live", "sql", "", "schema-only", REASONS["sql"], 2, 0, 0, ""),
+    (13, "regions_{p_size}", "delimited", "lib://Other/regions_{p_size}.csv", "connected", "", 2, 0, 0, ""),
+    (14, "Forecast", "unknown", "", "schema-only", REASONS["unknown"], 2, 0, 0, ""),
 ]
 _BY_KIND = {0: READABLE, 1: "kind = 'qvd'", 2: "kind = 'fixed'"}
 
 
 @query(
     "load_status",
-    sql_rows(PARTS, ["pos", '"table"', "kind", "path", "status", "reason", "n_columns", "n_typed", "n_dropped"], _STATUS, _BY_KIND),
+    sql_rows(PARTS, ["pos", '"table"', "kind", "path", "status", "reason", "n_columns", "n_typed", "n_dropped", "unapplied_filter"], _STATUS, _BY_KIND),
 )
 def _status(spark, sf_dir):
     return sc.load_status(_loads(spark, sf_dir))
@@ -459,3 +459,20 @@ def _visual_refs(spark, sf_dir):
 @query("check_empty_tables", sql_rows(APPS, ['"table"'], [("Empty {p_type}",)]))
 def _empty_tables(spark, sf_dir):
     return checks.check_empty_tables(_model_tables(spark, sf_dir), _columns(spark, sf_dir))
+
+
+@query(
+    "audit_type_evidence",
+    """SELECT 'app' || p_partkey AS app, 'T' AS "table", CAST(2 AS INTEGER) AS n_columns, CAST(CASE WHEN p_size % 4 = 0 THEN 0 ELSE 1 END AS INTEGER) AS n_typed,
+        'WHERE B > 1' AS unapplied_filter FROM part""",
+)
+def _type_evidence(spark, sf_dir):
+    """Types of a field by tags in the script, in the data model, in both, or in neither."""
+    part = read(spark, sf_dir, "part").withColumn("app", F.concat(F.lit("app"), F.col("p_partkey").cast("string")))
+    in_script = F.when(F.col("p_size") % 4 >= 2, " Tagged ('$integer')").otherwise("")
+    scripts = part.select(
+        "app", F.concat(F.lit("T: LOAD a"), in_script, F.lit(", B FROM [t.csv] (txt, embedded labels) WHERE B > 1;")).alias("script")
+    )
+    in_model = F.when(F.col("p_size") % 2 == 1, F.array(F.lit("$integer"), F.lit("$numeric"))).otherwise(F.array().cast("array<string>"))
+    metadata = part.select("app", F.lit("A").alias("field"), in_model.alias("tags"), F.lit(False).alias("is_numeric"))
+    return sc.load_status(sc.parse_loads(scripts), metadata).select("app", "table", "n_columns", "n_typed", "unapplied_filter")
