@@ -14,26 +14,32 @@ SCRIPT, SHEET, MODEL, PROPERTIES, VARIABLES = "script", "sheet", "data_model", "
 
 # --- fixed values: keys of the stored objects
 _SHEET = (
-    "qRoot struct<qProperty: struct<qInfo: struct<qId: string>, rank: double,"
-    " qMetaDef: struct<title: string, description: string>>,"
+    "qRoot struct<qProperty: struct<qInfo: struct<qId: string>, rank: double, creationDate: string,"
+    " columns: bigint, rows: bigint, cells: string, qMetaDef: struct<title: string, description: string>>,"
     " qChildren: array<struct<qProperty: string, qChildren: array<struct<qProperty: string>>>>>"
 )
 _CHART = (
     "qInfo struct<qId: string, qType: string>, visualization string, title string,"
-    " qHyperCubeDef struct<"
+    " subtitle string, footnote string, showTitles boolean, qHyperCubeDef struct<"
     "qDimensions: array<struct<qDef: struct<qFieldDefs: array<string>, qFieldLabels: array<string>,"
     " qSortCriterias: array<string>>>>,"
-    " qMeasures: array<struct<qDef: struct<qDef: string, qLabel: string>>>>"
+    " qMeasures: array<struct<qDef: struct<qDef: string, qLabel: string, qNumFormat: string>>>>"
 )
+SETTINGS = (
+    "color", "legend", "orientation", "gridLine", "dataPoint", "dimensionAxis", "measureAxis", "tooltip", "barGrouping",
+    "lineType", "donut", "scrollbar", "version",
+)
+_CHART += "".join(f", {key} string" for key in SETTINGS)
 _MODEL = (
     "qfields array<struct<qname: string, qsrc_tables: array<string>, qcardinal: bigint,"
     " qtotal_count: bigint, qis_numeric: boolean, qtags: array<string>, qbyte_size: bigint,"
     " qis_system: boolean, qis_hidden: boolean>>,"
     " qtables array<struct<qname: string, qno_of_rows: bigint, qno_of_fields: bigint,"
-    " qno_of_key_fields: bigint, qbyte_size: bigint, qis_system: boolean>>"
+    " qno_of_key_fields: bigint, qbyte_size: bigint, qis_system: boolean>>,"
+    " qreload_meta string, qstatic_byte_size bigint, qusage string"
 )
 _PROPERTIES = (
-    "qTitle string, qLastReloadTime string, qSavedInProductVersion string, qUsage string, owner string"
+    "qTitle string, qLastReloadTime string, qSavedInProductVersion string, qUsage string, owner string, qThumbnail string"
 )
 _VARIABLES = (
     "qId string, qEntryList array<struct<qProperties: struct<qName: string, qDefinition: string>,"
@@ -42,7 +48,7 @@ _VARIABLES = (
 
 # --- fixed values: one row per app, as read from catalogue files.
 CATALOGUE = (
-    "app struct<name: string, path: string, size_bytes: bigint, extracted_at: string>,"
+    "file struct<name: string, path: string, size_bytes: bigint, extracted_at: string>,"
     " header map<string, string>,"
     " app_properties struct<title: string, last_reload: string, saved_in_version: string,"
     " usage: string, owner: string, thumbnail: map<string, string>>,"
@@ -50,12 +56,16 @@ CATALOGUE = (
     " data_model struct<"
     "tables: array<struct<name: string, rows: bigint, fields: bigint, key_fields: bigint, byte_size: bigint>>,"
     " fields: array<struct<name: string, source_table: array<string>, cardinality: bigint,"
-    " total_count: bigint, is_numeric: boolean, tags: array<string>, byte_size: bigint>>>,"
-    " sheets array<struct<id: string, title: string, description: string, rank: double,"
-    " charts: array<struct<id: string, type: string, visualization: string, title: string, parent: string,"
-    " dimensions: array<struct<field: string, label: string>>,"
-    " measures: array<struct<expression: string, label: string>>>>>>,"
-    " variables array<struct<list_id: string, name: string, definition: string, is_script_created: boolean>>"
+    " total_count: bigint, is_numeric: boolean, tags: array<string>, byte_size: bigint>>,"
+    " meta: struct<reload_meta: string, static_byte_size: bigint, usage: string>>,"
+    " sheets array<struct<id: string, title: string, description: string, rank: double, created: string,"
+    " layout: struct<columns: bigint, rows: bigint>, cells: string,"
+    " charts: array<struct<id: string, type: string, visualization: string, title: string, subtitle: string,"
+    " footnote: string, showTitles: boolean, parent: string,"
+    " dimensions: array<struct<field: string, label: string, sort: string>>,"
+    " measures: array<struct<expression: string, label: string, format: string>>, settings: string>>>>,"
+    " variables array<struct<list_id: string, name: string, definition: string, is_script_created: boolean>>,"
+    " security_metadata array<string>"
 )
 
 
@@ -154,6 +164,38 @@ def catalog_sheets(objects: DataFrame) -> DataFrame:
     )
 
 
+def catalog_sheet_details(objects: DataFrame) -> DataFrame:
+    """(app, sheet, created, columns, rows, cells): the grid of every sheet, its cells as JSON text."""
+    p = "o.qRoot.qProperty"
+    return _of_kind(objects, SHEET, _SHEET).select(
+        "app", F.coalesce(f"{p}.qInfo.qId", F.lit("")).alias("sheet"),
+        F.coalesce(f"{p}.creationDate", F.lit("")).alias("created"),
+        F.coalesce(f"{p}.columns", F.lit(0)).cast("bigint").alias("columns"),
+        F.coalesce(f"{p}.rows", F.lit(0)).cast("bigint").alias("rows"),
+        F.coalesce(f"{p}.cells", F.lit("[]")).alias("cells"),
+    )
+
+
+def catalog_chart_details(objects: DataFrame) -> DataFrame:
+    """(app, sheet, pos, nested, chart, subtitle, footnote, show_titles, settings), the settings as JSON text by key."""
+    given = F.map_from_arrays(F.array(*[F.lit(k) for k in SETTINGS]), F.array(*[F.col(f"c.{k}") for k in SETTINGS]))
+    return _chart_nodes(objects).select(
+        "app", "sheet", "pos", "nested", _chart_id(),
+        F.coalesce("c.subtitle", F.lit("")).alias("subtitle"), F.coalesce("c.footnote", F.lit("")).alias("footnote"),
+        F.coalesce("c.showTitles", F.lit(False)).alias("show_titles"),
+        F.map_filter(given, lambda _, v: v.isNotNull()).alias("settings"),
+    )
+
+
+def catalog_models(objects: DataFrame) -> DataFrame:
+    """(app, reload_meta, static_byte_size, usage) of every data model, the reload data as JSON text."""
+    return _of_kind(objects, MODEL, _MODEL).select(
+        "app", F.coalesce("o.qreload_meta", F.lit("{}")).alias("reload_meta"),
+        F.coalesce("o.qstatic_byte_size", F.lit(0)).cast("bigint").alias("static_byte_size"),
+        F.coalesce("o.qusage", F.lit("")).alias("usage"),
+    )
+
+
 def _chart_nodes(objects: DataFrame) -> DataFrame:
     """Every chart, and the charts one level inside it, with its parsed definition."""
     sheets = _of_kind(objects, SHEET, _SHEET).select(
@@ -217,7 +259,7 @@ def catalog_dimensions(objects: DataFrame) -> DataFrame:
 
 
 def catalog_measures(objects: DataFrame) -> DataFrame:
-    """(app, sheet, chart, pos, expression, label)."""
+    """(app, sheet, chart, pos, expression, label, format), the number format as JSON text."""
     each = _chart_nodes(objects).select(
         "app", "sheet", _chart_id(), F.posexplode("c.qHyperCubeDef.qMeasures").alias("pos", "m")
     )
@@ -225,6 +267,7 @@ def catalog_measures(objects: DataFrame) -> DataFrame:
         "app", "sheet", "chart", "pos",
         F.coalesce("m.qDef.qDef", F.lit("")).alias("expression"),
         F.coalesce("m.qDef.qLabel", F.lit("")).alias("label"),
+        F.coalesce("m.qDef.qNumFormat", F.lit("{}")).alias("format"),
     )
 
 
@@ -272,10 +315,10 @@ def catalog_variables(objects: DataFrame) -> DataFrame:
 
 
 def catalog_apps(objects: DataFrame) -> DataFrame:
-    """(app, title, last_reload, saved_in_version, usage, owner)."""
+    """(app, title, last_reload, saved_in_version, usage, owner, thumbnail)."""
     names = {
         "title": "qTitle", "last_reload": "qLastReloadTime", "saved_in_version": "qSavedInProductVersion",
-        "usage": "qUsage", "owner": "owner",
+        "usage": "qUsage", "owner": "owner", "thumbnail": "qThumbnail",
     }
     return _of_kind(objects, PROPERTIES, _PROPERTIES).select(
         "app", *[F.coalesce(f"o.{key}", F.lit("")).alias(name) for name, key in names.items()]

@@ -114,7 +114,7 @@ def test_sheet_without_charts(spark):
 
 
 def test_catalogue_file_over_many_lines(spark, tmp_path):
-    record = {"app": {"name": "x"}, "data_model": {"tables": [{"name": "T", "rows": 3}]}, "variables": [], "unknown": 1}
+    record = {"file": {"name": "x"}, "data_model": {"tables": [{"name": "T", "rows": 3}]}, "variables": [], "unknown": 1}
     (tmp_path / "catalogue.json").write_text(json.dumps(record, indent=2))
-    row = read_catalogue(spark, str(tmp_path)).select("app.name", F.col("data_model.tables")[0]["rows"].alias("n")).first()
+    row = read_catalogue(spark, str(tmp_path)).select("file.name", F.col("data_model.tables")[0]["rows"].alias("n")).first()
     assert tuple(row) == ("x", 3)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import catalog as cat, checks, expressions as ex, profile, scripts as sc
+from tallyloom.operators import catalog as cat, checks, expressions as ex, models, profile, scripts as sc
 from tallyloom.plans.visuals import visual_type
 from tallyloom.session import scratch_path
 from tallyloom.sources.catalogue import read_catalogue, read_table, write_catalogue
@@ -87,13 +87,13 @@ def _dimensions(spark, sf_dir):
 
 
 MEASURES = [
-    ("s{o_orderkey}", "k{o_orderkey}", 0, "Sum([{o_orderpriority}])", "T"),
-    ("s{o_orderkey}", "b1", 0, "Count({<Status={'{o_orderstatus}'}>} OrderID)", ""),
-    ("s{o_orderkey}", "b1", 1, "", "none"),
+    ("s{o_orderkey}", "k{o_orderkey}", 0, "Sum([{o_orderpriority}])", "T", '{"qType":"M"}'),
+    ("s{o_orderkey}", "b1", 0, "Count({<Status={'{o_orderstatus}'}>} OrderID)", "", "{}"),
+    ("s{o_orderkey}", "b1", 1, "", "none", "{}"),
 ]
 
 
-@query("catalog_measures", sql_rows(APPS, ["sheet", "chart", "pos", "expression", "label"], MEASURES))
+@query("catalog_measures", sql_rows(APPS, ["sheet", "chart", "pos", "expression", "label", "format"], MEASURES))
 def _measures(spark, sf_dir):
     return cat.catalog_measures(order_objects(spark, sf_dir))
 
@@ -132,8 +132,8 @@ def _variables(spark, sf_dir):
 @query(
     "catalog_apps",
     sql_rows(
-        APPS, ["title", "last_reload", "saved_in_version", "usage", "owner"],
-        [("App {o_orderkey}", "{o_orderdate}", "1.{o_custkey}", "", "u{o_custkey}")],
+        APPS, ["title", "last_reload", "saved_in_version", "usage", "owner", "thumbnail"],
+        [("App {o_orderkey}", "{o_orderdate}", "1.{o_custkey}", "", "u{o_custkey}", '{"q":"t{o_custkey}"}')],
     ),
 )
 def _apps(spark, sf_dir):
@@ -228,9 +228,9 @@ def _records(spark, sf_dir):
                  F.array(F.struct(F.lit("Sum(x)").alias("expression"))).alias("measures"))
     )
     return orders.select(
-        F.struct(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("name"), F.col("o_orderkey").alias("size_bytes")).alias("app"),
+        F.struct(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("name"), F.col("o_orderkey").alias("size_bytes")).alias("file"),
         F.struct(F.col("o_orderpriority").alias("title")).alias("app_properties"),
-        F.struct(fields.alias("fields")).alias("data_model"),
+        F.struct(fields.alias("fields"), F.struct(F.col("o_custkey").alias("static_byte_size")).alias("meta")).alias("data_model"),
         F.array(F.struct(F.lit("s1").alias("id"), charts.alias("charts"))).alias("sheets"),
     )
 
@@ -238,29 +238,29 @@ def _records(spark, sf_dir):
 @query(
     "catalog_read",
     """SELECT 'o' || o_orderkey AS app, o_orderpriority AS title, o_orderpriority AS field, o_custkey AS cardinality, 'Orders' AS source_table,
-       o_orderstatus AS chart_title, 'Sum(x)' AS expression, 0 AS n_variables FROM orders""",
+       o_orderstatus AS chart_title, 'Sum(x)' AS expression, 0 AS n_variables, o_custkey AS static_byte_size FROM orders""",
 )
 def _read_catalogue(spark, sf_dir):
     path = scratch_path(spark, "catalogue-json")
     _records(spark, sf_dir).write.json(path)
     records = read_catalogue(spark, path, multiline=False)
     return records.select(
-        F.col("app.name").alias("app"), F.col("app_properties.title").alias("title"),
-        F.explode("data_model.fields").alias("f"), "sheets",
+        F.col("file.name").alias("app"), F.col("app_properties.title").alias("title"),
+        F.explode("data_model.fields").alias("f"), "sheets", F.col("data_model.meta.static_byte_size").alias("static_byte_size"),
         F.coalesce(F.array_size("variables"), F.lit(0)).alias("n_variables"),
     ).select(
         "app", "title", F.col("f.name").alias("field"), F.col("f.cardinality").alias("cardinality"),
         F.col("f.source_table")[0].alias("source_table"),
         F.col("sheets")[0]["charts"][0]["title"].alias("chart_title"),
         F.col("sheets")[0]["charts"][0]["measures"][0]["expression"].alias("expression"),
-        "n_variables",
+        "n_variables", "static_byte_size",
     )
 
 
 @query(
     "catalog_roundtrip",
     f"""SELECT app, chart, expression, type FROM ({sql_rows(APPS, CHART_NAMES, CHARTS)}) c
-        JOIN ({sql_rows(APPS, ["sheet", "chart", "pos", "expression", "label"], MEASURES)}) m USING (app, sheet, chart)""",
+        JOIN ({sql_rows(APPS, ["sheet", "chart", "pos", "expression", "label", "format"], MEASURES)}) m USING (app, sheet, chart)""",
 )
 def _roundtrip(spark, sf_dir):
     objects = order_objects(spark, sf_dir)
@@ -270,3 +270,83 @@ def _roundtrip(spark, sf_dir):
     charts, measures = (read_table(spark, path, name) for name in tables)
     met = charts.drop("pos").join(measures, ["app", "sheet", "chart"])
     return met.select("app", "chart", "expression", "type")
+
+
+@query(
+    "catalog_details",
+    sql_rows(
+        APPS, ["section", "name", "detail"],
+        [
+            ("sheet", "s{o_orderkey}", '{o_orderdate} 24x12 [{"name":"k{o_orderkey}"}]'),
+            ("sheet", "e{o_orderkey}", " 0x0 []"),
+            ("chart", "k{o_orderkey}", 'sub {o_orderstatus}|f{o_custkey}|true|color={"auto":false};donut={"n":{o_custkey}}'),
+            *[("chart", name, "||false|") for name in ("box", "b1", "")],
+            ("model", "", '{"cpu":{o_custkey}} {o_orderkey} '),
+        ],
+    ),
+)
+def _details(spark, sf_dir):
+    """What sheets, charts and models hold beside the columns of the flat tables."""
+    objects = cat.classify(order_objects(spark, sf_dir))
+    sheets = cat.catalog_sheet_details(objects).select(
+        "app", F.lit("sheet").alias("section"), F.col("sheet").alias("name"), F.format_string("%s %dx%d %s", "created", "columns", "rows", "cells").alias("detail")
+    )
+    settings = F.array_join(F.transform(F.map_entries("settings"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    charts = cat.catalog_chart_details(objects).select(
+        "app", F.lit("chart").alias("section"), F.col("chart").alias("name"),
+        F.concat_ws("|", "subtitle", "footnote", F.col("show_titles").cast("string"), settings).alias("detail"),
+    )
+    models = cat.catalog_models(objects).select(
+        "app", F.lit("model").alias("section"), F.lit("").alias("name"), F.format_string("%s %d %s", "reload_meta", "static_byte_size", "usage").alias("detail")
+    )
+    return sheets.unionByName(charts).unionByName(models)
+
+
+@query(
+    "model_measures",
+    sql_rows(
+        APPS, ['"table"', "pos", "measure", "expression"],
+        [
+            ("Orders", 0, "Total Orders Rows", "Count(*)"),
+            ("Orders", 1, "Total Amount", "Sum([Amount])"),
+            ("Orders", 2, "Amount Average", "Avg(Amount)"),
+            ("Other {o_orderstatus}", 0, "Total Other {o_orderstatus} Rows", "Count(*)"),
+            ("Other {o_orderstatus}", 1, "Total Weight", "Sum([Weight])"),
+            ("Other {o_orderstatus}", 2, "Amount per Weight", "Sum(Amount) / Sum(Weight)"),
+            ("Orders", 3, "Amount per Weight", "Sum(Amount) / Sum(Weight)"),
+        ],
+    ),
+)
+def _model_measures(spark, sf_dir):
+    """The measure table of every app's model."""
+    orders = read(spark, sf_dir, "orders").withColumn("app", F.concat(F.lit("o"), F.col("o_orderkey").cast("string")))
+    other = F.concat(F.lit("Other "), "o_orderstatus")
+
+    def column(table, pos, name, kind):
+        table = F.lit(table) if isinstance(table, str) else table
+        return F.struct(table.alias("table"), F.lit(pos).alias("pos"), F.lit(name).alias("column"), F.lit(kind).alias("type"))
+
+    columns = orders.select("app", F.inline(F.array(
+        column("Orders", 0, "Order_ID", "int64"), column("Orders", 1, "Amount", "double"), column("Orders", 2, "Status", "string"),
+        column(other, 0, "Weight", "double"),
+    )))
+    texts = ("Avg(Amount)", "Sum(Amount) / Sum(Weight)", "Avg(Amount)", "Max(Elsewhere)")
+    expressions = orders.select("app", F.posexplode(F.array(*[F.lit(t) for t in texts])).alias("pos", "expression"))
+    return models.model_measures(columns, expressions)
+
+
+@query(
+    "fallback_tables",
+    sql_rows(
+        APPS, ['"table"', "pos", "field"],
+        [("{o_orderpriority}", 0, "OrderID"), ("{o_orderpriority}", 1, "{o_orderstatus}")],
+        {0: "suffix = 'qvd'", 1: "suffix = 'qvd'"},
+    ),
+)
+def _fallback(spark, sf_dir):
+    """Apps of which no load can be read fall back on the fields of their data model."""
+    objects = cat.classify(order_objects(spark, sf_dir))
+    loads = sc.parse_tables(cat.catalog_scripts(objects)).join(
+        read(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("app")), "app"
+    )
+    return models.fallback_tables(loads, cat.catalog_fields(objects), cat.catalog_tables(objects)).select("app", "table", "pos", "field")

@@ -85,7 +85,8 @@ def part_expressions(spark: SparkSession, sf_dir: str, templates: list[str]) ->
 
 
 _KPI = """{"qProperty":{"qInfo":{"qId":"k{o_orderkey}","qType":"{shape}"},"title":"Total {o_orderpriority}","visualization":"big",
- "qHyperCubeDef":{"qDimensions":[],"qMeasures":[{"qDef":{"qDef":"Sum([{o_orderpriority}])","qLabel":"T"}}]}}}"""
+ "subtitle":"sub {o_orderstatus}","footnote":"f{o_custkey}","showTitles":true,"color":{"auto":false},"donut":{"n":{o_custkey}},
+ "qHyperCubeDef":{"qDimensions":[],"qMeasures":[{"qDef":{"qDef":"Sum([{o_orderpriority}])","qLabel":"T","qNumFormat":{"qType":"M"}}}]}}}"""
 _INNER = """{"qProperty":{"qInfo":{"qId":"b1","qType":"barchart"},"title":"By {o_orderstatus}",
  "qHyperCubeDef":{"qDimensions":[
    {"qDef":{"qFieldDefs":["{o_orderstatus}","x"],"qFieldLabels":["State"],"qSortCriterias":[{"qSortByNumeric":1},{"qSortByAscii":-1}]}},
@@ -98,7 +99,7 @@ _BOX = (
     + """,{"qProperty":{}},{"qProperty":{"visualization":"note"}}]}"""
 )
 _SHEET = (
-    """{"qMetaData":{"qType":"sheet"},"qRoot":{"qProperty":{"qInfo":{"qId":"s{o_orderkey}"},"rank":1.5,
+    """{"qMetaData":{"qType":"sheet"},"qRoot":{"qProperty":{"qInfo":{"qId":"s{o_orderkey}"},"rank":1.5,"creationDate":"{o_orderdate}","columns":24,"rows":12,"cells":[{"name":"k{o_orderkey}"}],
  "qMetaDef":{"title":"Orders {o_orderstatus}","description":"about {o_custkey}"}},"qChildren":["""
     + _KPI
     + """,{"qProperty":{}},"""
@@ -106,13 +107,13 @@ _SHEET = (
     + """]}}"""
 )
 _BARE_SHEET = """{"qMetaData":{"qType":"sheet"},"qRoot":{"qProperty":{"qInfo":{"qId":"e{o_orderkey}"}}}}"""
-_MODEL = """{"qreload_meta":{},"qfields":[
+_MODEL = """{"qreload_meta":{"cpu":{o_custkey}},"qstatic_byte_size":{o_orderkey},"qfields":[
  {"qname":"OrderID","qsrc_tables":["{o_orderpriority}","Notes"],"qcardinal":{o_orderkey},"qtotal_count":{o_custkey},"qis_numeric":true,"qtags":["$key","$integer"],"qbyte_size":12},
  {"qname":"{o_orderstatus}","qtags":["$text"]},
  {"qname":"hidden","qis_hidden":true},{"qname":"$Field","qis_system":true}],
  "qtables":[{"qname":"{o_orderpriority}","qno_of_rows":{o_orderkey},"qno_of_fields":3,"qno_of_key_fields":1,"qbyte_size":77},
  {"qname":"$Table","qis_system":true},{"qname":"Notes"}]}"""
-_PROPERTIES = """{"qTitle":"App {o_orderkey}","qLastReloadTime":"{o_orderdate}","qSavedInProductVersion":"1.{o_custkey}","owner":"u{o_custkey}"}"""
+_PROPERTIES = """{"qTitle":"App {o_orderkey}","qLastReloadTime":"{o_orderdate}","qSavedInProductVersion":"1.{o_custkey}","owner":"u{o_custkey}","qThumbnail":{"q":"t{o_custkey}"}}"""
 _VARIABLES = """{"qId":"list{o_custkey}","qEntryList":[
  {"qProperties":{"qName":"vStatus","qDefinition":"={o_orderstatus}"},"qIsScriptCreated":true},{"qProperties":{"qName":"v{o_orderkey}"}}]}"""
 _SCRIPT_OBJECT = (
