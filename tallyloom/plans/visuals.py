@@ -67,6 +67,11 @@ def category(
     df = folded(df, dim) if ignore_case else df
     if measure.filter_field == dim:
         result = filter_override(df, [dim], measure)
+    elif ignore_case:
+        # of the spellings of one value the least is shown, whatever order rows come in
+        plain = df.withColumn("_label", field(dim).cast("string collate UTF8_BINARY"))
+        rows = aggregate(plain, [dim], [measure, M.minimum("_label").named("_label")])
+        result = rows.select(field("_label").alias(dim), field(measure.name))
     else:
         result = aggregate(df, [dim], [measure])
     if hide_blank:

@@ -46,12 +46,16 @@ def join_root(root: str, path: str) -> str:
 
 
 def load_table(
-    spark: SparkSession, spec: LoadSpec, types: TypeBook | None = None, root: str = ""
+    spark: SparkSession, spec: LoadSpec, types: TypeBook | None = None, root: str = "", earlier: dict[str, DataFrame] | None = None
 ) -> tuple[DataFrame, LoadStatus]:
-    """Read one load. An unreadable source gives its schema, no rows and the reason."""
+    """Read one load. An unreadable source gives its schema, no rows and the reason.
+
+    A resident load reads the frame of that name (lower case) in ``earlier``, else a view of the session.
+    """
     types = _with_tags(types, [spec])
     kind = spec.source.resolved_kind()
-    raw = _read(spark, spec, kind, root, types)
+    raw = (earlier or {}).get(spec.source.view.lower()) if kind == "resident" else None
+    raw = _read(spark, spec, kind, root, types) if raw is None else raw
     if raw is None:
         wanted = [f.name for f in spec.fields]
         empty = T.StructType([T.StructField(n, SPARK_TYPES[types.type_of(n)]) for n in wanted])
@@ -250,7 +254,7 @@ def append(first: DataFrame, more: DataFrame) -> DataFrame:
 def load_all(
     spark: SparkSession, specs: list[LoadSpec], types: TypeBook | None = None, root: str = ""
 ) -> tuple[dict[str, DataFrame], list[LoadStatus]]:
-    """Every load of an app, in order; tables are views for later resident loads.
+    """Every load of an app, in order; later resident loads read the tables of this app alone.
 
     Mapping tables and ``__`` helper tables can be read by later loads but are not returned.
     Tags count for every field of that name, whichever load has them.
@@ -259,7 +263,7 @@ def load_all(
     tables: dict[str, tuple[str, DataFrame]] = {}
     hidden, statuses = set(), []
     for spec in specs:
-        df, status = load_table(spark, spec, types, root)
+        df, status = load_table(spark, spec, types, root, {k: frame for k, (_, frame) in tables.items()})
         statuses.append(status)
         name = spec.concatenate_to or spec.name
         key = name.lower()
@@ -267,7 +271,6 @@ def load_all(
             name, first = tables[key]
             df = append(first, df)
         tables[key] = (name, df)
-        df.createOrReplaceTempView("`" + name.replace("`", "``") + "`")
         if spec.is_mapping or spec.is_hidden or spec.name.startswith("__"):
             hidden.add(key)
     return {name: df for key, (name, df) in tables.items() if key not in hidden}, statuses

@@ -304,24 +304,35 @@ def _not_unique(spark, sf_dir):
     return profile.measurable_without_keys(fields, is_measurable(kind, F.col("field"))).select("field")
 
 
-@query(
-    "profile_tables",
-    """SELECT 'orders' AS "table", count(*) AS "rows", 3 AS fields, 2 AS key_fields,
-         CAST(count(o_orderkey) * 8 + count(o_custkey) * 8 + sum(octet_length(encode(o_orderpriority))) AS BIGINT) AS byte_size FROM orders
-       UNION ALL SELECT 'lineitem', count(*), 2, 1, CAST(count(l_orderkey) * 8 + count(l_tax) * 8 AS BIGINT) FROM lineitem
-       UNION ALL SELECT 'customer', count(*), 3, 1,
-         CAST(count(c_custkey) * 8 + sum(octet_length(encode(c_name))) + count(c_nationkey) * 4 AS BIGINT) FROM customer""",
-)
+_WIDE = {
+    "orders": "o_orderkey o_custkey o_orderstatus* o_totalprice o_orderdate o_orderpriority*",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber+ l_quantity l_extendedprice l_discount l_tax l_returnflag* l_linestatus* l_shipdate",
+    "customer": "c_custkey c_name* c_nationkey+ c_acctbal c_mktsegment*",
+}
+_SHARED = {"orders": 2, "lineitem": 1, "customer": 1}
+
+
+def _tables_sql() -> str:
+    """Whole tables; ``*`` marks a text, ``+`` a number of four bytes, all other columns have eight."""
+    parts = []
+    for table, columns in _WIDE.items():
+        sizes = [
+            f"coalesce(sum(octet_length(encode({c[:-1]}))), 0)" if c.endswith("*") else f"count({c.rstrip('+')}) * {4 if c.endswith('+') else 8}"
+            for c in columns.split()
+        ]
+        parts.append(
+            f"""SELECT '{table}' AS "table", count(*) AS "rows", {len(sizes)} AS fields, {_SHARED[table]} AS key_fields,"""
+            f" CAST({' + '.join(sizes)} AS BIGINT) AS byte_size FROM {table}"
+        )
+    return " UNION ALL ".join(parts)
+
+
+@query("profile_tables", _tables_sql())
 def _profile_tables(spark, sf_dir):
-    pick = {
-        "orders": {"o_orderkey": "orderkey", "o_custkey": "CustKey", "o_orderpriority": "priority"},
-        "lineitem": {"l_orderkey": "OrderKey", "l_tax": "tax"},
-        "customer": {"c_custkey": "custkey", "c_name": "name", "c_nationkey": "nationkey"},
-    }
-    tables = {
-        t: read(spark, sf_dir, t).select(*[F.col(c).alias(a) for c, a in names.items()]) for t, names in pick.items()
-    }
-    return profile.profile_tables(tables)
+    tables = {t: read(spark, sf_dir, t) for t in _WIDE}
+    # without their prefixes orders shares its keys with the other two
+    named = {t: df.select(*[F.col(c).alias(c.partition("_")[2].title()) for c in df.columns]) for t, df in tables.items()}
+    return profile.profile_tables(named)
 
 
 @query("preview_100", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 100")
