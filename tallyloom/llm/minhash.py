@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.components import components
-from tallyloom.llm.words import mix, shingle_sets
+from tallyloom.llm.words import mix, shingle_sets, slices
 from tallyloom.session import stored
 
 #: Rows of one text's pairs that are verified together; larger groups are split.
@@ -44,8 +44,7 @@ def _sketcher(b: Banding):
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for part in slices(batch, 1):
                 sets = shingle_sets(part.column(1))
                 sizes = np.array([len(s) for s in sets])
                 full = np.flatnonzero(sizes)
@@ -99,8 +98,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (a, part, b), the text of a first with b null: size of the intersection and of both sets."""
     current, own = None, []
     for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            rows = batch.slice(lo, 512)
+        for rows in slices(batch, 3):
             out = {"a": [], "b": [], "shared": [], "size_a": [], "size_b": []}
             sets = shingle_sets(rows.column(3))
             for a, part, b, s in zip(*(rows.column(i).to_pylist() for i in range(3)), sets):
@@ -266,8 +264,7 @@ def _block_links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, rows = None, []
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                piece = batch.slice(lo, 256)
+            for piece in slices(batch, 9):
                 sets = shingle_sets(piece.column(9))
                 for key, rest, s in zip(zip(*(piece.column(i).to_pylist() for i in range(4))), zip(*(piece.column(i).to_pylist() for i in range(4, 9))), sets):
                     if key != block:

@@ -15,12 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.words import mix, word_hashes
+from tallyloom.llm.words import mix, slices, word_hashes
 from tallyloom.session import stored
 
-#: Rows whose words are hashed together.
-ROWS = 512
-
 
 @dataclass(frozen=True)
 class Resampling:
@@ -47,8 +44,7 @@ def _counts(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, buckets), np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, ROWS):
-                part = batch.slice(lo, ROWS)
+            for part in slices(batch, 0):
                 grams, bounds = _grams(part.column(0), buckets)
                 wanted = np.repeat(part.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds))
                 totals[0] += np.bincount(grams.ravel(), minlength=buckets)
@@ -87,8 +83,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, ROWS):
-                part = batch.slice(lo, ROWS)
+            for part in slices(batch, 1):
                 grams, bounds = _grams(part.column(1), len(ratio_of := shared.value))
                 sums = np.concatenate(([0.0], np.cumsum(ratio_of[grams].sum(axis=1))))
                 yield pa.RecordBatch.from_arrays(

@@ -64,5 +64,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_quality_resampling")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return quality.resample(table(spark, sf_dir, "documents"), good)
+    labels = table(spark, sf_dir, "labels").where("quality IN (0, 1)")
+    share = labels.agg(F.avg("quality")).first()[0]
+    rule = quality.Resampling() if share is None else quality.Resampling(keep=float(share))
+    return quality.resample(table(spark, sf_dir, "documents"), labels.where("quality = 1").select("doc_id"), rule)

@@ -5,12 +5,19 @@ A word is a run of characters other than space and U+0009 to U+000D, in which A-
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+from tallyloom.llm.units import runs
 
 SHINGLE = 5
 #: Bytes hashed at once; bounds the temporary arrays, whatever the length of a text.
 SPAN = 1 << 20
+#: Bytes of texts in a slice of a batch, unless one text has more.
+SLICE = 1 << 23
 
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -23,6 +30,13 @@ _PLACE = _RANDOM.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces whose texts are bounded in sum, however long single ones are."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    for lo, hi in runs([n + 64 for n in sizes], most):
+        yield batch.slice(lo, hi - lo)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scatter 64-bit values; equal values stay equal."""
     x = x ^ (x >> np.uint64(30))
