@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed
 from tallyloom.functions import script_text as S
-from tallyloom.functions.columns import first_by_case, let, strip_chars, strip_space, text_map
+from tallyloom.functions.columns import first_by_case, let, strip_space, text_map
 from tallyloom.functions.types import STRING, resolve_type
 from tallyloom.sources.load import CONNECTED, REASONS, SCHEMA_ONLY, inline_rows
 
@@ -27,7 +27,6 @@ _TAGGED = r"(?i)\bTagged\s*\(([^)]*)\)$"
 _ALIAS = r"""(?is)^(.+)\bAS\b\s*(\[[^\]]*\]|"[^"]*"|'[^']*'|[^()\[\]'",]+)$"""
 _BARE = r"^[A-Za-z_][A-Za-z0-9_ .]*$"
 _NO_LOAD = r"(?i)^(?:" + "|".join(w.replace(" ", r"\s+") for w in fixed.NON_LOAD_KEYWORDS) + r")\b"
-_PLAIN_BODY = r"(?i)LOAD\s+([\s\S]+?)\s+(?:FROM|RESIDENT|;|\z)"
 # --- end of the patterns
 SUMMARY_LINES = 30
 # a query in a script runs against a connection that the app does not hold
@@ -471,26 +470,18 @@ def default_roots(loads: DataFrame, base: str) -> DataFrame:
     return first.select("app", F.concat(F.lit(base.rstrip("/") + "/"), "connection").alias("root"))
 
 
-def script_field_names(scripts: DataFrame, known: Column | None = None) -> DataFrame:
-    """(app, pos, field): names read plainly from load bodies, for apps without field metadata.
+def script_field_names(scripts: DataFrame, known: Column | None = None, longest: int = 60) -> DataFrame:
+    """(app, pos, field): names that the loads of a script give, for apps without field metadata.
 
+    Comments are no names, nor are computed values without one or names longer than ``longest``.
     ``known`` is the array of names that the metadata of a row's app gives; an app with four
     or more names, all longer than two letters, needs no reading.
     """
-    bodies = F.regexp_extract_all(S.unix_lines(F.col("script")), F.lit(_PLAIN_BODY), F.lit(1))
-    pieces = F.flatten(F.transform(bodies, lambda b: F.split(b, ",")))
-    lines = F.filter(
-        F.transform(pieces, lambda p: strip_chars(p, " ,\r\n")),
-        lambda p: (p != "") & ~p.startswith("//") & (F.length(p) <= 60),
-    )
-
-    def name_of(line: Column) -> Column:
-        after = F.element_at(F.split(line, r"(?i)\s+as\s+"), -1)
-        return strip_chars(F.when(F.lower(line).contains(" as "), after).otherwise(line), " '\"[]")
-
+    fields = F.flatten(F.transform(_loads_of(F.col("script")), lambda load: load["fields"]))
+    named = F.filter(fields, lambda f: ~(f["is_derived"] & (f["field"] == f["expression"])) & (f["field"] != "*"))
     names = F.filter(
-        F.transform(lines, name_of),
-        lambda n: n.rlike(r"^[a-zA-Z0-9_ &.#/-]+$")
+        F.transform(named, lambda f: f["field"]),
+        lambda n: (F.length(n) <= longest)
         & ~F.exists(F.array(*[F.lit(w) for w in fixed.NOT_A_FIELD_NAME]), lambda w: F.lower(n).contains(w)),
     )
     wanted = scripts

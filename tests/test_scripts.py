@@ -109,7 +109,7 @@ def test_expansion_stops(spark):
 @pytest.mark.parametrize(
     "tail, kind, path",
     [
-        ("FROM a.QVD", "qvd", "a.QVD"), ("FROM [lib://D/x y.txt]", "delimited", "lib://D/x y.txt"), ("FROM a.bin (biff)", "excel", "a.bin"),
+        ("FROM a.QVD", "qvd", "a.QVD"), ("FROM [lib://D/x y.txt]", "delimited", "lib://D/x y.txt"), ("FROM a.bin (biff)", "xls", "a.bin"),
         ("FROM a", "unknown", "a"), ("FROM f(1).csv", "delimited", "f(1).csv"), ("SQL SELECT x FROM t", "sql", ""), ("", "unknown", ""),
         ("FROM 'a.tab' (txt, delimiter is \\t) WHERE x = '('", "delimited", "a.tab"), ("FROM a.json (json)", "json", "a.json"),
     ],

@@ -265,8 +265,8 @@ def _schema_only(spark, sf_dir):
 
 
 _PLAIN = [
-    "old", "x", "#", "Net", "{p_brand}", "a", "Note", "StoreID", "City", "code", "Sales {p_size}", "orderid", "Discount",
-    "Zone", "id", "total SQL SELECT id", "total", "Region", "Manager",
+    "OrderID", "Amount", "Net, {p_brand}", "Note", "StoreID", "City", "code", "label", "k", "v", "Region", "Sales {p_size}", "Discount", "id",
+    "total", "Manager", "Area",
 ]
 
 
