@@ -14,17 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.units import Pieces, runs, tokenizer_of
+from tallyloom.llm.units import Pieces, byte_characters, runs, tokenizer_of
 
 #: Characters encoded together.
-TOGETHER = 1 << 20
-
-
-def byte_characters() -> list[str]:
-    """The character that stands for each byte: itself where printable, else the next free one from U+0100."""
-    plain = set(range(0x21, 0x7F)) | set(range(0xA1, 0xAD)) | set(range(0xAE, 0x100))
-    spare = iter(range(0x100, 0x200))
-    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+TOGETHER = 1 << 22
 
 
 def _halves(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:

@@ -24,13 +24,13 @@ from tallyloom.session import scratch_path
 
 #: Ids of a block, unless one document has more.
 BLOCK = 1 << 20
-ROUNDS = 4
+ROUNDS = 3
 #: Rules made in a round, and uses that a pair needs for one.
 RULES, LEAST = 2048, 8
 #: Pairs are first counted in so many slots.
-SLOTS = 1 << 20
+SLOTS = 1 << 19
 ANCHOR = 256
-TOGETHER = 1 << 20
+TOGETHER = 1 << 22
 
 SCHEMA = (
     "shard int, block int, first_rule long, doc_ids array<long>, counts array<long>, n_ids long, "
@@ -38,13 +38,20 @@ SCHEMA = (
 )
 
 
-def _frequent(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs in well-filled slots, and the pairs there as numbers."""
+def _frequent(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of pairs in the fullest slots, the slot of each, and the pair that stands for each slot.
+
+    Of the pairs that share a slot the last one stands for it; that is most often the frequent one.
+    """
     slot = (a * 0x9E3779B1 + b * 0x85EBCA77) & (SLOTS - 1)
     counts = np.bincount(slot, minlength=SLOTS)
     floor = max(LEAST, int(np.partition(counts, SLOTS - RULES)[SLOTS - RULES]))
     places = np.flatnonzero((counts >= floor)[slot])
-    return places, (a[places] << 32) | b[places]
+    slot, pairs = slot[places], (a[places] << 32) | b[places]
+    stands = np.zeros(SLOTS, np.int64)
+    stands[slot] = pairs
+    same = stands[slot] == pairs
+    return places[same], slot[same], stands
 
 
 def repair(ids: np.ndarray, first_rule: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -53,28 +60,18 @@ def repair(ids: np.ndarray, first_rule: int, rounds: int = ROUNDS) -> tuple[np.n
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        places, pairs = _frequent(seq[:-1], seq[1:])
-        kinds, n = np.unique(pairs, return_counts=True)
-        order = np.argsort(-n, kind="stable")[:RULES]
-        kinds = np.sort(kinds[order[n[order] >= LEAST]])
-        if not len(kinds):
-            break
-        rule = np.searchsorted(kinds, pairs)
-        rule[rule == len(kinds)] = 0
-        hit = kinds[rule] == pairs
-        places, rule = places[hit], rule[hit]
+        places, slot, stands = _frequent(seq[:-1], seq[1:])
         # of overlapping places every other one, from the left
-        run = np.flatnonzero(np.concatenate(([True], np.diff(places) != 1)))
+        run = np.flatnonzero(np.diff(places, prepend=-2) != 1)
         along = np.arange(len(places)) - np.repeat(run, np.diff(np.append(run, len(places))))
-        places, rule = places[along % 2 == 0], rule[along % 2 == 0]
-        used = np.bincount(rule, minlength=len(kinds)) >= LEAST // 2
-        places, rule = places[used[rule]], rule[used[rule]]
-        number = np.cumsum(used) - 1
-        kept = kinds[used]
+        places, slot = places[along % 2 == 0], slot[along % 2 == 0]
+        used = np.bincount(slot, minlength=SLOTS) >= LEAST
+        places, slot = places[used[slot]], slot[used[slot]]
+        kept = stands[used]
         if not len(kept):
             break
         rules.append(np.stack((kept >> 32, kept & 0xFFFFFFFF), axis=1))
-        seq[places] = made + number[rule]
+        seq[places] = made + (np.cumsum(used) - 1)[slot]
         made += len(kept)
         stay = np.ones(len(seq), bool)
         stay[places + 1] = False
@@ -163,7 +160,7 @@ def _arrow(row: dict) -> pa.RecordBatch:
 @lru_cache(maxsize=2)
 def _pieces(text: str) -> Pieces:
     """One for each worker, which keeps what it has seen from task to task."""
-    return Pieces(tokenizer_of(text), keep_space=False)
+    return Pieces(tokenizer_of(text), keep_space=False, lower=True)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int | None = 2) -> None:

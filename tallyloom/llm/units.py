@@ -7,13 +7,23 @@ a place, so the ids of a text are those of its pieces, and most pieces recur.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 from tokenizers import Tokenizer
 
-#: Pieces remembered in each of two generations, and their longest length: about 100 MB in all.
-REMEMBERED = 250_000
+#: Pieces remembered in each of two generations, and their longest length: about 200 MB in all.
+REMEMBERED = 500_000
 LONGEST = 64
+#: A word of plain or accented letters and the signs after it, which no rule of either tokenizer joins.
+WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#$%&*]*)")
+
+
+def byte_characters() -> list[str]:
+    """The character that stands for each byte: itself where printable, else the next free one from U+0100."""
+    plain = set(range(0x21, 0x7F)) | set(range(0xA1, 0xAD)) | set(range(0xAE, 0x100))
+    spare = iter(range(0x100, 0x200))
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
 def tokenizer_of(text: str) -> Tokenizer:
@@ -22,57 +32,80 @@ def tokenizer_of(text: str) -> Tokenizer:
 
 
 class Pieces:
-    """ids of texts as the bytes of an array of ``code`` ('H' or 'I')."""
+    """ids of texts as the bytes of an array of ``code`` ('H' or 'I').
+
+    ``keep_space``: a piece goes with the space before it. ``lower``: the tokenizer lower-cases, so that words
+    that differ in case alone are one.
+    """
 
-    def __init__(self, tokenizer: Tokenizer, keep_space: bool, remembered: int = REMEMBERED):
-        self.tokenizer, self.keep_space, self.remembered = tokenizer, keep_space, remembered
+    def __init__(self, tokenizer: Tokenizer, keep_space: bool, lower: bool = False, remembered: int = REMEMBERED):
+        self.tokenizer, self.space, self.lower, self.remembered = tokenizer, " " if keep_space else "", lower, remembered
         self.code = "H" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
+        self.model, self.named = tokenizer.model, dict(enumerate(byte_characters()))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _word_ids(self, words: set[str]) -> list[bytes]:
+        """ids of words of ``WORD``, which normalising and cutting would leave as they are: merged at once."""
+        merge, code, named = self.model.tokenize, self.code, self.named
+        out = []
+        for word in words:
+            raw = (self.space + word).encode().decode("latin-1").translate(named)
+            out.append(array(code, [t.id for t in merge(raw)]).tobytes())
+        return out
+
     def _ids(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [array(self.code, e.ids).tobytes() for e in found]
 
-    def _lookup(self, pieces: set[str]) -> dict[str, bytes]:
-        known, new = {}, []
-        for piece in pieces:
-            ids = self.young.get(piece)
-            if ids is None:
-                ids = self.old.get(piece)
-                if ids is None:
-                    new.append(piece)
-                    continue
-                self.young[piece] = ids
-            known[piece] = ids
-        if len(self.young) + len(new) > self.remembered:
+    def _learn(self, pieces: set[str]) -> list[str]:
+        """Take what ``young`` lacks from ``old``, put it together from word and signs, or encode it.
+
+        Returns the pieces that are too long to be remembered.
+        """
+        if len(self.young) > self.remembered:
             self.old, self.young = self.young, {}
-        for piece, ids in zip(new, self._ids(new)):
-            known[piece] = ids
-            if len(piece) <= LONGEST:
-                self.young[piece] = ids
-        return known
+        young, old, plain, words, joined = self.young, self.old, [], set(), []
+        for piece in pieces.difference(young):
+            if (ids := old.get(piece)) is not None:
+                young[piece] = ids
+                continue
+            if match := WORD.fullmatch(piece):
+                word = match[1].lower() if self.lower else match[1]
+                if word != piece:
+                    joined.append((piece, word, match[2]))
+                    piece = word
+                    if piece in young:
+                        continue
+                    if (ids := old.get(piece)) is not None:
+                        young[piece] = ids
+                        continue
+                words.add(piece)
+            else:
+                plain.append(piece)
+        young.update(zip(plain, self._ids([self.space + p for p in plain])))
+        young.update(zip(words, self._word_ids(words)))
+        signs = {tail for _, _, tail in joined}
+        signs = dict(zip(signs, self._ids(list(signs))))
+        for piece, word, tail in joined:
+            young[piece] = young[word] + signs[tail]
+        return [p for group in (plain, words, (p for p, _, _ in joined)) for p in group if len(p) > LONGEST]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [text.split(" ") for text in texts]
-        if self.keep_space:
-            # the first piece has no space before it; runs of spaces are one token, so such texts stay whole
-            whole = [i for i, text in enumerate(texts) if "  " in text]
-            for i in whole:
-                cut[i] = [texts[i]]
-            firsts = {parts[0] for parts in cut}
-            first = dict(zip(firsts, self._ids(list(firsts))))
-            rest: set[str] = set()
-            for parts in cut:
-                rest.update(parts[1:])
-            known = self._lookup({" " + p for p in rest})
-            by_part = {p: known[" " + p] for p in rest}
-            return [first[parts[0]] + b"".join(map(by_part.__getitem__, parts[1:])) for parts in cut]
-        seen: set[str] = set()
-        for parts in cut:
-            seen.update(parts)
-        known = self._lookup(seen)
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        heads = [b""] * len(cut)
+        if self.space:
+            for i, text in enumerate(texts):
+                if "  " in text:  # runs of spaces are one token: such texts stay whole
+                    cut[i] = [text]
+            heads = self._ids([parts[0] for parts in cut])  # nothing stands before the first piece
+            cut = [parts[1:] for parts in cut]
+        long = self._learn(set().union(*cut))
+        known = self.young.__getitem__
+        out = [head + b"".join(map(known, parts)) for head, parts in zip(heads, cut)]
+        for piece in long:
+            self.young.pop(piece, None)
+        return out
 
 
 def runs(sizes: list[int], most: int) -> list[tuple[int, int]]:
