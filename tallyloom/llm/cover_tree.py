@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.tiles import search, usable
 
-LEAF = 128
+LEAF = 512
 #: Children of a node at most; the cover then keeps the radius that it has reached.
 FAN = 16
 #: Sums of integer products are exact in double precision below this.
@@ -97,23 +97,32 @@ def dual_tree(asks, ask_rows, rows, row_numbers, ids, k):
 
 
 def _leaves(q, c, x, y, ask_rows, row_numbers, ids, score, place, worst) -> None:
+    """Score all pairs of two leaves; what reaches a query's worst kept score joins its list."""
     k = score.shape[1]
     products = x[q] @ y[c].T
     own = ask_rows[q][:, None] == row_numbers[c][None, :]
-    products[own] = -np.inf if products.dtype == np.float64 else -(1 << 200)
-    better = np.flatnonzero((products >= worst[q][:, None]).any(axis=1))
-    if not len(better):
+    able = products >= worst[q][:, None]
+    if len(c) > k and products.dtype == np.float64:
+        # lists that are not full yet take the k best of this leaf, with ties, and the own row beside them
+        new = np.flatnonzero(place[q, -1] < 0)
+        if len(new):
+            able[new] &= products[new] >= np.partition(products[new], len(c) - k - 1, axis=1)[:, -k - 1, None]
+    i, j = np.nonzero(able & ~own)
+    if not len(i):
         return
-    at = q[better]
-    scores = np.concatenate((score[at], products[better]), axis=1)
-    places = np.concatenate((place[at], np.where(own[better], -1, c[None, :])), axis=1)
+    changed, row = np.unique(i, return_inverse=True)
+    at = q[changed]
+    rows = np.concatenate((np.repeat(np.arange(len(at)), k), row))
+    scores = np.concatenate((score[at].ravel(), products[i, j]))
+    places = np.concatenate((place[at].ravel(), c[j]))
     names = np.where(places >= 0, ids[places], np.iinfo(np.int64).max)
     if scores.dtype == np.float64:
-        order = np.lexsort((names, -scores), axis=1)[:, :k]
+        order = np.lexsort((names, -scores, rows))
     else:  # products too large for doubles: compared as Python integers
-        order = np.array([sorted(range(len(s)), key=lambda j: (-s[j], n[j]))[:k] for s, n in zip(scores, names)])
-    score[at] = np.take_along_axis(scores, order, 1)
-    place[at] = np.take_along_axis(places, order, 1)
+        order = np.array(sorted(range(len(rows)), key=lambda n: (rows[n], -scores[n], names[n])))
+    rows = rows[order]
+    order = order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k].reshape(-1, k)
+    score[at], place[at] = scores[order], places[order]
     worst[at] = score[at][:, -1].astype(np.float64)
 
 
