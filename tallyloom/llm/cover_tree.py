@@ -93,7 +93,10 @@ def dual_tree(asks, ask_rows, rows, row_numbers, ids, k):
             pairs = [(a, c) for c in b.children]
         stack += sorted(pairs, key=lambda p: _bound(*p))  # the most promising pair is taken next
     q, c = np.nonzero(place >= 0)
-    return q, place[q, c], score[q, c].astype(np.int64)
+    found = score[q, c]
+    if not exact:  # a score beyond the range of the column is its end
+        found = np.array([max(-(1 << 63), min((1 << 63) - 1, s)) for s in found], object)
+    return q, place[q, c], found.astype(np.int64)
 
 
 def _leaves(q, c, x, y, ask_rows, row_numbers, ids, score, place, worst) -> None:
@@ -135,7 +138,7 @@ def top_products(vectors: DataFrame, every: int = 20, k: int = 20, scale: int =
 
     Queries are the rows whose id ``every`` divides, candidates all rows but the query's own; ties go to the
     smaller id. Null or empty vectors, those with a null or non-finite component and rows without an
-    id take no part; zero vectors do. Rows that repeat an id are rows of their own. With fewer than
+    id take no part; zero vectors do. Scores beyond a long stand at its end. Rows that repeat an id are rows of their own. With fewer than
     ``k`` candidates all are returned, of an empty table none.
     """
     usable_rows = vectors.where(usable(F.col("embedding"), zero=True)).select("vec_id", integers(F.col("embedding"), scale).alias("vector"))

@@ -97,3 +97,9 @@ def test_products_beyond_doubles():
     a, b = np.array([[1 << 40, 3]]), np.array([[1 << 20, 1], [1 << 20, 2], [5, 5]])
     q, c, s = cover_tree.dual_tree(a, np.array([9]), b, np.array([1, 2, 3]), np.array([1, 2, 3]), 2)
     assert sorted(zip(s.tolist(), c.tolist())) == [((1 << 60) + 3, 0), ((1 << 60) + 6, 1)]
+
+
+def test_scores_beyond_a_long_stand_at_its_end(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 0.0])]
+    got = {r["vec_id"]: r["score"] for r in cover_tree.top_products(vectors(spark, rows)).collect()}
+    assert got == {1: (1 << 63) - 1, 2: -(1 << 63)}
