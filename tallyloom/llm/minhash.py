@@ -22,6 +22,7 @@ from tallyloom.session import stored
 TOGETHER = 64
 #: Members of a part of a bucket; a block compares two parts.
 PART = 200
+SALTS = 16
 #: Hashes of ids at most that are broadcast to thin out texts before a join.
 SIEVE = 1 << 20
 
@@ -239,9 +240,12 @@ def _rest(docs: DataFrame, reps: DataFrame, checked: DataFrame, found: DataFrame
         placed.groupBy("pivot", "band")
         .agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"))
         .where("least <> most").select("pivot", "band", F.ceil(F.col("n") / PART).cast("long").alias("parts"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
+    # a hot pivot's members meet the number of their parts in many tasks
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     part = F.pmod(F.xxhash64("id", "pivot"), F.col("parts"))
-    members = placed.join(mixed, ["pivot", "band"]).withColumn("part", part).withColumn(
+    members = placed.join(mixed, ["pivot", "band", "salt"]).withColumn("part", part).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     )
     blocks = stored(

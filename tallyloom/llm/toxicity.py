@@ -24,8 +24,8 @@ TOKEN = re.compile(r"[^\W\d_]+")
 #: Tokens whose chain steps are vectorised together.
 CHUNK = 64
 #: Characters of documents scored together.
-TOGETHER = 1 << 21
-REMEMBERED = 300_000
+TOGETHER = 1 << 20
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)

@@ -17,7 +17,7 @@ SHINGLE = 5
 #: Bytes hashed at once; bounds the temporary arrays, whatever the length of a text.
 SPAN = 1 << 20
 #: Bytes of texts in a slice of a batch, unless one text has more.
-SLICE = 1 << 23
+SLICE = 1 << 22
 
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
