@@ -32,12 +32,17 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 BASE_SIEVE = (
     r"""(?i:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[a-z0-9+/_.=-]{6})|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
 )
-_CONTEXT = r"\b(?:key|keys|secret|token|password|passwd|pwd|auth|authorization|bearer|credentials?|private|access|signature)\b"
+# without bounds, as most stand in identifiers: aws_secret_access_key, privateKey, auth-header, secretkey
+_CONTEXT = r"(?:key|secret|token|password|passwd|pwd|auth|bearer|credential|private|access|signature)"
 #: Characters of the manual in the compressor's dictionary, and before each text that it measures.
 DICTIONARY = 15_000
 LEAD = 1000
 NOVEL_SIEVE = f"(?i){_CONTEXT}"
-CANDIDATE = re.compile(rf"(?i:{_CONTEXT})(?P<between>[^\n]{{0,40}}?)(?<![A-Za-z0-9+/_=-])(?P<value>[A-Za-z0-9+/_=-]{{16,}})", re.ASCII)
+LEAST_NOVEL = 16
+#: A value may follow "=" at once.
+CANDIDATE = re.compile(
+    rf"(?i:{_CONTEXT})(?P<between>[^\n]{{0,40}}?)(?<![A-Za-z0-9+/_-])(?P<value>[A-Za-z0-9+/_=-]{{{LEAST_NOVEL},}})", re.ASCII
+)
 
 
 @dataclass(frozen=True)
@@ -82,15 +87,26 @@ def _ordered(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def _parts(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The candidate, and its long parts between "=": ``name=value`` may be known by its name."""
+    yield start, end
+    parts = [(start + m.start(), start + m.end()) for m in re.finditer("[^=]+", text[start:end])]
+    if len(parts) > 1:
+        yield from ((a, b) for a, b in parts if b - a >= LEAST_NOVEL)
+
+
 def novel_spans(text: str, base: list[tuple[str, int, int]], meter: Meter) -> list[tuple[str, int, int]]:
     out, at = [], 0
     while m := CANDIDATE.search(text, at):
         start, end = m.span("value")
         at = start  # the value may name the context of the next
-        if not any(a < end and start < b for _, a, b in base) and meter.cost(text, start, end) >= meter.rule.cost:
-            out.append(("novel", start, end))
-            at = end
-        else:
+        for a, b in _parts(text, start, end):
+            if not any(x < b and a < y for _, x, y in base) and meter.cost(text, a, b) >= meter.rule.cost:
+                out.append(("novel", a, b))
+                at = b
+                if a == start and b == end:
+                    break
+        if at == start:
             at = max(start, m.start() + 1)
     return out
 

@@ -81,6 +81,18 @@ def test_novel_strings(spark):
     assert all(rows[i]["n_novel"] == 0 for i in (1, 2, 3, 4))  # a string that the text repeats is no news
 
 
+def test_novel_strings_after_identifiers():
+    random = "wJalrXUtnFEMIK7MDENGbPxRfiCYzQ83vTq5LsHd"
+    meter = secret_scan.Meter(secret_scan.Novelty())
+    for before in (
+        "aws_secret_access_key = ", "SECRET_KEY = '", "private_key: ", "accessKey=", "auth_header = ", "x-auth-header: ", "sshkey ", "?user=x&accessKeyId=",
+        "key the_name_of_the_connection_of_this_session=",
+    ):
+        text = f"some words {before}{random}' and more"
+        assert [(a, b) for _, a, b in secret_scan.novel_spans(text, [], meter)][-1:] == [(text.index(random), text.index(random) + len(random))], before
+        assert re.search(secret_scan.NOVEL_SIEVE, text)
+
+
 def test_redact(spark):
     docs = documents(spark, [(i, t, "s") for i, t in enumerate(SECRETS)], ("kind",))
     got = {r["doc_id"]: r for r in secret_scan.redact(docs).collect()}
