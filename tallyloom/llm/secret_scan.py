@@ -2,7 +2,8 @@
 
 A candidate of the second kind is a long string close after a word such as "key". Its cost is the number of bytes by
 which the compressed text grows with it, once the compressor has seen a dictionary of identifiers and the text
-around. Prose, code and repeated names cost little; random strings cost nearly their length.
+around. Prose, code and repeated names cost little. What a random string costs depends on its alphabet and on what
+stands around, so the cost is held against that of decoys: random strings of the same alphabet and length in its place.
 """
 
 from __future__ import annotations
@@ -10,9 +11,12 @@ from __future__ import annotations
 import builtins
 import hashlib
 import keyword
+import random
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from pydoc_data.topics import topics
 
 import pyarrow as pa
@@ -36,7 +40,9 @@ BASE_SIEVE = (
 _CONTEXT = r"(?:key|secret|token|password|passwd|pwd|auth|bearer|credential|private|access|signature)"
 #: Characters of the manual in the compressor's dictionary, and before each text that it measures.
 DICTIONARY = 15_000
-LEAD = 1000
+LEAD, LEADS = 1000, 4
+#: Decoys of a candidate, each measured after each lead. Longer candidates than EVEN take one of each, as their costs are even.
+DECOYS, EVEN, MOST_DECOY = 2, 256, 4096
 NOVEL_SIEVE = f"(?i){_CONTEXT}"
 LEAST_NOVEL = 16
 #: A value may follow "=" at once.
@@ -47,9 +53,15 @@ CANDIDATE = re.compile(
 
 @dataclass(frozen=True)
 class Novelty:
-    """Bytes per character that make a candidate novel; the text around it, in characters, that it is measured against."""
+    """What makes a candidate novel, and the text around it, in characters, that it is measured against.
+
+    ``cost``: bytes per character that suffice whatever decoys cost. ``share``: of the cost of decoys; ``share_plain``
+    for letters or digits alone, which words and dates are made of too.
+    """
 
     cost: float = 0.85
+    share: float = 0.8
+    share_plain: float = 0.9
     around: int = 2048
     level: int = 19
 
@@ -60,20 +72,52 @@ def _identifiers() -> bytes:
     return (" ".join(names) + " ".join(topics.values())[:DICTIONARY]).encode()
 
 
+def _alphabet(value: str) -> str:
+    """The characters that a random string like ``value`` is drawn from."""
+    for digits in ("0123456789abcdef", "0123456789ABCDEF"):
+        if set(value) <= set(digits):
+            return string.digits if value.isdigit() else digits
+    groups = (string.ascii_lowercase, string.ascii_uppercase, string.digits, *"+/_=-")
+    return "".join(g for g in groups if any(c in g for c in value))
+
+
+@lru_cache(maxsize=1024)
+def _decoys(alphabet: str, length: int, count: int) -> list[bytes]:
+    draw = random.Random(f"{alphabet} {length}")
+    return ["".join(draw.choices(alphabet, k=length)).encode() for _ in range(count)]
+
+
 class Meter:
     def __init__(self, rule: Novelty):
         words = zstandard.ZstdCompressionDict(_identifiers(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        # some text ahead, as the compressor stores a short block as it is
-        self.lead = " ".join(topics.values())[DICTIONARY : DICTIONARY + LEAD].encode() + b"\n"
+        # some text ahead, as the compressor stores a short block as it is; several, as one cost is uneven by some bytes
+        manual = " ".join(topics.values())[DICTIONARY : DICTIONARY + LEADS * LEAD]
+        self.leads = [manual[i : i + LEAD].encode() + b"\n" for i in range(0, len(manual), LEAD)]
         self.rule, self.compressor = rule, zstandard.ZstdCompressor(level=rule.level, dict_data=words)
 
-    def cost(self, text: str, start: int, end: int) -> float:
-        """Bytes per character by which the candidate lengthens its compressed surroundings."""
+    def costs(self, text: str, start: int, end: int) -> tuple[float, float]:
+        """Bytes per character by which the candidate, and decoys of it, lengthen its compressed surroundings."""
         r = self.rule
-        around = self.lead + (text[max(0, start - r.around) : start] + "\n" + text[end : end + r.around]).encode()
-        value = text[start:end].encode()
-        grown = len(self.compressor.compress(around + b"\n" + value)) - len(self.compressor.compress(around))
-        return grown / len(value)
+        near = (text[max(0, start - r.around) : start] + "\n" + text[end : end + r.around]).encode()
+        value = text[start:end]
+        few = len(value) <= EVEN
+        decoys = _decoys(_alphabet(value), min(len(value), MOST_DECOY), DECOYS if few else 1)
+        own = other = n = 0
+        for lead in self.leads if few else self.leads[:1]:
+            around, n = lead + near, n + 1
+            alone = self._size(around)
+            own += self._size(around + b"\n" + value.encode()) - alone
+            other += sum(self._size(around + b"\n" + d) - alone for d in decoys)
+        return own / n / len(value), other / n / len(decoys) / len(decoys[0])
+
+    def _size(self, raw: bytes) -> int:
+        return len(self.compressor.compress(raw))
+
+    def novel(self, text: str, start: int, end: int) -> bool:
+        own, decoys = self.costs(text, start, end)
+        value = text[start:end]
+        mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+        return own >= min(self.rule.cost, (self.rule.share if mixed else self.rule.share_plain) * decoys)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -88,11 +132,11 @@ def _ordered(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 
 
 def _parts(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
-    """The candidate, and its long parts between "=": ``name=value`` may be known by its name."""
-    yield start, end
+    """Long parts between "=", as ``name=value`` may be known by its name, and then the candidate itself."""
     parts = [(start + m.start(), start + m.end()) for m in re.finditer("[^=]+", text[start:end])]
     if len(parts) > 1:
         yield from ((a, b) for a, b in parts if b - a >= LEAST_NOVEL)
+    yield start, end
 
 
 def novel_spans(text: str, base: list[tuple[str, int, int]], meter: Meter) -> list[tuple[str, int, int]]:
@@ -101,11 +145,9 @@ def novel_spans(text: str, base: list[tuple[str, int, int]], meter: Meter) -> li
         start, end = m.span("value")
         at = start  # the value may name the context of the next
         for a, b in _parts(text, start, end):
-            if not any(x < b and a < y for _, x, y in base) and meter.cost(text, a, b) >= meter.rule.cost:
+            if a >= at and not any(x < b and a < y for _, x, y in base) and meter.novel(text, a, b):
                 out.append(("novel", a, b))
                 at = b
-                if a == start and b == end:
-                    break
         if at == start:
             at = max(start, m.start() + 1)
     return out

@@ -1,7 +1,9 @@
 """HTML, secrets, quality and the pipeline."""
 
 import hashlib
+import random
 import re
+import string
 
 import numpy as np
 import pytest
@@ -82,17 +84,41 @@ def test_novel_strings(spark):
 
 
 def test_novel_strings_after_identifiers():
-    random = "wJalrXUtnFEMIK7MDENGbPxRfiCYzQ83vTq5LsHd"
+    secret = "wJalrXUtnFEMIK7MDENGbPxRfiCYzQ83vTq5LsHd"
     meter = secret_scan.Meter(secret_scan.Novelty())
     for before in (
         "aws_secret_access_key = ", "SECRET_KEY = '", "private_key: ", "accessKey=", "auth_header = ", "x-auth-header: ", "sshkey ", "?user=x&accessKeyId=",
         "key the_name_of_the_connection_of_this_session=",
     ):
-        text = f"some words {before}{random}' and more"
-        assert [(a, b) for _, a, b in secret_scan.novel_spans(text, [], meter)][-1:] == [(text.index(random), text.index(random) + len(random))], before
+        text = f"some words {before}{secret}' and more"
+        assert [(a, b) for _, a, b in secret_scan.novel_spans(text, [], meter)][-1:] == [(text.index(secret), text.index(secret) + len(secret))], before
         assert re.search(secret_scan.NOVEL_SIEVE, text)
 
 
+def test_novel_strings_among_others_of_their_kind():
+    draw, meter = random.Random(3), secret_scan.Meter(secret_scan.Novelty())
+    prose = "Most of the members came by train, and some of them stayed until the end of the week. " * 3
+    base62, base36 = string.ascii_letters + string.digits, string.ascii_lowercase + string.digits
+    for alphabet, length, least in ((base62, 16, 0.9), (base62, 20, 0.9), (base62, 32, 1), (base62, 64, 1), (base36, 20, 0.9), (base36, 32, 0.95)):
+        values = ["".join(draw.choices(alphabet, k=length)) for _ in range(120)]
+        found = 0
+        for i in range(0, 120, 12):  # lists of twelve keys
+            text = prose + "".join(f"key {v}\n" for v in values[i : i + 12]) + prose
+            found += len(secret_scan.novel_spans(text, [], meter))
+        alone = sum(len(secret_scan.novel_spans(f"{prose} the key is {v} {prose}", [], meter)) for v in values)
+        assert min(found, alone) >= least * 120, (len(alphabet), length, found, alone)
+    lines = "".join("".join(draw.choices(base62 + "+/", k=76)) + "\n" for _ in range(40))
+    text = lines + "key = " + (value := "".join(draw.choices(base62, k=40))) + "\n" + lines
+    assert [text[a:b] for _, a, b in secret_scan.novel_spans(text, [], meter)] == [value]
+
+
+def test_names_and_words_are_no_news():
+    meter = secret_scan.Meter(secret_scan.Novelty())
+    prose = "Most of the members came by train, and some of them stayed until the end of the week. " * 3
+    for name in ("getUserPrivateKeyFromStore", "the_name_of_the_connection", "responsibilities-of-members", "usr/local/share/applications", "default_connection_name"):
+        assert not secret_scan.novel_spans(f"{prose} the key is {name} {prose}", [], meter), name
+
+
 def test_redact(spark):
     docs = documents(spark, [(i, t, "s") for i, t in enumerate(SECRETS)], ("kind",))
     got = {r["doc_id"]: r for r in secret_scan.redact(docs).collect()}
