@@ -1,9 +1,9 @@
 """Token ids of all documents in files of Re-Pair grammars, in ascending doc_id order.
 
 A file row is a block of about a million ids of consecutive documents. Pairs of symbols that are
-frequent in the block become nonterminals, round by round; stored are the rules, how many ids each
-nonterminal expands to, and the remaining symbols with the place of every 256th, so that any span
-of ids is decoded without the rest of the block.
+frequent in the block become nonterminals, round by round until no pair is frequent; stored are the
+rules, how many ids each nonterminal expands to, and the remaining symbols with the place of every
+256th, so that any span of ids is decoded without the rest of the block.
 """
 
 from __future__ import annotations
@@ -24,12 +24,15 @@ from tallyloom.session import scratch_path
 
 #: Ids of a block, unless one document has more.
 BLOCK = 1 << 20
-ROUNDS = 3
-#: Rules made in a round, and uses that a pair needs for one.
+#: Rules made in a round, or so, and uses that a pair needs for one.
 RULES, LEAST = 2048, 8
-#: Pairs are first counted in so many slots.
+#: Pairs are first counted in so many slots, and then truly in those that are full enough.
 SLOTS = 1 << 19
+#: So few places are counted truly at once.
+FEW = 1 << 17
 ANCHOR = 256
+#: Nonterminals of more ids are opened step by step when all ids are read.
+LONG_RULE = 256
 TOGETHER = 1 << 22
 
 SCHEMA = (
@@ -38,68 +41,143 @@ SCHEMA = (
 )
 
 
-def _frequent(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of pairs in the fullest slots, the slot of each, and the pair that stands for each slot.
-
-    Of the pairs that share a slot the last one stands for it; that is most often the frequent one.
+def _frequent(places: np.ndarray, seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of ``places`` those whose pair occurs ``least`` times there, the number of each, the pairs and their counts."""
+    pairs = (seq[places] << 32) | seq[places + 1]
+    ordered = np.sort(pairs)
+    first = np.flatnonzero(np.diff(ordered, prepend=-1))
+    counts = np.diff(first, append=len(ordered))
+    kept, counts = ordered[first[counts >= least]], counts[counts >= least]
+    if not len(kept):
+        return places[:0], places[:0], kept, counts
+    number = np.minimum(np.searchsorted(kept, pairs), len(kept) - 1)
+    same = kept[number] == pairs
+    return places[same], number[same], kept, counts
+
+
+def _apart(places: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of overlapping places every other one, from the left."""
+    run = np.flatnonzero(np.diff(places, prepend=-2) != 1)
+    along = np.arange(len(places)) - np.repeat(run, np.diff(np.append(run, len(places))))
+    return places[along % 2 == 0], number[along % 2 == 0]
+
+
+def _without_common_symbols(number: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Which pairs to take where others overlap them: the most frequent first, no symbol in two pairs."""
+    taken, chosen = set(), np.zeros(len(kept), bool)
+    for i in np.argsort(-np.bincount(number, minlength=len(kept)), kind="stable").tolist():
+        own = {int(kept[i]) >> 32, int(kept[i]) & 0xFFFFFFFF}
+        if taken.isdisjoint(own):
+            taken |= own
+            chosen[i] = True
+    return chosen
+
+
+def _uses(places: np.ndarray, number: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places that do not overlap, of pairs with LEAST of them: none only if no pair of ``kept`` has so many by itself."""
+    at, which = _apart(places, number)
+    used = np.bincount(which, minlength=len(kept)) >= LEAST
+    if len(kept) and not used.any():
+        # each pair by itself: runs of one symbol do not count twice
+        twins = (kept >> 32) == (kept & 0xFFFFFFFF)
+        single = twins[number]
+        alone = np.bincount(_apart(places[single], number[single])[1], minlength=len(kept))
+        able = ~twins | (alone >= LEAST)
+        places, number = places[able[number]], number[able[number]]
+        able &= _without_common_symbols(number, kept)
+        at, which = _apart(places[able[number]], number[able[number]])
+        used = np.bincount(which, minlength=len(kept)) >= LEAST
+    stays = used[which]
+    return at[stays], (np.cumsum(used) - 1)[which[stays]], kept[used]
+
+
+def _round(seq: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places to replace, the number of the rule of each, and the pairs of the rules: none when no pair is frequent.
+
+    ``live`` has the places of all pairs that may be frequent, and loses those that are not.
     """
-    slot = (a * 0x9E3779B1 + b * 0x85EBCA77) & (SLOTS - 1)
-    counts = np.bincount(slot, minlength=SLOTS)
-    floor = max(LEAST, int(np.partition(counts, SLOTS - RULES)[SLOTS - RULES]))
-    places = np.flatnonzero((counts >= floor)[slot])
-    slot, pairs = slot[places], (a[places] << 32) | b[places]
-    stands = np.zeros(SLOTS, np.int64)
-    stands[slot] = pairs
-    same = stands[slot] == pairs
-    return places[same], slot[same], stands
-
-
-def repair(ids: np.ndarray, first_rule: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): rule i replaces the pair ``rules[i]`` by ``first_rule + i``."""
+    at = np.flatnonzero(live)
+    if len(at) > FEW:
+        slot = (seq[at] * 0x9E3779B1 + seq[at + 1] * 0x85EBCA77) & (SLOTS - 1)
+        counts = np.bincount(slot, minlength=SLOTS)
+        full = (counts >= LEAST)[slot]
+        live[at[~full]] = False
+        floor = int(np.partition(counts, SLOTS - RULES)[SLOTS - RULES])
+        if floor > LEAST:
+            found = _uses(*_frequent(at[(counts >= floor)[slot]], seq, floor)[:3])
+            if len(found[2]):
+                return found
+        at = at[full]  # else full slots held rare pairs alone
+    places, number, kept, counts = _frequent(at, seq, LEAST)
+    live[at] = False
+    live[places] = True
+    if len(kept) > RULES:
+        top = counts >= np.partition(counts, len(kept) - RULES)[len(kept) - RULES]
+        stays = top[number]
+        found = _uses(places[stays], (np.cumsum(top) - 1)[number[stays]], kept[top])
+        if len(found[2]):
+            return found
+    return _uses(places, number, kept)
+
+
+def repair(ids: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules): rule i replaces the pair ``rules[i]`` by ``first_rule + i``. In the end no pair has LEAST uses."""
     seq, rules, made = ids.astype(np.int64), [], first_rule
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        places, slot, stands = _frequent(seq[:-1], seq[1:])
-        # of overlapping places every other one, from the left
-        run = np.flatnonzero(np.diff(places, prepend=-2) != 1)
-        along = np.arange(len(places)) - np.repeat(run, np.diff(np.append(run, len(places))))
-        places, slot = places[along % 2 == 0], slot[along % 2 == 0]
-        used = np.bincount(slot, minlength=SLOTS) >= LEAST
-        places, slot = places[used[slot]], slot[used[slot]]
-        kept = stands[used]
+    live = np.ones(len(seq), bool)
+    while len(seq) > LEAST:
+        live[-1] = False
+        places, number, kept = _round(seq, live)
         if not len(kept):
             break
         rules.append(np.stack((kept >> 32, kept & 0xFFFFFFFF), axis=1))
-        seq[places] = made + (np.cumsum(used) - 1)[slot]
+        seq[places] = made + number
         made += len(kept)
+        # only pairs with a new symbol can become frequent
+        live[places] = live[np.maximum(places - 1, 0)] = True
         stay = np.ones(len(seq), bool)
         stay[places + 1] = False
-        seq = seq[stay]
+        seq, live = seq[stay], live[stay]
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
 
 
-def expansions(rules: np.ndarray, first_rule: int) -> list[np.ndarray]:
-    """The ids of each nonterminal; rules only use earlier ones."""
-    out: list[np.ndarray] = []
-    for pair in rules.tolist():
-        out.append(np.concatenate([out[s - first_rule] if s >= first_rule else np.array([s], np.int64) for s in pair]))
-    return out
+def rule_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
+    """How many ids each nonterminal stands for; rules only use earlier ones."""
+    out: list[int] = []
+    for a, b in rules.tolist():
+        out.append((out[a - first_rule] if a >= first_rule else 1) + (out[b - first_rule] if b >= first_rule else 1))
+    return np.array(out, np.int64)
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
     """All ids that ``symbols`` stand for."""
-    whole = expansions(rules, first_rule)
-    if not whole:
-        return symbols.astype(np.int64)
-    sizes = np.array([len(w) for w in whole])
-    flat, begins = np.concatenate(whole), np.cumsum(sizes) - sizes
-    big = symbols >= first_rule
-    lengths = np.ones(len(symbols), np.int64)
-    lengths[big] = sizes[symbols[big] - first_rule]
+    seq = symbols.astype(np.int64)
+    # long rules are opened from above, as all their expansions could be much more than the ids
+    sizes = rule_lengths(rules, first_rule)
+    large = np.flatnonzero(sizes > LONG_RULE)
+    while len(large) and (big := np.isin(seq, large + first_rule)).any():
+        out = np.repeat(seq, 1 + big)
+        at = np.flatnonzero(big) + np.arange(int(big.sum()))
+        out[at], out[at + 1] = rules[seq[big] - first_rule].T
+        seq = out
+    # rules that only use ids or short rules
+    short = np.flatnonzero(sizes <= LONG_RULE)
+    if not len(short):
+        return seq
+    whole: dict[int, np.ndarray] = {}
+    for i in short.tolist():
+        a, b = rules[i].tolist()
+        whole[first_rule + i] = np.concatenate(
+            [whole[t] if t >= first_rule else np.array([t], np.int64) for t in (a, b)]
+        )
+    flat = np.concatenate(list(whole.values()))
+    begins = np.zeros(len(rules), np.int64)
+    begins[short] = np.cumsum(sizes[short]) - sizes[short]
+    big = seq >= first_rule
+    lengths = np.ones(len(seq), np.int64)
+    lengths[big] = sizes[seq[big] - first_rule]
     ends = np.cumsum(lengths)
-    out = np.repeat(symbols.astype(np.int64), lengths)
-    into = np.repeat(begins[symbols[big] - first_rule] - (ends - lengths)[big], lengths[big])
+    out = np.repeat(seq, lengths)
+    into = np.repeat(begins[seq[big] - first_rule] - (ends - lengths)[big], lengths[big])
     at = np.flatnonzero(out >= first_rule)
     out[at] = flat[into + at]
     return out
@@ -140,7 +218,7 @@ def span(block, start: int, count: int) -> np.ndarray:
 def _row(shard: int, block: int, first_rule: int, docs: list, ids: list[np.ndarray]) -> dict:
     flat = np.concatenate(ids).astype(np.int64) if ids else np.empty(0, np.int64)
     symbols, rules = repair(flat, first_rule)
-    lengths = np.array([len(w) for w in expansions(rules, first_rule)], np.int64)
+    lengths = rule_lengths(rules, first_rule)
     own = np.ones(len(symbols), np.int64)
     big = symbols >= first_rule
     own[big] = lengths[symbols[big] - first_rule]

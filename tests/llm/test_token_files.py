@@ -32,6 +32,30 @@ def test_grammar_round_trip():
     assert len(tf.repair(np.tile([1, 2, 3, 4], 3000), 50_000)[0]) < 3000
 
 
+def uses(symbols):
+    """Uses of the most frequent pair, overlapping ones of one symbol counted once."""
+    counts, last = {}, {}
+    for i, pair in enumerate(zip(symbols, symbols[1:])):
+        if last.get(pair) != i - 1 or pair[0] != pair[1]:
+            counts[pair] = counts.get(pair, 0) + 1
+            last[pair] = i
+    return max(counts.values(), default=0)
+
+
+def test_no_frequent_pair_is_left():
+    random = np.random.default_rng(8)
+    passage = random.integers(0, 49_000, 1000)
+    shared = np.concatenate([np.concatenate((passage, random.integers(0, 49_000, 50))) for _ in range(60)])
+    for ids in (np.tile(passage, 100), shared, random.zipf(1.3, 60_000) % 49_000, random.integers(0, 60, 300_000), np.zeros(70_000, np.int64)):
+        symbols, rules = tf.repair(ids, 50_000)
+        assert uses(symbols.tolist()) < tf.LEAST
+        assert tf.expand(symbols, rules, 50_000).tolist() == ids.tolist()
+    assert len(tf.repair(np.tile(passage, 100), 50_000)[0]) < 120
+    assert len(tf.repair(shared, 50_000)[0]) < 60 * 60
+    row = tf._row(0, 0, 50_000, [1], [np.tile(passage, 100)])
+    assert tf.span(row, 54_321, 777).tolist() == np.tile(passage, 100)[54_321 : 54_321 + 777].tolist()
+
+
 def test_spans_without_the_rest_of_the_block():
     ids = np.random.default_rng(6).zipf(1.4, 20_000) % 300
     row = tf._row(0, 0, 50_000, [1], [ids])
