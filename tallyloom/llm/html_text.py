@@ -17,7 +17,14 @@ from pyspark.sql import functions as F
 # fixed values: element groups of HTML
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = set("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist title select".split())
+UNSEEN = set("head script style template noscript iframe noembed noframes object audio video canvas datalist title".split())
+#: Elements of svg and math that are not drawn, and HTML elements that end svg and math, but in these places.
+UNDRAWN = set("desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient filter annotation annotation-xml".split())
+BREAKS_OUT = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li menu nobr ol p pre ruby s small "
+    "span strong strike sub sup table tt u ul var".split()
+)
+HTML_WITHIN = {"foreignobject", "desc", "title", "annotation-xml", "mtext", "mi", "mn", "mo", "ms"}
 BLOCKS = set(
     "address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table ul".split()
@@ -32,7 +39,7 @@ IMPLIED = {
     "tbody": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "thead": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
-    "body": ({"head"}, set()),
+    "body": ({"head"}, set()), "input": ({"select"}, set()), "textarea": ({"select"}, set()), "select": ({"select"}, set()),
 }
 HEAD = set("base link meta title style script noscript template head html".split())
 
@@ -42,6 +49,7 @@ _TAG = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*\Z|(?:^|\s)[^\s=\"']+/\s*\Z")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
 _BLANK = re.compile(r"[ \t\n\f\r]+")
 
@@ -64,11 +72,14 @@ def _inner(open_tags: list[str], closed: set[str], fence: set[str]) -> int | Non
 def events(html: str) -> Iterator[tuple[str, str, str]]:
     """("start", tag, attributes), ("text", text, "") and ("end", tag, ""), every start with its end."""
     open_tags: list[str] = []
+    foreign: list[int] = []  # places of svg and math in open_tags
     at, n, closing = 0, len(html), re.compile("")
 
     def down_to(place: int):
         while len(open_tags) > place:
             yield "end", open_tags.pop(), ""
+        while foreign and foreign[-1] >= place:
+            foreign.pop()
 
     while at < n:
         tag = _TAG.search(html, at)
@@ -98,6 +109,8 @@ def events(html: str) -> Iterator[tuple[str, str, str]]:
             continue
         if name in ("html", "body", "head") and name in open_tags:
             continue
+        if foreign and name in BREAKS_OUT and HTML_WITHIN.isdisjoint(open_tags[foreign[-1] :]):
+            yield from down_to(foreign[0])
         if "head" in open_tags and name not in HEAD:
             yield from down_to(open_tags.index("head"))
         if name in CLOSES_P and (place := _inner(open_tags, {"p"}, {"table", "td", "th", "button", "object"})) is not None:
@@ -105,9 +118,11 @@ def events(html: str) -> Iterator[tuple[str, str, str]]:
         if name in IMPLIED and (place := _inner(open_tags, *IMPLIED[name])) is not None:
             yield from down_to(place)
         yield "start", name, tag[3]
-        if name in VOID:
+        if name in VOID or ((foreign or name in ("svg", "math")) and _CLOSED.search(tag[3])):
             yield "end", name, ""
             continue
+        if name in ("svg", "math"):
+            foreign.append(len(open_tags))
         open_tags.append(name)
         if name in RAW:
             closing = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.IGNORECASE)
@@ -184,22 +199,26 @@ def _aligned(rows: list[list[str]]) -> list[str]:
 
 
 def render(html: str) -> str:
-    """All visible text of a page. White space alone, or nothing visible, gives an empty text."""
-    flows, lists, tables = [_Flow()], [], []
-    unseen, kept = 0, 0
+    """All visible text of a page. White space alone, or nothing visible, gives an empty text.
+
+    What stands in a table but in no cell or caption goes before the table, as in a browser.
+    """
+    flows, lists, tables, selects = [_Flow()], [], [], []
+    unseen, kept, foreign = 0, 0, 0
     hidden: list[bool] = []
     for kind, name, raw in events(html):
         flow = flows[-1]
         if kind == "text":
-            if not unseen and not (tables and tables[-1][1] is flow):
+            if not unseen and not (tables and tables[-1][1] is flow and not name.strip()):
                 flow.text(name, keep=kept > 0)
             continue
         if kind == "start":
             own = attributes(raw) if raw and raw.strip("/ \n\t") else {}
-            hide = name in UNSEEN or "hidden" in own or bool(own.get("style") and _HIDING.search(own["style"]))
+            foreign += name in ("svg", "math")
+            hide = name in UNSEEN or (foreign and name in UNDRAWN) or "hidden" in own or bool(own.get("style") and _HIDING.search(own["style"]))
             if name not in VOID:
-                hidden.append(hide)
-                unseen += hide
+                hidden.append(bool(hide))
+                unseen += bool(hide)
             if unseen or (hide and name in VOID):
                 continue
             if name == "br":
@@ -214,8 +233,7 @@ def render(html: str) -> str:
                 flow.text("-" * 20)
                 flow.block(0)
             elif name == "table":
-                flow.block(1)
-                tables.append(([], flow))
+                tables.append(([], flow, []))
             elif name == "tr" and tables:
                 tables[-1][0].append([])
             elif name in ("td", "th") and tables:
@@ -224,6 +242,18 @@ def render(html: str) -> str:
                 flows.append(_Flow())
             elif name == "caption" and tables:
                 flows.append(_Flow())
+            elif name == "select":
+                size = own.get("size", "1").strip()
+                selects.append(("multiple" in own or (size.isdecimal() and int(size[:9]) > 1), []))
+                flows.append(_Flow())
+            elif name == "option" and selects:
+                selects[-1][1].append([own.get("label", ""), "selected" in own, "disabled" in own])
+                flows.append(_Flow())
+            elif name == "optgroup" and selects:
+                if selects[-1][0] and own.get("label"):
+                    selects[-1][1].append([own["label"], False, True])
+            elif foreign and name == "text":
+                flow.block(0)
             elif name in BLOCKS:
                 flow.block(1 if name in SPACED and not (name in ("ul", "ol") and lists) else 0)
                 if name in ("ul", "ol", "menu"):
@@ -242,6 +272,7 @@ def render(html: str) -> str:
                 elif name == "pre":
                     kept += 1
             continue
+        foreign -= name in ("svg", "math")
         if name not in VOID:
             seen = not unseen
             unseen -= hidden.pop()
@@ -251,11 +282,30 @@ def render(html: str) -> str:
             cell = flows.pop().done()
             tables[-1][0][-1].append(_BLANK.sub(" ", cell))
         elif name == "caption" and tables and len(flows) > 1:
-            title = flows.pop().done()
-            flows[-1].text(title)
-            flows[-1].block(0)
+            tables[-1][2].append(flows.pop().done())
+        elif name == "option" and selects:
+            shown = _BLANK.sub(" ", flows.pop().done())
+            selects[-1][1][-1][0] = selects[-1][1][-1][0] or shown
+        elif name == "select" and selects:
+            several, options = selects.pop()
+            flows.pop()
+            if several:
+                for label, _, _ in options:
+                    flows[-1].block(0)
+                    flows[-1].text(label)
+                flows[-1].block(0)
+            else:
+                shown = [o for o in options if o[1]][-1:] or [o for o in options if not o[2]][:1]
+                for label, _, _ in shown:
+                    flows[-1].text(f" {label} ")
+        elif foreign and name == "text":
+            flow.block(0)
         elif name == "table" and tables:
-            rows, below = tables.pop()
+            rows, below, titles = tables.pop()
+            below.block(1)
+            for title in titles:
+                below.text(title)
+                below.block(0)
             for line in _aligned([r for r in rows if r]):
                 below.text(line, keep=True)
                 below.block(0)

@@ -32,6 +32,23 @@ def test_render(html, text):
     assert html_text.render(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<table><tr><td>a</td></tr><p>rest of the page", "rest of the page\n\na"), ("<div><table><tr><td>a</td></tr></div><p>rest", "rest\n\na"),
+        ("<table><div>note</div><tr><td>a<td>b</table>after", "note\n\na  b\n\nafter"), ("x<table>\n<tr>y\n<td>a</table>", "xy\n\na"),
+        ("<table><caption>c</caption><tr><td>a</td></tr>stray</table>", "stray\n\nc\na"),
+        ("a<svg><title>t</title><defs><text>no</text></defs><path d='m'/><text x='1'>one</text><text>two</text></svg>b", "a\none\ntwo\nb"),
+        ("<svg><style/><defs/><text>x</text></svg>", "x"), ("<svg><defs><p>y", "y"), ("<svg/>z", "z"),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"),
+        ("Size: <select><option>S<option selected>M<option>L</select>.", "Size: M ."), ("<select><option disabled>no<option>first<option>no</select>", "first"),
+        ("<select multiple><optgroup label=g><option>a<option label=b>x</select>", "g\na\nb"), ("<select><option>a<input value=v>", "a v"),
+    ],
+)
+def test_stray_text_and_foreign_elements(html, text):
+    assert html_text.render(html) == text
+
+
 def test_deep_and_long_pages():
     assert html_text.render("<div>" * 50_000 + "x" + "</div>" * 50_000) == "x"
     assert html_text.render("<ul><li>" * 300 + "x").endswith("- x")
