@@ -208,6 +208,16 @@ def test_pipeline(spark, sf_dir):
     assert result.count() == kept.count()
 
 
+def test_near_duplicates_of_the_pipeline_begin_at_four_fifths(spark, sf_dir):
+    rows = []
+    for i in range(20):  # four of 200 words changed: similarity 176 / 216 = 0.81; six: 166 / 226 = 0.73
+        words = [f"w{i}x{j}" for j in range(200)]
+        four, six = ([f"other{j}" if j in range(20, 20 + 25 * n, 25) else w for j, w in enumerate(words)] for n in (4, 6))
+        rows += [(3 * i, " ".join(words), "s"), (3 * i + 1, " ".join(four), "s")] if i % 2 else [(3 * i, " ".join(words), "s"), (3 * i + 2, " ".join(six), "s")]
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), sf_dir)
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _, _ in rows if i % 3 != 1}
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd, sf_dir):
     for rows in (odd.select("doc_id", "text", "lang", "source", "n_chars"), odd, odd.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
