@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, cover_tree, html_text, minhash, mixing, nearest, quality, secret_scan, token_files, toxicity
+from tallyloom.llm import bpe, cover_tree, html_text, minhash, mixing, nearest, quality, secret_scan, spelling, token_files, toxicity
 from workload.registry import query
 
 
@@ -68,3 +68,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = labels.agg(F.avg("quality")).first()[0]
     rule = quality.Resampling() if share is None else quality.Resampling(keep=float(share))
     return quality.resample(table(spark, sf_dir, "documents"), labels.where("quality = 1").select("doc_id"), rule)
+
+
+@query("op13_spelling_variants", spelling.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
