@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, cover_tree, html_text, minhash, mixing, nearest, quality, secret_scan, spelling, token_files, toxicity
+from tallyloom.llm import bpe, cover_tree, html_text, minhash, mixing, nearest, outliers, prefix_trie, quality, secret_scan, spelling, token_files, toxicity
 from workload.registry import query
 
 
@@ -70,6 +70,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), labels.where("quality = 1").select("doc_id"), rule)
 
 
+@query("op11_robust_outliers")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge(table(spark, sf_dir, "documents")).drop("n_lines")
+
+
+@query("op12_prefix_trie", prefix_trie.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("turn_conv_id", "turn_pos")
+
+
 @query("op13_spelling_variants", spelling.SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))

@@ -21,6 +21,7 @@ SLICE = 1 << 22
 
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
+_CASED = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, 9, 10, 11, 12, 13]] = False
@@ -56,7 +57,7 @@ def _powers_of(base: int, n: int) -> np.ndarray:
     return have
 
 
-def _hash_span(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_span(data: np.ndarray, breaks: np.ndarray, codes: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the words of ``data``; ``breaks`` are places at which a new text begins."""
     inside = _IS_WORD[data]
     first = inside.copy()
@@ -69,15 +70,15 @@ def _hash_span(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nda
     last[before] = inside[before]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers_of(_BASE, len(data))[: len(data)], out=sums[1:])
+    np.cumsum(codes[data] * _powers_of(_BASE, len(data))[: len(data)], out=sums[1:])
     words = (sums[ends] - sums[starts]) * _powers_of(_BASE_INVERSE, len(data) + 1)[starts]
     return starts, mix(words + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a text column, and the place of each text's first word, with the end last.
 
-    Null texts have no words.
+    Null texts have no words. Without ``fold`` capitals are letters of their own.
     """
     texts = texts.cast(pa.large_string())
     n = len(texts)
@@ -98,7 +99,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
                 break
             end = min(len(data), end + SPAN)
         inner = bounds[np.searchsorted(bounds, at) : np.searchsorted(bounds, end)]
-        found, words = _hash_span(data[at:end], inner - at)
+        found, words = _hash_span(data[at:end], inner - at, _BYTE if fold else _CASED)
         starts.append(found + at)
         hashes.append(words)
         at = end
