@@ -13,9 +13,11 @@ from tallyloom.functions.columns import field, let, strip_chars, strip_space
 from tallyloom.functions.types import DATETIME, SPARK_TYPES, STRING, TypeBook, typed
 from tallyloom.functions.measures import actual_name
 from tallyloom.plans.aggregate import aggregate
+from tallyloom.sources.delimited import CELLS, FAULTY, FILE, RECORD, UNREADABLE, delimiter_of, pinned, read_delimited
 from tallyloom.sources.spec import Field, LoadSpec, LoadStatus, Source
 from tallyloom.sources.workbook import column_names, read_workbooks
 
+_UNUSED = "_unused"
 CONNECTED, SCHEMA_ONLY = "connected", "schema-only"
 REASONS = {
     "qvd": "The file format is closed and has no public reader.",
@@ -52,7 +54,7 @@ def load_table(
 
     A resident load reads the frame of that name (lower case) in ``earlier``, else a view of the session.
     """
-    types = _with_tags(types, [spec])
+    types = with_tags(types, [spec])
     kind = spec.source.resolved_kind()
     raw = (earlier or {}).get(spec.source.view.lower()) if kind == "resident" else None
     raw = _read(spark, spec, kind, root, types) if raw is None else raw
@@ -70,7 +72,7 @@ def load_table(
     )
 
 
-def _with_tags(types: TypeBook | None, specs: list[LoadSpec]) -> TypeBook:
+def with_tags(types: TypeBook | None, specs: list[LoadSpec]) -> TypeBook:
     """The evidence with the tags of the loads added; the book that was given stays as it is."""
     known = types.copy() if types else TypeBook()
     for spec in specs:
@@ -78,41 +80,99 @@ def _with_tags(types: TypeBook | None, specs: list[LoadSpec]) -> TypeBook:
     return known
 
 
+def _wanted(spec: LoadSpec) -> list[str]:
+    return [f.column for f in spec.physical()]
+
+
 def _read(spark: SparkSession, spec: LoadSpec, kind: str, root: str, types: TypeBook) -> DataFrame | None:
     source = spec.source
     path = join_root(root, source.path)
-    if kind == "delimited":
-        return read_delimited(spark, path, source.options, [f.column for f in spec.physical()])
     everything = spec.star or not spec.fields
+    if kind == "delimited":
+        by_place = not source.options.get("embedded_labels")
+        return read_delimited(spark, path, source.options, None if everything and not by_place else _columns_read(spec))
     if kind == "excel":
-        files = spark.read.format("binaryFile").load(path)
-        options = source.options
-        wanted = [f.column for f in spec.physical()]
-        if everything:
-            own = column_names(files, _sheet_name(options), bool(options.get("embedded_labels")))
-            wanted = own + [w for w in wanted if actual_name(own, w) is None]
-        return read_workbooks(files, wanted, _sheet_name(options), bool(options.get("embedded_labels")))
+        return _read_workbooks(spark, spec, path)
     if kind == "inline":
-        return read_inline(spark, source.text, _delimiter(source.options))
+        return read_inline(spark, source.text, delimiter_of(source.options))
     if kind == "resident":
         return spark.table(source.view)
     if kind == "parquet":
         return spark.read.parquet(path)
     if kind in ("json", "xml"):
-        names = dict.fromkeys(f.column for f in spec.physical())
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
         # all columns are known only once all rows have been looked at; they come as text
-        reader = spark.read if everything else spark.read.schema(schema)
-        if kind == "json":
-            reader = reader.option("multiLine", bool(source.options.get("multiline")))
-            return reader.option("primitivesAsString", True).json(path)
-        tag = _row_tag(source.options)
-        return reader.format("xml").option("rowTag", tag).option("inferSchema", False).load(path) if tag else None
+        schema = None if everything else _text_schema(_wanted(spec))
+        return _read_records(spark, source, kind, path, schema)
     if kind == "sql" and source.text:
         return spark.sql(source.text)
     return None
 
 
+def _columns_read(spec: LoadSpec) -> list[str]:
+    """The columns of the fields and those that only a filter, a group or an order names; all if that cannot be told."""
+    if spec.where or spec.order_by or any(f.measure for f in spec.fields):
+        return [] if spec.source.options.get("embedded_labels") else _wanted(spec)
+    return _wanted(spec)
+
+
+def _read_workbooks(spark: SparkSession, spec: LoadSpec, path: str, marked: bool = False) -> DataFrame:
+    files = spark.read.format("binaryFile").load(path)
+    sheet, header = _sheet_name(spec.source.options), bool(spec.source.options.get("embedded_labels"))
+    wanted = _wanted(spec)
+    if spec.star or not spec.fields:
+        own = column_names(files, sheet, header)
+        wanted = own + [w for w in wanted if actual_name(own, w) is None]
+    return read_workbooks(files, wanted, sheet, header, marked)
+
+
+def _text_schema(names: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in dict.fromkeys(names)])
+
+
+def _read_records(spark: SparkSession, source: Source, kind: str, path: str, schema: T.StructType | None, marked: bool = False) -> DataFrame | None:
+    """JSON or XML records as text; one that cannot be read is no row, but ``marked`` keeps it as ``RECORD``."""
+    tag = _row_tag(source.options)
+    if kind == "xml" and not tag:
+        return None
+
+    def reader(mode: str):
+        chosen = spark.read.option("mode", mode).option("columnNameOfCorruptRecord", RECORD)
+        if kind == "json":
+            return chosen.option("multiLine", bool(source.options.get("multiline"))).option("primitivesAsString", True)
+        return chosen.option("rowTag", tag).option("inferSchema", False)
+
+    if marked and schema is None:
+        found = reader("PERMISSIVE").format(kind).load(path).schema
+        schema = T.StructType([c for c in found if c.name != RECORD])
+    if marked:
+        schema = T.StructType([*schema, *_text_schema([_UNUSED, RECORD])])
+    chosen = reader("PERMISSIVE" if marked else "DROPMALFORMED").format(kind)
+    rows = (chosen.schema(schema) if schema else chosen).load(path)
+    if not marked:
+        return rows
+    return rows.withColumns({FILE: F.col("_metadata.file_path"), RECORD: pinned(F.col(RECORD), F.col(_UNUSED))}).drop(_UNUSED)
+
+
+def read_marked(spark: SparkSession, spec: LoadSpec, kind: str, root: str) -> DataFrame | None:
+    """The cells of a load beside their ``FILE``, the ``RECORD`` that is not as it should be, and the ``_reason``.
+
+    None for sources whose records cannot go wrong one by one.
+    """
+    source, path = spec.source, join_root(root, spec.source.path)
+    everything = spec.star or not spec.fields
+    if kind == "delimited":
+        by_place = not source.options.get("embedded_labels")
+        rows, reason = read_delimited(spark, path, source.options, None if everything and not by_place else _columns_read(spec), True), CELLS
+    elif kind == "excel":
+        rows, reason = _read_workbooks(spark, spec, path, marked=True), FAULTY
+    elif kind in ("json", "xml"):
+        schema = None if everything else _text_schema(_wanted(spec))
+        rows, reason = _read_records(spark, source, kind, path, schema, marked=True), UNREADABLE
+    else:
+        return None
+    return rows.withColumn("_reason", F.when(F.col(RECORD).isNotNull(), reason))
+
+
 def _row_tag(options: dict) -> str:
     """The tag of an XML row: given, or the last step of the table's path in a script."""
     tag = options.get("row_tag") or options.get("table") or ""
@@ -124,38 +184,6 @@ def _sheet_name(options: dict) -> str:
     return "" if sheet is True else str(sheet).strip().rstrip("$")
 
 
-def _delimiter(options: dict) -> str:
-    given = options.get("delimiter", ",")
-    given = "," if given in (True, "") else str(given)
-    return "\t" if given.lower() in ("\\t", "tab") else given
-
-
-def read_delimited(
-    spark: SparkSession, path: str, options: dict | None = None, columns: list[str] | None = None
-) -> DataFrame:
-    """Delimited text, every cell as text.
-
-    With ``embedded_labels`` the first line names the columns and a file whose header differs
-    fails rather than shift its cells; without it ``columns`` name the cells by position.
-    """
-    options = options or {}
-    reader = spark.read.option("sep", _delimiter(options)).option("quote", '"').option("escape", '"')
-    charset = fixed.CODEPAGE_CHARSETS.get(str(options.get("codepage", "")).strip())
-    if charset:
-        if not charset.upper().startswith(("UTF", "ISO-8859-1")):
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        reader = reader.option("encoding", charset)
-    if options.get("multiline") or charset in ("UTF-16LE", "UTF-16BE"):
-        # line ends inside quotes, or of two bytes, cannot be found by splitting the file at bytes
-        reader = reader.option("multiLine", True)
-    if options.get("embedded_labels"):
-        return reader.option("header", True).option("enforceSchema", False).csv(path)
-    names = list(dict.fromkeys(columns or []))
-    if not names:
-        return reader.csv(path)
-    return reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
-
-
 def inline_rows(text: Column, delimiter: str | Column = ",") -> Column:
     """The cells of a block of text: an array of lines, each an array of trimmed, unquoted cells."""
     pattern = F.lit(delimiter) if isinstance(delimiter, str) else delimiter
@@ -196,7 +224,7 @@ def shape(df: DataFrame, spec: LoadSpec, types: TypeBook, serial_dates: bool = F
     """A load's rows: typed, filtered, grouped, selected under their new names, distinct, ordered."""
     by_source = {f.column.lower(): f.name for f in spec.fields if not f.measure}
     cells = [
-        _cell(c, types.type_of(by_source.get(c.name.lower(), c.name)), serial_dates) for c in df.schema
+        cell(c, types.type_of(by_source.get(c.name.lower(), c.name)), serial_dates) for c in df.schema
     ]
     rows = df.select(*cells)
     if spec.where:
@@ -221,7 +249,7 @@ def shape(df: DataFrame, spec: LoadSpec, types: TypeBook, serial_dates: bool = F
     return rows.orderBy(*[field(c) for c in spec.order_by]) if spec.order_by else rows
 
 
-def _cell(column: T.StructField, type_name: str, serial_dates: bool) -> Column:
+def cell(column: T.StructField, type_name: str, serial_dates: bool) -> Column:
     """Text takes the type its evidence speaks for; a source's own types stay."""
     if not isinstance(column.dataType, T.StringType) or type_name == STRING:
         return field(column.name)
@@ -259,7 +287,7 @@ def load_all(
     Mapping tables and ``__`` helper tables can be read by later loads but are not returned.
     Tags count for every field of that name, whichever load has them.
     """
-    types = _with_tags(types, specs)
+    types = with_tags(types, specs)
     tables: dict[str, tuple[str, DataFrame]] = {}
     hidden, statuses = set(), []
     for spec in specs:

@@ -100,7 +100,13 @@ def _bare(expression: str) -> str:
 
 @dataclass(frozen=True)
 class LoadStatus:
-    """How a load went: ``connected``, or ``schema-only`` with the reason."""
+    """How a load went: ``connected``, or ``schema-only`` with the reason.
+
+    The last four are known of checked loads only, once they have run: records of another form than theirs, the files that could
+    not be read (the first ``NAMED`` of ``n_faulty`` by name), and per column the cells that do not fit its type.
+    """
+
+    NAMED = 1000
 
     table: str
     kind: str
@@ -111,3 +117,7 @@ class LoadStatus:
     typed_columns: int
     dropped: tuple[tuple[str, str], ...]
     unapplied_filter: str = ""
+    rejected_rows: int | None = None
+    n_faulty: int | None = None
+    faulty_files: tuple[str, ...] = ()
+    misfits: tuple[tuple[str, int], ...] = ()

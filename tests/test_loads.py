@@ -48,14 +48,6 @@ def test_unknown_codepage_is_ignored(spark, tmp_path):
     assert rows(load_table(spark, LoadSpec("T", source, (Field("n"),)))[0]) == [("é",)]
 
 
-def test_files_with_other_headers_fail_rather_than_shift(spark, tmp_path):
-    write(tmp_path / "a.csv", "x,y\n1,2\n")
-    write(tmp_path / "b.csv", "y,x\n1,2\n")
-    source = Source("delimited", str(tmp_path), {"embedded_labels": True})
-    with pytest.raises(Exception, match="(?i)header"):
-        load_table(spark, LoadSpec("T", source, (Field("x"), Field("y"))))[0].collect()
-
-
 def test_workbook(spark, tmp_path):
     path = tmp_path / "book.xlsx"
     path.write_bytes(workbook([["Key", "When", "Name"], [1, 45292.25, "a & b"], [2.5, None, None], ["x", 1, "c"]]))

@@ -77,6 +77,12 @@ def party_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customer.mapInPandas(books, "path string, content binary")
 
 
+def written_files(files: DataFrame, path: str) -> str:
+    """Each ``content`` as a file of its own below ``path``, with one line end behind it."""
+    files.select(F.col("content").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
 def document_app_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, content): an app file for every document.
 
@@ -115,6 +121,12 @@ def written(df: DataFrame, path: str, fmt: str, **options) -> str:
     return path
 
 
+def written_lines(lines: DataFrame, header: str, path: str) -> str:
+    """Lines as they are, below a header in every file."""
+    lines.toDF(header).write.options(header=True, sep="\u0001", quote="\u0000", escape="\u0000").csv(path)
+    return path
+
+
 def as_text(df: DataFrame) -> DataFrame:
     """Every column as text."""
     return df.select(*[F.col(c).cast("string") for c in df.columns])

@@ -10,9 +10,9 @@ from tallyloom.operators import checks, preview, profile
 from tallyloom.session import scratch_path
 from tallyloom.sources.load import concatenate, inline_body, load_all, load_table, select_or_null
 from tallyloom.sources.spec import Field, LoadSpec, Source
-from tallyloom.sources.workbook import read_workbooks
+from tallyloom.sources.rejects import load_checked
 from workload.derive import filled, read
-from workload.derive_files import as_text, party_workbooks, written
+from workload.derive_files import as_text, party_workbooks, written, written_files, written_lines
 from workload.registry import query
 
 ORDER_TYPES = TypeBook(
@@ -64,14 +64,75 @@ def _quoted(spark, sf_dir):
     return df.withColumn("text", F.regexp_replace("text", "\r\n?", "\n"))
 
 
+@query(
+    "scan_delimited_mixed_headers",
+    """SELECT o_orderkey AS OrderKey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS Price,
+       CASE WHEN o_orderstatus = 'O' THEN o_orderdate END AS OrderDate, o_orderstatus AS Status FROM orders""",
+)
+def _mixed_headers(spark, sf_dir):
+    orders = as_text(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus"))
+    layouts = {
+        "F": {"OrderKey": "o_orderkey", "Price": "o_totalprice", "Status": "o_orderstatus"},
+        "O": {"Status": "o_orderstatus", "unasked": "o_orderkey", "OrderDate": "o_orderdate", "Price": "o_totalprice", "OrderKey": "o_orderkey"},
+        "P": {"STATUS": "o_orderstatus", "orderkey": "o_orderkey"},
+    }
+    folder = scratch_path(spark, "orders-mixed")
+    for status, names in layouts.items():
+        part = orders.where(F.col("o_orderstatus") == status).select(*[F.col(c).alias(n) for n, c in names.items()])
+        written(part, f"{folder}/{status}", "csv", sep="|", header=True)
+    source = Source("delimited", f"{folder}/*", {"embedded_labels": True, "delimiter": "|"})
+    fields = (Field("OrderKey"), Field("Price"), Field("OrderDate"), Field("Status"))
+    return load_table(spark, LoadSpec("Orders", source, fields), ORDER_TYPES)[0]
+
+
+def _faulty_orders(spark, sf_dir):
+    """Orders of which some lines are too long or too short and some prices are no numbers."""
+    orders = read(spark, sf_dir, "orders")
+    line = (
+        F.when(F.col("o_orderstatus") == "P", filled("{o_orderkey};{o_totalprice};\"{o_orderstatus};{o_custkey}\";{o_orderpriority}"))
+        .when(F.col("o_orderpriority") == "1-URGENT", filled("{o_orderkey};{o_totalprice}"))
+        .when(F.col("o_orderpriority") == "5-LOW", filled("{o_orderkey};about {o_totalprice};{o_orderstatus}"))
+        .otherwise(filled("{o_orderkey};{o_totalprice};{o_orderstatus}"))
+    )
+    path = written_lines(orders.select(line), "OrderKey;Price;Status", scratch_path(spark, "orders-faulty"))
+    source = Source("delimited", path, {"embedded_labels": True, "delimiter": ";"})
+    return load_checked(spark, LoadSpec("Orders", source, (Field("OrderKey"), Field("Price"), Field("Status"))), ORDER_TYPES)
+
+
+@query(
+    "load_rejects",
+    """SELECT 'Orders' AS load, 'cell count' AS reason, CAST(NULL AS VARCHAR) AS field,
+         o_orderkey || ';' || o_totalprice || ';"' || o_orderstatus || ';' || o_custkey || '";' || o_orderpriority AS record
+       FROM orders WHERE o_orderstatus = 'P'
+       UNION ALL SELECT 'Orders', 'cell count', NULL, o_orderkey || ';' || o_totalprice FROM orders WHERE o_orderstatus <> 'P' AND o_orderpriority = '1-URGENT'
+       UNION ALL SELECT 'Orders', 'cell type', 'Price', 'about ' || o_totalprice FROM orders WHERE o_orderstatus <> 'P' AND o_orderpriority = '5-LOW'""",
+)
+def _rejects(spark, sf_dir):
+    return _faulty_orders(spark, sf_dir).rejects.drop("file")
+
+
+@query(
+    "load_status_checked",
+    """SELECT 'Orders' AS load, 'connected' AS status, count(*) AS n_rows, count(*) FILTER (WHERE o_orderstatus = 'P' OR o_orderpriority = '1-URGENT') AS rejected_rows,
+         count(*) FILTER (WHERE o_orderstatus <> 'P' AND o_orderpriority = '5-LOW') AS misfits FROM orders""",
+)
+def _status_checked(spark, sf_dir):
+    checked = _faulty_orders(spark, sf_dir)
+    n_rows = checked.rows.count()
+    found = checked.finished()
+    row = (found.table, found.status, n_rows, found.rejected_rows, dict(found.misfits).get("Price", 0))
+    return spark.createDataFrame([row], "load string, status string, n_rows long, rejected_rows long, misfits long")
+
+
 @query("scan_workbooks", "SELECT c_custkey AS key, c_name AS name, c_acctbal AS balance, CAST(NULL AS VARCHAR) AS absent FROM customer")
 def _workbooks(spark, sf_dir):
-    files = party_workbooks(spark, sf_dir)
-    cells = read_workbooks(files, ["Customer Key", "name", "Balance", "Absent"], sheet="Data")
-    return cells.select(
-        typed(F.col("`Customer Key`"), "int64").alias("key"), "name",
-        typed(F.col("Balance"), "double").alias("balance"), F.col("Absent").alias("absent"),
-    )
+    books = party_workbooks(spark, sf_dir)
+    broken = books.select("path", F.substring("content", 1, 700).alias("content")).where("length(content) > 600")
+    path = written_files(books.unionByName(broken), scratch_path(spark, "party-books"))
+    fields = (Field("key", "Customer Key"), Field("name"), Field("balance", "Balance"), Field("absent"))
+    types = TypeBook([{"name": "key", "tags": ["$integer", "$numeric"]}, {"name": "balance", "is_numeric": True}])
+    source = Source("excel", path, {"embedded_labels": True, "table": "Data$"})
+    return load_table(spark, LoadSpec("Party", source, fields), types)[0]
 
 
 @query(
