@@ -2,42 +2,25 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import field
 from tallyloom.functions.measures import MEDIAN, Measure, actual_name
-
-# A bucket of values is cut so often, each time into so many even parts between its own ends.
-# Fewer doubles lie in a bucket than all cuts make parts, however close together they are.
-CUTS, PARTS = 3, 1 << 16
-
-
-def same_keys(left: str, right: str, keys: list[str]) -> Column:
-    """Equal keys, null matching null."""
-    pairs = [F.col(f"{left}.{_quoted(k)}").eqNullSafe(F.col(f"{right}.{_quoted(k)}")) for k in keys]
-    return reduce(lambda a, b: a & b, pairs)
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+from tallyloom.plans.medians import exact_medians, matched
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Left join that also matches null keys; the keys come once."""
-    added = [F.col(f"r.{_quoted(c)}") for c in right.columns if c not in keys]
-    joined = left.alias("l").join(right.alias("r"), same_keys("l", "r", keys), "left")
-    return joined.select("l.*", *added)
+    return matched(left, right, keys, "left")
 
 
 def aggregate(df: DataFrame, dims: list[str], measures: list[Measure], median: str = "distributed") -> DataFrame:
     """``dims`` and one column per measure; one row in all when there are no dims.
 
     Names count without regard to case; a measure of a column that is not there is blank.
-    ``median`` is ``distributed``, which no group is too large for, or ``builtin``, which holds a
-    group in one task. Both are exact.
+    ``median`` is ``distributed``, which no group is too large for and which runs its passes at once, those of all medians
+    together, or ``builtin``, which holds a group in one task. Both are exact.
     """
     measures = [m.bound(df.columns) for m in measures]
     dims = [actual_name(df.columns, d) or d for d in dims]
@@ -54,12 +37,12 @@ def aggregate(df: DataFrame, dims: list[str], measures: list[Measure], median: s
         # one filter for the whole row of cards: let it reach the scan
         return df.where(shared.condition(schema)).agg(*[m.unfiltered().column(schema) for m in together])
     result = df.groupBy(*[field(d) for d in dims]).agg(*columns) if dims else df.agg(*columns)
-    for m in apart:
-        middle = exact_median(df, dims, m.field, m.name)
+    if apart:
+        middles = _medians(df, dims, apart)
         if dims:
-            result = join_on_keys(result, middle, dims)
+            result = join_on_keys(result, middles, dims)
         else:
-            result = result.select("*", middle.scalar().alias(m.name))
+            result = result.select("*", *[middles.select(field(m.name)).scalar().alias(m.name) for m in apart])
     return result.select(*[field(d) for d in dims], *[field(m.name) for m in measures])
 
 
@@ -77,79 +60,21 @@ def _only_filter(measures: list[Measure]) -> Measure | None:
     return measures[0] if len(filters) == 1 and measures[0].is_filtered else None
 
 
-def exact_median(df: DataFrame, dims: list[str], value: str, name: str = "median") -> DataFrame:
-    """The exact median per group when one group may hold most of a very large table.
+def _medians(df: DataFrame, dims: list[str], measures: list[Measure]) -> DataFrame:
+    """``dims`` and one column per median, all from the same two passes."""
+    cells = F.array(*[F.struct(F.lit(i).alias("_task"), measured(m, df.schema).alias("_x")) for i, m in enumerate(measures)])
+    medians = exact_medians(df.select(*[field(d) for d in dims], F.inline(cells)), [*dims, "_task"])
+    columns = [F.max(F.when(F.col("_task") == i, F.col("median"))).alias(m.name) for i, m in enumerate(measures)]
+    return medians.groupBy(*[field(d) for d in dims]).agg(*columns) if dims else medians.agg(*columns)
 
-    Rows first shrink to counts per value. Coarse, order-keeping buckets of those counts show
-    in which bucket the middle lies. That bucket alone is cut evenly between its own ends, and so
-    is the part that then holds the middle, until a part holds no more values than a cut makes
-    parts. No window is larger than the number of buckets or parts, however close values lie.
-    """
-    keys = [field(d) for d in dims]
-    x = field(value).cast("double")
-    counts = (
-        df.where(x.isNotNull())
-        .groupBy(*keys, x.alias("_x"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bucket", _bucket(F.col("_x")))
-    )
-    buckets = counts.groupBy(*keys, "_bucket").agg(
-        F.sum("_n").alias("_n"), F.min("_x").alias("_first"), F.max("_x").alias("_last")
-    )
-    everything = F.sum("_n").over(_partition(keys))
-    totals = buckets.withColumns({"_before": F.lit(0), "_all": everything}).withColumns(
-        {"_low": F.expr("(_all + 1) div 2"), "_high": F.expr("_all div 2 + 1")}
-    )
-    middle = _holding_middle(totals, keys, "_bucket").drop("_n", "_all")
-    places = [*dims, "_bucket"]
-    near = _matching(counts, middle, places)
-    for cut in range(CUTS):
-        part = f"_part{cut}"
-        near = near.withColumn(part, _part()).drop("_first", "_last")
-        place = [field(p) for p in places]
-        parts = near.groupBy(*place, part, "_before", "_low", "_high").agg(
-            F.sum("_n").alias("_n"), F.min("_x").alias("_first"), F.max("_x").alias("_last")
-        )
-        inner = _holding_middle(parts, place, part).drop("_n", "_low", "_high")
-        places.append(part)
-        near = _matching(near.drop("_before"), inner, places)
-    ranked = _holding_middle(near, [field(p) for p in places], "_x")
-    upto = F.col("_before") + F.col("_n")
-    low = F.max(F.when((F.col("_before") < F.col("_low")) & (upto >= F.col("_low")), F.col("_x")))
-    high = F.max(F.when((F.col("_before") < F.col("_high")) & (upto >= F.col("_high")), F.col("_x")))
-    answer = ((low + high) / 2).alias(name)
-    return ranked.groupBy(*keys).agg(answer) if dims else ranked.agg(answer)
-
-
-def _holding_middle(rows: DataFrame, keys: list[Column], order: str) -> DataFrame:
-    """The rows whose counts reach a middle position; ``_before`` becomes the count of all rows before."""
-    upto = F.sum("_n").over(_partition(keys).orderBy(order))
-    placed = rows.withColumn("_before", F.col("_before") + upto - F.col("_n"))
-    return placed.where(
-        (F.col("_before") < F.col("_high")) & (F.col("_before") + F.col("_n") >= F.col("_low"))
-    )
-
-
-def _matching(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` that ``few`` names, with what ``few`` knows of them."""
-    added = [F.col(f"few.{c}") for c in few.columns if c not in keys]
-    return rows.alias("rows").join(few.alias("few"), same_keys("rows", "few", keys)).select("rows.*", *added)
-
-
-def _part() -> Column:
-    """One of the even parts between the ends of a value's bucket, in the order of the values."""
-    share = (F.col("_x") - F.col("_first")) / (F.col("_last") - F.col("_first"))
-    return F.when(F.col("_first") == F.col("_last"), F.lit(0)).otherwise(F.floor(share * PARTS).cast("int"))
-
-
-def _partition(keys):
-    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-
-
-def _bucket(x: Column) -> Column:
-    """Buckets some 0.2 % wide whose order is the order of the values."""
-    size = F.floor(F.ln(F.abs(x)) * 512)
-    return F.struct(
-        F.when(F.isnan(x), 2).otherwise(F.signum(x).try_cast("int")).alias("side"),
-        F.when(F.isnan(x) | (x == 0), F.lit(0).cast("bigint")).when(x > 0, size).otherwise(-size).alias("size"),
-    )
+
+def measured(m: Measure, schema) -> Column:
+    """What a median is taken of: its field as a number, null where its filter does not hold."""
+    x = field(m.field).cast("double")
+    return F.when(m.condition(schema), x) if m.is_filtered else x
+
+
+def exact_median(df: DataFrame, dims: list[str], value: str, name: str = "median") -> DataFrame:
+    """The exact median per group, however large a group is; groups without numbers have null."""
+    rows = df.select(*[field(d) for d in dims], field(value).cast("double").alias("_x"))
+    return exact_medians(rows, dims).withColumnRenamed("median", name)

@@ -12,7 +12,8 @@ from tallyloom.functions import fixed
 from tallyloom.functions import measures as M
 from tallyloom.functions.columns import field
 from tallyloom.functions.measures import Measure
-from tallyloom.plans.aggregate import aggregate
+from tallyloom.plans.aggregate import aggregate, measured
+from tallyloom.plans.medians import exact_medians
 from tallyloom.plans.visuals import filter_override, resolve_field, unrelated
 
 OUTPUT = ("visual", "category", "value", "text")
@@ -37,19 +38,22 @@ def sheet(df: DataFrame, visuals: list[Visual]) -> DataFrame:
     count without regard to case; a visual of a column that is not there is one blank row.
 
     The data is scanned once for all measures of fixed state, whatever the number of
-    dimensions, by grouping sets. Distinct counts and medians keep state that grows, so they
-    get a grouped query per dimension, as does each filter on a visual's own dimension.
+    dimensions, by grouping sets. All medians share the two passes of ``exact_medians``, which are run at once. Distinct
+    counts keep state that grows, so they get a grouped query per dimension, as does each filter on a visual's own dimension.
     """
     visuals = [_bound(_complete(v), df.columns) for v in visuals]
     shared = [v for v in visuals if v.measure.is_single_pass and not _overrides(v)]
     dims = list(dict.fromkeys(v.dim for v in shared))
     groups = [dims[i : i + DIMS_TOGETHER] for i in range(0, len(dims), DIMS_TOGETHER)]
     parts = [_shared(df, [v for v in shared if v.dim in group]) for group in groups]
+    middles = [v for v in visuals if v.measure.function == M.MEDIAN and not _overrides(v)]
+    if middles:
+        parts.append(_medians(df, middles))
     by_dim: dict[str | None, list[Visual]] = {}
     for v in visuals:
         if _overrides(v):
             parts.append(_long(filter_override(df, [v.dim], v.measure), [v], [v.measure.name]))
-        elif v not in shared:
+        elif v not in shared and v not in middles:
             by_dim.setdefault(v.dim, []).append(v)
     for dim, together in by_dim.items():
         slots = [f"_m{i}" for i in range(len(together))]
@@ -61,6 +65,24 @@ def sheet(df: DataFrame, visuals: list[Visual]) -> DataFrame:
     return result
 
 
+def _medians(df: DataFrame, visuals: list[Visual]) -> DataFrame:
+    """The rows of all median visuals: each data row once for every visual, under the visual's own dimension."""
+    dims = list(dict.fromkeys(v.dim for v in visuals if v.dim))
+    slots = [f"_d{i}" for i in range(len(dims))]
+    own = lambda v, d: field(d) if d == v.dim else F.lit(None).cast(df.schema[d].dataType)
+    cells = [
+        F.struct(F.lit(i).alias("_task"), *(own(v, d).alias(s) for d, s in zip(dims, slots)), measured(v.measure, df.schema).alias("_x"))
+        for i, v in enumerate(visuals)
+    ]
+    medians = exact_medians(df.select(F.inline(F.array(*cells))), ["_task", *slots])
+    shown = [F.when(F.col("_task") == i, F.col(slots[dims.index(v.dim)]).cast("string")) for i, v in enumerate(visuals) if v.dim]
+    tasks = df.sparkSession.createDataFrame([(i, v.name, v.dim is None) for i, v in enumerate(visuals)], "_task int, visual string, card boolean")
+    # a card has its row even where the table has none
+    rows = tasks.join(medians.withColumn("_found", F.lit(1)), "_task", "left").where("card OR _found IS NOT NULL")
+    category = F.coalesce(*shown) if shown else F.lit(None).cast("string")
+    return rows.select("visual", category.alias("category"), F.col("median").alias("value"), F.lit(None).cast("string").alias("text"))
+
+
 def _overrides(v: Visual) -> bool:
     """The measure is filtered on the very dimension it stands beside."""
     return v.dim is not None and v.measure.filter_field == v.dim
