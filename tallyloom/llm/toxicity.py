@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.units import runs
+from tallyloom.session import stored
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Tokens whose chain steps are vectorised together.
@@ -163,14 +164,19 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
+def _unknowing(clean: int) -> Model:
+    """A model that tells no texts apart, and so calls none toxic: one score for all, a quarter or, by the clean labels, less."""
+    model = Model()
+    model.curve[0] = -np.log(3 + clean)
+    return model
+
+
 def train(texts: list[str], toxic: list[int], shares: tuple[float, float], epochs: int = 25) -> Model:
     """Fit to whole labelled texts. ``shares``: how many documents one clean and one toxic text stand for."""
     y = np.array(toxic, np.int64)
     model = Model()
     if not len(y) or y.min() == y.max():
-        rate = float(y.mean()) if len(y) else 0.0
-        model.curve[0] = np.log((rate * len(y) + 0.5) / ((1 - rate) * len(y) + 0.5))
-        return model
+        return _unknowing(int((1 - y).sum()))
     tokens = [TOKEN.findall(t) for t in texts]
     seen: dict[str, list[str]] = {}
     counts = (Counter(), Counter())
@@ -211,6 +217,8 @@ def train(texts: list[str], toxic: list[int], shares: tuple[float, float], epoch
         square = 0.95 * square + 0.05 * gradient**2
         params = params - 0.5 * (mean / (1 - 0.9**epoch)) / (np.sqrt(square / (1 - 0.95**epoch)) + 1e-8)
     model.weights = {f: float(params[i]) for f, i in used.items() if abs(params[i]) > 0.02}
+    if not model.weights:
+        return _unknowing(n0)
     model.bias, model.steps = float(params[len(used)]), params[len(used) + 1 :].reshape(2, 2)
     scores = model.bias + np.bincount(rows, weights=params[: len(used)][columns], minlength=len(kinds))
     summaries = _summaries(chain.run(scores[at], model.steps), lengths)
@@ -226,21 +234,26 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Model:
     """A model of labels.toxic (0 or 1), learnt from at most ``sample`` documents outside the held-out fold.
 
-    Rows with a null id, text or label are no training rows; of several labels for an id the largest
-    counts. Without rows of both labels the model only knows the share of toxic ones.
+    The sample is taken of labelled documents that are there, by the hash of their ids, so labels of other documents change
+    nothing. Rows with a null id, text or label are no training rows; of several labels for an id the largest
+    counts. Without rows of both labels, or words that tell them apart, the model calls nothing toxic.
     """
     known = (
         labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .where(~held_out(F.col("doc_id")))
     )
     texts = docs.where((F.col("text").isNotNull()) & (F.length("text") <= sample.longest)).select("doc_id", "text")
+    # ids alone meet the labels; texts are fetched for the bounded sample only
+    there = stored(texts.select("doc_id").distinct().join(known, "doc_id"), "toxicity-labelled")
     bounds = {1: sample.toxic, 0: sample.clean}
-    totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    totals = {r["toxic"]: r["n"] for r in there.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    least = [there.where(F.col("toxic") == label).orderBy(*order).limit(bound) for label, bound in bounds.items()]
+    chosen = stored(least[0].unionByName(least[1]), "toxicity-chosen")
+    fetched = stored(texts.join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
     rows = []
     for label, bound in bounds.items():
-        chosen = known.where(F.col("toxic") == label).orderBy(*order).limit(bound)
-        rows += texts.join(F.broadcast(chosen), "doc_id").orderBy(*order, "text").limit(bound).select("text", "toxic").collect()
+        rows += fetched.where(F.col("toxic") == label).orderBy(*order, "text").limit(bound).select("text", "toxic").collect()
     taken = Counter(r["toxic"] for r in rows)
     shares = tuple(totals.get(i, 0) / max(1, taken[i]) for i in (0, 1))
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], shares, sample.epochs)

@@ -77,6 +77,33 @@ def test_keep_clean(spark):
 def test_odd_and_empty(spark, odd, labels):
     model = toxicity.fit(odd, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     rows = toxicity.score(odd, model).collect()
-    assert len(rows) == 10 and all(0 <= r["score"] <= 1 for r in rows)
+    assert len(rows) == 10 and all(0 <= r["score"] < 0.5 and r["predicted"] == 0 for r in rows)
+    assert toxicity.keep_clean(odd, model).count() == 10
     assert toxicity.score(odd.limit(0), model).collect() == []
     assert toxicity.keep_clean(odd.limit(0), model).collect() == []
+
+
+def test_labels_of_absent_documents_change_nothing(spark):
+    """Ten times as many labels as documents leave the sample as it is."""
+    rows, labels = corpus(300)
+    docs = documents(spark, rows)
+    more = labels + [(10_000 + i, 1, int(i % 2)) for i in range(3000)]
+    sample = toxicity.Sample(toxic=40, clean=80)
+    models = [toxicity.fit(docs, spark.createDataFrame(ls, "doc_id long, quality int, toxic int"), sample) for ls in (labels, more)]
+    assert models[0].weights and models[0].weights == models[1].weights and np.array_equal(models[0].curve, models[1].curve)
+    assert toxicity.keep_clean(docs, models[1]).count() == sum(t == 0 for _, _, t in labels)
+
+
+@pytest.mark.parametrize("toxic", [0, 1])
+def test_labels_of_one_kind_call_nothing_toxic(spark, toxic):
+    rows, labels = corpus(100)
+    docs = documents(spark, rows)
+    for known in ([(i, 1, toxic) for i, _, _ in labels], [(10_000 + i, 1, i % 2) for i, _, _ in labels]):
+        model = toxicity.fit(docs, spark.createDataFrame(known, "doc_id long, quality int, toxic int"))
+        assert toxicity.keep_clean(docs, model).count() == 100
+
+
+def test_words_that_tell_nothing_call_nothing_toxic(spark):
+    docs = documents(spark, [(i, "the same words again", "s") for i in range(60)])
+    model = toxicity.fit(docs, spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int"))
+    assert toxicity.score(docs, model).where("predicted = 1").count() == 0
