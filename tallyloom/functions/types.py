@@ -20,6 +20,7 @@ _NUMBER_START = r"^[\x00-\x20+\-.0-9inIN]"
 _NUMBER = (
     r"(?i)^[\x00-\x20]*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)[\x00-\x20]*$"
 )
+_DIGITS = r"^-?[0-9]{1,18}$"
 _TRUTHS = ("t", "true", "y", "yes", "1", "f", "false", "n", "no", "0")
 
 SPARK_TYPES: dict[str, T.DataType] = {
@@ -82,8 +83,10 @@ def typed(
     if type_name == DOUBLE:
         return number
     if type_name == INT64:
-        exact = F.when(_is_number(text), text.try_cast("decimal(38,18)"))
-        return F.bround(exact, 0).try_cast("bigint")
+        # most integers are written as such; only what has a point, an exponent or blanks goes through decimals
+        plain = text.rlike(_DIGITS)
+        exact = F.when(~plain & _is_number(text), text.try_cast("decimal(38,18)"))
+        return F.when(plain, text.try_cast("bigint")).otherwise(F.bround(exact, 0).try_cast("bigint"))
     if type_name == BOOLEAN:
         return F.when(F.lower(strip_space(text)).isin(*_TRUTHS), text.try_cast("boolean"))
     if type_name == DATETIME:

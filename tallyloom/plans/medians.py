@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tallyloom.functions.columns import field
 from tallyloom.session import stored
 
-#: Quantiles read from a sketch, and the sketch's accuracy, whose error is a tenth of their distance.
-GRID, ACCURACY = 1000, 10_000
+#: Quantiles read from a sketch, and the accuracy of the sketch, whose error is far below their distance.
+GRID, ACCURACY = 200, 10_000
 #: Different values of one group that a window ranks.
 FEW = 1 << 20
 

@@ -27,7 +27,7 @@ def numbers(spark):
     return rows, spark.createDataFrame(rows, "g string, h int, x double, y double").cache()
 
 
-@pytest.mark.parametrize("grid, few", [(1000, 1 << 20), (16, 40), (2, 1)])
+@pytest.mark.parametrize("grid, few", [(200, 1 << 20), (16, 40), (2, 1)])
 def test_brackets_narrow_until_few_values_are_left(numbers, monkeypatch, grid, few):
     rows, df = numbers
     monkeypatch.setattr(medians, "GRID", grid)
