@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyloom.llm.units import Pieces, runs, tokenizer_of
+from tallyloom.llm.units import Pieces, tokenizer_of
+from tallyloom.llm.words import slices
 from tallyloom.session import scratch_path
 
 #: Ids of a block, unless one document has more.
@@ -253,21 +254,21 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(shared.value)
-        kind = np.uint16 if pieces.code == "H" else np.uint32
-        end = np.array([] if end_id is None else [end_id], kind)
         first_rule = pieces.tokenizer.get_vocab_size(with_added_tokens=True)
         shard, block, names, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
         for batch in batches:
-            texts, keys = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for lo, hi in runs([len(t) for t in texts], TOGETHER):
-                for key, raw in zip(keys[lo:hi], pieces.encode(texts[lo:hi])):
-                    own = np.concatenate((np.frombuffer(raw, kind), end))
-                    if held and held + len(own) > BLOCK:
+            for piece in slices(batch, 1, TOGETHER):
+                flat, counts = pieces.encode_column(piece.column(1))
+                if end_id is not None:
+                    flat, counts = np.insert(flat, np.cumsum(counts), end_id), counts + 1
+                ends = np.cumsum(counts)
+                for key, lo, hi in zip(piece.column(0).to_pylist(), (ends - counts).tolist(), ends.tolist()):
+                    if held and held + hi - lo > BLOCK:
                         yield _arrow(_row(shard, block, first_rule, names, ids))
                         block, names, ids, held = block + 1, [], [], 0
                     names.append(key)
-                    ids.append(own)
-                    held += len(own)
+                    ids.append(flat[lo:hi])
+                    held += hi - lo
         if names:
             yield _arrow(_row(shard, block, first_rule, names, ids))
 

@@ -10,6 +10,9 @@ import os
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Pieces remembered in each of two generations, and their longest length: about 200 MB in all.
@@ -50,7 +53,9 @@ class Pieces:
         merge, code, named = self.model.tokenize, self.code, self.named
         out = []
         for word in words:
-            raw = (self.space + word).encode().decode("latin-1").translate(named)
+            raw = self.space + word
+            if self.space or not raw.isascii():  # plain letters stand for themselves
+                raw = raw.encode().decode("latin-1").translate(named)
             out.append(array(code, [t.id for t in merge(raw)]).tobytes())
         return out
 
@@ -108,6 +113,27 @@ class Pieces:
         return out
 
 
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts of a column in one array, and how many each text has; for pieces that go without a space.
+
+        Each different piece of the column is looked up once, and its ids are gathered to every place where it stands.
+        """
+        parts = pc.split_pattern(texts, " ")
+        coded = parts.flatten().dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        long = self._learn(set(different))
+        raw = list(map(self.young.__getitem__, different))
+        for piece in long:
+            self.young.pop(piece, None)
+        values = np.frombuffer(b"".join(raw), np.uint16 if self.code == "H" else np.uint32)
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw)) // values.itemsize
+        starts, at = np.cumsum(lengths) - lengths, coded.indices.to_numpy()
+        sizes = lengths[at]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        ids = values[np.repeat(starts[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, np.diff(ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()])
+
+
 def runs(sizes: list[int], most: int) -> list[tuple[int, int]]:
     """Consecutive ranges of items of ``most`` in all, or one larger item."""
     out, start, total = [], 0, 0
