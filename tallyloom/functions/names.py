@@ -44,14 +44,14 @@ def _unique(names: Column, taken: Column) -> Column:
     def fold(all_names: Column) -> Column:
         def step(state: Column, name: Column) -> Column:
             lowered, at = F.lower(name), F.size(state["names"])
-            earlier = at - F.size(F.array_remove(F.slice(all_names["lowered"], 1, at), lowered))
-            start = F.greatest(earlier + 1, F.lit(2))
-            like = F.size(F.filter(all_names["numbered"], lambda n: n.startswith(F.concat(lowered, F.lit("_")))))
-            tries = F.transform(
-                F.sequence(start, start + like + 1), lambda n: F.concat(name, F.lit("_"), n.cast("string"))
-            )
-            free = F.filter(tries, lambda c: ~F.array_contains(state["seen"], F.lower(c)))
-            chosen = F.when(F.array_contains(state["seen"], lowered), free[0]).otherwise(name)
+            start = F.greatest(F.get(all_names["ranks"], at), F.lit(2))
+            stem = F.concat(lowered, F.lit("_"))
+            like = let(stem, lambda s: F.size(F.filter(all_names["numbered"], lambda n: n.startswith(s))))
+            tries = let(stem, lambda s: F.transform(F.sequence(start, start + like + 1), lambda n: F.concat(s, n.cast("string"))))
+            # a hashed difference, so that no try is looked up by itself
+            free = F.array_except(tries, state["seen"])[0]
+            suffixed = F.concat(name, F.substring(free, F.length(lowered) + 1, F.length(free)))
+            chosen = F.when(F.array_contains(state["seen"], lowered), suffixed).otherwise(name)
             return F.struct(
                 F.concat(state["seen"], F.array(F.lower(chosen))).alias("seen"),
                 F.concat(state["names"], F.array(chosen)).alias("names"),
@@ -60,13 +60,32 @@ def _unique(names: Column, taken: Column) -> Column:
         start = F.struct(lower_all(taken).alias("seen"), F.array().cast("array<string>").alias("names"))
         return F.aggregate(names, start, step, lambda state: state["names"])
 
+    def suffixed(all_names: Column) -> Column:
+        """Where no given name ends in a number, a suffix is how often the name has stood so far."""
+        ranks = all_names["ranks"]
+        plain = F.transform(names, lambda n, i: F.when(F.get(ranks, i) == 1, n).otherwise(F.concat(n, F.lit("_"), F.get(ranks, i).cast("string"))))
+        return F.when((F.size(all_names["numbered"]) == 0) & ~overlap, plain).otherwise(fold(all_names))
+
     lowered = lower_all(names)
+    overlap = F.arrays_overlap(lowered, lower_all(taken))
     numbered = F.filter(F.array_distinct(F.concat(lowered, lower_all(taken))), lambda n: n.rlike("_[0-9]+$"))
-    folded = let(F.struct(lowered.alias("lowered"), numbered.alias("numbered")), fold)
-    clean = (F.size(F.array_distinct(lowered)) == F.size(names)) & ~F.arrays_overlap(
-        lowered, lower_all(taken)
-    )
-    return F.when(clean, names).otherwise(folded)
+    counted = let(lowered, lambda ws: F.struct(numbered.alias("numbered"), _ranks(ws).alias("ranks")))
+    clean = (F.size(F.array_distinct(lowered)) == F.size(names)) & ~overlap
+    return F.when(clean, names).otherwise(let(counted, suffixed))
+
+
+def _ranks(words: Column) -> Column:
+    """For each word how often it has stood so far, itself included: counted along the sorted words, put back in order."""
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
+    start = F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).alias("rank"), F.array().cast("array<struct<at: int, rank: int>>").alias("ranks"))
+
+    def step(state: Column, w: Column) -> Column:
+        rank = F.when(state["word"] == w["word"], state["rank"] + 1).otherwise(F.lit(1))
+        return F.struct(
+            w["word"].alias("word"), rank.alias("rank"), F.concat(state["ranks"], F.array(F.struct(w["at"].alias("at"), rank.alias("rank")))).alias("ranks")
+        )
+
+    return F.aggregate(placed, start, step, lambda state: F.transform(F.array_sort(state["ranks"]), lambda r: r["rank"]))
 
 
 def unique_columns(names: Column) -> Column:

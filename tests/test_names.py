@@ -113,3 +113,17 @@ def test_preview_values(spark):
     assert one(spark, synthetic_value(F.lit("Sales"), F.lit(70))) == str((70 * 125 + 450) % 8500 + 150)
     assert one(spark, synthetic_value(F.lit("Rating"), F.lit(20))) == "3.0"
     assert one(spark, synthetic_value(F.lit("row_id"), F.lit(1))) == "row_id_1001"
+
+
+@pytest.mark.parametrize(
+    "words",
+    [
+        ["a"] * 300 + [f"a_{i}" for i in range(2, 302)],
+        [f"a_{i}" for i in range(300, 1, -2)] + ["A"] * 300,
+        ["a", "A", "a_2", "a", "a_2_2", "a_2", "a_3", "a_03", "a"] * 20,
+        [f"n{i // 3}" for i in range(3000)],
+    ],
+)
+def test_many_names_that_end_in_numbers(spark, words):
+    df = spark.createDataFrame([(words,)], "w array<string>")
+    assert df.select(names.unique_columns(F.col("w"))).first()[0] == in_order([], words)
