@@ -15,7 +15,6 @@ _WIDTHS = {
     T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8, T.FloatType: 4, T.DoubleType: 8,
     T.BooleanType: 1, T.DateType: 4, T.TimestampType: 8, T.TimestampNTZType: 8,
 }
-DIGEST_BYTES = 64
 _SLOTS = {"l": "bigint", "d": "double", "s": "string"}
 
 
@@ -53,37 +52,21 @@ def _given_tags(kind: T.DataType) -> list[str]:
 def profile_fields(df: DataFrame, table: str) -> DataFrame:
     """(table, field, cardinality, total_count, is_numeric, tags, byte_size), one row per column.
 
-    Columns become rows (field, value), each value in a slot of its own type, and equal values
-    shrink to one row before they are counted. That costs one scan and one shuffle for any
+    Columns become rows of the column's number and the 128 bits that two hashes give of a value, long or short, so no value is
+    shuffled, and equal values shrink to one row before they are counted. That costs one scan and one shuffle for any
     number of columns, and a value that fills most of a column is combined before the shuffle.
-    A long text stands for itself by its SHA-256 digest, so whole texts are read but never shuffled.
     """
-    entries = []
+    cells = []
     for i, c in enumerate(df.schema):
-        slot = _slot(c)
-        slots = [(_as_slot(c) if slot == s else F.lit(None)).cast(t).alias(s) for s, t in _SLOTS.items()]
-        entries.append(F.struct(F.lit(i).alias("i"), *slots))
-    cells = df.select(F.inline(F.array(*entries)))
-    text = F.col("s")
-    size = F.octet_length(text)
-    number = number_or_null(text)
-    whole = F.coalesce(F.coalesce(F.col("d"), number) == F.floor(F.coalesce(F.col("d"), number)), F.col("l").isNotNull())
-    values = cells.select(
-        "i", "l", "d",
-        F.when(size > DIGEST_BYTES, F.sha2(text, 256)).otherwise(text).alias("s"),
-        F.coalesce(size > DIGEST_BYTES, F.lit(False)).alias("long"),
-        F.coalesce(size, F.lit(0)).cast("bigint").alias("bytes"),
-        (text.isNull() | number.isNotNull()).alias("reads_as_number"),
-        whole.alias("integral"),
-        F.coalesce(size == F.length(text), F.lit(True)).alias("ascii"),
-    ).where(F.coalesce(F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull(), F.lit(False)))
-    flags = ("reads_as_number", "integral", "ascii")
-    distinct = values.groupBy("i", "l", "d", "s", "long").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), *[F.bool_and(f).alias(f) for f in flags]
+        value = _one_zero(c)
+        key = [F.when(value.isNotNull(), F.xxhash64(value)).alias("a"), F.xxhash64(F.lit(1), value).alias("b")]
+        cells.append(F.struct(F.lit(i).alias("i"), *key, *(f.alias(n) for f, n in zip(_facts(c), _FACTS))))
+    flags = [F.bool_and(f).alias(f) for f in _FACTS[1:]]
+    distinct = df.select(F.inline(F.array(*cells))).where("a IS NOT NULL").groupBy("i", "a", "b").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), *flags
     )
     sums = distinct.groupBy("i").agg(
-        F.count(F.lit(1)).alias("cardinality"), F.sum("n").alias("total_count"), F.sum("bytes").alias("text_bytes"),
-        *[F.bool_and(f).alias(f) for f in flags],
+        F.count(F.lit(1)).alias("cardinality"), F.sum("n").alias("total_count"), F.sum("bytes").alias("text_bytes"), *flags
     )
     named = _columns_table(df)
     numeric_text = (F.col("slot") == "s") & F.coalesce("reads_as_number", F.lit(False))
@@ -95,7 +78,7 @@ def profile_fields(df: DataFrame, table: str) -> DataFrame:
         F.when((F.col("slot") == "s") & ~numeric_text & F.coalesce("ascii", F.lit(False)), "$ascii"),
     )
     total = F.coalesce("total_count", F.lit(0))
-    return named.join(F.broadcast(sums), "i", "left").select(
+    return named.join(sums, "i", "left").select(
         F.lit(table).alias("table"), "field",
         F.coalesce("cardinality", F.lit(0)).alias("cardinality"),
         total.alias("total_count"),
@@ -105,6 +88,25 @@ def profile_fields(df: DataFrame, table: str) -> DataFrame:
     )
 
 
+def _one_zero(column: T.StructField) -> Column:
+    """The value in its slot; zero has no sign."""
+    value = _as_slot(column)
+    return value + F.lit(0.0) if _slot(column) == "d" else value
+
+
+_FACTS = ("bytes", "reads_as_number", "integral", "ascii")
+
+
+def _facts(column: T.StructField) -> list[Column]:
+    """Of a value: bytes of text, whether it reads as a number, is a whole number, and is plain letters."""
+    value, yes = _as_slot(column), F.lit(True)
+    whole = lambda n: F.coalesce(n == F.floor(n), F.lit(False))
+    if _slot(column) != "s":
+        return [F.lit(0).cast("bigint"), yes, whole(value) if _slot(column) == "d" else yes, yes]
+    number, size = number_or_null(value), F.octet_length(value)
+    return [F.coalesce(size.cast("bigint"), F.lit(0).cast("bigint")), number.isNotNull(), whole(number), F.coalesce(size == F.length(value), yes)]
+
+
 def _columns_table(df: DataFrame) -> DataFrame:
     """One row per column of ``df``: metadata only, as wide as the schema."""
     rows = [

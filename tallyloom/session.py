@@ -33,10 +33,16 @@ def build_session(app_name: str = "tallyloom", master: str | None = None, **sett
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder path below the shared folder named in ``spark.checkpoint.dir``.
 
-    Where that setting is missing the warehouse folder takes its place: both are folders that
-    the driver and every executor can reach.
+    Where that setting is missing the warehouse folder takes its place, unless that is a local folder of the driver and
+    executors run on other machines, which then could not reach it.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        alone = spark.sparkContext.master.startswith("local")
+        if not alone and (warehouse.startswith(("file:", "/")) or "://" not in warehouse):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        shared = f"{warehouse}/scratch"
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
