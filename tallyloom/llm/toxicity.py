@@ -26,7 +26,7 @@ TOKEN = re.compile(r"[^\W\d_]+")
 CHUNK = 64
 #: Characters of documents scored together.
 TOGETHER = 1 << 20
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 @dataclass(frozen=True)
