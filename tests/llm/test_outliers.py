@@ -108,7 +108,7 @@ def test_determinant_is_as_low_as_random_halves_find(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rules = outliers.Rules(tolerance=(0.05,) * 5)
     a = rng.normal(size=(5, 5))
-    x = np.vstack([rng.normal(size=(400, 5)) @ a, rng.normal(size=(250, 5)) * 0.3 + 12])
+    x = np.vstack([rng.normal(size=(400, 5)) @ a, rng.normal(size=(120, 5)) + 12])
     points = _points(spark, x)
     steps = []
     original = outliers._concentrated
