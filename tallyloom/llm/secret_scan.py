@@ -41,13 +41,13 @@ _CONTEXT = r"(?:key|secret|token|password|passwd|pwd|auth|bearer|credential|priv
 #: Characters of the manual in the compressor's dictionary, and before each text that it measures.
 DICTIONARY = 15_000
 LEAD, LEADS = 1000, 4
-#: Decoys of a candidate, each measured after each lead. Longer candidates than EVEN take one of each, as their costs are even.
-DECOYS, EVEN, MOST_DECOY = 2, 256, 4096
+#: Decoys of a candidate, as long as it is, each measured after each lead.
+DECOYS = 2
 NOVEL_SIEVE = f"(?i){_CONTEXT}"
 LEAST_NOVEL = 16
-#: A value may follow "=" at once.
+#: A value may follow "=" at once, or stand on the line after one that ends by opening a value: "private_key:", "secret: {".
 CANDIDATE = re.compile(
-    rf"(?i:{_CONTEXT})(?P<between>[^\n]{{0,40}}?)(?<![A-Za-z0-9+/_-])(?P<value>[A-Za-z0-9+/_=-]{{{LEAST_NOVEL},}})", re.ASCII
+    rf"(?i:{_CONTEXT})(?P<between>[^\n]{{0,40}}?(?:[:=|>({{[][^\S\n]*\n[^\n]{{0,40}}?)?)(?<![A-Za-z0-9+/_-])(?P<value>[A-Za-z0-9+/_=-]{{{LEAST_NOVEL},}})", re.ASCII
 )
 
 
@@ -81,7 +81,6 @@ def _alphabet(value: str) -> str:
     return "".join(g for g in groups if any(c in g for c in value))
 
 
-@lru_cache(maxsize=1024)
 def _decoys(alphabet: str, length: int, count: int) -> list[bytes]:
     draw = random.Random(f"{alphabet} {length}")
     return ["".join(draw.choices(alphabet, k=length)).encode() for _ in range(count)]
@@ -100,15 +99,14 @@ class Meter:
         r = self.rule
         near = (text[max(0, start - r.around) : start] + "\n" + text[end : end + r.around]).encode()
         value = text[start:end]
-        few = len(value) <= EVEN
-        decoys = _decoys(_alphabet(value), min(len(value), MOST_DECOY), DECOYS if few else 1)
-        own = other = n = 0
-        for lead in self.leads if few else self.leads[:1]:
-            around, n = lead + near, n + 1
+        decoys = _decoys(_alphabet(value), len(value), DECOYS)
+        own = other = 0
+        for lead in self.leads:
+            around = lead + near
             alone = self._size(around)
             own += self._size(around + b"\n" + value.encode()) - alone
             other += sum(self._size(around + b"\n" + d) - alone for d in decoys)
-        return own / n / len(value), other / n / len(decoys) / len(decoys[0])
+        return own / len(self.leads) / len(value), other / len(self.leads) / len(decoys) / len(value)
 
     def _size(self, raw: bytes) -> int:
         return len(self.compressor.compress(raw))
@@ -120,6 +118,10 @@ class Meter:
         return own >= min(self.rule.cost, (self.rule.share if mixed else self.rule.share_plain) * decoys)
 
 
+#: A worker builds its compressor once, not for each batch.
+_meter = lru_cache(maxsize=2)(Meter)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
     found += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
@@ -169,7 +171,7 @@ def redacted(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
 
 def _found(texts: pa.Array, rule: Novelty) -> Iterator[tuple[list, list]]:
     """For each text its base and its added spans. Only texts that pass a sieve are looked at one by one."""
-    meter = Meter(rule)
+    meter = _meter(rule)
     likely = pc.fill_null(pc.match_substring_regex(texts, BASE_SIEVE), False).to_pylist()
     named = pc.fill_null(pc.match_substring_regex(texts, NOVEL_SIEVE), False).to_pylist()
     for i, (a, b) in enumerate(zip(likely, named)):

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import numpy as np
 import pytest
@@ -55,6 +56,88 @@ def test_deep_and_long_pages():
     assert len(html_text.render("<p>word" * 50_000).split("\n\n")) == 50_000
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<table><tr><td colspan=2>wide cell<td>z<tr><td>a<td>b<td>c</table>", "wide cell  z\na  b       c"),
+        ("<table><tr><td rowspan=2>r<td>x<tr><td>y</table>", "r  x\n   y"), ("<table><tr><td rowspan=0>r<td>x<tr><td>y<tr><td>z</table>", "r  x\n   y\n   z"),
+        ("<table><tr><td rowspan=2>1<br>2<br>3<td>x<tr><td>y</table>", "1  x\n2  y\n3"), ("<table><tr><td>a<td><td>b<tr><td>c<td>d<td>e</table>", "a     b\nc  d  e"),
+        ("<table><tr><td>a<td rowspan=2>b<tr><td colspan=2>over<td>c</table>", "a  b\nover  c"),
+        ("<table><tr><td>a<br>b<td><pre>c\n d</pre><tr><td>日本<td>e</table>", "a     c\nb      d\n日本  e"),
+        ("<table><tr><td><table><tr><td>in<tr><td>two</table><td>b</table>", "in   b\ntwo"),
+        ("a<dialog>no</dialog><dialog open>yes</dialog>", "a\nyes"), ("<details>no<summary>s</summary>no<p>no<summary>no</summary></details>y", "s\ny"),
+        ("<details open><summary>s</summary>yes<details><p>no</details></details>", "s\nyes"),
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no<hr></div>z", "yes\nz"),
+        ("<p style='display:none'>no<b style='visibility:visible'>no</b></p><p hidden style='display:block'>y", "y"),
+        ("<ol reversed><li>a<li hidden>no<li>b<ol reversed start=9><li>c</ol><li>d</ol>", "3. a\n2. b\n  9. c\n1. d"), ("<ol><li value=5>a<li>b<li value=x>c</ol>", "5. a\n6. b\n7. c"),
+    ],
+)
+def test_spans_and_visibility(html, text):
+    assert html_text.render(html) == text
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 200_000 + "x", "<blockquote><p>x" * 20_000, "<ul><li>x" * 20_000, "<table><tr><td>x" * 20_000, "<details open><p>x" * 20_000,
+        "<table><tr><td>" + "x " * 200_000 + "<td>x" + "<tr><td>x<td>x" * 10_000, "<table><tr>" + "<td rowspan=65534>x" * 5_000 + "<tr><td colspan=1000>x" * 5_000,
+        "<table><tr>" + ("<td>" + "x" * 80) * 1000 + "<tr>" + "<td>x" * 999 + "<td>" + "x<br>" * 10_000, "<a><div>x" * 30_000 + "</i></a>" * 30_000,
+    ],
+)
+def test_work_and_output_are_bounded_by_the_page(page):
+    begun = time.process_time()
+    text = html_text.render(page)
+    assert time.process_time() - begun < 20 and len(text) < 40 * len(page)
+    assert text.count("x") == page.count("x")
+
+
+def random_page(draw, depth=0):
+    """A page of blocks, its end tags left out where they may be, and the words that are seen, in order."""
+    html, words = "", []
+    for _ in range(draw.randint(1, 4)):
+        kind = draw.choice(["word", "p", "div", "ul", "hidden", "veil", "details", "b", "blockquote", "comment"] if depth < 5 else ["word"])
+        if kind == "word":
+            word = f"w{draw.randrange(10**6)}"
+            html, words = html + f" {word} ", [*words, word]
+            continue
+        inner, seen = random_page(draw, depth + 1)
+        if kind == "p":
+            word = f"p{draw.randrange(10**6)}"
+            html, words = html + f"<p>{word}" + draw.choice(["</p>", "<div></div>"]), [*words, word]
+        elif kind == "ul":
+            html += "<ul>" + f"<li>{inner}" * 2 + draw.choice(["</li>", ""]) + "</ul>"
+            words += seen * 2
+        elif kind == "details":
+            html += f"<details><summary>sum</summary>{inner}</details>"
+            words.append("sum")
+        elif kind == "comment":
+            html += f"<!-- {inner} -->" if "--" not in inner else ""
+        elif kind in ("hidden", "veil"):
+            html += f"<div {'hidden' if kind == 'hidden' else 'style=visibility:hidden'}>{inner}</div>"
+        else:
+            html, words = html + f"<{kind}>{inner}</{kind}>", words + seen
+    return html, words
+
+
+def test_random_pages_show_what_is_seen():
+    draw = random.Random(7)
+    for _ in range(300):
+        html, words = random_page(draw)
+        assert re.findall(r"[a-z]\w+", html_text.render(html)) == words, html
+
+
+def test_random_tables_are_aligned():
+    draw = random.Random(8)
+    for _ in range(100):
+        columns = draw.randint(1, 6)
+        rows = [["".join(draw.choices("abc日", k=draw.randint(1, 9))) for _ in range(columns)] for _ in range(draw.randint(1, 8))]
+        html = "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in r) for r in rows) + "</table>"
+        places = [len(c) + c.count("日") for r in rows for c in r]
+        widths = [max(places[i::columns]) for i in range(columns)]
+        plain = ["  ".join(c + " " * (w - len(c) - c.count("日")) for c, w in zip(r, widths)).rstrip() for r in rows]
+        assert html_text.render(html).split("\n") == plain
+
+
 def test_extract(spark):
     rows = [(1, "u", "<p>a"), (1, "u", "<p>a"), (2, None, None), (None, "u", ""), (3, "u", "<<<>>&#x110000;<")]
     pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, text string, n_chars string")
@@ -112,6 +195,26 @@ def test_novel_strings_after_identifiers():
         assert re.search(secret_scan.NOVEL_SIEVE, text)
 
 
+def test_novel_strings_on_the_next_line():
+    secret = "wJalrXUtnFEMIK7MDENGbPxRfiCYzQ83vTq5LsHd"
+    meter = secret_scan.Meter(secret_scan.Novelty())
+    for before in ("private_key:\n  ", 'auth: {\n  "value": "', "SECRET = \\\n", "token: |\n\t", "credentials: [\r\n '"):
+        text = f"some words {before}{secret}' and more"
+        found = [text[a:b] for _, a, b in secret_scan.novel_spans(text, [], meter)]
+        assert found == ([] if "\\" in before else [secret]), before
+    assert not secret_scan.novel_spans(f"a sentence on the key\n{secret} here", [], meter)
+
+
+def test_long_candidates_are_held_by_the_same_rule():
+    draw, meter = random.Random(4), secret_scan.Meter(secret_scan.Novelty())
+    for length in (250, 257, 300, 4000, 5000, 100_000):
+        value = "".join(draw.choices(string.ascii_letters + string.digits, k=length))
+        text = f"the key is {value} here"
+        assert [text[a:b] for _, a, b in secret_scan.novel_spans(text, [], meter)] == [value]
+        words = "_".join(draw.choices(["name", "connection", "default", "value", "of", "the", "list"], k=length // 6))
+        assert not secret_scan.novel_spans(f"the key is {words} here", [], meter), length
+
+
 def test_novel_strings_among_others_of_their_kind():
     draw, meter = random.Random(3), secret_scan.Meter(secret_scan.Novelty())
     prose = "Most of the members came by train, and some of them stayed until the end of the week. " * 3
