@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -289,6 +290,13 @@ def _spans(text: str, marginals: np.ndarray) -> list[dict]:
     ]
 
 
+def _handfuls(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
+    """Texts of about ``TOGETHER`` characters, with their first place and the one after; nulls are empty texts."""
+    sizes = pc.fill_null(pc.utf8_length(column), 0).to_pylist()
+    for lo, hi in runs(sizes, TOGETHER):
+        yield lo, hi, [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, score, predicted, spans (start, end, marginal).
 
@@ -301,11 +309,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in runs([len(t) for t in texts], TOGETHER):
-                scores, marginals, counts = judge(texts[lo:hi])
+            for lo, hi, texts in _handfuls(batch.column(1)):
+                scores, marginals, counts = judge(texts)
                 ends = np.cumsum(counts)
-                spans = [_spans(t, marginals[e - n : e]) for t, e, n in zip(texts[lo:hi], ends, counts)]
+                spans = [_spans(t, marginals[e - n : e]) for t, e, n in zip(texts, ends, counts)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)),
@@ -313,6 +320,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                     ],
                     ["doc_id", "score", "predicted", "spans"],
                 )
+        pa.default_memory_pool().release_unused()  # Spark keeps the worker for later stages
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(
@@ -328,8 +336,8 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            for lo, hi in runs([len(t) for t in texts], TOGETHER):
-                yield batch.slice(lo, hi - lo).filter(pa.array(judge(texts[lo:hi])[0] < threshold))
+            for lo, hi, texts in _handfuls(batch.column(at)):
+                yield batch.slice(lo, hi - lo).filter(pa.array(judge(texts)[0] < threshold))
+        pa.default_memory_pool().release_unused()  # Spark keeps the worker for later stages
 
     return docs.mapInArrow(run, docs.schema)
