@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.columns import let
+
 SCRIPT, SHEET, MODEL, PROPERTIES, VARIABLES = "script", "sheet", "data_model", "app_properties", "variables"
 
 # --- fixed values: keys of the stored objects
@@ -78,10 +80,7 @@ def json_value(text: Column, key: str, schema: str = "string") -> Column:
     return F.from_json(text, f"{key} {schema}", ANY_SIZE)[key]
 
 
-def object_kind(text: Column) -> Column:
-    """What an object is, told by its keys; the first match counts, null if none or unreadable."""
-    keys = F.json_object_keys(text)
-
+def _kind_of(keys: Column, text: Column) -> Column:
     def has(key: str) -> Column:
         return F.array_contains(keys, key)
 
@@ -94,13 +93,21 @@ def object_kind(text: Column) -> Column:
     )
 
 
+def object_kind(text: Column) -> Column:
+    """What an object is, told by its keys; the first match counts, null if none or unreadable."""
+    return let(F.json_object_keys(text), lambda keys: _kind_of(keys, text))
+
+
 def _told(objects: DataFrame) -> DataFrame:
-    """``kind`` of every text: ``other`` fits no kind, null is no JSON."""
-    is_object = F.json_object_keys("text").isNotNull()
-    kind = F.when(is_object, F.coalesce(object_kind(F.col("text")), F.lit("other"))).when(
+    """``kind`` of every text: ``other`` fits no kind, null is no JSON.
+
+    Keys and kind are what generators yield, so that each text is searched once, however many conditions name them.
+    """
+    keyed = objects.select("app", "offset", "text", F.explode(F.array(F.json_object_keys("text"))).alias("keys"))
+    kind = F.when(F.col("keys").isNotNull(), F.coalesce(_kind_of(F.col("keys"), F.col("text")), F.lit("other"))).when(
         F.try_parse_json("text").isNotNull(), "other"
     )
-    return objects.select("app", "offset", kind.alias("kind"), "text")
+    return keyed.select("app", "offset", F.explode(F.array(kind)).alias("kind"), "text")
 
 
 def classify(objects: DataFrame) -> DataFrame:
@@ -126,13 +133,13 @@ _KEYS = {
 def _only(objects: DataFrame, kind: str) -> DataFrame:
     """The objects of one kind.
 
-    Objects stored with their kind (``sources.catalogue.write_objects``) are picked by it, and
-    a folder per kind means that no other is read. Otherwise a cheap search for a key spares
-    most other objects the parsing.
+    Objects stored with their kind (``sources.catalogue.write_objects``) are picked by it, and a folder per kind means
+    that no other is read. A cheap search for the key that tells the kind, plain or with escaped letters, spares all
+    others the parsing: the optimiser takes it below the generators that tell the kind.
     """
-    if "kind" in objects.columns:
-        return objects.where(F.col("kind") == kind)
-    return objects.where(F.col("text").contains(f'"{_KEYS[kind]}"')).where(object_kind(F.col("text")) == kind)
+    told = objects if "kind" in objects.columns else _told(objects)
+    text = F.col("text")
+    return told.where(text.contains(_KEYS[kind]) | text.contains("\\u")).where(F.col("kind") == kind)
 
 
 def _once(text: str, schema: str) -> Column:
@@ -210,13 +217,14 @@ def _chart_nodes(objects: DataFrame) -> DataFrame:
     own = F.array(F.struct(F.lit(0).alias("nested"), F.col("child.qProperty").alias("text")))
     nodes = (
         sheets.where(_is_filled(F.col("child.qProperty")))
-        .select("app", "sheet", "pos", json_value(F.col("child.qProperty"), "qInfo", "struct<qId: string>")["qId"].alias("outer"),
-                F.explode(F.concat(own, inner)).alias("node"))
+        .select("app", "sheet", "pos", "child", F.explode(F.concat(own, inner)).alias("node"))
         .where(_is_filled(F.col("node.text")))
     )
+    # the outer chart is read for the charts inside it only
+    outer = json_value(F.col("child.qProperty"), "qInfo", "struct<qId: string>")["qId"]
     return nodes.select(
         "app", "sheet", "pos", F.col("node.nested").alias("nested"),
-        F.when(F.col("node.nested") > 0, F.coalesce("outer", F.lit(""))).otherwise("").alias("parent"),
+        F.when(F.col("node.nested") > 0, F.coalesce(outer, F.lit(""))).otherwise("").alias("parent"),
         _once("node.text", _CHART).alias("c"),
     )
 
