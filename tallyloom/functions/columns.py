@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -64,3 +64,12 @@ def let(value: Column, body) -> Column:
     variable stays one expression, so long chains of text steps do not grow out of hand.
     """
     return F.get(F.transform(F.array(value), lambda bound: body(bound)), F.lit(0))
+
+
+def sorted_side(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus, to be met by sorting, which can spill.
+
+    The engine estimates what generators yield by the size of the files below them, far too low, and would hold a table
+    of all apps in every task.
+    """
+    return df.hint("merge")

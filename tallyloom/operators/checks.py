@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions import fixed
-from tallyloom.functions.columns import any_of, field
+from tallyloom.functions.columns import any_of, field, sorted_side
 
 _REFERENCE = r"'([^']+)'\[([^\]]+)\]"
 DETAIL_LENGTH = 90
@@ -73,7 +73,7 @@ def check_measure_refs(measures: DataFrame, columns: DataFrame, tables: DataFram
     """
     refs = measure_references(measures)
     have = columns.select("app", F.col("table").alias("ref_table"), F.col("column").alias("ref_column"))
-    missing = refs.join(have, ["app", "ref_table", "ref_column"], "left_anti")
+    missing = refs.join(sorted_side(have), ["app", "ref_table", "ref_column"], "left_anti")
     named = tables.select("app", F.col("table").alias("ref_table"))
     return _with_problem(missing, named, ["app", "ref_table"], F.lit("unknown column")).select(
         "app", "table", "measure", "ref_table", "ref_column", "problem"
@@ -83,11 +83,12 @@ def check_measure_refs(measures: DataFrame, columns: DataFrame, tables: DataFram
 def _with_problem(missing: DataFrame, tables: DataFrame, keys: list[str], otherwise: Column) -> DataFrame:
     """Dangling references with their reason.
 
-    Semi and anti joins need no distinct right side, so the optimiser finds plain shuffles on
-    both sides and can split a reference that most rows share.
+    One left join with the distinct tables, so that references are sought once for both reasons; a reference that most
+    rows share can be split.
     """
-    unknown = missing.join(tables, keys, "left_anti").withColumn("problem", F.lit("unknown table"))
-    return unknown.unionByName(missing.join(tables, keys, "left_semi").withColumn("problem", otherwise))
+    known = tables.select(*keys, F.lit(True).alias("_known")).distinct()
+    problem = F.when(F.col("_known"), otherwise).otherwise("unknown table")
+    return missing.join(sorted_side(known), keys, "left").withColumn("problem", problem).drop("_known")
 
 
 def check_visual_refs(visuals: DataFrame, columns: DataFrame, measures: DataFrame, tables: DataFrame) -> DataFrame:
@@ -100,7 +101,7 @@ def check_visual_refs(visuals: DataFrame, columns: DataFrame, measures: DataFram
     pool = columns.select("app", F.lit("Column").alias("kind"), entity, F.col("column").alias("property")).unionByName(
         measures.select("app", F.lit("Measure").alias("kind"), entity, F.col("measure").alias("property"))
     )
-    missing = visuals.join(pool, ["app", "kind", "entity", "property"], "left_anti")
+    missing = visuals.join(sorted_side(pool), ["app", "kind", "entity", "property"], "left_anti")
     named = tables.select("app", entity)
     absent = F.concat(F.lit("no such "), F.lower("kind"))
     return _with_problem(missing, named, ["app", "entity"], absent).select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed
-from tallyloom.functions.columns import field, let, strip_chars, strip_space, text_map
+from tallyloom.functions.columns import field, let, sorted_side, strip_chars, strip_space, text_map
 from tallyloom.functions.names import measure_label
 
 # --- fixed values: patterns of chart expressions
@@ -135,14 +135,16 @@ def tokens(expression: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda t: F.lower(strip_chars(t, "[]"))))
 
 
-def measure_targets(expressions: DataFrame, fields: DataFrame) -> DataFrame:
+def measure_targets(expressions: DataFrame, fields: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(app, expression, table): a measure belongs to every table that owns a name in its text.
 
     ``expressions`` has (app, expression), ``fields`` has (app, table, field). Both sides are
-    made distinct before they meet, so a popular field costs one row per table.
+    made distinct before they meet, so a popular field costs one row per table. Columns of
+    ``expressions`` named by ``keep`` come along.
     """
-    wanted = expressions.select("app", "expression").distinct().select(
-        "app", "expression", F.explode(tokens(F.col("expression"))).alias("token")
+    wanted = expressions.select("app", "expression", *keep).distinct().select(
+        "app", "expression", *keep, F.explode(tokens(F.col("expression"))).alias("token")
     )
     owned = fields.select("app", "table", F.lower("field").alias("token")).distinct()
-    return wanted.join(owned, ["app", "token"]).select("app", "expression", "table").distinct()
+    met = wanted.join(sorted_side(owned), ["app", "token"])
+    return met.select("app", "expression", "table", *keep).distinct()

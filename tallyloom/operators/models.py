@@ -27,7 +27,8 @@ def model_measures(columns: DataFrame, expressions: DataFrame) -> DataFrame:
     asked = expressions.where("expression <> ''").groupBy("app", "expression").agg(F.min("pos").alias("at"))
     owned = columns.select("app", "table", F.col("column").alias("field"))
     named = classify(asked).select("app", "expression", "at", "measure")
-    charts = named.join(measure_targets(asked, owned), ["app", "expression"]).select(
+    # place and name go along with the expression, so the targets need not meet it again
+    charts = measure_targets(named, owned, keep=("at", "measure")).select(
         "app", "table", F.lit(2).alias("stage"), "at", "measure", "expression"
     )
     first = (
