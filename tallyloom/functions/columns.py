@@ -61,9 +61,10 @@ def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body names it.
 
     Optimiser rules copy an expression to every place that names it; a value bound to a lambda
-    variable stays one expression, so long chains of text steps do not grow out of hand.
+    variable stays one expression, so long chains of text steps do not grow out of hand. A fold over
+    nothing hands the value on as it is, where a transformed array would copy every result.
     """
-    return F.get(F.transform(F.array(value), lambda bound: body(bound)), F.lit(0))
+    return F.aggregate(F.array(), value, lambda bound, _: bound, lambda bound: body(bound))
 
 
 def sorted_side(df: DataFrame) -> DataFrame:

@@ -34,6 +34,14 @@ _WORDS = (
     rf"""|(?:[^'"\[(),A-Za-z_0-9]++|(?!{_SOURCE})[A-Za-z_0-9]++)++"""
 )
 _SOURCE_WORD = rf"(?i)^{_SOURCE}$"
+_QUOTED = rf"{SINGLE}|{DOUBLE}|{OPEN_BRACKET}"
+# parentheses closed within four levels, which are those of nearly all texts
+_CLOSED = rf"""\((?:[^'"\[()]++|{_QUOTED})*+\)"""
+for _ in range(3):
+    _CLOSED = rf"""\((?:[^'"\[()]++|{_QUOTED}|{_CLOSED})*+\)"""
+# one field of a list, and the list up to the first source word
+_FIELD = rf"""(?i)(?:[^'"\[(),A-Za-z_0-9]++|(?!{_SOURCE})[A-Za-z_0-9]++|{_QUOTED}|{_CLOSED})++"""
+_LIST = rf"""(?i)^(?:[^'"\[()A-Za-z_0-9]++|(?!{_SOURCE})[A-Za-z_0-9]++|{_QUOTED}|{_CLOSED})*+"""
 _FILTER = r"(?:WHERE|GROUP\s+BY|ORDER\s+BY|WHILE)\b"
 _BEFORE_FILTER = (
     rf"""(?is)^(?:{SINGLE}|{DOUBLE}|{BRACKET}|(?!{_FILTER})[A-Za-z_0-9]++|[^A-Za-z_0-9])*+"""
@@ -122,9 +130,22 @@ def split_load(body: Column) -> Column:
     """A load body as ``(fields array, tail)``.
 
     The field list ends at the first source word outside parentheses and is split at the commas
-    outside parentheses. One fold over the words counts the depth and notes the places.
+    outside parentheses. Patterns do so where parentheses close within four levels; elsewhere a
+    fold over the words counts the depth.
     """
 
+    def cut(listed: Column) -> Column:
+        rest = F.substring(body, F.length(listed) + 1, F.length(body))
+        pieces = F.transform(F.regexp_extract_all(listed, F.lit(_FIELD), F.lit(0)), strip_space)
+        by_pattern = lambda tail: F.struct(F.filter(pieces, lambda p: p != "").alias("fields"), strip_space(tail).alias("tail"))
+        return let(rest, lambda tail: F.when((tail == "") | tail.rlike(rf"(?i)^{_SOURCE}"), by_pattern(tail)).otherwise(_fold_load(body)))
+
+    return let(F.regexp_extract(body, _LIST, 0), cut)
+
+
+def _fold_load(body: Column) -> Column:
+    """What ``split_load`` gives, for any depth of parentheses and for those that never close or open."""
+
     def step(state: Column, word: Column) -> Column:
         outside = (state["depth"] == 0) & (state["cut"] < 0)
         depth = F.when(word == "(", state["depth"] + 1).when(word == ")", F.greatest(state["depth"] - 1, F.lit(0)))
@@ -163,13 +184,16 @@ def split_load(body: Column) -> Column:
 
 def split_filter(text: Column) -> Column:
     """The text ``before`` the first WHERE, GROUP BY, ORDER BY or WHILE, and the ``filter`` from there on."""
-    return let(
+    cut = let(
         F.regexp_extract(text, _BEFORE_FILTER, 0),
         lambda before: F.struct(
             strip_space(before).alias("before"),
             strip_space(F.substring(text, F.length(before) + 1, F.length(text))).alias("filter"),
         ),
     )
+    # a plain search first: most texts hold none of the words
+    whole = F.struct(strip_space(text).alias("before"), F.lit("").alias("filter"))
+    return F.when(text.rlike(rf"(?i){_FILTER}"), cut).otherwise(whole)
 
 
 def split_commas(text: Column) -> Column:

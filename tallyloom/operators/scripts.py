@@ -26,6 +26,8 @@ _OPTION = r"(?is)^(.+?)\s+is\s+(.+)$"
 _TAGGED = r"(?i)\bTagged\s*\(([^)]*)\)$"
 _ALIAS = r"""(?is)^(.+)\bAS\b\s*(\[[^\]]*\]|"[^"]*"|'[^']*'|[^()\[\]'",]+)$"""
 _BARE = r"^[A-Za-z_][A-Za-z0-9_ .]*$"
+_WORD = r"^[A-Za-z_][A-Za-z0-9_]*\z"
+_SHAPE = r"(?i)^(?:INLINE|RESIDENT(?=\s)|FROM(?=\s)|(?:SQL\s+)?SELECT\b)"
 _NO_LOAD = r"(?i)^(?:" + "|".join(w.replace(" ", r"\s+") for w in fixed.NON_LOAD_KEYWORDS) + r")\b"
 # --- end of the patterns
 SUMMARY_LINES = 30
@@ -47,12 +49,15 @@ def script_statements(scripts: DataFrame) -> DataFrame:
 
 def script_variables(scripts: DataFrame) -> DataFrame:
     """(app, name, value) of every variable, last assignment only, values expanded as far as known."""
-    known = clean_scripts(scripts).select("app", S.variables(F.col("script")).alias("known"))
-    each = known.select("app", "known", F.explode("known").alias("v"))
-    return each.select(
-        "app", F.col("v.name").alias("name"), F.col("v.value").alias("value"),
-        S.expand(F.col("v.value"), F.col("known")).alias("expanded"),
-    )
+    def each(known: Column) -> Column:
+        return F.transform(
+            known,
+            lambda v: F.struct(v["name"].alias("name"), v["value"].alias("value"), S.expand(v["value"], known).alias("expanded")),
+        )
+
+    # the array goes into the generator unnamed: of a named one the optimiser takes a condition, which it computes
+    # once more, before the rows are dealt
+    return clean_scripts(scripts).select("app", F.inline(let(S.variables(F.col("script")), each)))
 
 
 def _loads_of(script: Column) -> Column:
@@ -134,9 +139,15 @@ def _first_of_each(fields: Column) -> Column:
 
 def _load(text: Column, pos: Column, known: Column) -> Column:
     """The load that a statement describes, or null."""
+    return _parsed(text, lambda h, b: _sourced(text, pos, h, b, known))
+
+
+def _parsed(text: Column, finish) -> Column:
+    """``finish(head, body)`` of a statement that is a load, or null."""
+    labelled = text.contains(":")
     head = F.struct(
-        S.unquote(F.regexp_extract(text, _LABEL, 1)).alias("label"),
-        F.regexp_replace(text, _LABEL, "").alias("rest"),
+        F.when(labelled, S.unquote(F.regexp_extract(text, _LABEL, 1))).otherwise("").alias("label"),
+        F.when(labelled, F.regexp_replace(text, _LABEL, "")).otherwise(text).alias("rest"),
     )
 
     def read(h: Column) -> Column:
@@ -145,17 +156,19 @@ def _load(text: Column, pos: Column, known: Column) -> Column:
             & h["rest"].rlike(_LOAD)
             & ~text.rlike(r"(?i)\bDECLARE\s+FIELD\s+DEFINITION\b")
         )
-        return F.when(is_load, let(_body(h["rest"]), lambda b: _sourced(text, pos, h, b, known)))
+        return F.when(is_load, let(_body(h["rest"]), lambda b: finish(h, b)))
 
-    return let(head, read)
+    # a plain search first: many statements are no loads
+    return F.when(text.rlike(r"(?i)LOAD\b"), let(head, read))
 
 
 def _body(rest: Column) -> Column:
     distinct = r"(?i)^DISTINCT\b"
+    bare = F.upper(F.left(rest, F.lit(4))) == "LOAD"
     return let(
         F.struct(
-            F.upper(F.regexp_extract(rest, _LOAD, 1)).alias("prefix"),
-            strip_space(F.regexp_extract(rest, _LOAD, 2)).alias("body"),
+            F.when(bare, "").otherwise(F.upper(F.regexp_extract(rest, _LOAD, 1))).alias("prefix"),
+            strip_space(F.when(bare, F.substring(rest, F.lit(5), F.length(rest))).otherwise(F.regexp_extract(rest, _LOAD, 2))).alias("body"),
         ),
         lambda b: F.struct(
             b["prefix"].alias("prefix"),
@@ -163,7 +176,7 @@ def _body(rest: Column) -> Column:
             .otherwise("")
             .alias("target"),
             b["body"].rlike(distinct).alias("is_distinct"),
-            S.split_load(F.regexp_replace(b["body"], distinct, "")).alias("parts"),
+            let(F.regexp_replace(b["body"], distinct, ""), S.split_load).alias("parts"),
         ),
     )
 
@@ -175,73 +188,96 @@ def _sourced(text: Column, pos: Column, head: Column, body: Column, known: Colum
     )
 
 
+def _shape(tail: Column) -> Column:
+    """What the text from FROM, RESIDENT, INLINE or SELECT on names: a file, a table, a block or a query."""
+    return let(
+        F.upper(F.regexp_extract(tail, _SHAPE, 0)),
+        lambda word: F.when(word == "FROM", "file")
+        .when(word == "RESIDENT", "resident")
+        .when((word == "INLINE") & tail.rlike(_INLINE), "inline")
+        .when(word.endswith("SELECT"), "sql")
+        .otherwise("unknown"),
+    )
+
+
 def _source(tail: Column, known: Column) -> Column:
     """The kind, path, format options and filter of the text from FROM, RESIDENT, INLINE or SELECT on."""
-    shape = (
-        F.when(tail.rlike(_INLINE), "inline")
-        .when(tail.rlike(r"(?i)^RESIDENT\s"), "resident")
-        .when(tail.rlike(r"(?i)^(SQL\s+)?SELECT\b"), "sql")
-        .when(tail.rlike(r"(?i)^FROM\s"), "file")
-        .otherwise("unknown")
-    )
-    named = F.when(shape.isin("file", "resident"), F.regexp_replace(tail, r"(?i)^(FROM|RESIDENT)\s+", "")).otherwise("")
-    clauses = let(
-        S.split_filter(named),
-        lambda c: F.struct(shape.alias("shape"), c["before"].alias("named"), c["filter"].alias("filter")),
-    )
+    named = F.regexp_replace(tail, r"(?i)^(FROM|RESIDENT)\s+", "")
 
-    def formatted(c: Column) -> Column:
-        given = F.regexp_extract(c["named"], _FORMAT, 1)
-        is_format = (c["shape"] == "file") & _first_word(given).isin(*fixed.FORMAT_KINDS)
-        return F.struct(
-            F.when(is_format, given)
-            .when(c["shape"] == "inline", F.regexp_extract(tail, _INLINE, 2))
-            .otherwise("")
-            .alias("format"),
-            F.when(is_format, strip_space(F.regexp_replace(c["named"], _FORMAT, "")))
-            .otherwise(c["named"])
-            .alias("named"),
+    def told(shape: Column) -> Column:
+        resident = let(
+            S.split_filter(named),
+            lambda c: _described(shape, filter=c["filter"], resident=S.unquote(c["before"])),
+        )
+        return (
+            F.when(shape == "file", let(S.split_filter(named), lambda c: _file(c, known)))
+            .when(shape == "resident", resident)
+            .when(shape == "inline", _described(shape, inline_text=F.regexp_extract(tail, _INLINE, 1), options=_inline_options(tail)))
+            .otherwise(_described(shape))
         )
 
-    def located(c: Column, f: Column) -> Column:
-        is_file = c["shape"] == "file"
-        return F.struct(
-            c["shape"].alias("shape"),
-            c["filter"].alias("filter"),
-            F.when(c["shape"] == "resident", S.unquote(f["named"])).otherwise("").alias("resident"),
-            F.when(c["shape"] == "inline", F.regexp_extract(tail, _INLINE, 1)).otherwise("").alias("inline_text"),
-            F.when(is_file, strip_space(let(S.unquote(f["named"]), lambda p: S.expand(p, known))))
-            .otherwise("")
-            .alias("path"),
-            f["format"].alias("format"),
-            F.transform(S.split_commas(f["format"]), _option).alias("options"),
+    return let(_shape(tail), told)
+
+
+def _described(kind: Column, **known: Column) -> Column:
+    """A source with what is ``known`` of it; the rest is empty."""
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    names = ("path", "filter", "resident", "inline_text", "options", "connection", "relative_path")
+    return F.struct(
+        kind.alias("kind"), *[known.get(n, none if n == "options" else F.lit("")).alias(n) for n in names]
+    )
+
+
+def _inline_options(tail: Column) -> Column:
+    return _options(F.regexp_extract(tail, _INLINE, 2))
+
+
+def _options(given: Column) -> Column:
+    return F.transform(S.split_commas(given), _option)
+
+
+def _file(clauses: Column, known: Column) -> Column:
+    """The source that a file's path and format, parted from its filter, describe."""
+
+    def formatted(given: Column) -> Column:
+        is_format = _first_word(given).isin(*fixed.FORMAT_KINDS)
+        plain = F.struct(F.lit("").alias("format"), clauses["before"].alias("named"))
+        return F.when(
+            is_format,
+            F.struct(given.alias("format"), strip_space(F.regexp_replace(clauses["before"], _FORMAT, "")).alias("named")),
+        ).otherwise(plain)
+
+    def located(f: Column) -> Column:
+        path = strip_space(let(S.unquote(f["named"]), lambda p: S.expand(p, known)))
+        return let(path, lambda p: let(_connected(p), lambda c: described(f, p, c)))
+
+    def described(f: Column, path: Column, connected: Column) -> Column:
+        return _described(
+            _file_kind(path, f["format"]), path=path, filter=clauses["filter"], options=_options(f["format"]),
+            connection=connected["connection"], relative_path=connected["relative_path"],
         )
 
-    return let(
-        let(clauses, lambda c: let(formatted(c), lambda f: located(c, f))),
-        lambda s: F.struct(
-            _kind(s).alias("kind"),
-            *[s[n].alias(n) for n in ("path", "filter", "resident", "inline_text", "options")],
-            F.when(s["path"].rlike(_CONNECTION), strip_space(F.regexp_extract(s["path"], _CONNECTION, 1)))
-            .otherwise("")
-            .alias("connection"),
-            F.when(s["path"].rlike(_CONNECTION), strip_space(F.regexp_extract(s["path"], _CONNECTION, 2)))
-            .otherwise(s["path"])
-            .alias("relative_path"),
-        ),
+    return let(let(F.regexp_extract(clauses["before"], _FORMAT, 1), formatted), located)
+
+
+def _connected(path: Column) -> Column:
+    named = F.struct(
+        strip_space(F.regexp_extract(path, _CONNECTION, 1)).alias("connection"),
+        strip_space(F.regexp_extract(path, _CONNECTION, 2)).alias("relative_path"),
     )
+    plain = F.struct(F.lit("").alias("connection"), path.alias("relative_path"))
+    return F.when(path.rlike(_CONNECTION), named).otherwise(plain)
 
 
 def _first_word(spec: Column) -> Column:
     return F.lower(strip_space(F.split_part(spec, F.lit(","), F.lit(1))))
 
 
-def _kind(source: Column) -> Column:
-    suffix = F.lower(F.regexp_extract(source["path"], r"\.([A-Za-z0-9]+)$", 1))
-    by_format = F.try_element_at(text_map(fixed.FORMAT_KINDS), _first_word(source["format"]))
+def _file_kind(path: Column, spec: Column) -> Column:
+    suffix = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    by_format = F.try_element_at(text_map(fixed.FORMAT_KINDS), _first_word(spec))
     by_suffix = F.try_element_at(text_map(fixed.EXTENSION_KINDS), suffix)
-    named = F.when(source["format"] != "", by_format).otherwise(by_suffix)
-    return F.when(source["shape"] == "file", F.coalesce(named, F.lit("unknown"))).otherwise(source["shape"])
+    return F.coalesce(F.when(spec != "", by_format).otherwise(by_suffix), F.lit("unknown"))
 
 
 def _option(text: Column) -> Column:
@@ -266,16 +302,6 @@ def _own_name(label: Column, source: Column, pos: Column) -> Column:
 
 
 def _row(text: Column, pos: Column, head: Column, body: Column, source: Column, own: Column) -> Column:
-    none = F.array().cast("array<string>")
-    listed = body["parts"]["fields"]
-    # the columns of an inline block are known, so a star can be spelled out
-    header = F.get(
-        inline_rows(source["inline_text"], _inline_delimiter(source["options"])), F.lit(0)
-    )
-    star = F.array_contains(listed, "*") & (source["kind"] == "inline")
-    spelled = F.when(
-        star, F.concat(F.filter(listed, lambda f: f != "*"), F.coalesce(header, none))
-    ).otherwise(listed)
     return F.struct(
         pos.alias("pos"),
         F.when(body["target"] != "", body["target"]).otherwise(own).alias("table"),
@@ -288,18 +314,40 @@ def _row(text: Column, pos: Column, head: Column, body: Column, source: Column,
             source[n].alias(n)
             for n in ("kind", "path", "connection", "relative_path", "resident", "filter", "inline_text", "options")
         ],
-        F.filter(
-            F.transform(spelled, lambda f: _field_of(f, source["kind"])), lambda f: f["field"] != ""
-        ).alias("fields"),
+        _fields(body["parts"]["fields"], source["kind"], source["inline_text"], source["options"]).alias("fields"),
         text.alias("statement"),
     )
 
 
+def _fields(listed: Column, kind: Column, inline_text: Column, options: Column) -> Column:
+    """The fields of a load; the columns of an inline block are known, so a star can be spelled out."""
+    none = F.array().cast("array<string>")
+    header = F.get(inline_rows(inline_text, _inline_delimiter(options)), F.lit(0))
+    star = (kind == "inline") & F.array_contains(listed, "*")
+    spelled = F.when(
+        star, F.concat(F.filter(listed, lambda f: f != "*"), F.coalesce(header, none))
+    ).otherwise(listed)
+    return F.filter(F.transform(spelled, lambda f: _field_of(f, kind)), lambda f: f["field"] != "")
+
+
+def _load_fields(text: Column) -> Column:
+    """The fields of the load that a statement describes, or null; where they come from is not read."""
+
+    def read(body: Column) -> Column:
+        tail = body["parts"]["tail"]
+        return let(
+            _shape(tail), lambda s: _fields(body["parts"]["fields"], s, F.regexp_extract(tail, _INLINE, 1), _inline_options(tail))
+        )
+
+    return _parsed(text, lambda head, body: read(body))
+
+
 def _field_of(text: Column, kind: Column) -> Column:
     """A field text as its name, expression, tags and whether it is computed.
 
     A bare or bracketed name is a column; the labels of an inline block are columns too.
     """
+    none = F.array().cast("array<string>")
     # a cheap search first: most fields have neither tags nor an alias
     tagged = F.lower(text).contains("tagged") & text.rlike(_TAGGED)
     plain = F.when(tagged, strip_space(F.regexp_replace(text, _TAGGED, ""))).otherwise(text)
@@ -318,7 +366,6 @@ def _field_of(text: Column, kind: Column) -> Column:
         is_bare = bare.rlike(_BARE)
         quoted = expression.rlike(r'(?s)^(\[[^\]]*\]|"[^"]*")$')
         column = quoted | ((expression == bare) & is_bare) | (expression == "*") | (kind == "inline")
-        none = F.array().cast("array<string>")
         tags = F.transform(S.split_commas(F.regexp_extract(text, _TAGGED, 1)), S.unquote)
         return F.struct(
             F.coalesce(alias, bare).alias("field"),
@@ -327,7 +374,9 @@ def _field_of(text: Column, kind: Column) -> Column:
             F.when(tagged, tags).otherwise(none).alias("tags"),
         )
 
-    return let(let(plain, aliased), described)
+    # one word is a column with nothing to be told apart
+    word = F.struct(text.alias("field"), text.alias("expression"), F.lit(False).alias("is_derived"), none.alias("tags"))
+    return F.when(text.rlike(_WORD), word).otherwise(let(let(plain, aliased), described))
 
 
 def option_value(options: Column, key: str, default: str) -> Column:
@@ -477,7 +526,8 @@ def script_field_names(scripts: DataFrame, known: Column | None = None, longest:
     ``known`` is the array of names that the metadata of a row's app gives; an app with four
     or more names, all longer than two letters, needs no reading.
     """
-    fields = F.flatten(F.transform(_loads_of(F.col("script")), lambda load: load["fields"]))
+    read = lambda clean: F.transform(S.statements(clean), _load_fields)
+    fields = F.flatten(F.filter(let(S.strip_comments(S.unix_lines(F.col("script"))), read), lambda x: x.isNotNull()))
     named = F.filter(fields, lambda f: ~(f["is_derived"] & (f["field"] == f["expression"])) & (f["field"] != "*"))
     names = F.filter(
         F.transform(named, lambda f: f["field"]),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import checks, expressions as ex, scripts as sc
 from tallyloom.sources.load import REASONS
-from workload.derive import filled, part_expressions, part_scripts, read
+from workload.derive import filled, part_expressions, part_scripts, read, spread
 from workload.registry import query, sql_rows, sql_text
 
 # What every script must read as, row by row, in the columns of its part.
@@ -296,7 +296,7 @@ def _schema_diff(spark, sf_dir):
     rows = F.array(
         *[F.struct(filled(t).alias("table"), filled(c).alias("column"), F.lit(status).alias("status")) for t, c, status in held]
     )
-    emitted = read(spark, sf_dir, "part").select(filled("app{p_partkey}").alias("app"), F.inline(rows))
+    emitted = spread(read(spark, sf_dir, "part")).select(filled("app{p_partkey}").alias("app"), F.inline(rows))
     return checks.schema_diff(declared, emitted)
 
 
