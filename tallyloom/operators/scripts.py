@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed
 from tallyloom.functions import script_text as S
-from tallyloom.functions.columns import first_by_case, let, strip_space, text_map
+from tallyloom.functions.columns import first_by_case, let, sorted_side, strip_space, text_map
 from tallyloom.functions.types import STRING, resolve_type
 from tallyloom.sources.load import CONNECTED, REASONS, SCHEMA_ONLY, inline_rows
 
@@ -447,7 +447,7 @@ def _evidenced(loads: DataFrame, metadata: DataFrame | None) -> DataFrame:
         tags = F.concat(F.coalesce(f["tags"], none), F.coalesce(model["tags"], none))
         return f.withField("tags", tags).withField("is_numeric", F.coalesce(model["is_numeric"], F.lit(False)))
 
-    return loads.join(known, "app", "left").withColumn("fields", F.transform("fields", with_model)).drop("_known")
+    return loads.join(sorted_side(known), "app", "left").withColumn("fields", F.transform("fields", with_model)).drop("_known")
 
 
 def load_status(loads: DataFrame, metadata: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from tallyloom.functions import script_text as S
 from tallyloom.functions.columns import let
 from tallyloom.operators import scripts as sc
+from workload import load_queries
 from workload.derive import part_scripts
+from workload.registry import QUERIES
+
+load_queries()
 
 
 def plan_of(df) -> str:
@@ -55,3 +59,15 @@ def test_a_bound_value_is_not_copied(spark):
     assert [r["y"] for r in df.collect()] == ["A-A", None]
     struct = spark.createDataFrame([("a",), (None,)], "x string").select(let(F.col("x"), lambda u: F.coalesce(u, F.lit("none"))).alias("y"))
     assert [r["y"] for r in struct.collect()] == ["a", "none"]
+
+def test_evidence_of_many_apps_is_met_by_sorting(spark):
+    scripts = spark.createDataFrame([("a", "T: LOAD x FROM y.csv;")], "app string, script string")
+    model = spark.createDataFrame([("a", "X", ["$integer"], True)], "app string, field string, tags array<string>, is_numeric boolean")
+    status = sc.load_status(sc.parse_loads(scripts), model)
+    assert "strategy=merge" in plan_of(status)
+    assert [r["n_typed"] for r in status.collect()] == [1]
+
+
+def test_evidence_query_deals_its_rows_before_parsing(spark, sf_dir):
+    plan = plan_of(QUERIES["audit_type_evidence"](spark, sf_dir))
+    assert plan.count("Repartition") == 2

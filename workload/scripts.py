@@ -468,7 +468,7 @@ def _empty_tables(spark, sf_dir):
 )
 def _type_evidence(spark, sf_dir):
     """Types of a field by tags in the script, in the data model, in both, or in neither."""
-    part = read(spark, sf_dir, "part").withColumn("app", F.concat(F.lit("app"), F.col("p_partkey").cast("string")))
+    part = spread(read(spark, sf_dir, "part")).withColumn("app", F.concat(F.lit("app"), F.col("p_partkey").cast("string")))
     in_script = F.when(F.col("p_size") % 4 >= 2, " Tagged ('$integer')").otherwise("")
     scripts = part.select(
         "app", F.concat(F.lit("T: LOAD a"), in_script, F.lit(", B FROM [t.csv] (txt, embedded labels) WHERE B > 1;")).alias("script")
