@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,9 @@ OUTPUT = ("visual", "category", "value", "text")
 #: Dimensions that one grouping-set query takes; their grouping id then never runs out of bits.
 DIMS_TOGETHER = 24
 ZERO_WHEN_EMPTY = (M.ROWS, M.COUNT, M.RATIO)
+#: Measures that are a value of their field, which equal rows do not change, and the types whose values have one size.
+ONE_VALUE = ("min", "max", "only")
+FIXED_SIZE = (T.NumericType, T.BooleanType, T.DatetimeType, T.AnyTimeType, T.DayTimeIntervalType, T.YearMonthIntervalType, T.NullType)
 
 
 @dataclass(frozen=True)
@@ -40,22 +43,27 @@ def sheet(df: DataFrame, visuals: list[Visual]) -> DataFrame:
     The data is scanned once for all measures of fixed state, whatever the number of
     dimensions, by grouping sets. All medians share the two passes of ``exact_medians``, which are run at once. Distinct
     counts keep state that grows, so they get a grouped query per dimension, as does each filter on a visual's own dimension.
+    A first or last text has no fixed size, and one such measure would have the shared pass sort every row: it is taken of
+    the different texts of its dimension.
     """
     visuals = [_bound(_complete(v), df.columns) for v in visuals]
-    shared = [v for v in visuals if v.measure.is_single_pass and not _overrides(v)]
+    texts = [v for v in visuals if _is_text(v.measure, df.schema) and not _overrides(v)]
+    shared = [v for v in visuals if v.measure.is_single_pass and not _overrides(v) and v not in texts]
     dims = list(dict.fromkeys(v.dim for v in shared))
     groups = [dims[i : i + DIMS_TOGETHER] for i in range(0, len(dims), DIMS_TOGETHER)]
     parts = [_shared(df, [v for v in shared if v.dim in group]) for group in groups]
     middles = [v for v in visuals if v.measure.function == M.MEDIAN and not _overrides(v)]
     if middles:
         parts.append(_medians(df, middles))
-    by_dim: dict[str | None, list[Visual]] = {}
+    by_dim: dict[tuple[str | None, bool], list[Visual]] = {}
     for v in visuals:
         if _overrides(v):
             parts.append(_long(filter_override(df, [v.dim], v.measure), [v], [v.measure.name]))
+        elif v in texts and v.dim:
+            parts.append(_texts(df, v))
         elif v not in shared and v not in middles:
-            by_dim.setdefault(v.dim, []).append(v)
-    for dim, together in by_dim.items():
+            by_dim.setdefault((v.dim, v in texts), []).append(v)
+    for (dim, _), together in by_dim.items():
         slots = [f"_m{i}" for i in range(len(together))]
         measures = [v.measure.named(slot) for v, slot in zip(together, slots)]
         parts.append(_long(aggregate(df, [dim] if dim else [], measures), together, slots))
@@ -83,6 +91,19 @@ def _medians(df: DataFrame, visuals: list[Visual]) -> DataFrame:
     return rows.select("visual", category.alias("category"), F.col("median").alias("value"), F.lit(None).cast("string").alias("text"))
 
 
+def _is_text(m: Measure, schema: T.StructType) -> bool:
+    return m.function in ONE_VALUE and not isinstance(schema[m.field].dataType, FIXED_SIZE)
+
+
+def _texts(df: DataFrame, v: Visual) -> DataFrame:
+    """The rows of a visual whose measure is one text per dimension: equal texts meet by hashing, few are left to sort."""
+    x = field(v.measure.field)
+    held = F.when(v.measure.condition(df.schema), x) if v.measure.is_filtered else x
+    different = df.select(field(v.dim), held.alias("_text")).distinct()
+    measure = replace(v.measure.unfiltered(), field="_text").named("_m")
+    return _long(aggregate(different, [v.dim], [measure]), [v], ["_m"])
+
+
 def _overrides(v: Visual) -> bool:
     """The measure is filtered on the very dimension it stands beside."""
     return v.dim is not None and v.measure.filter_field == v.dim

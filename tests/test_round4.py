@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.functions import measures as M
 from tallyloom.functions import script_text as S
 from tallyloom.functions.columns import let
 from tallyloom.operators import scripts as sc
+from tallyloom.plans import sheets
 from workload import load_queries
 from workload.derive import part_scripts
 from workload.registry import QUERIES
@@ -71,3 +73,24 @@ def test_evidence_of_many_apps_is_met_by_sorting(spark):
 def test_evidence_query_deals_its_rows_before_parsing(spark, sf_dir):
     plan = plan_of(QUERIES["audit_type_evidence"](spark, sf_dir))
     assert plan.count("Repartition") == 2
+
+
+def test_texts_of_a_sheet_do_not_sort_its_rows(spark):
+    rows = [("x", "b", 1, "k"), ("x", "a", 2, "l"), ("x", "a", 3, None), ("y", None, 4, "k"), (None, "c", 5, "l"), (None, "c", None, "k")]
+    df = spark.createDataFrame(rows, "d string, t string, n int, f string")
+    visuals = [
+        sheets.Visual("n", "d", M.total("n")), sheets.Visual("rows"), sheets.Visual("low", "d", M.minimum("T")), sheets.Visual("high", None, M.maximum("t")),
+        sheets.Visual("one", "d", M.only("t", strict=True)), sheets.Visual("some", "d", M.filtered(M.maximum("t"), "f", "k")),
+        sheets.Visual("own", "d", M.maximum("d")), sheets.Visual("kinds", None, M.count_distinct("t")),
+    ]
+    out = sheets.sheet(df, visuals)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("\n") if "SortAggregate" in x and "spark_grouping_id" in x]
+    shown = {(r["visual"], r["category"]): r["value"] if r["text"] is None else r["text"] for r in out.collect()}
+    assert shown == {
+        ("n", "x"): 6, ("n", "y"): 4, ("n", None): 5, ("rows", None): 6, ("low", "x"): "a", ("low", "y"): None, ("low", None): "c", ("high", None): "c",
+        ("one", "x"): None, ("one", "y"): None, ("one", None): "c", ("some", "x"): "b", ("some", "y"): None, ("some", None): "c",
+        ("own", "x"): "x", ("own", "y"): "y", ("own", None): None, ("kinds", None): 3,
+    }
+    empty = {(r["visual"], r["category"]): (r["value"], r["text"]) for r in sheets.sheet(df.where("n > 9"), visuals).collect()}
+    assert empty == {("rows", None): (0, None), ("high", None): (None, None), ("kinds", None): (0, None)}
