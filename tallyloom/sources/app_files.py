@@ -9,7 +9,8 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,8 @@ from tallyloom.functions import fixed
 from tallyloom.functions.columns import field
 from tallyloom.operators.catalog import json_value
 
-FLUSH_CHARS = 32_000_000
+#: Bytes of values that a worker takes, and characters that it gives, at once, unless one value has more.
+TAKEN, GIVEN = 1 << 22, 1 << 22
 BLOBS = "offset bigint, n_bytes bigint, text string"
 
 
@@ -40,28 +42,48 @@ def inflate(files: DataFrame, app: str, content: str = "content", max_stream_byt
     """
     kind = files.schema[app].dataType.simpleString()
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch["app"], batch["content"]):
-                yield from _file_streams(name, data, max_stream_bytes)
+            for few in handfuls(batch, "content"):
+                yield from _streams(few, max_stream_bytes)
+        pa.default_memory_pool().release_unused()  # Spark keeps the worker for later tasks
 
     named = files.select(field(app).alias("app"), field(content).alias("content"))
-    return named.mapInPandas(work, f"app {kind}, {BLOBS}")
+    return named.mapInArrow(work, f"app {kind}, {BLOBS}")
 
 
-def _file_streams(name, data: bytes, limit: int | None) -> Iterator[pd.DataFrame]:
+def handfuls(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, a few at a time: their values of ``column`` are bounded in sum, however many rows a batch has."""
+    first = size = 0
+    for at, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if size and size + n > TAKEN:
+            yield batch.slice(first, at - first)
+            first, size = at, 0
+        size += n + 1
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
+def _streams(files: pa.RecordBatch, limit: int | None) -> Iterator[pa.RecordBatch]:
+    kinds = [files.schema.field("app").type, pa.int64(), pa.int64(), pa.string()]
+
+    def given(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], ["app", "offset", "n_bytes", "text"])
+
     held, size = [], 0
-    for offset in _magic_offsets(data):
-        plain = _inflate_at(data, offset, limit)
-        if plain is None:
-            continue
-        held.append((name, offset, len(plain), _text(plain)))
-        size += len(plain)
-        if size >= FLUSH_CHARS:
-            yield pd.DataFrame(held, columns=["app", "offset", "n_bytes", "text"])
-            held, size = [], 0
+    for name, data in zip(files.column("app").to_pylist(), files.column("content")):
+        data = data.as_py()
+        for offset in _magic_offsets(data):
+            plain = _inflate_at(data, offset, limit)
+            if plain is None:
+                continue
+            held.append((name, offset, len(plain), _text(plain)))
+            size += len(plain)
+            if size >= GIVEN:
+                yield given(held)
+                held, size = [], 0
     if held:
-        yield pd.DataFrame(held, columns=["app", "offset", "n_bytes", "text"])
+        yield given(held)
 
 
 def _magic_offsets(data: bytes) -> list[int]:

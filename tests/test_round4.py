@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tallyloom.functions import measures as M
@@ -9,6 +12,7 @@ from tallyloom.functions import script_text as S
 from tallyloom.functions.columns import let
 from tallyloom.operators import scripts as sc
 from tallyloom.plans import sheets
+from tallyloom.sources import app_files
 from workload import load_queries
 from workload.derive import part_scripts
 from workload.registry import QUERIES
@@ -94,3 +98,26 @@ def test_texts_of_a_sheet_do_not_sort_its_rows(spark):
     }
     empty = {(r["visual"], r["category"]): (r["value"], r["text"]) for r in sheets.sheet(df.where("n > 9"), visuals).collect()}
     assert empty == {("rows", None): (0, None), ("high", None): (None, None), ("kinds", None): (0, None)}
+
+
+def test_app_files_are_taken_in_handfuls(monkeypatch):
+    monkeypatch.setattr(app_files, "TAKEN", 100)
+    monkeypatch.setattr(app_files, "GIVEN", 50)
+    values = [b"x" * n for n in (10, 60, 0, 250, 40, 40, 40)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(values, pa.binary())], ["app", "content"])
+    few = list(app_files.handfuls(batch, "content"))
+    assert [v for f in few for v in f.column("content").to_pylist()] == values
+    assert [f.num_rows for f in few] == [3, 1, 2, 2]
+    files = pa.RecordBatch.from_arrays([pa.array([7, None, 9]), pa.array([zlib.compress(b"a" * 30), b"none", zlib.compress(b"\xff" * 30)])], ["app", "content"])
+    out = list(app_files._streams(files, None))
+    assert [b.num_rows for b in out] == [2]
+    assert out[0].to_pylist() == [
+        {"app": 7, "offset": 0, "n_bytes": 30, "text": "a" * 30}, {"app": 9, "offset": 0, "n_bytes": 30, "text": None},
+    ]
+
+
+def test_app_files_of_documents_with_nulls(spark, tmp_path):
+    docs = [(1, "é 'x'", "en", "web"), (None, "no id", "de", None), (3, None, None, "web"), (4, "", "en", "web")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, QUERIES["corpus_blobs"](spark, str(tmp_path)).collect()), key=str) == [(1, "é 'x'"), (3, None), (4, ""), (None, "no id")]
+    assert sorted(r["version"] for r in QUERIES["corpus_headers"](spark, str(tmp_path)).collect()) == ["1.1", "1.3", "1.4", "1.None"]

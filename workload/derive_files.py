@@ -10,10 +10,12 @@ import zlib
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed
+from tallyloom.sources.app_files import handfuls
 from workload.derive import read, spread
 
 _CONTENT_TYPES = (
@@ -92,23 +94,20 @@ def document_app_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def files(batches):
         for batch in batches:
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "content": [
-                        app_file(*row) for row in zip(batch["doc_id"], batch["lang"], batch["source"], batch["text"])
-                    ],
-                }
-            )
+            for few in handfuls(batch, "text"):
+                rows = zip(*(few.column(c).to_pylist() for c in ("doc_id", "lang", "source", "text")))
+                content = pa.array([app_file(*row) for row in rows], pa.binary())
+                yield pa.RecordBatch.from_arrays([few.column("doc_id"), content], ["doc_id", "content"])
+        pa.default_memory_pool().release_unused()
 
     columns = spread(read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
-    return columns.mapInPandas(files, "doc_id bigint, content binary")
+    return columns.mapInArrow(files, "doc_id bigint, content binary")
 
 
-def app_file(doc_id: int, lang: str, source: str, text: str) -> bytes:
+def app_file(doc_id: int, lang: str, source: str, text: str | None) -> bytes:
     frame = b"\x01\x00\x00\x00"
     header = f'{{"{fixed.HEADER_KEY}":"1.{doc_id}",'.encode() + frame + f'"buildno":"{lang}"}}'.encode()
-    script = zlib.compress(json.dumps({"qScript": text}).encode() + b"\x00", (1, 6, 9)[len(text) % 3])
+    script = zlib.compress(json.dumps({"qScript": text}).encode() + b"\x00", (1, 6, 9)[len(text or "") % 3])
     sheet = zlib.compress(json.dumps({"qMetaData": {"qType": "sheet"}, "qRoot": {}}).encode())
     hidden = base64.b64encode(json.dumps({"source": source, "text": text}).encode()).decode()
     coded = f'{{"{fixed.BASE64_KEY}":"{hidden}"}}'.encode()
