@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -103,7 +104,8 @@ def _round(seq: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         counts = np.bincount(slot, minlength=SLOTS)
         full = (counts >= LEAST)[slot]
         live[at[~full]] = False
-        floor = int(np.partition(counts, SLOTS - RULES)[SLOTS - RULES])
+        # how full the fullest slots are, the RULES-th of them
+        floor = int(np.searchsorted(np.cumsum(np.bincount(counts)), SLOTS - RULES, side="right"))
         if floor > LEAST:
             found = _uses(*_frequent(at[(counts >= floor)[slot]], seq, floor)[:3])
             if len(found[2]):
@@ -164,13 +166,10 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarra
     short = np.flatnonzero(sizes <= LONG_RULE)
     if not len(short):
         return seq
-    whole: dict[int, np.ndarray] = {}
-    for i in short.tolist():
-        a, b = rules[i].tolist()
-        whole[first_rule + i] = np.concatenate(
-            [whole[t] if t >= first_rule else np.array([t], np.int64) for t in (a, b)]
-        )
-    flat = np.concatenate(list(whole.values()))
+    whole: dict[int, list[int]] = {}
+    for i, (a, b) in zip((short + first_rule).tolist(), rules[short].tolist()):
+        whole[i] = (whole[a] if a >= first_rule else [a]) + (whole[b] if b >= first_rule else [b])
+    flat = np.fromiter(chain.from_iterable(whole.values()), np.int64, int(sizes[short].sum()))
     begins = np.zeros(len(rules), np.int64)
     begins[short] = np.cumsum(sizes[short]) - sizes[short]
     big = seq >= first_rule
