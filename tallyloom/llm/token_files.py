@@ -32,10 +32,12 @@ RULES, LEAST = 2048, 8
 SLOTS = 1 << 19
 #: So few places are counted truly at once.
 FEW = 1 << 17
+#: So few symbols are cut out of the others, more are masked.
+CUTS = 512
 ANCHOR = 256
 #: Nonterminals of more ids are opened step by step when all ids are read.
 LONG_RULE = 256
-TOGETHER = 1 << 22
+TOGETHER = 1 << 23
 
 SCHEMA = (
     "shard int, block int, first_rule long, doc_ids array<long>, counts array<long>, n_ids long, "
@@ -43,25 +45,55 @@ SCHEMA = (
 )
 
 
-def _frequent(places: np.ndarray, seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) & np.uint32(SLOTS - 1)).astype(np.intp)
+
+
+def _numbers(pairs: np.ndarray, slot: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Where each of ``pairs`` is in ``kept``, or any number if it is not there."""
+    own = _slots((kept >> 32).astype(np.uint32), kept.astype(np.uint32))
+    table = np.zeros(SLOTS, np.int32)
+    table[own] = np.arange(len(kept), dtype=np.int32)
+    number = table[slot]
+    # pairs that share a slot are searched for
+    crowded = table[own] != np.arange(len(kept))
+    if crowded.any():
+        several = np.zeros(SLOTS, bool)
+        several[own[crowded]] = True
+        at = np.flatnonzero(several[slot])
+        number[at] = np.minimum(np.searchsorted(kept, pairs[at]), len(kept) - 1)
+    return number
+
+
+def _frequent(places: np.ndarray, seq: np.ndarray, least: int, slot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of ``places`` those whose pair occurs ``least`` times there, the number of each, the pairs and their counts."""
-    pairs = (seq[places] << 32) | seq[places + 1]
+    left, right = seq[places], seq[places + 1]
+    pairs = (left.astype(np.int64) << 32) | right
     ordered = np.sort(pairs)
     first = np.flatnonzero(np.diff(ordered, prepend=-1))
     counts = np.diff(first, append=len(ordered))
     kept, counts = ordered[first[counts >= least]], counts[counts >= least]
     if not len(kept):
         return places[:0], places[:0], kept, counts
-    number = np.minimum(np.searchsorted(kept, pairs), len(kept) - 1)
-    same = kept[number] == pairs
+    if len(pairs) < SLOTS >> 4:
+        number = np.minimum(np.searchsorted(kept, pairs), len(kept) - 1)
+    else:
+        number = _numbers(pairs, _slots(left, right) if slot is None else slot, kept)
+    same = np.flatnonzero(kept[number] == pairs)
     return places[same], number[same], kept, counts
 
 
 def _apart(places: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of overlapping places every other one, from the left."""
-    run = np.flatnonzero(np.diff(places, prepend=-2) != 1)
-    along = np.arange(len(places)) - np.repeat(run, np.diff(np.append(run, len(places))))
-    return places[along % 2 == 0], number[along % 2 == 0]
+    # those that overlap the one before; of a run of them the first, third and so on go
+    after = np.flatnonzero(np.diff(places) == 1) + 1
+    if not len(after):
+        return places, number
+    run = np.flatnonzero(np.diff(after, prepend=-2) != 1)
+    along = np.arange(len(after)) - np.repeat(run, np.diff(np.append(run, len(after))))
+    stays = np.ones(len(places), bool)
+    stays[after[along % 2 == 0]] = False
+    return places[stays], number[stays]
 
 
 def _without_common_symbols(number: np.ndarray, kept: np.ndarray) -> np.ndarray:
@@ -100,14 +132,16 @@ def _round(seq: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     """
     at = np.flatnonzero(live)
     if len(at) > FEW:
-        slot = (seq[at] * 0x9E3779B1 + seq[at + 1] * 0x85EBCA77) & (SLOTS - 1)
+        slot = _slots(seq[at], seq[at + 1])
         counts = np.bincount(slot, minlength=SLOTS)
-        full = (counts >= LEAST)[slot]
+        level = counts.astype(np.int32)[slot]
+        full = level >= LEAST
         live[at[~full]] = False
         # how full the fullest slots are, the RULES-th of them
         floor = int(np.searchsorted(np.cumsum(np.bincount(counts)), SLOTS - RULES, side="right"))
         if floor > LEAST:
-            found = _uses(*_frequent(at[(counts >= floor)[slot]], seq, floor)[:3])
+            top = np.flatnonzero(level >= floor)
+            found = _uses(*_frequent(at[top], seq, floor, slot[top])[:3])
             if len(found[2]):
                 return found
         at = at[full]  # else full slots held rare pairs alone
@@ -123,9 +157,19 @@ def _round(seq: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return _uses(places, number, kept)
 
 
+def _without(gone: np.ndarray, *arrays: np.ndarray) -> list[np.ndarray]:
+    """The arrays without what is at the ascending places ``gone``."""
+    if len(gone) < CUTS:
+        bounds = list(zip([0, *(gone + 1).tolist()], [*gone.tolist(), len(arrays[0])]))
+        return [np.concatenate([values[a:b] for a, b in bounds]) for values in arrays]
+    stay = np.ones(len(arrays[0]), bool)
+    stay[gone] = False
+    return [values[stay] for values in arrays]
+
+
 def repair(ids: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rule i replaces the pair ``rules[i]`` by ``first_rule + i``. In the end no pair has LEAST uses."""
-    seq, rules, made = ids.astype(np.int64), [], first_rule
+    seq, rules, made = ids.astype(np.uint32), [], first_rule
     live = np.ones(len(seq), bool)
     while len(seq) > LEAST:
         live[-1] = False
@@ -137,10 +181,8 @@ def repair(ids: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray]:
         made += len(kept)
         # only pairs with a new symbol can become frequent
         live[places] = live[np.maximum(places - 1, 0)] = True
-        stay = np.ones(len(seq), bool)
-        stay[places + 1] = False
-        seq, live = seq[stay], live[stay]
-    return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
+        seq, live = _without(places + 1, seq, live)
+    return seq.astype(np.int64), np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
 
 
 def rule_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
@@ -169,18 +211,16 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarra
     whole: dict[int, list[int]] = {}
     for i, (a, b) in zip((short + first_rule).tolist(), rules[short].tolist()):
         whole[i] = (whole[a] if a >= first_rule else [a]) + (whole[b] if b >= first_rule else [b])
-    flat = np.fromiter(chain.from_iterable(whole.values()), np.int64, int(sizes[short].sum()))
-    begins = np.zeros(len(rules), np.int64)
-    begins[short] = np.cumsum(sizes[short]) - sizes[short]
-    big = seq >= first_rule
-    lengths = np.ones(len(seq), np.int64)
-    lengths[big] = sizes[seq[big] - first_rule]
-    ends = np.cumsum(lengths)
-    out = np.repeat(seq, lengths)
-    into = np.repeat(begins[seq[big] - first_rule] - (ends - lengths)[big], lengths[big])
-    at = np.flatnonzero(out >= first_rule)
-    out[at] = flat[into + at]
-    return out
+    # the ids of each symbol as bytes: an id stands for itself, a long rule is not used any more
+    lengths = np.ones(first_rule + len(rules), np.int64)
+    lengths[first_rule:] = np.where(sizes <= LONG_RULE, sizes, 0)
+    ends = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths * 4, out=ends[1:])
+    flat = np.arange(ends[-1] // 4, dtype=np.uint32)
+    flat[first_rule:] = np.fromiter(chain.from_iterable(whole.values()), np.uint32, len(flat) - first_rule)
+    opened = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+    opened = opened.take(pa.array(seq))
+    return np.frombuffer(opened.buffers()[2], np.uint32, int(lengths[seq].sum())).astype(np.int64)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -270,6 +310,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int | Non
                     held += hi - lo
         if names:
             yield _arrow(_row(shard, block, first_rule, names, ids))
+        pa.default_memory_pool().release_unused()  # Spark keeps the worker for later tasks
 
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
     ordered = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -122,20 +122,24 @@ class Pieces:
         fewer pieces then, and their ids are the same.
         """
         plain = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
-        parts = pc.split_pattern(pc.replace_substring_regex(plain, SIGNS, r"\1 \2\3"), " ")
-        coded = parts.flatten().dictionary_encode()
-        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        long = self._learn(set(different))
-        raw = list(map(self.young.__getitem__, different))
+        plain = pc.replace_substring_regex(plain, SIGNS, r"\1 \2\3")
+        parts = pc.split_pattern(plain, " ")
+        coded, offsets = parts.flatten().dictionary_encode(), parts.offsets.to_numpy()
+        del plain, parts  # large beside what is left of them
+        different, places = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices
+        del coded
+        raw = list(map(self.young.get, different))
+        new = [i for i, ids in enumerate(raw) if ids is None]
+        long = self._learn({different[i] for i in new})
+        for i in new:
+            raw[i] = self.young[different[i]]
         for piece in long:
             self.young.pop(piece, None)
-        values = np.frombuffer(b"".join(raw), np.uint16 if self.code == "H" else np.uint32)
-        lengths = np.fromiter(map(len, raw), np.int64, len(raw)) // values.itemsize
-        starts, at = np.cumsum(lengths) - lengths, coded.indices.to_numpy()
-        sizes = lengths[at]
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        ids = values[np.repeat(starts[at] - ends[:-1], sizes) + np.arange(ends[-1])]
-        return ids, np.diff(ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()])
+        ids = pa.array(raw, pa.large_binary()).take(places)
+        code = np.dtype(np.uint16 if self.code == "H" else np.uint32)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1) // code.itemsize
+        flat = np.frombuffer(ids.buffers()[2] or b"", code, ends[-1])
+        return flat, np.diff(ends[offsets - offsets[0]])
 
 
 def runs(sizes: list[int], most: int) -> list[tuple[int, int]]:
