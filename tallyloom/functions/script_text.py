@@ -18,8 +18,9 @@ DOUBLE = r'"[^"]*+(?:"|\z)'
 BRACKET = r"\[[^\]]*+\]"
 OPEN_BRACKET = r"\[[^\]]*+(?:\]|\z)"
 
+# plain text up to the next letter that may begin any of the others goes by in one step
 _COMMENTS = (
-    rf"(?s)({SINGLE}|{DOUBLE}|{BRACKET})"
+    rf"""(?s)([^'"\[/Rr]++|{SINGLE}|{DOUBLE}|{BRACKET})"""
     r"|/\*.*?(?:\*/|\z)"
     r"|//[^\n]*+"
     r"|(?<![^\n\r;])(?:REM|rem) [^;]*+;?"

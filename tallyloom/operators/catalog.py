@@ -10,36 +10,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.columns import let
+from tallyloom.functions.columns import any_of, let
 
 SCRIPT, SHEET, MODEL, PROPERTIES, VARIABLES = "script", "sheet", "data_model", "app_properties", "variables"
 
 # --- fixed values: keys of the stored objects
-_SHEET = (
-    "qRoot struct<qProperty: struct<qInfo: struct<qId: string>, rank: double, creationDate: string,"
-    " columns: bigint, rows: bigint, cells: string, qMetaDef: struct<title: string, description: string>>,"
+_PLAIN_SHEET = (
+    "qRoot struct<qProperty: struct<qInfo: struct<qId: string>, rank: double,{}"
+    " qMetaDef: struct<title: string, description: string>>,"
     " qChildren: array<struct<qProperty: string, qChildren: array<struct<qProperty: string>>>>>"
 )
-_CHART = (
-    "qInfo struct<qId: string, qType: string>, visualization string, title string,"
-    " subtitle string, footnote string, showTitles boolean, qHyperCubeDef struct<"
+_SHEET = _PLAIN_SHEET.format(" creationDate: string, columns: bigint, rows: bigint, cells: string,")
+_PLAIN_CHART = (
+    "qInfo struct<qId: string, qType: string>, visualization string, title string, qHyperCubeDef struct<"
     "qDimensions: array<struct<qDef: struct<qFieldDefs: array<string>, qFieldLabels: array<string>,"
     " qSortCriterias: array<string>>>>,"
     " qMeasures: array<struct<qDef: struct<qDef: string, qLabel: string, qNumFormat: string>>>>"
 )
+_CHART = _PLAIN_CHART + ", subtitle string, footnote string, showTitles boolean"
 SETTINGS = (
     "color", "legend", "orientation", "gridLine", "dataPoint", "dimensionAxis", "measureAxis", "tooltip", "barGrouping",
     "lineType", "donut", "scrollbar", "version",
 )
 _CHART += "".join(f", {key} string" for key in SETTINGS)
-_MODEL = (
+_PLAIN_MODEL = (
     "qfields array<struct<qname: string, qsrc_tables: array<string>, qcardinal: bigint,"
     " qtotal_count: bigint, qis_numeric: boolean, qtags: array<string>, qbyte_size: bigint,"
     " qis_system: boolean, qis_hidden: boolean>>,"
     " qtables array<struct<qname: string, qno_of_rows: bigint, qno_of_fields: bigint,"
-    " qno_of_key_fields: bigint, qbyte_size: bigint, qis_system: boolean>>,"
-    " qreload_meta string, qstatic_byte_size bigint, qusage string"
+    " qno_of_key_fields: bigint, qbyte_size: bigint, qis_system: boolean>>"
 )
+_MODEL = _PLAIN_MODEL + ", qreload_meta string, qstatic_byte_size bigint, qusage string"
 _PROPERTIES = (
     "qTitle string, qLastReloadTime string, qSavedInProductVersion string, qUsage string, owner string, qThumbnail string"
 )
@@ -47,6 +48,18 @@ _VARIABLES = (
     "qId string, qEntryList array<struct<qProperties: struct<qName: string, qDefinition: string>,"
     " qIsScriptCreated: boolean>>"
 )
+_SCHEMAS = {SCRIPT: "qScript string", SHEET: _SHEET, MODEL: _MODEL, PROPERTIES: _PROPERTIES, VARIABLES: _VARIABLES}
+# what the flat tables read, those of details left out, and the members that it consists of
+_PLAIN = _SCHEMAS | {SHEET: _PLAIN_SHEET.format(""), MODEL: _PLAIN_MODEL}
+_MEMBERS = {
+    SCRIPT: ("qScript",), SHEET: ("qRoot",), MODEL: ("qfields", "qtables"), VARIABLES: ("qId", "qEntryList"),
+    PROPERTIES: ("qTitle", "qLastReloadTime", "qSavedInProductVersion", "qUsage", "owner", "qThumbnail"),
+}
+# the members that tell a kind
+_MARKS = {
+    "qScript": "string", "qMetaData": "struct<qType: string>", "qreload_meta": "string", "qTitle": "string",
+    "qLastReloadTime": "string", "qEntryList": "string", "qId": "string",
+}
 
 # --- fixed values: one row per app, as read from catalogue files.
 CATALOGUE = (
@@ -81,12 +94,14 @@ def json_value(text: Column, key: str, schema: str = "string") -> Column:
 
 
 def _kind_of(keys: Column, text: Column) -> Column:
-    def has(key: str) -> Column:
-        return F.array_contains(keys, key)
+    return _kind_by(lambda key: F.array_contains(keys, key), json_value(text, "qMetaData", _MARKS["qMetaData"]))
 
+
+def _kind_by(has, meta: Column) -> Column:
+    """The kind of a text by whether it ``has`` a key; the first match counts."""
     return (
         F.when(has("qScript"), SCRIPT)
-        .when(has("qMetaData") & (json_value(text, "qMetaData", "struct<qType: string>")["qType"] == "sheet"), SHEET)
+        .when(has("qMetaData") & (meta["qType"] == "sheet"), SHEET)
         .when(has("qreload_meta"), MODEL)
         .when(has("qTitle") & has("qLastReloadTime"), PROPERTIES)
         .when(has("qEntryList") & has("qId"), VARIABLES)
@@ -104,14 +119,25 @@ def _told(objects: DataFrame) -> DataFrame:
     Keys and kind are what generators yield, so that each text is searched once, however many conditions name them.
     """
     keyed = objects.select("app", "offset", "text", F.explode(F.array(F.json_object_keys("text"))).alias("keys"))
-    kind = F.when(F.col("keys").isNotNull(), F.coalesce(_kind_of(F.col("keys"), F.col("text")), F.lit("other"))).when(
-        F.try_parse_json("text").isNotNull(), "other"
+    # generators are interpreted, so that keys are sought in compiled code between the two
+    marked = keyed.select(
+        "app", "offset", "text", F.col("keys").isNotNull().alias("_read"), *[F.array_contains("keys", n).alias(f"_{n}") for n in _MARKS]
     )
-    return keyed.select("app", "offset", F.explode(F.array(kind)).alias("kind"), "text")
+    known = _kind_by(lambda key: F.col(f"_{key}"), json_value(F.col("text"), "qMetaData", _MARKS["qMetaData"]))
+    kind = F.when(F.col("_read"), F.coalesce(known, F.lit("other"))).when(F.try_parse_json("text").isNotNull(), "other")
+    return marked.select("app", "offset", F.explode(F.array(kind)).alias("kind"), "text")
+
 
+def classify(objects: DataFrame, read: tuple[str, ...] = ()) -> DataFrame:
+    """(app, offset, kind, text) of every readable object, whatever its size; ``other`` fits no kind.
 
-def classify(objects: DataFrame) -> DataFrame:
-    """(app, offset, kind, text) of every readable object, whatever its size; ``other`` fits no kind."""
+    With kinds to ``read`` it is (app, offset, kind, and a column per kind) of the objects of these kinds, told and parsed
+    at once. The flat tables of these kinds, but for those of details, take that for objects too. Where several are made
+    of the same objects, it is stored in between (``session.stored``): no text is then built, searched or parsed more than
+    once, and every flat table reads the column of its own kind alone.
+    """
+    if read:
+        return _parsed(objects, read)
     return _told(objects).where("kind IS NOT NULL")
 
 
@@ -148,13 +174,54 @@ def _once(text: str, schema: str) -> Column:
     return F.explode(F.array(F.from_json(text, schema, ANY_SIZE)))
 
 
-def _of_kind(objects: DataFrame, kind: str, schema: str) -> DataFrame:
-    return _only(objects, kind).select("app", "offset", _once("text", schema).alias("o"))
+def _is_parsed(objects: DataFrame, kind: str) -> bool:
+    return kind in objects.columns and "text" not in objects.columns
+
+
+def _of_kind(objects: DataFrame, kind: str) -> DataFrame:
+    if _is_parsed(objects, kind):
+        return objects.where(F.col("kind") == kind).select("app", "offset", F.col(kind).alias("o"))
+    return _only(objects, kind).select("app", "offset", _once("text", _SCHEMAS[kind]).alias("o"))
+
+
+def _parsed(objects: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(app, offset, kind, and a column per kind) of the objects of these kinds.
+
+    One parse gives the members that tell a kind and those that are asked for. A member that is null may be there all the
+    same, so where a text holds its name, and wherever a text is no plain object or not as expected, it is told and read
+    as by the flat tables.
+    """
+    text, broken = F.col("text"), objects.sparkSession.conf.get("spark.sql.columnNameOfCorruptRecord")
+    members = {m for k in kinds for m in _MEMBERS[k]}
+    schema = ", ".join([_PLAIN[k] for k in kinds] + [f"{m} {t}" for m, t in _MARKS.items() if m not in members] + [f"`{broken}` string"])
+    # the cheap search of ``_only``, for all kinds together
+    escaped = text.contains("\\u")
+    near = objects.where(any_of([text.contains(_KEYS[k]) for k in sorted(kinds, key=list(_KEYS).index)] + [escaped]))
+    # what generators yield is not computed again for every condition that names it
+    each = near.select("app", "offset", "text", F.explode(F.array(F.from_json(text, schema, ANY_SIZE))).alias("o"))
+    o = F.col("o")
+    plain = o.isNotNull() & o[broken].isNull() & text.startswith("{")
+
+    def has(key: str) -> Column:
+        return o[key].isNotNull() | ((text.contains(key) | escaped) & F.array_contains(F.json_object_keys(text), key))
+
+    kind = F.when(plain, _kind_by(has, o["qMetaData"])).otherwise(object_kind(text))
+    told = each.select("app", "offset", "text", "o", F.explode(F.array(kind)).alias("kind")).where(F.col("kind").isin(*kinds))
+
+    def column(kind: str) -> Column:
+        own = F.struct(*[o[m].alias(m) for m in _MEMBERS[kind]])
+        whole = F.when(plain, own).otherwise(F.from_json(text, _PLAIN[kind], ANY_SIZE))
+        return F.when(F.col("kind") == kind, let(whole, _with_nodes) if kind == SHEET else whole).alias(kind)
+
+    return told.select("app", "offset", "kind", *[column(k) for k in kinds])
 
 
 def catalog_scripts(objects: DataFrame) -> DataFrame:
     """(app, script) with Unix line ends; the last script of an app counts."""
-    read = _only(objects, SCRIPT).select("app", "offset", json_value(F.col("text"), "qScript").alias("script"))
+    if _is_parsed(objects, SCRIPT):
+        read = _of_kind(objects, SCRIPT).select("app", "offset", F.col("o.qScript").alias("script"))
+    else:
+        read = _only(objects, SCRIPT).select("app", "offset", json_value(F.col("text"), "qScript").alias("script"))
     last = read.groupBy("app").agg(F.max_by("script", "offset").alias("script"))
     return last.select("app", F.replace("script", F.lit("\r\n"), F.lit("\n")).alias("script"))
 
@@ -162,7 +229,7 @@ def catalog_scripts(objects: DataFrame) -> DataFrame:
 def catalog_sheets(objects: DataFrame) -> DataFrame:
     """(app, sheet, title, description, rank)."""
     p = "o.qRoot.qProperty"
-    return _of_kind(objects, SHEET, _SHEET).select(
+    return _of_kind(objects, SHEET).select(
         "app",
         F.coalesce(f"{p}.qInfo.qId", F.lit("")).alias("sheet"),
         F.coalesce(f"{p}.qMetaDef.title", F.lit("Untitled Sheet")).alias("title"),
@@ -174,7 +241,7 @@ def catalog_sheets(objects: DataFrame) -> DataFrame:
 def catalog_sheet_details(objects: DataFrame) -> DataFrame:
     """(app, sheet, created, columns, rows, cells): the grid of every sheet, its cells as JSON text."""
     p = "o.qRoot.qProperty"
-    return _of_kind(objects, SHEET, _SHEET).select(
+    return _of_kind(objects, SHEET).select(
         "app", F.coalesce(f"{p}.qInfo.qId", F.lit("")).alias("sheet"),
         F.coalesce(f"{p}.creationDate", F.lit("")).alias("created"),
         F.coalesce(f"{p}.columns", F.lit(0)).cast("bigint").alias("columns"),
@@ -196,7 +263,7 @@ def catalog_chart_details(objects: DataFrame) -> DataFrame:
 
 def catalog_models(objects: DataFrame) -> DataFrame:
     """(app, reload_meta, static_byte_size, usage) of every data model, the reload data as JSON text."""
-    return _of_kind(objects, MODEL, _MODEL).select(
+    return _of_kind(objects, MODEL).select(
         "app", F.coalesce("o.qreload_meta", F.lit("{}")).alias("reload_meta"),
         F.coalesce("o.qstatic_byte_size", F.lit(0)).cast("bigint").alias("static_byte_size"),
         F.coalesce("o.qusage", F.lit("")).alias("usage"),
@@ -205,30 +272,56 @@ def catalog_models(objects: DataFrame) -> DataFrame:
 
 def _chart_nodes(objects: DataFrame) -> DataFrame:
     """Every chart, and the charts one level inside it, with its parsed definition."""
-    sheets = _of_kind(objects, SHEET, _SHEET).select(
-        "app",
-        F.coalesce("o.qRoot.qProperty.qInfo.qId", F.lit("")).alias("sheet"),
-        F.posexplode("o.qRoot.qChildren").alias("pos", "child"),
-    )
-    inner = F.transform(
-        F.coalesce("child.qChildren", F.array().cast("array<struct<qProperty: string>>")),
-        lambda c, i: F.struct((i + 1).alias("nested"), c["qProperty"].alias("text")),
-    )
-    own = F.array(F.struct(F.lit(0).alias("nested"), F.col("child.qProperty").alias("text")))
+    found = _of_kind(objects, SHEET)
+    sheet = F.coalesce("o.qRoot.qProperty.qInfo.qId", F.lit("")).alias("sheet")
+    if _is_parsed(objects, SHEET):
+        return found.select("app", sheet, F.inline("o.nodes")).select("app", "sheet", "pos", "nested", "parent", "c")
+    sheets = found.select("app", sheet, F.posexplode("o.qRoot.qChildren").alias("pos", "child"))
     nodes = (
         sheets.where(_is_filled(F.col("child.qProperty")))
-        .select("app", "sheet", "pos", "child", F.explode(F.concat(own, inner)).alias("node"))
+        .select("app", "sheet", "pos", "child", F.explode(_texts_of(F.col("child"))).alias("node"))
         .where(_is_filled(F.col("node.text")))
     )
-    # the outer chart is read for the charts inside it only
-    outer = json_value(F.col("child.qProperty"), "qInfo", "struct<qId: string>")["qId"]
     return nodes.select(
         "app", "sheet", "pos", F.col("node.nested").alias("nested"),
-        F.when(F.col("node.nested") > 0, F.coalesce(outer, F.lit(""))).otherwise("").alias("parent"),
+        F.when(F.col("node.nested") > 0, _outer_id(F.col("child"))).otherwise("").alias("parent"),
         _once("node.text", _CHART).alias("c"),
     )
 
 
+def _texts_of(child: Column) -> Column:
+    """(nested, text) of a chart and of the charts inside it."""
+    inner = F.transform(
+        F.coalesce(child["qChildren"], F.array().cast("array<struct<qProperty: string>>")),
+        lambda c, i: F.struct((i + 1).alias("nested"), c["qProperty"].alias("text")),
+    )
+    return F.concat(F.array(F.struct(F.lit(0).alias("nested"), child["qProperty"].alias("text"))), inner)
+
+
+def _outer_id(child: Column) -> Column:
+    """The id of an outer chart, which is read for the charts inside it only."""
+    return F.coalesce(json_value(child["qProperty"], "qInfo", "struct<qId: string>")["qId"], F.lit(""))
+
+
+def _with_nodes(sheet: Column) -> Column:
+    """A parsed sheet whose charts stand beside its own properties, as (pos, nested, parent, c) in an array."""
+
+    def nodes(child: Column, pos: Column) -> Column:
+        inside = F.when(F.size(child["qChildren"]) > 0, _outer_id(child))
+        return let(inside, lambda outer: F.transform(
+            F.filter(_texts_of(child), lambda n: _is_filled(n["text"])),
+            lambda n: F.struct(
+                pos.alias("pos"), n["nested"].alias("nested"), F.when(n["nested"] > 0, outer).otherwise("").alias("parent"),
+                F.from_json(n["text"], _PLAIN_CHART, ANY_SIZE).alias("c"),
+            ),
+        ))
+
+    children = sheet["qRoot"]["qChildren"]
+    empty = F.array().cast(f"array<struct<pos: int, nested: int, parent: string, c: struct<{_PLAIN_CHART}>>>")
+    each = F.transform(children, lambda c, i: F.when(_is_filled(c["qProperty"]), nodes(c, i)).otherwise(empty))
+    return F.struct(F.struct(sheet["qRoot"]["qProperty"].alias("qProperty")).alias("qRoot"), F.flatten(each).alias("nodes"))
+
+
 def _is_filled(text: Column) -> Column:
     return text.isNotNull() & ~text.rlike(r"^\s*\{\s*\}\s*$")
 
@@ -281,7 +374,7 @@ def catalog_measures(objects: DataFrame) -> DataFrame:
 
 def catalog_fields(objects: DataFrame) -> DataFrame:
     """(app, pos, field, source_tables, cardinality, total_count, is_numeric, tags, byte_size)."""
-    each = _of_kind(objects, MODEL, _MODEL).select("app", F.posexplode("o.qfields").alias("pos", "f"))
+    each = _of_kind(objects, MODEL).select("app", F.posexplode("o.qfields").alias("pos", "f"))
     shown = each.where(~F.coalesce("f.qis_system", F.lit(False)) & ~F.coalesce("f.qis_hidden", F.lit(False)))
     none = F.array().cast("array<string>")
     return shown.select(
@@ -298,7 +391,7 @@ def catalog_fields(objects: DataFrame) -> DataFrame:
 
 def catalog_tables(objects: DataFrame) -> DataFrame:
     """(app, pos, table, rows, fields, key_fields, byte_size), system tables left out."""
-    each = _of_kind(objects, MODEL, _MODEL).select("app", F.posexplode("o.qtables").alias("pos", "t"))
+    each = _of_kind(objects, MODEL).select("app", F.posexplode("o.qtables").alias("pos", "t"))
     return each.where(~F.coalesce("t.qis_system", F.lit(False))).select(
         "app", "pos",
         F.coalesce("t.qname", F.lit("")).alias("table"),
@@ -311,7 +404,7 @@ def catalog_tables(objects: DataFrame) -> DataFrame:
 
 def catalog_variables(objects: DataFrame) -> DataFrame:
     """(app, list_id, pos, name, definition, is_script_created)."""
-    each = _of_kind(objects, VARIABLES, _VARIABLES).select(
+    each = _of_kind(objects, VARIABLES).select(
         "app", F.coalesce("o.qId", F.lit("")).alias("list_id"), F.posexplode("o.qEntryList").alias("pos", "v")
     )
     return each.select(
@@ -328,7 +421,7 @@ def catalog_apps(objects: DataFrame) -> DataFrame:
         "title": "qTitle", "last_reload": "qLastReloadTime", "saved_in_version": "qSavedInProductVersion",
         "usage": "qUsage", "owner": "owner", "thumbnail": "qThumbnail",
     }
-    return _of_kind(objects, PROPERTIES, _PROPERTIES).select(
+    return _of_kind(objects, PROPERTIES).select(
         "app", *[F.coalesce(f"o.{key}", F.lit("")).alias(name) for name, key in names.items()]
     )
 

@@ -31,16 +31,20 @@ def classify(expressions: DataFrame, columns: str | None = None) -> DataFrame:
     of the known name that equals it but for case.
     """
     known = field(columns) if columns else F.array().cast("array<string>")
-    # built as an array and exploded, so that a filter on the class does not repeat the matching
-    read = let(
+    # built as arrays and exploded, so that a filter on the class does not repeat the matching; the class comes first and
+    # alone, so that only what passes such a filter is taken apart
+    told = let(
         strip_space(F.coalesce("expression", F.lit(""))),
-        lambda text: let(_parts(text), lambda parts: _named(text, parts, known)),
+        lambda text: let(_kind(text), lambda kind: F.struct(text.alias("_text"), _class(text, kind).alias("class"))),
     )
-    return expressions.select("*", F.inline(F.array(read)))
+    each = expressions.select("*", F.inline(F.array(told)))
+    read = let(_parts(F.col("_text"), F.col("class")), lambda parts: _named(F.col("_text"), parts, known))
+    kept = [field(c) for c in expressions.columns]
+    return each.select(*kept, "class", F.inline(F.array(read)))
 
 
-def _parts(text: Column) -> Column:
-    kind = (
+def _kind(text: Column) -> Column:
+    return (
         F.when(text == "", "rows")
         .when(text.rlike(_COUNT), F.when(F.regexp_extract(text, _COUNT, 1) != "", "count_distinct").otherwise("count"))
         .when(text.rlike(_SIMPLE), "simple")
@@ -49,8 +53,28 @@ def _parts(text: Column) -> Column:
         .otherwise("unresolved")
     )
 
+
+def _class(text: Column, kind: Column) -> Column:
+    one = F.size(_values(text)) == 1
+    return F.when(kind == "filtered", F.when(one, "filtered_eq").otherwise("filtered_in")).otherwise(kind)
+
+
+def _group(text: Column, pattern: str, *numbers: int) -> Column:
+    return F.concat(*[F.regexp_extract(text, pattern, n) for n in numbers])
+
+
+def _values(text: Column) -> Column:
+    return F.filter(
+        F.transform(F.split(_group(text, _FILTERED, 4), ","), lambda v: strip_chars(strip_space(v), "'\"")),
+        lambda v: v != "",
+    )
+
+
+def _parts(text: Column, kind: Column) -> Column:
+    """What an expression of a class (``filtered`` for both kinds of filters) names."""
+
     def group(pattern: str, *numbers: int) -> Column:
-        return F.concat(*[F.regexp_extract(text, pattern, n) for n in numbers])
+        return _group(text, pattern, *numbers)
 
     def pick(k: Column) -> Column:
         def by_class(**values: Column) -> Column:
@@ -59,10 +83,6 @@ def _parts(text: Column) -> Column:
                 out = F.when(k == name, value).otherwise(out)
             return out
 
-        values = F.filter(
-            F.transform(F.split(group(_FILTERED, 4), ","), lambda v: strip_chars(strip_space(v), "'\"")),
-            lambda v: v != "",
-        )
         return F.struct(
             k.alias("class"),
             F.lower(
@@ -78,10 +98,10 @@ def _parts(text: Column) -> Column:
             F.lower(by_class(ratio=group(_RATIO, 4))).alias("function2"),
             by_class(ratio=group(_RATIO, 5, 6)).alias("field2"),
             by_class(filtered=group(_FILTERED, 2, 3)).alias("filter_field"),
-            F.when(k == "filtered", values).otherwise(F.array().cast("array<string>")).alias("values"),
+            F.when(k == "filtered", _values(text)).otherwise(F.array().cast("array<string>")).alias("values"),
         )
 
-    return let(kind, pick)
+    return let(F.when(kind.startswith("filtered"), "filtered").otherwise(kind), pick)
 
 
 def _named(text: Column, parts: Column, known: Column) -> Column:
@@ -116,7 +136,6 @@ def _named(text: Column, parts: Column, known: Column) -> Column:
             .otherwise(F.concat(F.lit("[Needs Review] "), F.when(review == "", "Expression").otherwise(review)))
         )
         return F.struct(
-            F.when(kind == "filtered", F.when(one, "filtered_eq").otherwise("filtered_in")).otherwise(kind).alias("class"),
             parts["function"].alias("function"),
             f["field"].alias("field"),
             parts["function2"].alias("function2"),

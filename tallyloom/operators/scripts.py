@@ -60,13 +60,14 @@ def script_variables(scripts: DataFrame) -> DataFrame:
     return clean_scripts(scripts).select("app", F.inline(let(S.variables(F.col("script")), each)))
 
 
-def _loads_of(script: Column) -> Column:
-    """The loads of a script, in order, as an array."""
+def _loads_of(script: Column, load=None) -> Column:
+    """The loads of a script, in order, as an array; ``load`` reads one of its statements."""
+    load = load or _load
 
     def read(clean: Column) -> Column:
         return let(
             S.variables(clean),
-            lambda known: F.transform(S.statements(clean), lambda text, pos: _load(text, pos, known)),
+            lambda known: F.transform(S.statements(clean), lambda text, pos: load(text, pos, known)),
         )
 
     return F.filter(let(S.strip_comments(S.unix_lines(script)), read), lambda x: x.isNotNull())
@@ -88,7 +89,7 @@ def parse_tables(scripts: DataFrame) -> DataFrame:
     that has it; the first source that is known counts. All loads of an app stand in the row of
     its script, so merging them needs no shuffle.
     """
-    return scripts.select("app", F.inline(let(_loads_of(F.col("script")), _merged)))
+    return scripts.select("app", F.inline(let(_loads_of(F.col("script"), _table_load), _merged)))
 
 
 def _merged(loads: Column) -> Column:
@@ -142,6 +143,48 @@ def _load(text: Column, pos: Column, known: Column) -> Column:
     return _parsed(text, lambda h, b: _sourced(text, pos, h, b, known))
 
 
+def _table_load(text: Column, pos: Column, known: Column) -> Column:
+    """What a table takes from the load that a statement describes, or null: no format options but those of an inline
+    block, no filter and no text."""
+
+    def named(h: Column, b: Column, s: Column) -> Column:
+        own = _own_name(h["label"], s, pos, lambda: let(_connected(s["path"]), lambda c: c["relative_path"]))
+        return let(own, lambda o: _table_row(pos, b, s, o))
+
+    return _parsed(text, lambda h, b: let(_table_source(b["parts"]["tail"], known), lambda s: named(h, b, s)))
+
+
+def _table_row(pos: Column, body: Column, source: Column, own: Column) -> Column:
+    return F.struct(
+        pos.alias("pos"),
+        F.when(body["target"] != "", body["target"]).otherwise(own).alias("table"),
+        body["prefix"].contains("MAPPING").alias("is_mapping"),
+        own.startswith("__").alias("is_hidden"),
+        *[source[n].alias(n) for n in ("kind", "path", "resident")],
+        _fields(body["parts"]["fields"], source["kind"], source["inline_text"], source["options"]).alias("fields"),
+    )
+
+
+def _table_source(tail: Column, known: Column) -> Column:
+    """The kind, path, table or block from FROM, RESIDENT, INLINE or SELECT on."""
+    names = ("path", "resident", "inline_text", "options")
+    named = F.regexp_replace(tail, r"(?i)^(FROM|RESIDENT)\s+", "")
+
+    def read(file: Column) -> Column:
+        return _described(_file_kind(file["path"], file["format"]), names, path=file["path"])
+
+    def told(shape: Column) -> Column:
+        before = let(S.split_filter(named), lambda c: c["before"])
+        return (
+            F.when(shape == "file", let(let(before, lambda b: _located(b, known)), read))
+            .when(shape == "resident", _described(shape, names, resident=S.unquote(before)))
+            .when(shape == "inline", _described(shape, names, inline_text=F.regexp_extract(tail, _INLINE, 1), options=_inline_options(tail)))
+            .otherwise(_described(shape, names))
+        )
+
+    return let(_shape(tail), told)
+
+
 def _parsed(text: Column, finish) -> Column:
     """``finish(head, body)`` of a statement that is a load, or null."""
     labelled = text.contains(":")
@@ -219,10 +262,12 @@ def _source(tail: Column, known: Column) -> Column:
     return let(_shape(tail), told)
 
 
-def _described(kind: Column, **known: Column) -> Column:
-    """A source with what is ``known`` of it; the rest is empty."""
+_DESCRIBED = ("path", "filter", "resident", "inline_text", "options", "connection", "relative_path")
+
+
+def _described(kind: Column, names: tuple[str, ...] = _DESCRIBED, **known: Column) -> Column:
+    """A source with what is ``known`` of it; the rest of its ``names`` is empty."""
     none = F.array().cast("array<struct<key:string,value:string>>")
-    names = ("path", "filter", "resident", "inline_text", "options", "connection", "relative_path")
     return F.struct(
         kind.alias("kind"), *[known.get(n, none if n == "options" else F.lit("")).alias(n) for n in names]
     )
@@ -239,25 +284,31 @@ def _options(given: Column) -> Column:
 def _file(clauses: Column, known: Column) -> Column:
     """The source that a file's path and format, parted from its filter, describe."""
 
+    def described(f: Column, connected: Column) -> Column:
+        return _described(
+            _file_kind(f["path"], f["format"]), path=f["path"], filter=clauses["filter"], options=_options(f["format"]),
+            connection=connected["connection"], relative_path=connected["relative_path"],
+        )
+
+    return let(_located(clauses["before"], known), lambda f: let(_connected(f["path"]), lambda c: described(f, c)))
+
+
+def _located(named: Column, known: Column) -> Column:
+    """The ``format`` in parentheses behind a file's name, empty if there is none, and its ``path``."""
+
     def formatted(given: Column) -> Column:
         is_format = _first_word(given).isin(*fixed.FORMAT_KINDS)
-        plain = F.struct(F.lit("").alias("format"), clauses["before"].alias("named"))
+        plain = F.struct(F.lit("").alias("format"), named.alias("named"))
         return F.when(
             is_format,
-            F.struct(given.alias("format"), strip_space(F.regexp_replace(clauses["before"], _FORMAT, "")).alias("named")),
+            F.struct(given.alias("format"), strip_space(F.regexp_replace(named, _FORMAT, "")).alias("named")),
         ).otherwise(plain)
 
     def located(f: Column) -> Column:
         path = strip_space(let(S.unquote(f["named"]), lambda p: S.expand(p, known)))
-        return let(path, lambda p: let(_connected(p), lambda c: described(f, p, c)))
+        return F.struct(f["format"].alias("format"), path.alias("path"))
 
-    def described(f: Column, path: Column, connected: Column) -> Column:
-        return _described(
-            _file_kind(path, f["format"]), path=path, filter=clauses["filter"], options=_options(f["format"]),
-            connection=connected["connection"], relative_path=connected["relative_path"],
-        )
-
-    return let(let(F.regexp_extract(clauses["before"], _FORMAT, 1), formatted), located)
+    return let(let(F.regexp_extract(named, _FORMAT, 1), formatted), located)
 
 
 def _connected(path: Column) -> Column:
@@ -289,10 +340,9 @@ def _option(text: Column) -> Column:
     )
 
 
-def _own_name(label: Column, source: Column, pos: Column) -> Column:
-    stem = strip_space(
-        F.regexp_replace(F.regexp_extract(source["relative_path"], r"([^/\\]*)$", 1), r"\.[A-Za-z0-9]+$", "")
-    )
+def _own_name(label: Column, source: Column, pos: Column, relative_path=None) -> Column:
+    path = relative_path() if relative_path else source["relative_path"]
+    stem = strip_space(F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"\.[A-Za-z0-9]+$", ""))
     return (
         F.when(label != "", label)
         .when(source["kind"].isin(*fixed.FILE_KINDS) & (stem != ""), stem)
@@ -436,10 +486,13 @@ def _evidenced(loads: DataFrame, metadata: DataFrame | None) -> DataFrame:
     none = F.array().cast("array<string>")
     if metadata is None:
         return loads.withColumn("fields", F.transform("fields", lambda f: f.withField("is_numeric", F.lit(False))))
-    known = (
-        metadata.groupBy("app", F.lower("field").alias("key"))
-        .agg(F.flatten(F.collect_set(F.coalesce("tags", none))).alias("tags"), F.coalesce(F.max("is_numeric"), F.lit(False)).alias("is_numeric"))
-        .groupBy("app").agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("tags", "is_numeric")))).alias("_known"))
+    entry = F.struct(
+        F.lower("field").alias("key"),
+        F.struct(F.coalesce("tags", none).alias("tags"), F.coalesce("is_numeric", F.lit(False)).alias("is_numeric")).alias("value"),
+    )
+    # one shuffle: the fields of an app are gathered at once, those of one name meet inside its row
+    known = metadata.groupBy("app").agg(F.collect_list(F.when(F.col("field").isNotNull(), entry)).alias("_entries")).select(
+        "app", let(F.col("_entries"), _by_name).alias("_known")
     )
 
     def with_model(f: Column) -> Column:
@@ -450,6 +503,22 @@ def _evidenced(loads: DataFrame, metadata: DataFrame | None) -> DataFrame:
     return loads.join(sorted_side(known), "app", "left").withColumn("fields", F.transform("fields", with_model)).drop("_known")
 
 
+def _by_name(entries: Column) -> Column:
+    """A map of the evidence by field name; most names come once."""
+
+    def merged(name: Column) -> Column:
+        same = F.filter(entries, lambda e: e["key"] == name)
+        value = F.struct(
+            F.array_distinct(F.flatten(F.transform(same, lambda e: e["value"]["tags"]))).alias("tags"),
+            F.exists(same, lambda e: e["value"]["is_numeric"]).alias("is_numeric"),
+        )
+        return F.struct(name.alias("key"), value.alias("value"))
+
+    names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    unique = lambda given: F.when(F.size(given) == F.size(entries), entries).otherwise(F.transform(given, merged))
+    return F.map_from_entries(let(names, unique))
+
+
 def load_status(loads: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     """(app, pos, table, kind, path, status, reason, n_columns, n_typed, n_dropped, unapplied_filter) of every load."""
     return _evidenced(loads, metadata).select(
@@ -485,13 +554,19 @@ def _column_counts() -> list[Column]:
     A readable source gives the fields it holds, or all of them if every one is computed; an
     unreadable one gives its whole schema. Computed fields count as dropped for files only.
     """
-    held = F.filter("fields", lambda f: ~f["is_derived"])
-    emitted = F.when(F.col("kind").isin(*READABLE_KINDS) & (F.size(held) > 0), held).otherwise(F.col("fields"))
-    dropped = F.when(
-        F.col("kind").isin(*fixed.FILE_KINDS) & (F.size(held) > 0), F.size("fields") - F.size(held)
-    ).otherwise(0)
-    typed = F.filter(emitted, lambda f: resolve_type(f["tags"], f["is_numeric"]) != STRING)
-    return [F.size(emitted).alias("n_columns"), F.size(typed).alias("n_typed"), dropped.alias("n_dropped")]
+    def counted(held: Column) -> Column:
+        some = F.size(held) > 0
+        emitted = F.when(F.col("kind").isin(*READABLE_KINDS) & some, held).otherwise(F.col("fields"))
+        dropped = F.when(F.col("kind").isin(*fixed.FILE_KINDS) & some, F.size("fields") - F.size(held)).otherwise(0)
+        return let(emitted, lambda e: F.struct(F.size(e).alias("n_columns"), F.size(F.filter(e, _is_typed)).alias("n_typed"), dropped.alias("n_dropped")))
+
+    counts = let(F.filter("fields", lambda f: ~f["is_derived"]), counted)
+    return [F.inline(F.array(counts))]
+
+
+def _is_typed(f: Column) -> Column:
+    # most fields have no tags, and then the flag alone speaks
+    return F.when(F.size(f["tags"]) == 0, F.coalesce(f["is_numeric"], F.lit(False))).otherwise(resolve_type(f["tags"], f["is_numeric"]) != STRING)
 
 
 def dropped_fields(loads: DataFrame) -> DataFrame:

@@ -46,11 +46,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once below the shared folder and read back.
+def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """``df`` written once below the shared folder, with the writer's ``options``, and read back.
 
     Later steps neither compute it again nor depend on the executors that made it.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -134,5 +134,8 @@ def order_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
             "suffix": F.when(F.col("o_orderstatus") == "F", "qvd").otherwise("txt"),
         }
     )
+    # each value becomes text once and not at every place that names it
+    named = sorted(set(re.findall(r"\{(\w+)\}", "".join(t for _, t in OBJECTS))))
+    orders = orders.select(*[F.col(c).cast("string").alias(c) for c in named])
     rows = F.array(*[F.struct(F.lit(o).alias("offset"), filled(t).alias("text")) for o, t in OBJECTS])
     return orders.select(filled("o{o_orderkey}").alias("app"), F.inline(rows))
